@@ -17,6 +17,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gleanery.llm.frames import schema_with
 from gleanery.llm.secrets import load_ranks
 
 #: Pre-tokens whose ids a Python worker remembers; beyond it the memory starts anew.
@@ -157,9 +158,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     docs = docs.drop(ids, *([decoded] if decoded else []))
-    schema = docs.schema.add(ids, "array<int>")
-    if decoded:
-        schema = schema.add(decoded, "binary")
+    schema = schema_with(docs, **{ids: "array<int>"}, **({decoded: "binary"} if decoded else {}))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +179,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     df = df.drop(decoded)
     at = df.columns.index(ids)
-    schema = df.schema.add(decoded, "binary")
+    schema = schema_with(df, **{decoded: "binary"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, "")

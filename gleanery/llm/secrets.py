@@ -1,7 +1,7 @@
 """Secret scan by token efficiency.
 
 Random strings are incompressible: a byte-pair vocabulary needs far more tokens for them than for words. A candidate run
-of 20 or more key characters is reported when it has fewer than `LOOSE` characters for each token, holds letters and
+of 16 or more key characters is reported when it has fewer than `LOOSE` characters for each token, holds letters and
 digits, and is neither a known digest nor an identifier. Three fixed patterns (assignments, access keys, hex runs) are
 reported beside it.
 
@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.frames import schema_with
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Possible keys: long runs of base64 characters.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512: known digests.
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -71,7 +73,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
     docs = docs.drop(name)
-    schema = docs.schema.add(name, "array<struct<kind:string,start:int,end:int>>")
+    schema = schema_with(docs, **{name: "array<struct<kind:string,start:int,end:int>>"})
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     slim = docs.columns.index(text)
 
