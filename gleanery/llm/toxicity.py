@@ -25,10 +25,11 @@ from gleanery.llm import words as W
 from gleanery.llm.frames import schema_with
 
 WORD_BITS, WORD_WIDTH, CHAR_BITS, CHAR_WIDTH, HIDDEN = 14, 12, 12, 8, 8
+#: Words of a window and from one window to the next; a text's last window ends with the text.
 STEPS, STRIDE = 32, 24
 #: Bound of the training sample: about so many texts of each label, twice so many of both at most.
-PER_CLASS = 500
-EPOCHS, BATCH, RATE = 10, 24, 0.02
+PER_CLASS = 1000
+UPDATES, BATCH, RATE = 900, 16, 0.02
 
 
 @dataclass
@@ -56,7 +57,7 @@ def inputs(data: np.ndarray, off: np.ndarray) -> Inputs:
     windows = np.where(count > 0, 1 + np.maximum(0, -(-(count - STEPS) // STRIDE)), 0)
     text = np.repeat(np.arange(len(count)), windows)
     k = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-    first = w.first[text] + k * STRIDE
+    first = w.first[text] + np.minimum(k * STRIDE, np.maximum(count[text] - STEPS, 0))
     return Inputs((W.word_hashes(w) >> W.U(64 - WORD_BITS)).astype(np.int32), char.astype(np.int32), at, first, np.minimum(STEPS, w.first[text + 1] - first), text)
 
 
@@ -85,35 +86,47 @@ class Net:
     def forward(self, projected: np.ndarray, first: np.ndarray, size: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Logits of windows, from the words' input projections. `keep` collects what the backward pass needs."""
         p, h, n = self.p, HIDDEN, len(first)
-        step = np.arange(STEPS)
-        live = step[None, :] < size[:, None]
-        where = np.minimum(first[:, None] + step, len(projected) - 1)
+        step = np.arange(STEPS)[:, None]
+        live = step < size
+        full = live.all(1)
+        where = np.minimum(first + step, len(projected) - 1)
         states = np.empty((STEPS, n, 2 * h), np.float32)
         saved = []
         for way in (0, 1):
             state = np.zeros((n, h), np.float32)
+            xs = projected[:, 3 * h * way : 3 * h * (way + 1)][where]
+            u = p["u"][way]
             for t in range(STEPS) if way == 0 else range(STEPS - 1, -1, -1):
-                xp = projected[where[:, t], 3 * h * way : 3 * h * (way + 1)]
-                up = state @ p["u"][way]
-                gates = _sigmoid(xp[:, : 2 * h] + up[:, : 2 * h])
+                xp, up = xs[t], state @ u
+                gates = xp[:, : 2 * h] + up[:, : 2 * h]
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
                 r, z = gates[:, :h], gates[:, h:]
-                new = np.tanh(xp[:, 2 * h :] + r * up[:, 2 * h :])
-                m = live[:, t, None]
-                after = np.where(m, new + z * (state - new), state)
+                new = r * up[:, 2 * h :]
+                new += xp[:, 2 * h :]
+                np.tanh(new, out=new)
+                after = state - new
+                after *= z
+                after += new
+                if not full[t]:
+                    after = np.where(live[t, :, None], after, state)
                 if keep is not None:
-                    saved.append((way, t, state, r, z, new, up[:, 2 * h :], m))
+                    saved.append((way, t, state, r, z, new, up[:, 2 * h :], live[t, :, None]))
                 state = after
                 states[t, :, h * way : h * (way + 1)] = state
-        hidden = np.tanh(states @ p["att"])
-        e = np.where(live.T, hidden @ p["v"], -1e9)
+        hidden = np.tanh(states.reshape(-1, 2 * h) @ p["att"]).reshape(STEPS, n, h)
+        e = np.where(live, hidden @ p["v"], np.float32(-1e9))
         a = np.exp(e - e.max(0))
         a /= a.sum(0)
+        if keep is None:  # the output is linear in the pooled state
+            return (a * (states.reshape(-1, 2 * h) @ p["out"]).reshape(STEPS, n)).sum(0) + p["b"][0]
         pooled = np.einsum("tn,tnh->nh", a, states)
-        if keep is not None:
-            keep += [saved, states, hidden, a, pooled, where]
+        keep += [saved, states, hidden, a, pooled, where]
         return pooled @ p["out"] + p["b"][0]
 
-    def logits(self, x: Inputs, most: int = 4096) -> np.ndarray:
+    def logits(self, x: Inputs, most: int = 1024) -> np.ndarray:
         projected = self.words(x) @ self.p["wx"] + self.p["bx"]
         parts = [self.forward(projected, x.window[i : i + most], x.size[i : i + most]) for i in range(0, len(x.window), most)]
         return np.concatenate([np.zeros(0, np.float32), *parts])
@@ -149,7 +162,8 @@ class Net:
             dup = np.concatenate([dr, dz, dn * r], axis=1)
             g["u"][way] += state.T @ dup
             dh[way] = dup @ p["u"][way].T + np.where(m, total * z, total)
-            np.add.at(dproj[:, 3 * h * way : 3 * h * (way + 1)], where[:, t], dxp)
+            some = np.flatnonzero(m[:, 0])  # windows begin at different words, so at one step no word comes twice
+            dproj[where[t, some], 3 * h * way : 3 * h * (way + 1)] += dxp[some]
         g["wx"] = vectors.T @ dproj
         g["bx"] = dproj.sum(0)
         dvec = dproj @ p["wx"].T
@@ -162,17 +176,26 @@ class Net:
         return _sigmoid(self.scale * logit + self.shift)
 
 
-def _pick(x: Inputs, texts: list[int]) -> Inputs:
-    """The words and windows of a few windows alone, so that a step touches no others."""
-    first, size = x.window[texts], x.size[texts]
+def _pick(x: Inputs, windows: np.ndarray) -> Inputs:
+    """A few windows with their words alone, so that a step touches no others."""
+    first, size = x.window[windows], x.size[windows]
     words = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(first, size, strict=True)]))
     end = np.append(x.at, len(x.char))
     n = end[words + 1] - end[words]
     at = np.cumsum(n) - n
-    return Inputs(x.word[words], x.char[np.arange(int(n.sum())) + np.repeat(end[words] - at, n)], at, np.searchsorted(words, first), size, x.text[texts])
+    return Inputs(x.word[words], x.char[np.arange(int(n.sum())) + np.repeat(end[words] - at, n)], at, np.searchsorted(words, first), size, x.text[windows])
 
 
-def train(texts: list[str], labels: list[int], seed: int = 11) -> Net:
+def _join(parts: list[Inputs]) -> Inputs:
+    """The inputs of several texts, numbered from 0."""
+    n_word = np.cumsum([0, *(len(c.word) for c in parts)])
+    n_char = np.cumsum([0, *(len(c.char) for c in parts)])
+    moved = [Inputs(c.word, c.char, c.at + n_char[k], c.window + n_word[k], c.size, np.full(len(c.window), k)) for k, c in enumerate(parts)]
+    return Inputs(*(np.concatenate([getattr(c, f) for c in moved]) for f in ("word", "char", "at", "window", "size", "text")))
+
+
+def train(texts: list[str], labels: list[int], counts: dict[int, int] | None = None, seed: int = 11) -> Net:
+    """A network from labelled texts; `counts` of both labels in the whole label table set the scores' base rate."""
     net, rng = Net(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
@@ -186,27 +209,24 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Net:
     ratio = max(1.0, min(10.0, (y[learn] == 0).sum() / max(1, (y[learn] == 1).sum())))
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
-    steps = 0
-    total = EPOCHS * -(-len(learn) // BATCH)
-    for epoch in range(EPOCHS):
+    steps, each_epoch = 0, -(-len(learn) // BATCH)
+    epochs = -(-UPDATES // each_epoch)
+    total = epochs * each_epoch
+    for _ in range(epochs):
         rng.shuffle(learn)
         for b in range(0, len(learn), BATCH):
-            part = [docs[i] for i in learn[b : b + BATCH]]
-            chosen = []
-            for d in part:
-                if epoch < 2 or len(d.window) == 1:
-                    top = rng.permutation(len(d.window))[:6]
-                else:
-                    top = np.argsort(-net.logits(d))[:2]
-                chosen.append(_pick(d, list(top)))
-            shift_w, shift_c, xs = 0, 0, []
-            for c in chosen:
-                xs.append(Inputs(c.word, c.char, c.at + shift_c, c.window + shift_w, c.size, c.text))
-                shift_w += len(c.word)
-                shift_c += len(c.char)
-            x = Inputs(*(np.concatenate([getattr(c, f) for c in xs]) for f in ("word", "char", "at", "window", "size", "text")))
-            own = np.concatenate([[y[i]] * len(c.window) for i, c in zip(learn[b : b + BATCH], chosen, strict=True)]).astype(np.float32)
-            each = np.concatenate([[1 / len(c.window)] * len(c.window) for c in chosen]).astype(np.float32) * np.where(own > 0, ratio, 1) / len(chosen)
+            part = _join([docs[i] for i in learn[b : b + BATCH]])
+            if steps < total // 5:  # before the network can tell windows apart, any of a text may teach
+                rank = rng.random(len(part.window))
+            else:
+                rank = -net.logits(part)
+            # each text's first windows by that rank
+            by = np.lexsort((rank, part.text))
+            place = np.arange(len(by)) - np.searchsorted(part.text[by], part.text[by])
+            x = _pick(part, by[place < (6 if steps < total // 5 else 2)])
+            n_own = np.bincount(x.text)[x.text]
+            own = y[np.array(learn[b : b + BATCH])[x.text]]
+            each = (np.where(own > 0, ratio, 1) / n_own / min(BATCH, len(learn) - b)).astype(np.float32)
             grads = net.backward(x, np.arange(len(x.window)), own, each)
             steps += 1
             rate = RATE * (1 - steps / (total + 1))
@@ -222,6 +242,9 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Net:
                     s[k] = 0.99 * s[k] + 0.01 * grad**2
                     net.p[k] -= (rate * m[k] / (1 - 0.9**steps) / (np.sqrt(s[k] / (1 - 0.99**steps)) + 1e-7)).astype(np.float32)
     _calibrate(net, np.array([net.logits(docs[i]).max() for i in kept], np.float64), y[kept])
+    if counts and min(counts.get(0, 0), counts.get(1, 0)) > 0:
+        net.shift += float(np.log(counts[1] / counts[0]) - np.log((y == 1).sum() / (y == 0).sum()))
+        net.floor = min(net.floor, (-0.1 - net.shift) / net.scale)
     return net
 
 
@@ -250,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     # at most 2 * per_class ids of each label: a proven bound for the broadcast
     got = docs.select(key, F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(chosen), key).select("_t", "_y").limit(4 * per_class * len(counts)).collect()
     got = sorted((r[0], r[1]) for r in got)
-    return train([r[0] for r in got], [r[1] for r in got])
+    return train([r[0] for r in got], [r[1] for r in got], counts)
 
 
 def score(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:
