@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, decontaminate, langid, secrets, sharding, toxicity
+from gleanery.llm import bpe, decontaminate, langid, secrets, sharding, substrings, toxicity
 
 #: Vocabulary files: parameters of the operators that need one.
 ENGLISH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -80,6 +80,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -87,6 +92,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op8_bpe": op8_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,4 +113,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p),
+m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN m USING (s) WHERE least < doc_id),
+gone AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ps, k)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op10_substring_dedup": OP10_SQL}
