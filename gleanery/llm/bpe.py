@@ -1,8 +1,8 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. Each pair of neighbours that the vocabulary can merge lies in the bucket of its
-rank; a three-level bitmap of 64-bit words tells which buckets hold anything, so find-first-set gives the lowest rank in
-three steps however many pairs wait. Entries whose pair has changed meanwhile are skipped when they come up. A pre-token
+rank; a bitmap in two levels (256 ranks to a word) tells which buckets hold anything, so find-first-set gives the lowest
+rank in two steps however many pairs wait. Entries whose pair has changed meanwhile are skipped when they come up. A pre-token
 of n bytes takes O(n log n) steps at most (a bucket is sorted when it comes up), so very long ones cost no more for each byte.
 
 Defined cases: null and empty texts have no tokens and decode to no bytes; an empty table gives an empty table; other columns
@@ -20,87 +20,76 @@ from pyspark.sql import DataFrame
 from gleanery.llm.frames import schema_with
 from gleanery.llm.secrets import load_ranks
 
-#: Pre-tokens whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+#: A Python worker remembers the ids of the last so many distinct pre-tokens, and of as many before them (250 bytes each).
+REMEMBERED = 500_000
 #: Bytes of text in a batch that goes back to Spark.
 OUT = 4 << 20
 
 
-class RankQueue:
-    """Buckets of list positions by rank, with a bitmap in three levels."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (ranks // 4096 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        got = self.buckets.get(rank)
-        if got is not None:
-            got.append(at)
-            return
-        self.buckets[rank] = [at]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        """The lowest rank that holds anything, with its bucket's positions from left to right."""
-        if not self.top:
-            return None
-        i = (self.top & -self.top).bit_length() - 1
-        m = self.mid[i]
-        j = (i << 6) | ((m & -m).bit_length() - 1)
-        w = self.low[j]
-        rank = (j << 6) | ((w & -w).bit_length() - 1)
-        self.low[j] = w = w & (w - 1)
-        if not w:
-            self.mid[i] = m = m & (m - 1)
-            if not m:
-                self.top &= self.top - 1
-        return rank, sorted(self.buckets.pop(rank))
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Token ids of one pre-token. `queue` must be empty, and is empty again afterwards."""
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one pre-token."""
     n = len(piece)
     after = list(range(1, n + 1))  # where the part that begins here ends
-    before = list(range(-1, n - 1))
-    get, push = ranks.get, queue.push
-    pair: list[int] = [-1] * n  # rank of the pair whose left part begins here
+    before = list(range(-1, n))
+    pair = [-1] * (n + 1)  # rank of the pair whose left part begins here
+    get = ranks.get
+    # the queue: positions by rank; low: which ranks of each 256 hold any; high: which of those 256s do
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    high = 0
     for i in range(n - 1):
-        r = get(piece[i : i + 2], -1)
+        r = pair[i] = get(piece[i : i + 2], -1)
         if r >= 0:
-            pair[i] = r
-            push(r, i)
-    while (got := queue.pop()) is not None:
-        rank, places = got
-        for k, i in enumerate(places):
+            if r in buckets:
+                buckets[r].append(i)
+            else:
+                buckets[r] = [i]
+                k = r >> 8
+                low[k] = low.get(k, 0) | 1 << (r & 255)
+                high |= 1 << k
+    while high:
+        k = (high & -high).bit_length() - 1
+        word = low[k]
+        rank = k << 8 | ((word & -word).bit_length() - 1)
+        low[k] = word = word & (word - 1)
+        if not word:
+            high &= high - 1
+        places = buckets.pop(rank)
+        if len(places) > 1:
+            places.sort()
+        for x, i in enumerate(places):
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
-            end = after[j]
-            after[i] = end
+            after[i] = end = after[j]
             pair[j] = -1
-            lowest = rank
+            p, q = before[i], i  # the pairs that have changed: of the part before and this one, of this one and the next
             if end < n:
                 before[end] = i
-                pair[i] = r = get(piece[i : after[end]], -1)
-                if r >= 0:
-                    push(r, i)
-                    lowest = r if r < lowest else lowest
+                r = pair[i] = get(piece[i : after[end]], -1)
             else:
-                pair[i] = -1
-            if i:
-                p = before[i]
-                pair[p] = r = get(piece[p:end], -1)
+                r = pair[i] = -1
+            lowest = rank
+            while True:
                 if r >= 0:
-                    push(r, p)
-                    lowest = r if r < lowest else lowest
-            if lowest < rank:  # a lower rank has come up: the rest of this bucket waits
-                for x in places[k + 1 :]:
-                    push(rank, x)
+                    if r in buckets:
+                        buckets[r].append(q)
+                    else:
+                        buckets[r] = [q]
+                        k = r >> 8
+                        low[k] = low.get(k, 0) | 1 << (r & 255)
+                        high |= 1 << k
+                    if r < lowest:
+                        lowest = r
+                if p < 0 or q == p:
+                    break
+                q = p
+                r = pair[p] = get(piece[p:end], -1)
+            if lowest < rank and x + 1 < len(places):  # a lower rank has come up: the rest of this bucket waits
+                buckets[rank] = places[x + 1 :] + buckets.get(rank, [])
+                k = rank >> 8
+                low[k] = low.get(k, 0) | 1 << (rank & 255)
+                high |= 1 << k
                 break
     out, i = [], 0
     while i < n:
@@ -117,23 +106,29 @@ class Codec:
 
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0))
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(merge(raw, self.ranks, self.queue))
-        if len(raw) <= 64:
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            ids = (whole,) if whole is not None else tuple(merge(raw, self.ranks))
+        if len(piece) <= 64:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
-        known, slow = self.known.get, self.piece
-        return list(chain.from_iterable(known(p) or slow(p) for p in self.find(text or "")))
+        pieces = self.find(text or "")
+        coded = list(map(self.known.get, pieces))
+        if None in coded:
+            slow = self.piece
+            coded = [x or slow(p) for x, p in zip(coded, pieces, strict=True)]
+        return list(chain.from_iterable(coded))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
