@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -13,3 +15,11 @@ def schema_with(df: DataFrame, **more: str) -> StructType:
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the folder of spark.checkpoint.dir and read again; where none is set, as in tests, to a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+    return df.checkpoint()

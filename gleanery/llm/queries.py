@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, decontaminate, langid, secrets, sharding, substrings, toxicity
+from gleanery.llm import bpe, decontaminate, jaccard, langid, secrets, sharding, substrings, toxicity
 
 #: Vocabulary files: parameters of the operators that need one.
 ENGLISH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -80,6 +80,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -92,6 +97,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op8_bpe": op8_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -127,4 +133,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op10_substring_dedup": OP10_SQL}
+_LOWER_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM d),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.r)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_jaccard_join": OP9_SQL, "op3_decontamination": OP3_SQL, "op10_substring_dedup": OP10_SQL}
