@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, decontaminate, jaccard, langid, secrets, sharding, substrings, toxicity
+from gleanery.llm import bpe, decontaminate, jaccard, langid, language_model, secrets, sharding, substrings, toxicity
 
 #: Vocabulary files: parameters of the operators that need one.
 ENGLISH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,6 +69,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
     return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.held_out(parts=7, kept=2)
+    scored = language_model.score(docs, ~held & F.col("doc_id").isNotNull())
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, MULTI, PATTERN, decoded="decoded")
@@ -96,6 +103,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_bpe": op8_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
