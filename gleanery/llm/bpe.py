@@ -21,7 +21,7 @@ from gleanery.llm.frames import schema_with
 from gleanery.llm.secrets import load_ranks
 
 #: A Python worker remembers the ids of the last so many distinct pre-tokens, and of as many before them (250 bytes each).
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 #: Bytes of text in a batch that goes back to Spark.
 OUT = 4 << 20
 
@@ -106,7 +106,9 @@ class Codec:
 
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            self.bytes_of[i] = b
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -161,7 +163,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
         for big in batches:
             for b in _small(big, at):
                 coded = [codec.encode(t) for t in b.column(at).to_pylist()]
-                cols = [*b.columns, pa.array(coded, pa.list_(pa.int32()))]
+                cols = [*b.columns, _lists(coded)]
                 if decoded:
                     cols.append(pa.array([codec.decode(x) for x in coded], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
@@ -185,6 +187,14 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
     return df.mapInArrow(run, schema)
 
 
+def _lists(coded: list[list[int]]) -> pa.Array:
+    """Token ids as an Arrow column, by way of one flat array."""
+    import numpy as np
+
+    size = np.cumsum([0, *map(len, coded)])
+    return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.fromiter(chain.from_iterable(coded), np.int32, int(size[-1]))))
+
+
 def _small(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about OUT bytes of text each."""
     import numpy as np
