@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, decontaminate, jaccard, langid, language_model, secrets, sharding, substrings, toxicity
+from gleanery.llm import bpe, decontaminate, jaccard, langid, language_model, neighbours, secrets, sharding, substrings, toxicity
 
 #: Vocabulary files: parameters of the operators that need one.
 ENGLISH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,6 +61,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, net).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("_raw"))
     rows = docs.select("doc_id", (F.octet_length("_raw") + 8).cast("long").alias("size"), F.crc32("_raw").alias("text_crc32"))
@@ -102,6 +107,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_sharding": op6_sharding,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_bpe": op8_bpe,
