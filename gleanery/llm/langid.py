@@ -43,12 +43,18 @@ def held_out(doc_id: str = "doc_id", parts: int = 5, kept: int = 0) -> Column:
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed runs of some texts, and the first run of each text. A text of under four bytes has runs of what it has."""
+    """Hashed runs of some texts, and the first run of each text. Every text counts as followed by white space."""
     n = len(data)
     s = np.full(n + 3, 32, np.uint32)
     s[:n] = _SIGN[data]
     three = s[:n] | (s[1 : n + 1] << 8) | (s[2 : n + 2] << 16)
     four = three | (s[3 : n + 3] << 24)
+    for k in (1, 2, 3):  # a text's last runs end in white space, not in the next text
+        p = off[1:] - k
+        p = p[p >= off[:-1]]
+        low, space = np.uint32((1 << 8 * k) - 1), np.uint32(0x20202020 << 8 * k & 0xFFFFFFFF)
+        four[p] = four[p] & low | space
+        three[p] = four[p] & np.uint32(0xFFFFFF)
     out = np.empty(2 * n, np.uint16)
     out[0::2] = (three * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
     out[1::2] = (four * np.uint32(0x85EBCA6B) ^ (four >> 15) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gleanery.llm.frames import schema_with
 
@@ -92,16 +91,29 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     return docs.mapInArrow(run, schema)
 
 
+def cut(text: str, spans: list[dict], mark: str) -> str:
+    """`text` with every span replaced by `mark`, overlapping ones by one."""
+    out, at = [], 0
+    for start, end in sorted((x["start"], x["end"]) for x in spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
 def redact(docs: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every span of `spans` in `text` replaced by `mark` (overlapping spans by one) and the spans dropped."""
-
-    @F.udf("string")
-    def cut(t, found):
-        out, at = [], 0
-        for start, end in sorted((x["start"], x["end"]) for x in found):
-            if start >= at:
-                out += [t[at:start], mark]
-            at = max(at, end)
-        return "".join(out) + t[at:]
-
-    return docs.withColumn(text, F.when(F.size(spans) > 0, cut(text, spans)).otherwise(F.col(text))).drop(spans)
+    """`docs` with every span of `spans` in `text` replaced by `mark` and the spans dropped; other texts pass as they are."""
+    names = docs.columns
+    at, found = names.index(text), names.index(spans)
+    keep = [k for k in range(len(names)) if k != found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(b.columns)
+            lists = columns[found].to_pylist()
+            if any(lists):
+                new = [cut(t.as_py(), x, mark) if x else t.as_py() for t, x in zip(columns[at], lists, strict=True)]
+                columns[at] = pa.array(new, columns[at].type)
+            yield pa.RecordBatch.from_arrays([columns[k] for k in keep], [names[k] for k in keep])
+
+    return docs.mapInArrow(run, docs.drop(spans).schema)

@@ -149,8 +149,6 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int, short: bool = True)
     out = np.zeros(len(where), U)
     size = np.repeat(np.minimum(count, n), runs)
     for k in range(n):
-        w = padded[where + k]
-        if short:
-            w = np.where(k < size, w, U(0))
-        out = out * U(_Q) + w
+        longer = out * U(_Q) + padded[where + k]
+        out = np.where(k < size, longer, out) if short else longer
     return mix(out + size.astype(U)), at
