@@ -7,7 +7,8 @@ Texts are sets of five-word shingles; two are linked at a Jaccard similarity of
    have a quarter of such shingles and are done. The shared prefix shingles deal the others to groups.
 2. In a group the units are points: their shingles are hashed into `GROUPS` groups, whose counts are the coordinates. An R-tree
    over the points holds the highest coordinates of each node. Summed coordinate minima bound the overlap from above, so a node
-   or a point whose bound is too low for a link is left out; so is a node of the asking unit's own component.
+   or a point whose bound is too low for a link is left out; so is a node of the asking unit's own component. What follows the
+   group's shingle in a unit's order bounds the overlap too, in the group of the first shingle that two units share.
 3. Surviving pairs are verified on the shingle sets.
 
 The tree is asked twice. First the `SEEDS` units lowest in hash ask in each group; what they link to becomes components. Then
@@ -35,7 +36,7 @@ from gleanery.llm import words as W
 from gleanery.llm.components import connected
 from gleanery.llm.frames import checkpointed, schema_with, shuffle_partitions
 
-SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 128, 16, 8, 4096
+SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 64, 16, 8, 4096
 KEY_BITS = 40
 
 
@@ -112,8 +113,18 @@ def _count(payloads: list[bytes]) -> list[bytes | None]:
     return out
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def unpack_counts(packed: list[bytes]) -> np.ndarray:
+    if all(len(x) == 2 * GROUPS for x in packed):
+        return np.frombuffer(b"".join(packed), np.uint16).reshape(len(packed), GROUPS).astype(np.int64)
+    return np.array([np.frombuffer(x, np.uint16 if len(x) == 2 * GROUPS else np.uint32) for x in packed], np.int64).reshape(len(packed), GROUPS)
+
+
 def _signatures(table: pa.Table, answers: list[tuple[int, bytes]], buckets: int) -> pa.Table:
-    """Each unit's size, its shared prefix shingles with their counts, and, if it has any, its counts by group and its shingles."""
+    """Each unit's size, its shared prefix shingles with their counts and what follows them, and, if it has any, its counts by group and its shingles."""
     u = Units(table)
     at = u.bounds(buckets)
     df = np.ones(len(u.keys), np.int64)
@@ -125,16 +136,17 @@ def _signatures(table: pa.Table, answers: list[tuple[int, bytes]], buckets: int)
     first = np.cumsum(u.size) - u.size
     place = np.arange(len(order)) - first[u.owner[order]]
     prefix = u.size - (3 * u.size + 3) // 4 + 1
-    keep = order[(place < prefix[u.owner[order]]) & (own_df[order] > 1)]
+    chosen = (place < prefix[u.owner[order]]) & (own_df[order] > 1)
+    keep, kept_at = order[chosen], place[chosen]
     n_keep = np.bincount(u.owner[keep], minlength=len(u.units))
     off = pa.array(np.concatenate([[0], np.cumsum(n_keep)]), pa.int32())
-    tokens = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([pa.array(u.gram[keep].view(np.int64)), pa.array(own_df[keep].astype(np.int32))], ["token", "df"]))
+    tokens = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([pa.array(u.gram[keep].view(np.int64)), pa.array(own_df[keep].astype(np.int32)), pa.array((u.size[u.owner[keep]] - kept_at).astype(np.int32))], ["token", "df", "rest"]))
     some = np.flatnonzero(n_keep)
     vectors: list[bytes | None] = [None] * len(u.units)
     sets: list[bytes | None] = [None] * len(u.units)
     for k in some.tolist():
         g = u.gram[first[k] : first[k] + u.size[k]]
-        vectors[k] = np.bincount((g % W.U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
+        vectors[k] = pack_counts(np.bincount((g % W.U(GROUPS)).astype(np.int64), minlength=GROUPS))
         sets[k] = g.tobytes()
     return pa.table({"unit": pa.array(u.units, pa.string()), "n": pa.array(u.size, pa.int64()), "tokens": tokens, "vector": pa.array(vectors, pa.binary()), "grams": pa.array(sets, pa.binary())})
 
@@ -157,7 +169,7 @@ def signatures(docs: DataFrame, unit: str = "unit", text: str = "text", buckets:
     slim = docs.select(F.col(unit).alias("unit"), F.col(text).alias("text"))
     rows = X.chunked(slim.mapInArrow(first_of_task, "unit string, text string"), ["unit"])
     answers = X.answer(X.ask(rows, lambda t: Units(t).questions(buckets)), _count)
-    schema = "unit string, n long, tokens array<struct<token:long,df:int>>, vector binary, grams binary"
+    schema = "unit string, n long, tokens array<struct<token:long,df:int,rest:int>>, vector binary, grams binary"
     return X.apply(rows, answers, lambda t, a: _signatures(t, a, buckets), schema)
 
 
@@ -165,22 +177,23 @@ def signatures(docs: DataFrame, unit: str = "unit", text: str = "text", buckets:
 
 
 class Tree:
-    """An R-tree over count vectors, packed in the given order: nodes hold highest coordinates, sizes and a component."""
+    """An R-tree over count vectors, packed in the given order: nodes hold highest coordinates, sizes, most of what follows and a component."""
 
-    def __init__(self, vectors: np.ndarray, size: np.ndarray, component: np.ndarray):
-        self.levels = [(vectors, size, size, component)]
+    def __init__(self, vectors: np.ndarray, size: np.ndarray, rest: np.ndarray, component: np.ndarray):
+        self.levels = [(vectors, size, size, rest, component)]
         while len(self.levels[-1][0]) > FANOUT:
-            v, lo, hi, c = self.levels[-1]
+            v, lo, hi, r, c = self.levels[-1]
             at = np.arange(0, len(v), FANOUT)
             one = np.minimum.reduceat(c, at) == np.maximum.reduceat(c, at)
-            self.levels.append((np.maximum.reduceat(v, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.where(one, c[at], -1)))
+            self.levels.append((np.maximum.reduceat(v, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(r, at), np.where(one, c[at], -1)))
 
-    def search(self, vector: np.ndarray, size: int, component: int) -> np.ndarray:
-        """Points of other components whose bound allows a link."""
+    def search(self, vector: np.ndarray, size: int, rest: int, component: int) -> np.ndarray:
+        """Points of other components whose bounds allow a link."""
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            v, lo, hi, c = self.levels[depth]
+            v, lo, hi, r, c = self.levels[depth]
             nodes = nodes[(c[nodes] != component) & (4 * hi[nodes] >= 3 * size) & (3 * lo[nodes] <= 4 * size)]
+            nodes = nodes[linked(np.minimum(r[nodes], rest), size, lo[nodes])]
             # the overlap is at most the summed minima; a smaller set needs less of it
             most = np.minimum(v[nodes], vector).sum(1)
             nodes = nodes[linked(np.minimum(most, np.minimum(hi[nodes], size)), size, lo[nodes])]
@@ -196,11 +209,11 @@ def _pairs(table: pa.Table, seeds: int) -> pa.Table:
     token, block = table.column("token").to_numpy(), table.column("block").to_numpy()
     unit, comp = table.column("unit").to_pylist(), table.column("component").to_pylist()
     asks = table.column("asks").to_numpy(zero_copy_only=False)
-    size = table.column("n").to_numpy()
-    vector = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint32).reshape(len(unit), GROUPS).astype(np.int64)
+    size, rest = table.column("n").to_numpy(), table.column("rest").to_numpy()
+    vector = unpack_counts(table.column("vector").to_pylist())
     number = {c: k for k, c in enumerate(dict.fromkeys(comp))}
     comp = np.array([number[c] for c in comp], np.int64)
-    order = np.lexsort((size, comp, block, token))
+    order = np.lexsort((rest, size, comp, block, token))
     lead = np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (block[order][1:] != block[order][:-1])])
     at = np.append(np.flatnonzero(lead), len(order))
     found: set[tuple[str, str]] = set()
@@ -211,9 +224,9 @@ def _pairs(table: pa.Table, seeds: int) -> pa.Table:
             asking = sorted(rows, key=unit.__getitem__)[:seeds]
         if not len(held) or not len(asking):
             continue
-        tree = Tree(vector[held], size[held], comp[held])
+        tree = Tree(vector[held], size[held], rest[held], comp[held])
         for q in asking:
-            for k in held[tree.search(vector[q], size[q], comp[q])]:
+            for k in held[tree.search(vector[q], size[q], rest[q], comp[q])]:
                 found.add((unit[q], unit[k]) if unit[q] < unit[k] else (unit[k], unit[q]))
     a, b = [x for x, _ in found], [x for _, x in found]
     return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
@@ -255,7 +268,7 @@ def verify(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def links(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) between units, enough of them to make the components of all links."""
-    rows = sigs.where(F.size("tokens") > 0).select("unit", "n", "vector", F.explode("tokens").alias("t")).select("unit", "n", "vector", "t.token", "t.df")
+    rows = sigs.where(F.size("tokens") > 0).select("unit", "n", "vector", F.explode("tokens").alias("t")).select("unit", "n", "vector", "t.token", "t.df", "t.rest")
     blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
     # first round: some ask for all; large groups are cut in two different ways, so that their blocks overlap

@@ -95,11 +95,12 @@ def test_tree_finds_all_that_pass_the_bound():
     v[100:200] = np.maximum(0, v[0] + rng.integers(-1, 2, (100, jaccard.GROUPS)) * (rng.random((100, jaccard.GROUPS)) < 0.1))
     size, comp = v.sum(1), rng.integers(0, 4, 300)
     order = np.lexsort((size, comp))
-    tree = jaccard.Tree(v[order], size[order], comp[order])
+    rest = size - rng.integers(0, 30, 300)
+    tree = jaccard.Tree(v[order], size[order], rest[order], comp[order])
     for q in range(0, 300, 7):
-        most = np.minimum(v[order], v[q]).sum(1)
+        most = np.minimum(np.minimum(v[order], v[q]).sum(1), np.minimum(rest[order], rest[q]))
         want = np.flatnonzero((comp[order] != comp[q]) & jaccard.linked(most, size[q], size[order]))
-        assert set(want) == set(tree.search(v[q], size[q], comp[q]))
+        assert set(want) == set(tree.search(v[q], size[q], rest[q], comp[q]))
 
 
 def test_components(spark):
