@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,8 +10,9 @@ from gleanery.functions import texts
 from gleanery.operators import documents as D
 from gleanery.sources.tables import table
 
-#: Section markers of the driver's invented prose: lines of under 40 characters.
-MARKER = F.length("line") < 40
+def _marker() -> Column:
+    """Section markers of the driver's invented prose: lines of under 40 characters."""
+    return F.length("line") < 40
 
 
 def content_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -45,11 +46,11 @@ def kind_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_segments(spark: SparkSession, d: str) -> DataFrame:
-    return D.segments(D.lines(table(spark, d, "documents")), MARKER, "doc_id", "pos").select("doc_id", "pos", "segment")
+    return D.segments(D.lines(table(spark, d, "documents")), _marker(), "doc_id", "pos").select("doc_id", "pos", "segment")
 
 
 def segment_rollup(spark: SparkSession, d: str) -> DataFrame:
-    rows = D.segments(D.lines(table(spark, d, "documents")), MARKER, "doc_id", "pos")
+    rows = D.segments(D.lines(table(spark, d, "documents")), _marker(), "doc_id", "pos")
     return D.segment_summary(rows, "doc_id", "pos", "line")
 
 

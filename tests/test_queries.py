@@ -33,10 +33,10 @@ def duck():
 
 
 def test_all_queries_have_sql():
-    assert set(plans) == set(sql)
+    assert set(plans) - set(sql) == {"diverse_session"}  # test_operators compares it with a loop
 
 
-@pytest.mark.parametrize("name", sorted(plans))
+@pytest.mark.parametrize("name", sorted(sql))
 def test_query(spark, duck, name):
     df = plans[name](spark, FOLDER)
     want = duck.sql(sql[name])
