@@ -12,16 +12,18 @@ are kept, and a result replaces a column of the same name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from gleanery.llm.exchange import expand
 from gleanery.llm.frames import schema_with
 from gleanery.llm.secrets import load_ranks
 
-#: A Python worker remembers the ids of the last so many distinct pre-tokens, and of as many before them (250 bytes each).
-REMEMBERED = 600_000
+#: A Python worker remembers the ids of the last so many distinct pre-tokens, and of as many before them (180 bytes each).
+REMEMBERED = 400_000
 #: Bytes of text in a batch that goes back to Spark.
 OUT = 4 << 20
 
@@ -106,34 +108,41 @@ class Codec:
 
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, i in ranks.items():
-            self.bytes_of[i] = b
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
+            by_id[i] = b
+        # the bytes of all tokens in a row, and where each one's begin
+        self.vocabulary = np.frombuffer(b"".join(by_id), np.uint8)
+        self.length = np.array([len(b) for b in by_id], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        # ids of pre-tokens, as the bytes of 32-bit numbers
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             raw = piece.encode()
             whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else tuple(merge(raw, self.ranks))
+            ids = np.array([whole] if whole is not None else merge(raw, self.ranks), np.int32).tobytes()
         if len(piece) <= 64:
             if len(self.known) >= REMEMBERED:
                 self.known, self.older = {}, self.known
             self.known[piece] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
+        """Token ids of a text."""
         pieces = self.find(text or "")
         coded = list(map(self.known.get, pieces))
         if None in coded:
             slow = self.piece
             coded = [x or slow(p) for x, p in zip(coded, pieces, strict=True)]
-        return list(chain.from_iterable(coded))
+        return np.frombuffer(b"".join(coded), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that token ids stand for."""
+        return self.vocabulary[expand(self.start[ids], self.length[ids])].tobytes()
 
 
 _CODECS: dict[tuple[int, str], Codec] = {}
@@ -181,25 +190,20 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, "")
         for b in batches:
-            out = [None if x is None else codec.decode(x) for x in b.column(at).to_pylist()]
+            out = [None if x is None else codec.decode(np.array(x, np.int64)) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 
 
-def _lists(coded: list[list[int]]) -> pa.Array:
-    """Token ids as an Arrow column, by way of one flat array."""
-    import numpy as np
-
+def _lists(coded: list[np.ndarray]) -> pa.Array:
+    """Token ids as an Arrow column."""
     size = np.cumsum([0, *map(len, coded)])
-    return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.fromiter(chain.from_iterable(coded), np.int32, int(size[-1]))))
+    return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *coded])))
 
 
 def _small(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about OUT bytes of text each."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
     i = 0
     while i < b.num_rows:
