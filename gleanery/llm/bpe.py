@@ -11,6 +11,7 @@ are kept, and a result replaces a column of the same name.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     buckets: dict[int, list[int]] = {}
     low: dict[int, int] = {}
     high = 0
+    live = 0  # pairs that can be merged now: when none is left, all waiting entries are stale
     for i in range(n - 1):
         r = pair[i] = get(piece[i : i + 2], -1)
         if r >= 0:
+            live += 1
             if r in buckets:
                 buckets[r].append(i)
             else:
@@ -49,7 +52,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 k = r >> 8
                 low[k] = low.get(k, 0) | 1 << (r & 255)
                 high |= 1 << k
-    while high:
+    while live:
         k = (high & -high).bit_length() - 1
         word = low[k]
         rank = k << 8 | ((word & -word).bit_length() - 1)
@@ -64,6 +67,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 continue  # stale
             j = after[i]
             after[i] = end = after[j]
+            live -= 1 if pair[j] < 0 else 2
             pair[j] = -1
             p, q = before[i], i  # the pairs that have changed: of the part before and this one, of this one and the next
             if end < n:
@@ -74,6 +78,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             lowest = rank
             while True:
                 if r >= 0:
+                    live += 1
                     if r in buckets:
                         buckets[r].append(q)
                     else:
@@ -86,6 +91,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 if p < 0 or q == p:
                     break
                 q = p
+                if pair[p] >= 0:
+                    live -= 1
                 r = pair[p] = get(piece[p:end], -1)
             if lowest < rank and x + 1 < len(places):  # a lower rank has come up: the rest of this bucket waits
                 buckets[rank] = places[x + 1 :] + buckets.get(rank, [])
@@ -124,7 +131,7 @@ class Codec:
         if ids is None:
             raw = piece.encode()
             whole = self.ranks.get(raw)
-            ids = np.array([whole] if whole is not None else merge(raw, self.ranks), np.int32).tobytes()
+            ids = array("i", [whole] if whole is not None else merge(raw, self.ranks)).tobytes()
         if len(piece) <= 64:
             if len(self.known) >= REMEMBERED:
                 self.known, self.older = {}, self.known
