@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gleanery.llm.frames import shuffle_partitions
+from gleanery.llm.frames import parts_by_size, shuffle_partitions
 
 CHUNK, BUCKET, PAYLOAD = "_chunk", "_bucket", "_payload"
+#: Estimated bytes of input for each chunk and bucket: a task holds one of them in memory at a time.
+PART = 16 << 20
 
 
 def pack(*parts) -> bytes:
@@ -38,9 +40,14 @@ def unpack(b: bytes) -> tuple:
 
 
 def chunked(rows: DataFrame, by: Iterable[Column | str], chunks: int | None = None) -> DataFrame:
-    """`rows` dealt to chunks by a hash of `by`: twice as many chunks as shuffle partitions, unless given."""
-    n = shuffle_partitions(rows)
-    return rows.withColumn(CHUNK, F.pmod(F.xxhash64(*by), F.lit(chunks or 2 * n)).cast("int")).repartition(n, CHUNK)
+    """`rows` dealt to chunks by a hash of `by`."""
+    chunks = chunks or parts(rows)
+    return rows.withColumn(CHUNK, F.pmod(F.xxhash64(*by), F.lit(chunks)).cast("int")).repartition(shuffle_partitions(rows), CHUNK)
+
+
+def parts(rows: DataFrame) -> int:
+    """How many chunks or buckets to use: twice the shuffle partitions, and so many that each has about PART bytes."""
+    return max(2 * shuffle_partitions(rows), parts_by_size(rows, PART))
 
 
 def ask(rows: DataFrame, question: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:

@@ -17,6 +17,12 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_by_size(df: DataFrame, size: int) -> int:
+    """How many parts of `size` bytes Spark's own estimate of `df` makes; 0 where there is no estimate, as for rows from the driver."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return estimate // size if estimate < 1 << 60 else 0
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; where spark.checkpoint.dir is unset, as in tests, a temporary one is made."""
     context = spark.sparkContext

@@ -165,7 +165,7 @@ def signatures(docs: DataFrame, unit: str = "unit", text: str = "text", buckets:
                     new.append(k)
             yield b.take(pa.array(new, pa.int64()))
 
-    buckets = buckets or 2 * shuffle_partitions(docs)
+    buckets = buckets or X.parts(docs)
     slim = docs.select(F.col(unit).alias("unit"), F.col(text).alias("text"))
     rows = X.chunked(slim.mapInArrow(first_of_task, "unit string, text string"), ["unit"])
     answers = X.answer(X.ask(rows, lambda t: Units(t).questions(buckets)), _count)

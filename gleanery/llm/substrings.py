@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import exchange as X
 from gleanery.llm import words as W
-from gleanery.llm.frames import schema_with, shuffle_partitions
+from gleanery.llm.frames import schema_with
 
 WINDOW, SEED = 13, 3
 LAST = (1 << 63) - 1
@@ -179,7 +179,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     """`docs` with n_words, n_removed and kept (the kept words, joined by one space)."""
     docs = docs.drop("n_words", "n_removed", "kept")
     out = schema_with(docs, n_words="long", n_removed="long", kept="string")
-    buckets = buckets or 2 * shuffle_partitions(docs)
+    buckets = buckets or X.parts(docs)
     rows = X.chunked(docs, [F.col(key), F.col(text)])
     questions = X.ask(rows, lambda t: Chunk(t, key, text, buckets, window).questions())
     answers = X.answer(questions, lambda p: _bucket(p, window))
