@@ -19,7 +19,7 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def parts_by_size(df: DataFrame, size: int) -> int:
     """How many parts of `size` bytes Spark's own estimate of `df` makes; 0 where there is no estimate, as for rows from the driver."""
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return estimate // size if estimate < 1 << 60 else 0
 
 
