@@ -36,7 +36,7 @@ from gleanery.llm import words as W
 from gleanery.llm.components import connected
 from gleanery.llm.frames import checkpointed, schema_with, shuffle_partitions
 
-SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 64, 16, 8, 4096
+SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 64, 16, 8, 512
 KEY_BITS = 40
 
 
