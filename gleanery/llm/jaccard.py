@@ -36,7 +36,7 @@ from gleanery.llm import words as W
 from gleanery.llm.components import connected
 from gleanery.llm.frames import checkpointed, schema_with, shuffle_partitions
 
-SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 64, 16, 8, 512
+SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 256, 16, 8, 512
 KEY_BITS = 40
 
 
@@ -114,13 +114,16 @@ def _count(payloads: list[bytes]) -> list[bytes | None]:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+    """Counts in the fewest bytes that hold them all: one, two or four each."""
+    most = int(counts.max())
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
 
 
 def unpack_counts(packed: list[bytes]) -> np.ndarray:
-    if all(len(x) == 2 * GROUPS for x in packed):
-        return np.frombuffer(b"".join(packed), np.uint16).reshape(len(packed), GROUPS).astype(np.int64)
-    return np.array([np.frombuffer(x, np.uint16 if len(x) == 2 * GROUPS else np.uint32) for x in packed], np.int64).reshape(len(packed), GROUPS)
+    if all(len(x) == GROUPS for x in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), GROUPS).astype(np.int32)
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
+    return np.array([np.frombuffer(x, kinds[len(x)]) for x in packed], np.int32).reshape(len(packed), GROUPS)
 
 
 def _signatures(table: pa.Table, answers: list[tuple[int, bytes]], buckets: int) -> pa.Table:
