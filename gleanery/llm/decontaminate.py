@@ -8,7 +8,7 @@ it must fit between the document's first and last word (positional and length bo
 The benchmark side is broadcast in blocks of at most `BLOCK_WORDS` words. A benchmark within the bound is one block; a larger
 one takes one pass for each block, with a checkpoint in between, and the same result.
 
-Defined cases: null and empty texts have no words and no hits; items without words never occur; equal items all count;
+Defined cases: null and empty texts have no words and no hits; items without words never occur; equal items all count; a null item id is the empty string;
 repeated rows are treated alike; empty tables give no hits; other columns are kept, and results replace columns of their names.
 """
 
@@ -150,7 +150,7 @@ def _runs(hit: np.ndarray) -> list[dict[str, int]]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` with n_words, hits (runs of hit words as structs (start, end), end exclusive) and items (ids as strings, sorted)."""
     docs = docs.drop("n_words", "hits", "items")
-    items = benchmark.select(F.col(item_id).cast("string").alias("_item"), F.encode(F.coalesce(F.col(item_text).cast("string"), F.lit("")), "UTF-8").alias("_text"))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("_item"), F.encode(F.coalesce(F.col(item_text).cast("string"), F.lit("")), "UTF-8").alias("_text"))
     letters = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = max(1, -(-letters // (2 * block_words)))  # a word and what follows it take two bytes at least
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "items": F.expr("cast(array() as array<string>)")})

@@ -87,15 +87,15 @@ def brute_hits(text, items):
             for a in range(len(words) - n + 1):
                 if words[a : a + n] == w[k : k + n]:
                     hit |= set(range(a, a + n))
-                    found.add(str(i))
+                    found.add("" if i is None else str(i))
     return len(words), len(hit), sorted(found)
 
 
 @pytest.mark.parametrize("block_words", [1_000_000, 20])
 def test_decontamination_is_brute_force(spark, make_docs, prose, block_words):
-    items = [(1, prose(30, 1)), (2, prose(10, 2)), (3, prose(3, 3)), (4, "ab"), (5, None), (6, ""), (7, prose(30, 1)), (8, prose(11, 8))]
+    items = [(1, prose(30, 1)), (2, prose(10, 2)), (3, prose(3, 3)), (4, "ab"), (5, None), (6, ""), (7, prose(30, 1)), (8, prose(11, 8)), (None, "null id item")]
     first = prose(30, 1).split()
-    texts = [(1, prose(50, 10) + " " + prose(30, 1).upper() + "! " + prose(9, 11)), (2, " ".join(first[3:12])), (3, " ".join(first[3:13])), (4, prose(3, 3)), (5, "ab ab, AB"), (6, prose(11, 8) + prose(11, 8)), *ODD]
+    texts = [(1, prose(50, 10) + " " + prose(30, 1).upper() + "! " + prose(9, 11)), (2, " ".join(first[3:12])), (3, " ".join(first[3:13])), (4, prose(3, 3)), (5, "ab ab, AB"), (6, prose(11, 8) + prose(11, 8)), (7, "a null id item"), *ODD]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = make_docs(texts).selectExpr("*", "'own' as hits", "1 as items")
     for r in by_key(decontaminate.decontaminate(docs, bench, block_words=block_words)):
