@@ -16,17 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from gleanery.llm.exchange import expand
-from gleanery.llm.frames import schema_with
+from gleanery.llm.frames import kept, schema_with, small
 from gleanery.llm.secrets import load_ranks
 
 #: A Python worker remembers the ids of the last so many distinct pre-tokens, and of as many before them (180 bytes each).
 REMEMBERED = 400_000
-#: Bytes of text in a batch that goes back to Spark.
-OUT = 4 << 20
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -152,16 +149,9 @@ class Codec:
         return self.vocabulary[expand(self.start[ids], self.length[ids])].tobytes()
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
-
-
 def _codec(ranks, pattern: str) -> Codec:
     """One codec for each worker and vocabulary, so that what it remembers serves all tasks of the worker."""
-    key = (ranks.id if hasattr(ranks, "id") else id(ranks), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(ranks.value, pattern)
-    return _CODECS[key]
+    return kept((ranks.id if hasattr(ranks, "id") else id(ranks), pattern), lambda: Codec(ranks.value, pattern))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -176,13 +166,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
-        for big in batches:
-            for b in _small(big, at):
-                coded = [codec.encode(t) for t in b.column(at).to_pylist()]
-                cols = [*b.columns, _lists(coded)]
-                if decoded:
-                    cols.append(pa.array([codec.decode(x) for x in coded], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
+        for b in small(batches, at):
+            coded = [codec.encode(t) for t in b.column(at).to_pylist()]
+            cols = [*b.columns, _lists(coded)]
+            if decoded:
+                cols.append(pa.array([codec.decode(x) for x in coded], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 
@@ -207,13 +196,3 @@ def _lists(coded: list[np.ndarray]) -> pa.Array:
     """Token ids as an Arrow column."""
     size = np.cumsum([0, *map(len, coded)])
     return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *coded])))
-
-
-def _small(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about OUT bytes of text each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < b.num_rows:
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + OUT, "right")))
-        yield b.slice(i, j - i)
-        i = j

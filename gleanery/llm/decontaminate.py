@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import words as W
-from gleanery.llm.frames import checkpointed, schema_with
+from gleanery.llm.frames import checkpointed, give_back, schema_with, small
 
 WINDOW = 10
 SHINGLE = 5
@@ -176,9 +176,10 @@ def _one_block(out: DataFrame, docs: DataFrame, block: list, text: str, window:
     runs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         win = ready.value
         table = _seen(win.key)
-        for b in batches:
+        for b in small(batches, at):
             data, off = W.buffers(b.column(at))
             old_hits, old_items = b.column(names.index("hits")), b.column(names.index("items"))
             n_words, hits, items = [], [], []

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gleanery.llm.frames import parts_by_size, shuffle_partitions
+from gleanery.llm.frames import give_back, parts_by_size, shuffle_partitions
 
 CHUNK, BUCKET, PAYLOAD = "_chunk", "_bucket", "_payload"
 #: Estimated bytes of input for each chunk and bucket: a task holds one of them in memory at a time.
@@ -56,6 +56,7 @@ def ask(rows: DataFrame, question: Callable[[pa.Table], Iterator[tuple[int, byte
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column(CHUNK)[0].as_py()
         got = list(question(table))
+        give_back()
         return pa.table({CHUNK: pa.array([chunk] * len(got), pa.int32()), BUCKET: pa.array([b for b, _ in got], pa.int32()), PAYLOAD: pa.array([x for _, x in got], pa.binary())})
 
     return rows.groupBy(CHUNK).applyInArrow(run, f"{CHUNK} int, {BUCKET} int, {PAYLOAD} binary")
@@ -68,6 +69,7 @@ def answer(questions: DataFrame, reply: Callable[[list[bytes]], list[bytes | Non
         table = table.sort_by(CHUNK)
         chunk = table.column(CHUNK).to_pylist()
         got = [(c, x) for c, x in zip(chunk, reply(table.column(PAYLOAD).to_pylist()), strict=True) if x is not None]
+        give_back()
         bucket = table.column(BUCKET)[0].as_py()
         return pa.table({CHUNK: pa.array([c for c, _ in got], pa.int32()), BUCKET: pa.array([bucket] * len(got), pa.int32()), PAYLOAD: pa.array([x for _, x in got], pa.binary())})
 
@@ -78,7 +80,9 @@ def apply(rows: DataFrame, answers: DataFrame, use: Callable[[pa.Table, list[tup
     """What each chunk makes of its rows and the answers to it (bucket, payload)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return use(left, list(zip(right.column(BUCKET).to_pylist(), right.column(PAYLOAD).to_pylist(), strict=True)))
+        out = use(left, list(zip(right.column(BUCKET).to_pylist(), right.column(PAYLOAD).to_pylist(), strict=True)))
+        give_back()
+        return out
 
     return rows.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(run, schema)
 

@@ -1,9 +1,15 @@
-"""Small helpers on DataFrames."""
+"""Small helpers on DataFrames and in their tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -35,3 +41,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read again."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+# in tasks: Python workers outlive them
+
+#: Bytes of text in a batch that goes back to Spark.
+OUT = 4 << 20
+_KEPT: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What `make` returns, kept for the worker's next tasks with the same key; a worker keeps one thing at a time."""
+    if key not in _KEPT:
+        give_back()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Drops what the worker keeps and hands freed memory back to the system."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def small(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about OUT bytes in the column `text` each; a longer text stands alone."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + OUT, "right")))
+            yield b.slice(i, j - i)
+            i = j

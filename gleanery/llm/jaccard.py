@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import exchange as X
 from gleanery.llm import words as W
 from gleanery.llm.components import connected
-from gleanery.llm.frames import checkpointed, schema_with, shuffle_partitions
+from gleanery.llm.frames import checkpointed, give_back, schema_with, shuffle_partitions
 
 SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 256, 16, 8, 512
 KEY_BITS = 40
@@ -159,6 +159,7 @@ def signatures(docs: DataFrame, unit: str = "unit", text: str = "text", buckets:
 
     def first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each unit one text for each task: copies stay where they are."""
+        give_back()
         seen: set[str] = set()
         for b in batches:
             new = []

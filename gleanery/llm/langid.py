@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import words as W
-from gleanery.llm.frames import schema_with
+from gleanery.llm.frames import give_back, schema_with, small
 
 UNKNOWN = "und"
 BITS, WIDTH = 15, 16
@@ -156,8 +156,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         model = shared.value
-        for b in batches:
+        for b in small(batches, at):
             column = b.column(at)
             data, off = W.buffers(column)
             lang, score = [], []
@@ -174,5 +175,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             score = np.array(score, np.float64)
             lost = (score < model.threshold) | (np.array(lang, object) == UNKNOWN)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(lost, pa.bool_())], [f.name for f in schema])
+        give_back()
 
     return docs.mapInArrow(run, schema)

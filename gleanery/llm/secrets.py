@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleanery.llm.frames import schema_with
+from gleanery.llm.frames import give_back, schema_with, small
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -79,12 +79,13 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
+        give_back()
         tokens = tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
 
         def count(run: str) -> int:
             return len(tokens.encode_ordinary(run))
 
-        for b in batches:
+        for b in small(batches, slim):
             out = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t.as_py(), count, loose)] for t in b.column(slim)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], [*b.schema.names, name])
 
