@@ -8,8 +8,8 @@ the pair before; words outside the top stand there as their class, and pairs are
 
 Counts cover all training texts: each chunk asks hash buckets for its distinct words (see `exchange`). Weights are trained by
 distributed gradient updates: in each round every task descends on its own share of the training texts from the common weights, and
-the weighted mean of the tasks' steps is the common step (summed in blocks and in a tree of fan-in `FAN`). Each round draws one token
-in `DRAW` of every text, so what is learnt from grows with the input.
+the weighted mean of the tasks' steps is the common step (summed in blocks and in a tree of fan-in `FAN`). The rounds split the tokens of
+every text by their place: each training token gives a gradient in exactly one round.
 
 Words are told apart by 59 hash bits and their class.
 
@@ -40,7 +40,7 @@ SYMBOLS = TOP + REST_CLASSES + 1
 PAIRS, INNER = 1 << 13, 1 << 13
 ROWS = 1 + 3 * SYMBOLS + PAIRS
 END = W.mix(np.array([7], W.U))[0] & ~W.U(REST_CLASSES - 1)
-ROUNDS, DRAW, BATCH, RATE = 2, 8, 8192, 0.3
+ROUNDS, BATCH, RATE = 2, 8192, 0.3
 BLOCKS, FAN = 64, 64
 #: Tasks that merge the buckets' top words.
 MERGERS = 16
@@ -150,7 +150,7 @@ def _descend(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.nda
 
 
 def learn(m: Model, outer: np.ndarray, inner: np.ndarray, seen: tuple[np.ndarray, np.ndarray], symbol: np.ndarray, first: np.ndarray, drawn: np.ndarray, rate: float = RATE) -> None:
-    """Gradient steps on the drawn tokens, in batches."""
+    """Gradient steps on the tokens `drawn`, in batches."""
     rows, before = contexts(symbol, first)
     rows, before, s = rows[:, drawn], before[drawn], symbol[drawn]
     c = class_of(s)
@@ -297,8 +297,14 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "step": pa.array([step], pa.binary())})
 
 
-def train(docs: DataFrame, m: Model, text: str, rounds: int = ROUNDS, draw: int = DRAW) -> Model:
-    """Rounds of distributed gradient updates over the rows of `docs` that are to be learnt from."""
+def turns(first: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each token is learnt from, by its place in its text."""
+    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return (W.mix(place.astype(W.U)) % W.U(rounds)).astype(np.int64)
+
+
+def train(docs: DataFrame, m: Model, text: str, rounds: int = ROUNDS) -> Model:
+    """Rounds of distributed gradient updates over all tokens of the rows of `docs` that are to be learnt from."""
     rows = docs.where("_learn").select(text)
     context = docs.sparkSession.sparkContext
     for turn in range(rounds):
@@ -315,7 +321,7 @@ def train(docs: DataFrame, m: Model, text: str, rounds: int = ROUNDS, draw: int
                 data, off = W.buffers(b.column(0))
                 for i, j in W.blocks(off):
                     t = Tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                    drawn = np.flatnonzero(rng.random(len(t.keys)) < 1 / draw)
+                    drawn = np.flatnonzero(turns(t.first, rounds) == turn)
                     learn(m, outer, inner, seen, m.symbols(t.keys), t.first, rng.permutation(drawn))
                     n += len(drawn)
             if not n:

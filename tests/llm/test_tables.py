@@ -183,6 +183,17 @@ def test_language_model(spark, make_docs, prose):
     assert all(r["train_tokens"] == 0 for r in lm.score(make_docs(ODD), F.lit(False)).collect())
 
 
+def test_every_training_token_is_learnt_from(spark, make_docs, prose):
+    docs = make_docs([(i, prose(40, i)) for i in range(30)] + ODD).withColumn("_learn", F.col("doc_id").isNotNull())
+    rows = lm.X.chunked(docs, [F.col("doc_id"), F.col("text")])
+    start = lm.vocabulary(lm.count(rows, "text", 3))
+    model = lm.train(docs, start, "text")
+    data, off = W.buffers(lm.pa.array([r["text"] for r in docs.where("_learn").collect()], lm.pa.string()))
+    t = lm.Tokens(data, off)
+    used = np.unique(lm.contexts(start.symbols(t.keys), t.first)[0])
+    assert (model.outer[used] != start.outer[used]).any(1).all()
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(5)
     m = lm.Model()
