@@ -2,8 +2,10 @@
 
 Random strings are incompressible: a byte-pair vocabulary needs far more tokens for them than for words. A candidate run
 of 16 or more key characters is reported when it has fewer than `LOOSE` characters for each token, holds letters and
-digits, and is neither a known digest nor an identifier. Three fixed patterns (assignments, access keys, hex runs) are
-reported beside it.
+digits, and is neither a known digest nor an identifier. Words around a secret do not hide it: what is not reported whole is
+tested by its parts between signs, and by all windows of `LEAST` characters at `STRICT`; a span then goes to the next sign on
+both sides, without plain words at its ends. Parts of letters alone are tested at `STRICT`, their windows at `STRICTER`. Three
+fixed patterns (assignments, access keys, hex runs) are reported beside it.
 
 Defined cases: null and empty texts have no spans; whole texts are scanned at any length; repeated rows are scanned alike;
 an empty table gives an empty table; other columns are kept, and a result replaces a column of the same name.
@@ -33,6 +35,11 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 JOINED = re.compile(r"[A-Za-z]*[0-9]*([/_+-]([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))+")
 #: Characters a token below which a run counts as random. English words have over 4, random base64 under 1.6.
 LOOSE = 2.2
+#: The same for windows and parts of letters alone, and for windows of letters alone, and characters of a window.
+STRICT, STRICTER, LEAST = 1.6, 1.4, 16
+PART = re.compile(r"[^/_+-]+")
+#: Digests and UUIDs that stand between signs: no part of a secret.
+KNOWN = re.compile(rf"(?<![^/_+-])(?:{UUID.pattern}|{'|'.join(f'[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}' for n in DIGESTS)})(?![^/_+=-])")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,6 +57,49 @@ def is_identifier(run: str) -> bool:
     return not letters or not digits or UUID.fullmatch(run) is not None or JOINED.fullmatch(run) is not None
 
 
+def _random(piece: str, count_tokens, loose: float, letters: float) -> bool:
+    """Whether a piece of a run is random by itself; `letters` is the ratio for letters alone."""
+    if piece.isalpha():
+        return len(piece) < letters * count_tokens(piece)
+    return not is_identifier(piece) and len(piece) < loose * count_tokens(piece)
+
+
+def hidden(run: str, count_tokens, loose: float = LOOSE) -> list[tuple[int, int]]:
+    """Spans of a run that are random although the run as a whole is not."""
+    strict, stricter = loose * STRICT / LOOSE, loose * STRICTER / LOOSE
+    out: list[tuple[int, int]] = []
+    known = [m.span() for m in KNOWN.finditer(run)]
+    for low, high in zip([0, *(e for _, e in known)], [*(s for s, _ in known), len(run)], strict=True):
+        parts = [(low + m.start(), low + m.end()) for m in PART.finditer(run[low:high])]
+        found = [k for k, (a, b) in enumerate(parts) if b - a >= LEAST and _random(run[a:b], count_tokens, loose, strict)]
+        spans = [(k, k) for k in found]
+        first, last = 0, 0
+        for i in range(low, high - LEAST + 1):
+            piece = run[i : i + LEAST].strip("/_+-")
+            if piece and _random(piece, count_tokens, strict, stricter):
+                while parts[first][1] <= i:
+                    first += 1
+                last = max(last, first)
+                while last + 1 < len(parts) and parts[last + 1][0] < i + LEAST:
+                    last += 1
+                spans.append((first, last))
+        # spans that share a part are one
+        joined: list[list[int]] = []
+        for a, b in sorted(spans):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        plain = lambda k: k not in found and is_identifier(run[slice(*parts[k])]) and parts[k][1] - parts[k][0] >= loose * count_tokens(run[slice(*parts[k])])
+        for a, b in joined:
+            while a < b and plain(a):
+                a += 1
+            while a < b and plain(b):
+                b -= 1
+            out.append((parts[a][0], parts[b][1]))
+    return out
+
+
 def scan(text: str | None, count_tokens, loose: float = LOOSE) -> list[tuple[int, int, int]]:
     """Spans of a whole text as (start, kind as its place in KINDS, end), sorted; code points, end exclusive."""
     if not text:
@@ -61,6 +111,8 @@ def scan(text: str | None, count_tokens, loose: float = LOOSE) -> list[tuple[int
         run = m[0]
         if not is_identifier(run) and len(run) < loose * count_tokens(run):
             found.append((m.start(), 3, m.end()))
+        else:
+            found += [(m.start() + a, 3, m.start() + b) for a, b in hidden(run, count_tokens, loose)]
     return sorted(found)
 
 

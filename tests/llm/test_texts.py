@@ -77,6 +77,25 @@ def test_secrets(spark, make_docs):
     assert clean[5] == "key [SECRET] end" and clean[1] == "token = short [SECRET]" and clean[90] is None
 
 
+def test_words_and_letters_do_not_hide_secrets():
+    tokens = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=secrets.load_ranks(ENGLISH), special_tokens={})
+    found = lambda t: [t[s:e] for s, k, e in secrets.scan(t, lambda r: len(tokens.encode_ordinary(r))) if k == 3]
+    key, split, letters = "aB3xZ9qLm2Pw8RtY5vK1", "aB3xZ9qL/m2Pw8R+tY5vK1z", "qXvBzKwJpRtGhYmNcDfL"
+    for before in ("/services/internal/production/notifications/channel/", "application-settings-production-database-connection-"):
+        for after in ("", "/configuration/production/environment/variables"):
+            for secret in (key, letters):
+                assert found(f"at {before}{secret}{after} end") == [secret]
+            (span,) = found(f"at {before}{split}{after} end")
+            assert split in span
+    assert found(letters) == [letters]
+    glued = "internationalproductionconfigurationenvironment" + key
+    assert found(glued) == [glued]
+    digest, uuid = "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000"
+    words = "/services/internal/production/notifications/channel/configuration/environment/variables/administration/"
+    for plain in (f"{words}{digest}", f"{words}{uuid}", f"{words}k8s-production-cluster", "internationalization", "Donaudampfschifffahrtsgesellschaft", digest, uuid):
+        assert found(plain) == [], plain
+
+
 def brute_hits(text, items):
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     words, hit, found = low(text), set(), set()
