@@ -25,11 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class of near-copies: the one of the smallest doc_id. Rows in no class all stay."""
-    found = jaccard.classes(docs)
+    found = jaccard.classes(docs, name="_class")
     kept = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    # rows that repeat a doc_id and a text are copies too
+    # rows of one class that repeat its doc_id are copies too; a doc_id that repeats with other texts is in several classes
     lone = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
-    once = kept.where(~lone).groupBy("doc_id").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("_row")).select("doc_id", "_row.*")
+    once = kept.where(~lone).groupBy("_class").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
     return kept.where(lone).select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 

@@ -291,10 +291,14 @@ def links(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataFrame:
     return first.unionByName(second)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with n_shingles and component_id, the smallest key reachable by links."""
-    docs = docs.drop("n_shingles", "component_id")
-    out = schema_with(docs, n_shingles="long", component_id=docs.schema[key].dataType.simpleString()).fieldNames()
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str | None = None) -> DataFrame:
+    """`docs` with n_shingles and component_id, the smallest key reachable by links; in `name`, if given, an id of the class.
+
+    Classes that share a smallest key, as where a key repeats with other texts, differ in `name`.
+    """
+    more = {name: "string"} if name else {}
+    docs = docs.drop("n_shingles", "component_id", *more)
+    out = schema_with(docs, n_shingles="long", component_id=docs.schema[key].dataType.simpleString(), **more).fieldNames()
     members = docs.withColumn("_unit", F.md5(F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))))
     sigs = checkpointed(signatures(members, "_unit", text))
     comps = connected(links(sigs))
@@ -302,7 +306,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     units = sigs.select(F.col("unit").alias("_unit"), F.col("n").alias("n_shingles")).join(comps.select(F.col("node").alias("_unit"), "component"), "_unit", "left").join(least, "_unit")
     units = checkpointed(units.select("_unit", "n_shingles", F.coalesce("component", "_unit").alias("_class"), "_least"))
     smallest = checkpointed(units.groupBy("_class").agg(F.min("_least").alias("component_id")))
-    known = checkpointed(units.join(smallest, "_class").select("_unit", "n_shingles", "component_id"))
+    known = checkpointed(units.join(smallest, "_class").select("_unit", "n_shingles", "component_id", *[F.col("_class").alias(c) for c in more]))
     found = members.join(known, "_unit")
     # a text without shingles is linked with nothing, copies included
     return found.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id"))).select(*out)

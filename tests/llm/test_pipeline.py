@@ -65,6 +65,13 @@ def test_pipeline(spark, folder):
     assert 301 not in {r["doc_id"] for r in got}
 
 
+def test_near_copies_keep_a_row_of_each_class(spark, prose, make_docs):
+    one, two, three = prose(40, 1), prose(40, 2), prose(40, 3)
+    texts = [(7, one), (7, two), (7, two), (8, one), (9, three), (9, three), (9, three + " end"), (None, prose(40, 4))]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.near_copies(spark, make_docs(texts), "").collect())
+    assert got == sorted([("7", one), ("7", two), ("9", three), ("None", texts[-1][1])])
+
+
 def test_stages_return_documents(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
