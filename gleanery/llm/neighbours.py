@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector is scaled to unit length and turned by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform); its cell
-in a table is the nearest signed axis. There are `TABLES` tables. A query probes in each the `PROBES` cells whose axes are nearest to
-it (more in small tables, so that at least about `LEAST` vectors come up), and what lies there is ranked by the exact inner product of
-the original vectors in double precision. Vectors of one number of components are searched among themselves.
+in a table is the nearest signed axis, of the first `AXES` at most. There are `TABLES` tables. A query probes in each the `PROBES` cells
+whose axes are nearest to it (more where there are few vectors of its number of components, so that at least about `LEAST` come up), and
+what lies there is ranked by the exact inner product of the original vectors in double precision. A query that has found too few that way
+is then ranked against all vectors. Vectors of one number of components are searched among themselves; where their lengths differ, the
+longest share `LONG` of them, whose inner products can be large in any direction, is ranked for every query.
 
 Only the best few of a cell leave it, so pairs are never written out. Cells of over `BLOCK` vectors are cut into blocks, and queries go
 to all blocks of a cell. Equal vectors travel as one, with the few smallest ids that can be wanted.
@@ -23,8 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
+from gleanery.llm.frames import checkpointed
+
 NEAREST = 20
-TABLES, PROBES, LEAST, BLOCK = 8, 12, 256, 4096
+TABLES, PROBES, LEAST, BLOCK, AXES = 8, 12, 256, 4096, 64
+#: Lengths count as equal up to this ratio, and bytes of hashed rows that are handed on at once.
+EVEN, BATCH = 1.01, 1 << 24
+#: Share of the vectors that counts as the longest.
+LONG = 1 / 16
 SEED = 20
 
 
@@ -47,17 +55,22 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
 
 def cells(x: np.ndarray, table: int, probes: int = 1) -> np.ndarray:
     """The `probes` nearest signed axes of each vector, nearest first: 2 * axis, and one more for its negative end."""
-    y = rotate(x / np.linalg.norm(x, axis=1, keepdims=True), table)
+    y = rotate(x / np.linalg.norm(x, axis=1, keepdims=True), table)[:, :AXES]
     both = np.stack([y, -y], axis=2).reshape(len(y), -1)
     if probes == 1:
         return both.argmax(1)[:, None]
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
+def axes(size: int) -> int:
+    """Axes of the cells of vectors of `size` components."""
+    return min(AXES, 1 << max(1, (size - 1).bit_length()))
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, raw, size) of the vectors that take part; raw has the components as doubles."""
+    """Rows (id, raw, size, length) of the vectors that take part; raw has the components as doubles."""
     for b in batches:
-        ids, raw, size = [], [], []
+        ids, raw, size, length = [], [], [], []
         for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if i is None or not v or None in v:
                 continue
@@ -66,21 +79,26 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(i)
                 raw.append(x.tobytes())
                 size.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(size, pa.int32())], ["id", "raw", "size"])
+                length.append(float(np.linalg.norm(x)))
+        columns = [pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(size, pa.int32()), pa.array(length, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "raw", "size", "length"])
 
 
-def _hashed(df: DataFrame, probes: int, carry: str, kind: str) -> DataFrame:
-    """A row (size, spot, raw, carry) for each table and probed cell. spot: table and cell."""
+def _hashed(df: DataFrame, probes: dict[int, int], carry: str, kind: str) -> DataFrame:
+    """A row (size, spot, raw, carry) for each table and probed cell. spot: table and cell. Sizes without `probes` give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column(1).to_numpy()
             for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                part = b.take(pa.array(rows))
-                x = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float64).reshape(len(rows), size)
-                for t in range(TABLES):
-                    spot = cells(x, t, probes)
+                n = probes.get(int(size), 0)
+                every = np.flatnonzero(sizes == size) if n else []
+                step = max(1, BATCH // (8 * int(size) * max(n, 1)))
+                for i, t in ((i, t) for i in range(0, len(every), step) for t in range(TABLES)):
+                    rows = every[i : i + step]
+                    part = b.take(pa.array(rows))
+                    x = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float64).reshape(len(rows), size)
+                    spot = cells(x, t, n)
                     again = part.take(pa.array(np.repeat(np.arange(len(rows)), spot.shape[1])))
                     yield pa.RecordBatch.from_arrays([*again.columns, pa.array((spot.ravel() * TABLES + t).astype(np.int64))], ["raw", "size", carry, "spot"])
 
@@ -111,23 +129,49 @@ def _rank(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, key: str = "vec_id", vector: str = "embedding", probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest rows of `vectors` found for each row of `queries`, other than its own id."""
-    clean = lambda df: df.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(_clean, "id long, raw binary, size int").distinct()
+    clean = lambda df: df.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(_clean, "id long, raw binary, size int, length double").distinct()
     every = clean(vectors)
     # of equal vectors the k + 1 smallest ids are all that can be wanted
     first = every.withColumn("_r", F.row_number().over(Win.partitionBy("raw").orderBy("id"))).where(F.col("_r") <= k + 1)
-    unique = first.groupBy("raw", "size").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    points = _hashed(unique, 1, "ids", "array<long>")
-    # how many vectors there are of each size, and in each cell: at most TABLES x 2 x size rows, so they are broadcast
+    unique = first.groupBy("raw", "size").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("length").alias("length"))
+    # a row for each number of components
+    sizes = unique.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("low"), F.max("length").alias("high"), F.percentile_approx("length", 1 - LONG).alias("long")).collect()
+    uneven = {r["size"]: r["long"] for r in sizes if EVEN * r["low"] < r["high"]}
+    width = {r["size"]: 2 * axes(r["size"]) for r in sizes}
+    some = {r["size"]: min(width[r["size"]], max(probes, -(-width[r["size"]] * LEAST // r["n"]))) for r in sizes}
+    points = _hashed(unique, dict.fromkeys(some, 1), "ids", "array<long>")
+    # how many vectors there are in each cell: at most TABLES x 2 x AXES rows a size, so they are broadcast
     held = points.groupBy("size", "spot").count().withColumn("blocks", F.ceil(F.col("count") / F.lit(block)).cast("int"))
     held = F.broadcast(held.select("size", "spot", "blocks"))
-    total = unique.count()
-    width = 128
-    some = max(probes, -(-width * LEAST // max(total, 1)))
-    asked = _hashed(clean(queries).select("raw", "size", F.col("id").alias("query_id")), some, "query_id", "long")
-    points = points.join(held, ["size", "spot"]).withColumn("block", F.pmod(F.xxhash64("raw"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = asked.join(held, ["size", "spot"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    by = ["size", "spot", "block"]
-    found = points.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(lambda p, q: _rank(p, q, k), "query_id long, vec_id long, score double")
+    wanted = clean(queries).select("raw", "size", F.col("id").alias("query_id"))
+    asked = _hashed(wanted, some, "query_id", "long").join(held, ["size", "spot"])
+    top = checkpointed(_best(_found(points.join(held, ["size", "spot"]), asked, ["size", "spot"], k), k))
+    # queries that have found too few where not all was probed: ranked against all vectors of their size
+    partly = [r["size"] for r in sizes if some[r["size"]] < width[r["size"]]]
+    enough = top.where(F.col("rank") == k).select("query_id")
+    short = wanted.where(F.col("size").isin(partly)).join(enough, "query_id", "left_anti")
+    count = F.broadcast(unique.groupBy("size").count().select("size", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("blocks")))
+    whole = lambda points, asked: _found(points.select("raw", "size", "ids").join(count, "size"), asked.join(count, "size"), ["size"], k)
+    if partly and not short.isEmpty():
+        ids = short.select("query_id").distinct()
+        top = top.join(ids, "query_id", "left_anti").unionByName(_best(whole(unique, wanted.join(ids, "query_id")), k))
+    if uneven:
+        least = F.create_map(*[F.lit(x) for pair in uneven.items() for x in pair])
+        long = whole(unique.where(F.col("length") >= least[F.col("size")]), wanted.where(F.col("size").isin(list(uneven))))
+        top = _best(top.select("query_id", "vec_id", "score").unionByName(long), k)
+    return top
+
+
+def _found(points: DataFrame, asked: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Rows (query_id, vec_id, score): the k best of each block of the points that share `by` with a query; `blocks` of each group."""
+    points = points.withColumn("block", F.pmod(F.xxhash64("raw"), F.col("blocks")).cast("int")).drop("blocks")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    by = [*by, "block"]
+    return points.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(lambda p, q: _rank(p, q, k), "query_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score) of the k best of each query."""
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Win.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -161,6 +161,29 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_far_from_all_clusters_of_other_sizes_and_lengths(spark):
+    rng = np.random.default_rng(4)
+    cluster = np.eye(64)[0] + 0.001 * rng.normal(size=(3000, 64))
+    far = -np.eye(64)[0] + 0.3 * rng.normal(size=(4, 64))
+    few = rng.normal(size=(30, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate([*cluster, *far, *few])]
+    asked = rows[3000:]
+    schema = "vec_id long, embedding array<double>"
+    got = neighbours.nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema)).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute_nearest(rows[3000:3004] + rows[:3000], 20) | brute_nearest(rows[3004:], 20)
+    assert all(sorted(found[i]) == sorted(want[i]) for i, _ in asked)
+    long = rng.normal(size=(6000, 48)) * np.exp(rng.normal(size=(6000, 1)) * 0.7)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(long)], schema)
+    got = neighbours.nearest(df, df.where("vec_id < 100")).collect()
+    exact = long[:100] @ long.T
+    exact[np.arange(100), np.arange(100)] = -np.inf
+    best = np.argsort(-exact, axis=1)[:, :20]
+    assert sum(r["vec_id"] in best[r["query_id"]] for r in got) / 2000 >= 0.9
+
+
 def test_language_model(spark, make_docs, prose):
     texts = [(i, prose(80, i)) for i in range(60)] + ODD
     docs = make_docs(texts).selectExpr("*", "0 as score", "1 as n_known")
