@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import words as W
-from gleanery.llm.frames import checkpointed, give_back, schema_with, small
+from gleanery.llm.frames import give_back, schema_with, small, stored
 
 WINDOW = 10
 SHINGLE = 5
@@ -158,7 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         block = items.where(F.pmod(F.xxhash64("_item"), F.lit(n)) == k).collect()  # at most about block_words words
         out = _one_block(out, docs, block, text, window)
         if n > 1:
-            out = checkpointed(out)
+            out = stored(out)
     return out
 
 

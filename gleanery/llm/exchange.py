@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gleanery.llm.frames import give_back, parts_by_size, shuffle_partitions
+from gleanery.llm.frames import give_back, shuffle_partitions, text_bytes
 
 CHUNK, BUCKET, PAYLOAD = "_chunk", "_bucket", "_payload"
-#: Estimated bytes of input for each chunk and bucket: a task holds one of them in memory at a time.
+#: Bytes of text for each chunk and bucket: a task holds one of them in memory at a time.
 PART = 16 << 20
 
 
@@ -39,15 +39,14 @@ def unpack(b: bytes) -> tuple:
     return pickle.loads(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True))
 
 
-def chunked(rows: DataFrame, by: Iterable[Column | str], chunks: int | None = None) -> DataFrame:
+def chunked(rows: DataFrame, by: Iterable[Column | str], chunks: int) -> DataFrame:
     """`rows` dealt to chunks by a hash of `by`."""
-    chunks = chunks or parts(rows)
     return rows.withColumn(CHUNK, F.pmod(F.xxhash64(*by), F.lit(chunks)).cast("int")).repartition(shuffle_partitions(rows), CHUNK)
 
 
-def parts(rows: DataFrame) -> int:
-    """How many chunks or buckets to use: twice the shuffle partitions, and so many that each has about PART bytes."""
-    return max(2 * shuffle_partitions(rows), parts_by_size(rows, PART))
+def parts(rows: DataFrame, text: str) -> int:
+    """How many chunks or buckets to use: twice the shuffle partitions, and so many that each has about PART bytes of text."""
+    return max(2 * shuffle_partitions(rows), text_bytes(rows, text) // PART)
 
 
 def ask(rows: DataFrame, question: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:

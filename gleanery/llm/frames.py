@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 
@@ -23,24 +25,38 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parts_by_size(df: DataFrame, size: int) -> int:
-    """How many parts of `size` bytes Spark's own estimate of `df` makes; 0 where there is no estimate, as for rows from the driver."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return estimate // size if estimate < 1 << 60 else 0
+def text_bytes(df: DataFrame, *columns: str) -> int:
+    """Bytes in the given text or binary columns, by a scan of these columns alone: Spark's own estimates multiply at joins."""
+    size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") for c in columns), F.lit(0).cast("long"))
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where spark.checkpoint.dir is unset, as in tests, a temporary one is made."""
+    """The session's checkpoint folder; a local session where spark.checkpoint.dir is unset, as in tests, gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder and read again."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder as Parquet and read again: its lineage ends there, and Spark knows its size."""
+    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` has written and nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # in tasks: Python workers outlive them

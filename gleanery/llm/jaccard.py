@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from gleanery.llm import exchange as X
 from gleanery.llm import words as W
 from gleanery.llm.components import connected
-from gleanery.llm.frames import checkpointed, give_back, schema_with, shuffle_partitions
+from gleanery.llm.frames import discard, give_back, schema_with, shuffle_partitions, stored
 
-SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 256, 16, 8, 512
+SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 256, 16, 8, 256
 KEY_BITS = 40
 
 
@@ -84,7 +84,7 @@ class Units:
             if len(keys):
                 gap = np.diff(keys)
                 wide = np.uint64 if len(gap) and gap.max() >= 1 << 32 else np.uint32
-                planes = gap.astype(wide).view(np.uint8).reshape(len(gap), -1).T.copy()
+                planes = gap.astype(wide).view(np.uint8).reshape(-1, np.dtype(wide).itemsize).T.copy()
                 many = np.flatnonzero(n > 1).astype(np.uint32)
                 yield k, X.pack(int(keys[0]), np.dtype(wide).itemsize, planes, many, n[many].astype(np.uint32))
 
@@ -169,9 +169,9 @@ def signatures(docs: DataFrame, unit: str = "unit", text: str = "text", buckets:
                     new.append(k)
             yield b.take(pa.array(new, pa.int64()))
 
-    buckets = buckets or X.parts(docs)
+    buckets = buckets or X.parts(docs, text)
     slim = docs.select(F.col(unit).alias("unit"), F.col(text).alias("text"))
-    rows = X.chunked(slim.mapInArrow(first_of_task, "unit string, text string"), ["unit"])
+    rows = X.chunked(slim.mapInArrow(first_of_task, "unit string, text string"), ["unit"], buckets)
     answers = X.answer(X.ask(rows, lambda t: Units(t).questions(buckets)), _count)
     schema = "unit string, n long, tokens array<struct<token:long,df:int,rest:int>>, vector binary, grams binary"
     return X.apply(rows, answers, lambda t, a: _signatures(t, a, buckets), schema)
@@ -180,10 +180,33 @@ def signatures(docs: DataFrame, unit: str = "unit", text: str = "text", buckets:
 # 2. the tree
 
 
+def packed(vectors: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """An order in which like vectors share a node: halves by the coordinate that varies most, down to single nodes.
+
+    A component of over FANOUT points has nodes of its own, which its points need not visit.
+    """
+    _, which, size = np.unique(component, return_inverse=True, return_counts=True)
+    pool = np.where(size[which] > FANOUT, which, -1)
+    out: list[np.ndarray] = []
+    for p in np.unique(pool):
+        left = [np.flatnonzero(pool == p)]
+        while left:
+            rows = left.pop()
+            if len(rows) <= FANOUT:
+                out.append(rows)
+                continue
+            x = vectors[rows].astype(np.float32)
+            half = -(-len(rows) // (2 * FANOUT)) * FANOUT
+            order = np.argsort(x[:, x.var(0).argmax()], kind="stable")
+            left += [rows[order[half:]], rows[order[:half]]]
+    return np.concatenate(out)
+
+
 class Tree:
     """An R-tree over count vectors, packed in the given order: nodes hold highest coordinates, sizes, most of what follows and a component."""
 
     def __init__(self, vectors: np.ndarray, size: np.ndarray, rest: np.ndarray, component: np.ndarray):
+        self.visited = 0  # nodes and points whose minima have been summed
         self.levels = [(vectors, size, size, rest, component)]
         while len(self.levels[-1][0]) > FANOUT:
             v, lo, hi, r, c = self.levels[-1]
@@ -198,6 +221,7 @@ class Tree:
             v, lo, hi, r, c = self.levels[depth]
             nodes = nodes[(c[nodes] != component) & (4 * hi[nodes] >= 3 * size) & (3 * lo[nodes] <= 4 * size)]
             nodes = nodes[linked(np.minimum(r[nodes], rest), size, lo[nodes])]
+            self.visited += len(nodes)
             # the overlap is at most the summed minima; a smaller set needs less of it
             most = np.minimum(v[nodes], vector).sum(1)
             nodes = nodes[linked(np.minimum(most, np.minimum(hi[nodes], size)), size, lo[nodes])]
@@ -217,7 +241,7 @@ def _pairs(table: pa.Table, seeds: int) -> pa.Table:
     vector = unpack_counts(table.column("vector").to_pylist())
     number = {c: k for k, c in enumerate(dict.fromkeys(comp))}
     comp = np.array([number[c] for c in comp], np.int64)
-    order = np.lexsort((rest, size, comp, block, token))
+    order = np.lexsort((comp, block, token))
     lead = np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (block[order][1:] != block[order][:-1])])
     at = np.append(np.flatnonzero(lead), len(order))
     found: set[tuple[str, str]] = set()
@@ -228,6 +252,7 @@ def _pairs(table: pa.Table, seeds: int) -> pa.Table:
             asking = sorted(rows, key=unit.__getitem__)[:seeds]
         if not len(held) or not len(asking):
             continue
+        held = held[packed(vector[held], comp[held])]
         tree = Tree(vector[held], size[held], rest[held], comp[held])
         for q in asking:
             for k in held[tree.search(vector[q], size[q], rest[q], comp[q])]:
@@ -270,25 +295,32 @@ def verify(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.groupBy("_part").cogroup(sets.groupBy("_need")).applyInArrow(_verify, "a string, b string")
 
 
-def links(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) between units, enough of them to make the components of all links."""
+def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataFrame:
+    """Rows (node, component) of all units that have a link."""
     rows = sigs.where(F.size("tokens") > 0).select("unit", "n", "vector", F.explode("tokens").alias("t")).select("unit", "n", "vector", "t.token", "t.df", "t.rest")
     blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
     # first round: some ask for all; large groups are cut in two different ways, so that their blocks overlap
     other = rows.where("blocks > 1").withColumn("block", (-1 - F.pmod(F.xxhash64("unit", F.lit(1)), F.col("blocks"))).cast("int"))
     every = rows.unionByName(other)
-    first = checkpointed(verify(checkpointed(_search(every.withColumns({"asks": F.lit(False), "component": F.col("unit")}), seeds)), sigs))
-    classes = connected(first)
+    pairs = stored(_search(every.withColumns({"asks": F.lit(False), "component": F.col("unit")}), seeds))
+    first = connected(verify(pairs, sigs))
     # second round: of each group, all but the largest component ask
-    now = checkpointed(rows.join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
+    now = stored(rows.join(first.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
     sizes = now.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("n_comp"))
-    mixed = checkpointed(sizes.where("n_comp > 1").select("token", "main"))
-    some = now.join(mixed, "token")
+    some = now.join(sizes.where("n_comp > 1").select("token", "main"), "token")
     held = some.withColumn("asks", F.lit(False))
     asking = some.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    second = checkpointed(verify(checkpointed(_search(held.unionByName(asking))), sigs))
-    return first.unionByName(second)
+    late = stored(_search(held.unionByName(asking)))
+    # what the second round links are components of the first and units that had no link
+    known = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    found = verify(late, sigs).join(known("a"), "a", "left").join(known("b"), "b", "left")
+    second = connected(found.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    moved = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    alone = second.join(first, "node", "left_anti")
+    out = stored(moved.unionByName(alone.select("node", "component")))
+    discard(pairs, now, late)
+    return out
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str | None = None) -> DataFrame:
@@ -300,13 +332,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str
     docs = docs.drop("n_shingles", "component_id", *more)
     out = schema_with(docs, n_shingles="long", component_id=docs.schema[key].dataType.simpleString(), **more).fieldNames()
     members = docs.withColumn("_unit", F.md5(F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))))
-    sigs = checkpointed(signatures(members, "_unit", text))
-    comps = connected(links(sigs))
+    sigs = stored(signatures(members, "_unit", text))
+    comps = components(sigs)
     least = members.groupBy("_unit").agg(F.min(key).alias("_least"))
     units = sigs.select(F.col("unit").alias("_unit"), F.col("n").alias("n_shingles")).join(comps.select(F.col("node").alias("_unit"), "component"), "_unit", "left").join(least, "_unit")
-    units = checkpointed(units.select("_unit", "n_shingles", F.coalesce("component", "_unit").alias("_class"), "_least"))
-    smallest = checkpointed(units.groupBy("_class").agg(F.min("_least").alias("component_id")))
-    known = checkpointed(units.join(smallest, "_class").select("_unit", "n_shingles", "component_id", *[F.col("_class").alias(c) for c in more]))
+    units = stored(units.select("_unit", "n_shingles", F.coalesce("component", "_unit").alias("_class"), "_least"))
+    smallest = stored(units.groupBy("_class").agg(F.min("_least").alias("component_id")))
+    known = stored(units.join(smallest, "_class").select("_unit", "n_shingles", "component_id", *[F.col("_class").alias(c) for c in more]))
+    discard(sigs, comps, units, smallest)
     found = members.join(known, "_unit")
     # a text without shingles is linked with nothing, copies included
     return found.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id"))).select(*out)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import exchange as X
 from gleanery.llm import words as W
-from gleanery.llm.frames import checkpointed, schema_with
+from gleanery.llm.frames import schema_with, stored
 
 MEMBERS, TOP_CLASSES, REST_CLASSES = 32, 32, 32
 TOP, CLASSES = MEMBERS * TOP_CLASSES, TOP_CLASSES + REST_CLASSES
@@ -351,10 +351,10 @@ def score(docs: DataFrame, learn_from, text: str = "text", key: str = "doc_id",
     """`docs` with n_tokens, n_known, train_tokens, base_score and score; `learn_from` says which rows to learn from."""
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     out = schema_with(docs, n_tokens="long", n_known="long", train_tokens="long", base_score="double", score="double")
-    buckets = buckets or X.parts(docs)
+    buckets = buckets or X.parts(docs, text)
     marked = docs.withColumn("_learn", F.coalesce(learn_from, F.lit(False)))
-    rows = X.chunked(marked, [F.col(key), F.col(text)])
-    counts = checkpointed(count(rows, text, buckets))
+    rows = X.chunked(marked, [F.col(key), F.col(text)], buckets)
+    counts = stored(count(rows, text, buckets))
     model = train(marked, vocabulary(counts), text, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from gleanery.llm.frames import checkpointed
+from gleanery.llm.frames import stored
 
 NEAREST = 20
 TABLES, PROBES, LEAST, BLOCK, AXES = 8, 12, 256, 4096, 64
@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, key: str =
     held = F.broadcast(held.select("size", "spot", "blocks"))
     wanted = clean(queries).select("raw", "size", F.col("id").alias("query_id"))
     asked = _hashed(wanted, some, "query_id", "long").join(held, ["size", "spot"])
-    top = checkpointed(_best(_found(points.join(held, ["size", "spot"]), asked, ["size", "spot"], k), k))
+    top = stored(_best(_found(points.join(held, ["size", "spot"]), asked, ["size", "spot"], k), k))
     # queries that have found too few where not all was probed: ranked against all vectors of their size
     partly = [r["size"] for r in sizes if some[r["size"]] < width[r["size"]]]
     enough = top.where(F.col("rank") == k).select("query_id")

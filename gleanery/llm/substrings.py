@@ -179,8 +179,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     """`docs` with n_words, n_removed and kept (the kept words, joined by one space)."""
     docs = docs.drop("n_words", "n_removed", "kept")
     out = schema_with(docs, n_words="long", n_removed="long", kept="string")
-    buckets = buckets or X.parts(docs)
-    rows = X.chunked(docs, [F.col(key), F.col(text)])
+    buckets = buckets or X.parts(docs, text)
+    rows = X.chunked(docs, [F.col(key), F.col(text)], buckets)
     questions = X.ask(rows, lambda t: Chunk(t, key, text, buckets, window).questions())
     answers = X.answer(questions, lambda p: _bucket(p, window))
 

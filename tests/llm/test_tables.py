@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.llm import jaccard, neighbours, sharding, substrings
+from gleanery.llm import components, jaccard, neighbours, sharding, substrings
 from gleanery.llm import language_model as lm
 from gleanery.llm import words as W
 from gleanery.llm.components import connected
@@ -76,8 +76,8 @@ def brute_classes(texts):
 
 @pytest.mark.parametrize(("seeds", "block"), [(8, 4096), (1, 3)])
 def test_classes_are_brute_force(spark, make_docs, copies, seeds, block, monkeypatch):
-    full = jaccard.links
-    monkeypatch.setattr(jaccard, "links", lambda sigs: full(sigs, seeds, block))
+    full = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda sigs: full(sigs, seeds, block))
     docs = make_docs(copies).selectExpr("*", "1 as n_shingles", "2 as unit", "3 as n")
     rows = jaccard.classes(docs).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == brute_classes(copies)
@@ -89,6 +89,40 @@ def test_classes_of_nothing(make_docs):
     assert [r["component_id"] for r in jaccard.classes(make_docs([(5, None)])).collect()] == [5]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_classes_of_few_short_texts(make_docs, n):
+    texts = [(1, "a b c d e f g"), (2, "a b c d"), (3, "A b c d e f g h")][:n]
+    rows = jaccard.classes(make_docs(texts)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == brute_classes(texts)
+
+
+def test_questions_of_one_key():
+    u = jaccard.Units(jaccard.pa.table({"unit": ["x", "y"], "text": ["a b c d e f g", "a b c d"]}))
+    asked = dict(u.questions(1000))
+    assert len(asked) == len(u.keys) == 4
+    assert all(got is None for p in asked.values() for got in jaccard._count([p]))
+    assert all(got is not None for p in asked.values() for got in jaccard._count([p, p]))
+
+
+def test_like_vectors_share_nodes_and_others_are_pruned():
+    rng = np.random.default_rng(3)
+    heads = rng.poisson(1, (16, jaccard.GROUPS))
+    v = np.repeat(heads, 32, axis=0)
+    for x in v:
+        x[rng.integers(0, jaccard.GROUPS, 3)] += 1
+    v = rng.permutation(v).astype(np.int64)
+    alone = np.arange(len(v))
+    order = jaccard.packed(v, alone)
+    assert sorted(order) == alone.tolist()
+    size = v.sum(1)
+    tree = jaccard.Tree(v[order], size[order], size[order], alone[order])
+    for q in range(0, len(v), 8):
+        tree.search(v[q], size[q], size[q], q)
+    assert tree.visited < 0.5 * len(v) * len(range(0, len(v), 8))
+    one = jaccard.packed(v, np.repeat([0, 1], len(v) // 2))
+    assert (one[: len(v) // 2] < len(v) // 2).all()
+
+
 def test_tree_finds_all_that_pass_the_bound():
     rng = np.random.default_rng(2)
     v = rng.poisson(2, (300, jaccard.GROUPS)).astype(np.int64)
@@ -106,6 +140,26 @@ def test_tree_finds_all_that_pass_the_bound():
 def test_components(spark):
     links = spark.createDataFrame([(str(a), str(b)) for a, b in [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (7, 9), (5, 5)]], "a string, b string")
     assert {tuple(r) for r in connected(links).collect()} == {("1", "1"), ("2", "1"), ("3", "1"), ("4", "1"), ("7", "7"), ("8", "7"), ("9", "7")}
+    assert connected(links.limit(0)).count() == 0
+
+
+def test_components_of_long_chains_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(components, "NODES", 5)
+    rng = random.Random(1)
+    pairs = [(k, k + 1) for k in range(100, 160)] + [(k, 500) for k in range(300, 400)] + [(700 + k, 700 + rng.randrange(60)) for k in range(50)]
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    links = spark.createDataFrame(rng.sample(pairs, len(pairs)), "a long, b long").repartition(7)
+    got = {tuple(r) for r in connected(links).collect()}
+    assert got == {(x, find(x)) for p in pairs if p[0] != p[1] for x in p}
 
 
 def brute_substrings(texts, n=13):
@@ -208,7 +262,7 @@ def test_language_model(spark, make_docs, prose):
 
 def test_every_training_token_is_learnt_from(spark, make_docs, prose):
     docs = make_docs([(i, prose(40, i)) for i in range(30)] + ODD).withColumn("_learn", F.col("doc_id").isNotNull())
-    rows = lm.X.chunked(docs, [F.col("doc_id"), F.col("text")])
+    rows = lm.X.chunked(docs, [F.col("doc_id"), F.col("text")], 6)
     start = lm.vocabulary(lm.count(rows, "text", 3))
     model = lm.train(docs, start, "text")
     data, off = W.buffers(lm.pa.array([r["text"] for r in docs.where("_learn").collect()], lm.pa.string()))
