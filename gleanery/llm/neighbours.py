@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A vector is scaled to unit length and turned by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform); its cell
-in a table is the nearest signed axis, of the first `AXES` at most. There are `TABLES` tables. A query probes in each the `PROBES` cells
-whose axes are nearest to it (more where there are few vectors of its number of components, so that at least about `LEAST` come up), and
-what lies there is ranked by the exact inner product of the original vectors in double precision. A query that has found too few that way
-is then ranked against all vectors. Vectors of one number of components are searched among themselves; where their lengths differ, the
-longest share `LONG` of them, whose inner products can be large in any direction, is ranked for every query.
+A vector is scaled to unit length and turned by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform); the signed
+axis nearest to it is its cell. Where the table is so large that one rotation's cells would hold more than about `FILL` vectors, further
+rotations divide them (see `plan`), so cells grow in number with the table and not in size. There are `TABLES` tables. A query probes in
+each the cells whose summed projections are largest, `PROBES` times the square root of their number (`LEAST` vectors at least): the share of the table that a query
+is compared with falls with the root of the table's size, by one rule for all sizes. What lies in the probed cells is ranked by the exact
+inner product of the original vectors in double precision. A query that has found too few that way is then ranked against all vectors.
+Vectors of one number of components are searched among themselves; where their lengths differ, the longest share `LONG` of them, whose
+inner products can be large in any direction, is ranked for every query.
 
-Only the best few of a cell leave it, so pairs are never written out. Cells of over `BLOCK` vectors are cut into blocks, and queries go
-to all blocks of a cell. Equal vectors travel as one, with the few smallest ids that can be wanted.
+Neighbouring cells travel as one group; groups of many vectors or many queries are cut into blocks of both, and only the best few of a
+query leave a task, so pairs are never written out. Equal vectors travel as one, with the few smallest ids that can be wanted.
 
 Defined cases: vectors that are null or zero, or hold null or non-finite components, and rows with a null id, take no part; rows equal in
 id and vector count once; ties go to the smaller id; with fewer candidates than asked for all are returned; an empty table gives an
@@ -17,7 +19,9 @@ empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +29,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from gleanery.llm.frames import stored
+from gleanery.llm.exchange import expand, starts
+from gleanery.llm.frames import shuffle_partitions, stored
 
 NEAREST = 20
-TABLES, PROBES, LEAST, BLOCK, AXES = 8, 12, 256, 4096, 64
-#: Lengths count as equal up to this ratio, and bytes of hashed rows that are handed on at once.
-EVEN, BATCH = 1.01, 1 << 24
-#: Share of the vectors that counts as the longest.
-LONG = 1 / 16
+#: Tables, probes for each root of the number of cells, vectors of a cell, and how many of them a query probes at least.
+TABLES, PROBES, FILL, LEAST = 8, 1.5, 12, 256
+#: Vectors or queries of a group's block, and of all groups that a task holds at a time.
+BLOCK, HELD = 4096, 32768
+#: Pairs that a task weighs at a time, and bytes of hashed rows that are handed on at once.
+PAIRS, BATCH = 1 << 20, 1 << 24
+#: Lengths count as equal up to this ratio; share of the vectors that counts as the longest.
+EVEN, LONG = 1.01, 1 / 16
 SEED = 20
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Axes of each rotation of a table, all its cells, the cells that a query probes, and those of a group."""
+
+    axes: tuple[int, ...]
+    cells: int
+    probes: int
+    span: int
+
+
+def plan(size: int, n: int, probes: float = PROBES) -> Plan:
+    """For n vectors of `size` components: rotations with all axes as long as cells would hold over FILL vectors, and one with what is left."""
+    most = 1 << max(1, (size - 1).bit_length())
+    want, axes, cells = max(2, -(-n // FILL)), [], 1
+    while not axes or cells < want:
+        axes.append(min(most, max(1, -(-want // (2 * cells)))))
+        cells *= 2 * axes[-1]
+    return Plan(tuple(axes), cells, min(cells, max(math.ceil(probes * math.sqrt(cells)), -(-LEAST // FILL))), max(1, BLOCK * cells // n))
+
+
 def rotate(x: np.ndarray, seed: int) -> np.ndarray:
     """Three rounds of random signs and a Hadamard transform, on the next power of two of components."""
     size = 1 << max(1, (x.shape[1] - 1).bit_length())
@@ -53,18 +81,24 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def cells(x: np.ndarray, table: int, probes: int = 1) -> np.ndarray:
-    """The `probes` nearest signed axes of each vector, nearest first: 2 * axis, and one more for its negative end."""
-    y = rotate(x / np.linalg.norm(x, axis=1, keepdims=True), table)[:, :AXES]
-    both = np.stack([y, -y], axis=2).reshape(len(y), -1)
-    if probes == 1:
-        return both.argmax(1)[:, None]
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
-
-
-def axes(size: int) -> int:
-    """Axes of the cells of vectors of `size` components."""
-    return min(AXES, 1 << max(1, (size - 1).bit_length()))
+def cells(x: np.ndarray, table: int, axes: tuple[int, ...], probes: int = 1) -> np.ndarray:
+    """The `probes` cells of each vector with the largest summed projections, largest first: of each rotation 2 * axis, and one more for its negative end."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cell, total = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    for k, a in enumerate(axes):
+        y = rotate(x, table + TABLES * k)[:, :a]
+        both = np.stack([y, -y], axis=2).reshape(len(y), -1)
+        if probes == 1:
+            cell = cell * (2 * a) + both.argmax(1)[:, None]
+            continue
+        order = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+        # a sum among the largest P comes of the i-th and j-th largest with i * j <= P
+        i, j = np.nonzero(np.outer(np.arange(1, cell.shape[1] + 1), np.arange(1, order.shape[1] + 1)) <= probes)
+        sums = total[:, i] + np.take_along_axis(both, order, 1)[:, j]
+        best = np.argsort(-sums, axis=1, kind="stable")[:, :probes]
+        cell = np.take_along_axis(cell[:, i] * (2 * a) + order[:, j], best, 1)
+        total = np.take_along_axis(sums, best, 1)
+    return cell
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,90 +118,165 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["id", "raw", "size", "length"])
 
 
-def _hashed(df: DataFrame, probes: dict[int, int], carry: str, kind: str) -> DataFrame:
-    """A row (size, spot, raw, carry) for each table and probed cell. spot: table and cell. Sizes without `probes` give none."""
+def _vectors(raw: pa.Array, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(-1, size)
+
+
+def _hashed(df: DataFrame, plans: dict[int, Plan], carry: str, kind: str, probing: bool) -> DataFrame:
+    """Rows (raw, size, carry, table, part, cells): for each table and group of cells, those of the vector, or those that it probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column(1).to_numpy()
-            for size in np.unique(sizes):
-                n = probes.get(int(size), 0)
-                every = np.flatnonzero(sizes == size) if n else []
-                step = max(1, BATCH // (8 * int(size) * max(n, 1)))
+            for size in np.unique(sizes).tolist():
+                p = plans.get(size)
+                if p is None:
+                    continue
+                every, probes = np.flatnonzero(sizes == size), p.probes if probing else 1
+                step = max(1, BATCH // (8 * max(size, 4 * probes)))
                 for i, t in ((i, t) for i in range(0, len(every), step) for t in range(TABLES)):
-                    rows = every[i : i + step]
-                    part = b.take(pa.array(rows))
-                    x = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float64).reshape(len(rows), size)
-                    spot = cells(x, t, n)
-                    again = part.take(pa.array(np.repeat(np.arange(len(rows)), spot.shape[1])))
-                    yield pa.RecordBatch.from_arrays([*again.columns, pa.array((spot.ravel() * TABLES + t).astype(np.int64))], ["raw", "size", carry, "spot"])
+                    part = b.take(pa.array(every[i : i + step]))
+                    cell = np.sort(cells(_vectors(part.column(0), size), t, p.axes, probes), axis=1)
+                    own = np.repeat(np.arange(len(cell)), cell.shape[1])
+                    cell = cell.ravel()
+                    group = cell // p.span
+                    at = starts(own * p.cells + group)
+                    again = part.take(pa.array(own[at]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(cell)), pa.int32()), pa.array(cell))
+                    yield pa.RecordBatch.from_arrays([*again.columns, pa.array(np.full(len(at), t, np.int32)), pa.array(group[at]), lists], ["raw", "size", carry, "table", "part", "cells"])
 
-    return df.select("raw", "size", carry).mapInArrow(run, f"raw binary, size int, {carry} {kind}, spot long")
+    return df.select("raw", "size", carry).mapInArrow(run, f"raw binary, size int, {carry} {kind}, table int, part long, cells array<long>")
+
+
+class Best:
+    """The best `k` points of each query among the pairs seen so far, and those that tie with the last up to rounding."""
+
+    def __init__(self, k: int):
+        self.k, self.pairs, self.n = k, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, query: np.ndarray, point: np.ndarray, score: np.ndarray) -> None:
+        self.pairs.append((query, point, score))
+        self.n += len(query)
+        if self.n > PAIRS:
+            self.n = len(self.cut()[0])
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, p, s = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+        order = np.lexsort((-s, q))
+        q, p, s = q[order], p[order], s[order]
+        at = starts(q)
+        n = np.diff(np.append(at, len(q)))
+        low = s[at + np.minimum(n, self.k) - 1]
+        ok = s >= np.repeat(low - 1e-9 * (1 + np.abs(low)), n)
+        self.pairs = [(q[ok], p[ok], s[ok])]
+        return self.pairs[0]
+
+
+def _weigh(x: np.ndarray, q: np.ndarray, cell: np.ndarray, asked: np.ndarray, cells: np.ndarray, best: Best, x0: int, q0: int) -> None:
+    """Offers `best` the points x of `cell` for the queries q[asked] that probe `cells`; x0 and q0 are the numbers of the first of each."""
+    order, turn = np.argsort(cell, kind="stable"), np.argsort(cells, kind="stable")
+    x, cell, asked, cells = x[order], cell[order], asked[turn], cells[turn]
+    at = starts(cell)
+    for lo, hi, a, b in zip(at, np.append(at[1:], len(cell)), np.searchsorted(cells, cell[at]), np.searchsorted(cells, cell[at], "right"), strict=True):
+        step = max(1, PAIRS // (hi - lo))
+        for i in range(a, b, step):
+            who = asked[i : min(i + step, b)]
+            near = q[who] @ x[lo:hi].T
+            best.add(q0 + np.repeat(who, hi - lo), x0 + np.tile(order[lo:hi], len(who)), near.ravel())
 
 
 def _rank(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k nearest ids of each query among the points of a block."""
-    out_q, out_v, out_s = [], [], []
-    if points.num_rows and queries.num_rows:
-        x = np.frombuffer(b"".join(points.column("raw").to_pylist()), np.float64).reshape(points.num_rows, -1)
-        q = np.frombuffer(b"".join(queries.column("raw").to_pylist()), np.float64).reshape(queries.num_rows, -1)
-        ids = points.column("ids").to_pylist()
-        asked = queries.column("query_id").to_pylist()
-        for i in range(0, len(q), 256):
-            near = q[i : i + 256] @ x.T
-            some = min(k + 1, len(x))
-            least = np.partition(near, len(x) - some, axis=1)[:, len(x) - some]
-            for r, (row, low) in enumerate(zip(near, least, strict=True), start=i):
-                cand = np.flatnonzero(row >= low - 1e-9 * (1 + abs(low)))
-                exact = (x[cand] * q[r]).sum(1)
-                best = sorted((-s, v) for c, s in zip(cand.tolist(), exact.tolist(), strict=True) for v in ids[c] if v != asked[r])[:k]
-                out_q += [asked[r]] * len(best)
-                out_v += [v for _, v in best]
-                out_s += [-s for s, _ in best]
-    return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, key: str = "vec_id", vector: str = "embedding", probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """The k nearest ids of each query among the points of a bucket, in the groups and blocks that both are in."""
+    names = ["size", "table", "part", "block", "turn"]
+    at: dict[tuple, list] = {}
+    for side, table in enumerate((points, queries)):
+        keys = list(zip(*(table.column(c).to_pylist() for c in names), strict=True))
+        for row, key in enumerate(keys):
+            at.setdefault(key, [[], []])[side].append(row)
+    out: dict[str, list] = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
+    both = {key: x for key, x in at.items() if x[0] and x[1]}
+    for size in sorted({key[0] for key in both}):
+        best = Best(k + 1)
+        own = [x for key, x in both.items() if key[0] == size]
+        rows = [np.concatenate([np.array(x[side]) for x in own]) for side in (0, 1)]
+        p, asked = points.take(pa.array(rows[0])), queries.take(pa.array(rows[1]))
+        x, q = _vectors(p.column("raw"), size), _vectors(asked.column("raw"), size)
+        who = asked.column("query_id").to_numpy()
+        names_of, query = np.unique(who, return_inverse=True)  # a query stands in several groups
+        vector = np.empty((len(names_of), size))
+        vector[query] = q
+        cell = p.column("cells").combine_chunks()
+        probed = asked.column("cells").combine_chunks()
+        x0, q0 = 0, 0
+        off = probed.offsets.to_numpy()
+        flat, single = probed.values.to_numpy(), cell.flatten().to_numpy()
+        for a, b in ((len(g[0]), len(g[1])) for g in own):
+            o = off[q0 : q0 + b + 1]
+            _weigh(x[x0 : x0 + a], vector, single[x0 : x0 + a], np.repeat(query[q0 : q0 + b], np.diff(o)), flat[o[0] : o[-1]], best, x0, 0)
+            x0, q0 = x0 + a, q0 + b
+        a, b, _ = best.cut()
+        exact = (x[b] * vector[a]).sum(1)
+        ids = p.column("ids").combine_chunks()
+        lo, n = ids.offsets.to_numpy()[:-1][b], np.diff(ids.offsets.to_numpy())[b]
+        v, s, a = ids.values.to_numpy()[expand(lo, n)], np.repeat(exact, n), np.repeat(a, n)
+        # a point may have come up in several tables
+        order = np.lexsort((v, -s, a))
+        v, s, a = v[order], s[order], a[order]
+        new = np.ones(len(v), bool)
+        new[1:] = (v[1:] != v[:-1]) | (a[1:] != a[:-1])
+        new &= v != names_of[a]
+        v, s, a = v[new], s[new], a[new]
+        first = starts(a)
+        place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+        out["query_id"].append(names_of[a[place < k]])
+        out["vec_id"].append(v[place < k])
+        out["score"].append(s[place < k])
+    return pa.table({c: pa.array(np.concatenate(x)) for c, x in out.items()})
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, key: str = "vec_id", vector: str = "embedding", probes: float = PROBES) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest rows of `vectors` found for each row of `queries`, other than its own id."""
     clean = lambda df: df.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(_clean, "id long, raw binary, size int, length double").distinct()
     every = clean(vectors)
     # of equal vectors the k + 1 smallest ids are all that can be wanted
     first = every.withColumn("_r", F.row_number().over(Win.partitionBy("raw").orderBy("id"))).where(F.col("_r") <= k + 1)
-    unique = first.groupBy("raw", "size").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("length").alias("length"))
+    unique = stored(first.groupBy("raw", "size").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("length").alias("length")))
     # a row for each number of components
     sizes = unique.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("low"), F.max("length").alias("high"), F.percentile_approx("length", 1 - LONG).alias("long")).collect()
     uneven = {r["size"]: r["long"] for r in sizes if EVEN * r["low"] < r["high"]}
-    width = {r["size"]: 2 * axes(r["size"]) for r in sizes}
-    some = {r["size"]: min(width[r["size"]], max(probes, -(-width[r["size"]] * LEAST // r["n"]))) for r in sizes}
-    points = _hashed(unique, dict.fromkeys(some, 1), "ids", "array<long>")
-    # how many vectors there are in each cell: at most TABLES x 2 x AXES rows a size, so they are broadcast
-    held = points.groupBy("size", "spot").count().withColumn("blocks", F.ceil(F.col("count") / F.lit(block)).cast("int"))
-    held = F.broadcast(held.select("size", "spot", "blocks"))
+    plans = {r["size"]: plan(r["size"], r["n"], probes) for r in sizes}
     wanted = clean(queries).select("raw", "size", F.col("id").alias("query_id"))
-    asked = _hashed(wanted, some, "query_id", "long").join(held, ["size", "spot"])
-    top = stored(_best(_found(points.join(held, ["size", "spot"]), asked, ["size", "spot"], k), k))
+    top = stored(_best(_found(_hashed(unique, plans, "ids", "array<long>", False), _hashed(wanted, plans, "query_id", "long", True), k), k))
     # queries that have found too few where not all was probed: ranked against all vectors of their size
-    partly = [r["size"] for r in sizes if some[r["size"]] < width[r["size"]]]
+    partly = [size for size, p in plans.items() if p.probes < p.cells]
     enough = top.where(F.col("rank") == k).select("query_id")
     short = wanted.where(F.col("size").isin(partly)).join(enough, "query_id", "left_anti")
-    count = F.broadcast(unique.groupBy("size").count().select("size", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("blocks")))
-    whole = lambda points, asked: _found(points.select("raw", "size", "ids").join(count, "size"), asked.join(count, "size"), ["size"], k)
+    one = lambda df: df.withColumns({"table": F.lit(0), "part": F.lit(0).cast("long"), "cells": F.array(F.lit(0).cast("long"))})
     if partly and not short.isEmpty():
         ids = short.select("query_id").distinct()
-        top = top.join(ids, "query_id", "left_anti").unionByName(_best(whole(unique, wanted.join(ids, "query_id")), k))
+        top = top.join(ids, "query_id", "left_anti").unionByName(_best(_found(one(unique), one(wanted.join(ids, "query_id")), k), k))
     if uneven:
         least = F.create_map(*[F.lit(x) for pair in uneven.items() for x in pair])
-        long = whole(unique.where(F.col("length") >= least[F.col("size")]), wanted.where(F.col("size").isin(list(uneven))))
+        long = _found(one(unique.where(F.col("length") >= least[F.col("size")])), one(wanted.where(F.col("size").isin(list(uneven)))), k)
         top = _best(top.select("query_id", "vec_id", "score").unionByName(long), k)
     return top
 
 
-def _found(points: DataFrame, asked: DataFrame, by: list[str], k: int) -> DataFrame:
-    """Rows (query_id, vec_id, score): the k best of each block of the points that share `by` with a query; `blocks` of each group."""
-    points = points.withColumn("block", F.pmod(F.xxhash64("raw"), F.col("blocks")).cast("int")).drop("blocks")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    by = [*by, "block"]
-    return points.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(lambda p, q: _rank(p, q, k), "query_id long, vec_id long, score double")
+def _found(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Rows (query_id, vec_id, score): of each task the k best of the points that share a group with a query and a cell that it probes."""
+    by = ["size", "table", "part"]
+    blocks = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_{name}")).withColumn(name, F.ceil(F.col(f"_{name}") / F.lit(BLOCK)).cast("int"))
+    # groups that both sides have, in blocks of points and in turns of queries
+    held = stored(blocks(points, "blocks").join(blocks(asked, "turns"), by))
+    rows = held.agg(F.sum(F.col("_blocks") * F.col("turns"))).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(points), rows // HELD)
+    held = held.drop("_blocks", "_turns")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    bucket = F.pmod(F.xxhash64(*by, "block", "turn"), F.lit(buckets)).cast("int")
+    points = points.join(held, by).withColumn("block", F.pmod(F.xxhash64("raw"), F.col("blocks")).cast("int")).withColumn("turn", each("turns"))
+    asked = asked.join(held, by).withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).withColumn("block", each("blocks"))
+    dealt = lambda df: df.drop("blocks", "turns").withColumn("_bucket", bucket).groupBy("_bucket")
+    return dealt(points).cogroup(dealt(asked)).applyInArrow(lambda p, q: _rank(p, q, k), "query_id long, vec_id long, score double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

@@ -196,13 +196,14 @@ def brute_nearest(rows, k):
     return out
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 24))
     x[50:90] = x[50]
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 24), (902, [1.0, None] * 12), (903, [float("nan")] * 24), (None, [1.0] * 24)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank")
-    got = neighbours.nearest(df, df, 10, block=30).collect()
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    got = neighbours.nearest(df, df, 10).collect()
     want = brute_nearest(rows, 10)
     found = {}
     for r in sorted(got, key=lambda r: r["rank"]):
@@ -215,6 +216,42 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def compared(x, queries, found=20):
+    """Recall of the `found` nearest in probed cells, and the share of the table that lies in them, by the shipped plan."""
+    p = neighbours.plan(x.shape[1], len(x))
+    near = queries @ x.T
+    best = np.argsort(-near, axis=1)[:, 1 : found + 1]
+    seen = np.zeros(near.shape, bool)
+    for t in range(neighbours.TABLES):
+        own = neighbours.cells(x, t, p.axes)[:, 0]
+        probed = neighbours.cells(queries, t, p.axes, p.probes)
+        for k, cells in enumerate(probed):
+            seen[k] |= np.isin(own, cells)
+    return np.take_along_axis(seen, best, 1).mean(), seen.mean()
+
+
+def test_compared_share_falls_with_the_table_and_recall_does_not():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = [compared(x[:n], x[:40]) for n in (2000, 10_000, 50_000)]
+    assert all(recall >= 0.9 for recall, _ in got), got
+    assert got[0][1] > 1.5 * got[1][1] > 2 * got[2][1], got
+    wide = rng.normal(size=(6000, 300)) + 2 * rng.normal(size=(60, 300)).repeat(100, axis=0)
+    assert compared(wide / np.linalg.norm(wide, axis=1, keepdims=True), wide[::200])[0] >= 0.9
+
+
+def test_probed_cells_have_the_largest_sums():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5, 16))
+    axes = (8, 4, 2)
+    y = [neighbours.rotate(x / np.linalg.norm(x, axis=1, keepdims=True), 3 + neighbours.TABLES * k)[:, :a] for k, a in enumerate(axes)]
+    both = [np.stack([z, -z], axis=2).reshape(5, -1) for z in y]
+    sums = (both[0][:, :, None, None] + both[1][:, None, :, None] + both[2][:, None, None, :]).reshape(5, -1)
+    assert (neighbours.cells(x, 3, axes, 40) == np.argsort(-sums, axis=1)[:, :40]).all()
+    assert (neighbours.cells(x, 3, axes) == sums.argmax(1)[:, None]).all()
+
+
 def test_neighbours_far_from_all_clusters_of_other_sizes_and_lengths(spark):
     rng = np.random.default_rng(4)
     cluster = np.eye(64)[0] + 0.001 * rng.normal(size=(3000, 64))
