@@ -1,17 +1,19 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are lower-cased words and one end a text. The `TOP` most frequent training words lie in classes by frequency; all others in
-classes by their last two bytes. A token's probability is that of its class given the context, times that of the word in its class:
-a softmax over the class's members for frequent words, add-one counts within the class for the others (an unseen word takes the one
-spare count of its class, so probabilities sum to one). Features of the context are the words one, two and three before (skips) and
-the pair before; words outside the top stand there as their class, and pairs are hashed.
+Tokens are lower-cased words and one end a text. Every word has a class and a place in it: of the `TOP` most frequent training words each
+has a place of its own, in classes by frequency; all others share places by hashing, in classes by their last two bytes. A token's
+probability is that of its class given the context, times that of its place in the class given the context, both softmaxes that are
+learnt, times that of the word among those of its place: add-one counts (an unseen word takes the one spare count of its place, so
+probabilities sum to one). Features of the context are the places of the words one, two and three before (skips), the hashed pair before,
+and for places in a class the hashed pair of class and word before: n-grams and skips act on every word.
 
 Counts cover all training texts: each chunk asks hash buckets for its distinct words (see `exchange`). Weights are trained by
-distributed gradient updates: in each round every task descends on its own share of the training texts from the common weights, and
-the weighted mean of the tasks' steps is the common step (summed in blocks and in a tree of fan-in `FAN`). The rounds split the tokens of
-every text by their place: each training token gives a gradient in exactly one round.
+distributed gradient updates: training texts are dealt to shards of about `SHARD` bytes by a hash of key and text, and shards to `ROUNDS`
+rounds; each shard descends on its texts from the common weights, and the mean of the shards' steps, weighted by their tokens and
+summed in blocks in a tree of fan-in `FAN`, is the common step. Each training token gives a gradient in exactly one round. Shards, the order of
+their texts and that of their steps depend on the rows alone, so scores do not depend on how the input is partitioned.
 
-Words are told apart by 59 hash bits and their class.
+Words are told apart by 60 hash bits and their class.
 
 Defined cases: null and empty texts are one end token; rows with a null key are scored but not learnt from; without any training
 text every probability is that of an unseen word; repeated rows count as often as they occur; other columns are kept, and results
@@ -20,28 +22,31 @@ replace columns of their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import exchange as X
 from gleanery.llm import words as W
-from gleanery.llm.frames import schema_with, stored
-
-MEMBERS, TOP_CLASSES, REST_CLASSES = 32, 32, 32
-TOP, CLASSES = MEMBERS * TOP_CLASSES, TOP_CLASSES + REST_CLASSES
-#: Symbols of a context: top words, classes of the others, and none (before the text).
-SYMBOLS = TOP + REST_CLASSES + 1
+from gleanery.llm.frames import give_back, schema_with, shuffle_partitions, stored, text_bytes
+
+#: Places of a class; classes of the most frequent words and of all others.
+MEMBERS, TOP_CLASSES, REST_CLASSES = 32, 16, 16
+CLASSES = TOP_CLASSES + REST_CLASSES
+TOP, REST = MEMBERS * TOP_CLASSES, MEMBERS * REST_CLASSES
+#: Symbols of a context: all places, and none (before the text).
+SYMBOLS = TOP + REST + 1
 PAIRS, INNER = 1 << 13, 1 << 13
 ROWS = 1 + 3 * SYMBOLS + PAIRS
 END = W.mix(np.array([7], W.U))[0] & ~W.U(REST_CLASSES - 1)
-ROUNDS, BATCH, RATE = 2, 8192, 0.3
-BLOCKS, FAN = 64, 64
+ROUNDS, BATCH, RATE = 2, 8192, 0.15
+#: Bytes of text of a training shard.
+SHARD = 8 << 20
+BLOCKS, FAN = 16, 64
 #: Tasks that merge the buckets' top words.
 MERGERS = 16
 
@@ -53,86 +58,84 @@ class Tokens:
         w = W.split(data, off, W.NOT_SPACE, lower=True)
         last = w.data[w.end - 1].astype(np.uint32)
         before = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.uint32)
-        ending = (((last | (before << 8)) * np.uint32(0x9E3779B1)) >> np.uint32(27)).astype(W.U)
+        ending = (((last | (before << 8)) * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(W.U)
         keys = (W.word_hashes(w) & ~W.U(REST_CLASSES - 1)) | ending
         self.keys = np.insert(keys, w.first[1:], END)
         self.first = w.first + np.arange(len(w.first))
 
 
+def place(keys: np.ndarray) -> np.ndarray:
+    """Which of the REST places a word takes that is not among the top words: its class by its ending, its place in that by its hash."""
+    return ((keys & W.U(REST_CLASSES - 1)) * W.U(MEMBERS) + ((keys >> W.U(32)) & W.U(MEMBERS - 1))).astype(np.int64)
+
+
 @dataclass
 class Model:
     top: np.ndarray = field(default_factory=lambda: np.zeros(0, W.U))  # keys of the top words, sorted, and their ranks
     rank: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     total: int = 0  # N and V
     types: int = 0
-    rest: np.ndarray = field(default_factory=lambda: np.ones(REST_CLASSES))  # counts and types and one in each class outside the top
+    rest: np.ndarray = field(default_factory=lambda: np.ones(REST))  # counts and types and one in each place outside the top
     outer: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, CLASSES), np.float32))
-    inner: np.ndarray = field(default_factory=lambda: np.zeros((TOP_CLASSES + INNER, MEMBERS), np.float32))
+    inner: np.ndarray = field(default_factory=lambda: np.zeros((CLASSES + INNER, MEMBERS), np.float32))
 
     def symbols(self, keys: np.ndarray) -> np.ndarray:
-        rest = (keys & W.U(REST_CLASSES - 1)).astype(np.int64) + TOP
+        rest = place(keys) + TOP
         if not len(self.top):
             return rest
         at = np.minimum(np.searchsorted(self.top, keys), len(self.top) - 1)
         return np.where(self.top[at] == keys, self.rank[at], rest)
 
-    def live(self) -> np.ndarray:
-        """Members that there are in each top class."""
-        return np.arange(TOP).reshape(TOP_CLASSES, MEMBERS) < len(self.top)
+    def dead(self) -> np.ndarray | None:
+        """Places of the top classes that no word has, if there are any."""
+        free = (np.arange(TOP + REST) < TOP) & (np.arange(TOP + REST) >= len(self.top))
+        return free.reshape(CLASSES, MEMBERS) if free.any() else None
 
 
 def contexts(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the five features of each token, and the symbol before it."""
+    """Of each token the rows of the features of its class (but for row 0, which all have), and of those of its place."""
     n = len(symbol)
-    text = np.repeat(first[:-1], np.diff(first))
-    place = np.arange(n) - text
+    at = np.arange(n) - np.repeat(first[:-1], np.diff(first))
     back = []
     for k in (1, 2, 3):
         s = np.full(n, SYMBOLS - 1)
-        s[k:] = np.where(place[k:] >= k, symbol[:-k], SYMBOLS - 1)
+        s[k:] = np.where(at[k:] >= k, symbol[:-k], SYMBOLS - 1)
         back.append(s)
     pair = (back[0] * SYMBOLS + back[1]).astype(W.U) * W.U(0x9E3779B97F4A7C15) >> W.U(64 - 13)
-    return np.stack([np.zeros(n, np.int64), 1 + back[0], 1 + SYMBOLS + back[1], 1 + 2 * SYMBOLS + back[2], 1 + 3 * SYMBOLS + pair.astype(np.int64)]), back[0]
-
-
-def inner_rows(before: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashed = (before * TOP_CLASSES + cls).astype(W.U) * W.U(0xC2B2AE3D27D4EB4F) >> W.U(64 - 13)
-    return cls, TOP_CLASSES + hashed.astype(np.int64)
+    cls = symbol // MEMBERS
+    inner = (back[0] * CLASSES + cls).astype(W.U) * W.U(0xC2B2AE3D27D4EB4F) >> W.U(64 - 13)
+    outer = np.stack([1 + back[0], 1 + SYMBOLS + back[1], 1 + 2 * SYMBOLS + back[2], 1 + 3 * SYMBOLS + pair.astype(np.int64)])
+    return outer.astype(np.uint16), np.stack([cls, CLASSES + inner.astype(np.int64)]).astype(np.uint16)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def class_of(symbol: np.ndarray) -> np.ndarray:
-    return np.where(symbol < TOP, symbol // MEMBERS, symbol - TOP + TOP_CLASSES)
+def _logits(m: Model, outer: np.ndarray, inner: np.ndarray, rows: np.ndarray, inside: np.ndarray, dead: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of classes and of places, with a highest of 0."""
+    z = outer.take(rows[0], axis=0)
+    for k in (1, 2, 3):
+        z += outer.take(rows[k], axis=0)
+    z += outer[0]
+    y = inner.take(inside[0], axis=0)
+    y += inner.take(inside[1], axis=0)
+    if dead is not None:
+        y[dead[inside[0]]] = -1e9
+    for x in (z, y):
+        x -= x.max(1, keepdims=True)
+    return z, y
 
 
 def log10_probabilities(m: Model, symbol: np.ndarray, count: np.ndarray, first: np.ndarray, batch: int = BATCH) -> np.ndarray:
     """log10 of each token's probability; `count` is its count in the training texts."""
-    rows, before = contexts(symbol, first)
-    cls = class_of(symbol)
-    out = np.empty(len(symbol))
-    live = m.live()
+    rows, inside = contexts(symbol, first)
+    out, dead = np.empty(len(symbol)), m.dead()
     for i in range(0, len(symbol), batch):
-        s, c, r = symbol[i : i + batch], cls[i : i + batch], rows[:, i : i + batch]
-        z = m.outer[r[1]]
-        for k in (2, 3, 4):
-            z += m.outer[r[k]]
-        z += m.outer[0]
-        z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(s)), c]
-        p = own - np.log(np.exp(z).sum(1))
-        t = np.flatnonzero(s < TOP)
-        a, b = inner_rows(before[i : i + batch][t], c[t])
-        z = m.inner[a] + m.inner[b]
-        z[~live[c[t]]] = -np.inf
-        z -= z.max(1, keepdims=True)
-        p[t] += z[np.arange(len(t)), s[t] % MEMBERS] - np.log(np.exp(z).sum(1))
-        p = p.astype(np.float64) / np.log(10)
+        s = symbol[i : i + batch]
+        n = np.arange(len(s))
+        p = np.zeros(len(s))
+        for x, own in zip(_logits(m, m.outer, m.inner, rows[:, i : i + batch], inside[:, i : i + batch], dead), (s // MEMBERS, s % MEMBERS), strict=True):
+            p += x[n, own]
+            np.exp(x, out=x)
+            p -= np.log(x.sum(1))
+        p /= np.log(10)
         o = np.flatnonzero(s >= TOP)
         p[o] += np.log10((count[i : i + batch][o] + 1) / m.rest[s[o] - TOP])
         out[i : i + batch] = p
@@ -143,37 +146,30 @@ def _descend(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.nda
     """One step on the rows that a batch touches, shorter for rows with much gradient so far."""
     order = np.argsort(rows, kind="stable")
     lead = X.starts(rows[order])
-    which = rows[order][lead]
-    g = np.add.reduceat(grad[order], lead, axis=0)
-    seen[which] += (g * g).mean(1)
-    table[which] -= rate * g / np.sqrt(seen[which] + 1)[:, None]
-
-
-def learn(m: Model, outer: np.ndarray, inner: np.ndarray, seen: tuple[np.ndarray, np.ndarray], symbol: np.ndarray, first: np.ndarray, drawn: np.ndarray, rate: float = RATE) -> None:
-    """Gradient steps on the tokens `drawn`, in batches."""
-    rows, before = contexts(symbol, first)
-    rows, before, s = rows[:, drawn], before[drawn], symbol[drawn]
-    c = class_of(s)
-    live = m.live()
-    size = 1024
-    for i in range(0, len(s), size):
-        r, k = rows[:, i : i + size], c[i : i + size]
-        z = outer[r[0]]
-        for f in (1, 2, 3, 4):
-            z += outer[r[f]]
-        g = _softmax(z)
-        g[np.arange(len(k)), k] -= 1
-        for f in range(5):
-            _descend(outer, seen[0], r[f], g, rate)
-        t = np.flatnonzero(s[i : i + size] < TOP)
-        if len(t):
-            a, b = inner_rows(before[i : i + size][t], k[t])
-            z = inner[a] + inner[b]
-            z[~live[k[t]]] = -1e9
-            g = _softmax(z)
-            g[np.arange(len(t)), s[i : i + size][t] % MEMBERS] -= 1
-            _descend(inner, seen[1], a, g, rate)
-            _descend(inner, seen[1], b, g, rate)
+    which = rows[order[lead]]
+    g = np.add.reduceat(grad.take(order, axis=0), lead, axis=0)
+    seen[which] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+    table[which] -= g * (rate / np.sqrt(seen[which] + 1))[:, None]
+
+
+def learn(m: Model, outer: np.ndarray, inner: np.ndarray, seen: tuple[np.ndarray, np.ndarray], symbol: np.ndarray, first: np.ndarray, order: np.ndarray, rate: float = RATE, batch: int = BATCH) -> None:
+    """Gradient steps on the tokens in the given order, in batches."""
+    rows, inside = contexts(symbol, first)
+    rows, inside, symbol = rows[:, order], inside[:, order], symbol[order]
+    dead = m.dead()
+    for i in range(0, len(symbol), batch):
+        r, t, s = rows[:, i : i + batch], inside[:, i : i + batch], symbol[i : i + batch]
+        n = np.arange(len(s))
+        z, y = _logits(m, outer, inner, r, t, dead)
+        for x, own in ((z, s // MEMBERS), (y, s % MEMBERS)):
+            np.exp(x, out=x)
+            x /= x.sum(1, keepdims=True)
+            x[n, own] -= 1
+        _descend(outer, seen[0], np.zeros(1, np.uint16), z.sum(0, keepdims=True), rate)
+        for k in range(4):
+            _descend(outer, seen[0], r[k], z, rate)
+        for k in range(2):
+            _descend(inner, seen[1], t[k], y, rate)
 
 
 # counts
@@ -222,9 +218,8 @@ def _total(payloads: list[bytes]) -> tuple[list[bytes], bytes]:
     total[order] = np.repeat(sums, np.diff(np.append(lead, len(order))))
     out = [X.pack(x) for x in np.split(total, np.cumsum([len(k) for k in keys])[:-1])]
     types = every[order][lead]
-    cls = (types & W.U(REST_CLASSES - 1)).astype(np.int64)
-    known = sums > 0
-    rest = np.stack([np.bincount(cls, sums, REST_CLASSES), np.bincount(cls, known, REST_CLASSES)])
+    at = place(types)
+    rest = np.stack([np.bincount(at, sums, REST), np.bincount(at, sums > 0, REST)])
     high = np.lexsort((types.view(np.int64), -sums))[:TOP]
     high = high[sums[high] > 0]
     return out, X.pack(rest, types[high], sums[high])
@@ -245,12 +240,12 @@ def count(rows: DataFrame, text: str, buckets: int) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Model:
-    """Totals and top words from the buckets' own rows. The driver gets a row for each class and `TOP` words."""
+    """Totals and top words from the buckets' own rows. The driver gets a row for each place and `TOP` words."""
     own = counts.where(F.col(X.CHUNK) == OF_ALL).select(X.PAYLOAD).repartition(MERGERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums by class, and the top words of what a task has read."""
-        rest, keys, n = np.zeros((2, REST_CLASSES)), np.zeros(0, W.U), np.zeros(0, np.int64)
+        """Sums by place, and the top words of what a task has read."""
+        rest, keys, n = np.zeros((2, REST)), np.zeros(0, W.U), np.zeros(0, np.int64)
         for b in batches:
             for p in b.column(0).to_pylist():
                 more, k, c = X.unpack(p)
@@ -258,86 +253,82 @@ def vocabulary(counts: DataFrame) -> Model:
                 keys, n = np.concatenate([keys, k]), np.concatenate([n, c])
                 high = np.lexsort((keys.view(np.int64), -n))[:TOP]
                 keys, n = keys[high], n[high]
-        kind = np.concatenate([np.arange(REST_CLASSES), np.full(len(keys), -1)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind), pa.array(np.concatenate([np.zeros(REST_CLASSES, np.int64), keys.view(np.int64)])), pa.array(np.concatenate([rest[0], n]).astype(np.int64)), pa.array(np.concatenate([rest[1], np.ones(len(keys))]).astype(np.int64))],
-            ["class", "key", "n", "types"],
-        )
-
-    flat = own.mapInArrow(run, "class long, key long, n long, types long")
-    sums = {r[0]: (r[1], r[2]) for r in flat.where("class >= 0").groupBy("class").agg(F.sum("n"), F.sum("types")).collect()}
-    words = flat.where("class < 0").orderBy(F.desc("n"), "key").limit(TOP).collect()
+        columns = [np.concatenate([np.arange(REST), np.full(len(keys), -1)]), np.concatenate([np.zeros(REST, np.int64), keys.view(np.int64)]), np.concatenate([rest[0], n]).astype(np.int64), np.concatenate([rest[1], np.ones(len(keys))]).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["place", "key", "n", "types"])
+
+    flat = own.mapInArrow(run, "place long, key long, n long, types long")
+    sums = {r[0]: (r[1], r[2]) for r in flat.where("place >= 0").groupBy("place").agg(F.sum("n"), F.sum("types")).collect()}
+    words = flat.where("place < 0").orderBy(F.desc("n"), "key").limit(TOP).collect()
     m = Model()
     m.total, m.types = sum(x for x, _ in sums.values()), sum(x for _, x in sums.values())
     for k, (n, types) in sums.items():
         m.rest[k] += n + types
     keys = np.array([r["key"] for r in words], np.int64).view(W.U)
-    np.subtract.at(m.rest, (keys & W.U(REST_CLASSES - 1)).astype(np.int64), np.array([r["n"] + 1 for r in words], float))
+    np.subtract.at(m.rest, place(keys), np.array([r["n"] + 1 for r in words], float))
     order = np.argsort(keys)
     m.top, m.rank = keys[order], order
     # start from the counts: bias rows are log frequencies
     n = np.zeros(TOP)
     n[: len(words)] = [r["n"] for r in words]
-    by_class = np.concatenate([n.reshape(TOP_CLASSES, MEMBERS).sum(1), m.rest])
-    m.outer[0] = np.log(by_class + 0.5) - np.log(by_class.sum() + 0.5 * CLASSES)
-    m.inner[:TOP_CLASSES] = np.log(n + 0.5).reshape(TOP_CLASSES, MEMBERS)
+    every = np.concatenate([n + 0.5, m.rest]).reshape(CLASSES, MEMBERS)
+    m.outer[0] = np.log(every.sum(1)) - np.log(every.sum())
+    m.inner[:CLASSES] = np.log(every) - np.log(every.sum(1, keepdims=True))
     return m
 
 
 # training
 
 
+_STEP = "block int, part long, step binary"
+
+
 def _sum(table: pa.Table) -> pa.Table:
-    total, weight = None, 0
-    for p in table.column("step").to_pylist():
+    """The weighted mean of the steps of a block, in the order of their parts."""
+    total, weight = 0.0, 0
+    for p in table.sort_by("part").column("step").to_pylist():
         step, n = X.unpack(p)
-        total = step.astype(np.float32) * n if total is None else total + step * np.float32(n)
-        weight += n
+        total, weight = total + step.astype(np.float64) * n, weight + n
     step = X.pack((total / max(weight, 1)).astype(np.float32), weight)
-    return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "step": pa.array([step], pa.binary())})
+    return pa.table({"block": table.column("block")[:1], "part": pa.array([table.column("part")[0].as_py() // FAN], pa.int64()), "step": pa.array([step], pa.binary())})
 
 
-def turns(first: np.ndarray, rounds: int) -> np.ndarray:
-    """The round in which each token is learnt from, by its place in its text."""
-    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
-    return (W.mix(place.astype(W.U)) % W.U(rounds)).astype(np.int64)
-
-
-def train(docs: DataFrame, m: Model, text: str, rounds: int = ROUNDS) -> Model:
+def _learner(shared, rounds: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        """The step of a shard in blocks."""
+        m = shared.value
+        shard = table.column("shard")[0].as_py()
+        rng = np.random.default_rng(shard)
+        outer, inner = m.outer.copy(), m.inner.copy()
+        seen = (np.zeros(len(outer), np.float32), np.zeros(len(inner), np.float32))
+        n = 0
+        data, off = W.buffers(table.select(["key", "text"]).sort_by([("key", "ascending"), ("text", "ascending")]).column("text"))
+        for i, j in W.blocks(off):
+            t = Tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            learn(m, outer, inner, seen, m.symbols(t.keys), t.first, rng.permutation(len(t.keys)))
+            n += len(t.keys)
+        flat = np.concatenate([(outer - m.outer).ravel(), (inner - m.inner).ravel()])
+        steps = [X.pack(x, n) for x in np.array_split(flat, BLOCKS)]
+        give_back()
+        return pa.table({"block": pa.array(range(BLOCKS), pa.int32()), "part": pa.array([shard // rounds] * BLOCKS, pa.int64()), "step": pa.array(steps, pa.binary())})
+
+    return run
+
+
+def train(docs: DataFrame, m: Model, text: str, key: str = "doc_id", rounds: int = ROUNDS) -> Model:
     """Rounds of distributed gradient updates over all tokens of the rows of `docs` that are to be learnt from."""
-    rows = docs.where("_learn").select(text)
+    shards = -(-text_bytes(docs, text) // (rounds * SHARD)) or 1  # of a round
+    dealt = F.pmod(F.xxhash64(key, text), F.lit(rounds * shards))
+    rows = docs.where("_learn").select(F.col(key).alias("key"), F.col(text).alias("text"), dealt.alias("shard"))
     context = docs.sparkSession.sparkContext
     for turn in range(rounds):
-        shared = context.broadcast(m)  # fixed size: ROWS x CLASSES and INNER x MEMBERS numbers
-
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            task = TaskContext.get().partitionId()
-            rng = np.random.default_rng([turn, task])
-            outer, inner = m.outer.copy(), m.inner.copy()
-            seen = (np.zeros(len(outer), np.float32), np.zeros(len(inner), np.float32))
-            n = 0
-            for b in batches:
-                data, off = W.buffers(b.column(0))
-                for i, j in W.blocks(off):
-                    t = Tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                    drawn = np.flatnonzero(turns(t.first, rounds) == turn)
-                    learn(m, outer, inner, seen, m.symbols(t.keys), t.first, rng.permutation(drawn))
-                    n += len(drawn)
-            if not n:
-                return
-            flat = np.concatenate([(outer - m.outer).ravel(), (inner - m.inner).ravel()])
-            for k, part in enumerate(np.array_split(flat, BLOCKS)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task // FAN], pa.int64()), pa.array([X.pack(part.astype(np.float16), n)], pa.binary())], ["block", "part", "step"])
-
-        schema = "block int, part long, step binary"
-        steps = rows.mapInArrow(run, schema)
-        parts = -(-rows.rdd.getNumPartitions() // FAN)
+        shared = context.broadcast(m)  # fixed size: ROWS x CLASSES and (CLASSES + INNER) x MEMBERS numbers
+        own = rows.where(F.col("shard") % rounds == turn).repartition(shuffle_partitions(rows), "shard")
+        steps = own.groupBy("shard").applyInArrow(_learner(shared, rounds), _STEP)
+        parts = shards
         while True:
-            steps = steps.groupBy("block", "part").applyInArrow(_sum, schema)
-            if parts <= 1:
+            steps = steps.groupBy("block", F.floor(F.col("part") / FAN).alias("group")).applyInArrow(_sum, _STEP)
+            if parts <= FAN:
                 break
-            steps = steps.withColumn("part", F.floor(F.col("part") / FAN))
             parts = -(-parts // FAN)
         got = {r["block"]: X.unpack(bytes(r["step"]))[0] for r in steps.collect()}  # BLOCKS rows
         if got:
@@ -355,7 +346,7 @@ def score(docs: DataFrame, learn_from, text: str = "text", key: str = "doc_id",
     marked = docs.withColumn("_learn", F.coalesce(learn_from, F.lit(False)))
     rows = X.chunked(marked, [F.col(key), F.col(text)], buckets)
     counts = stored(count(rows, text, buckets))
-    model = train(marked, vocabulary(counts), text, rounds)
+    model = train(marked, vocabulary(counts), text, key, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def use(table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:

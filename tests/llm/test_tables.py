@@ -304,20 +304,45 @@ def test_every_training_token_is_learnt_from(spark, make_docs, prose):
     model = lm.train(docs, start, "text")
     data, off = W.buffers(lm.pa.array([r["text"] for r in docs.where("_learn").collect()], lm.pa.string()))
     t = lm.Tokens(data, off)
-    used = np.unique(lm.contexts(start.symbols(t.keys), t.first)[0])
-    assert (model.outer[used] != start.outer[used]).any(1).all()
+    outer, inner = lm.contexts(start.symbols(t.keys), t.first)
+    assert (model.outer[np.unique(outer)] != start.outer[np.unique(outer)]).any(1).all()
+    assert (model.inner[np.unique(inner)] != start.inner[np.unique(inner)]).any(1).all()
+
+
+def test_scores_do_not_depend_on_partitions_and_beat_the_base(spark, make_docs, prose, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 4096)  # several shards
+    rng = random.Random(5)
+    follow = {k: rng.sample(range(900), 3) for k in range(900)}
+
+    def chain(n):
+        k, out = rng.randrange(900), []
+        for _ in range(n):
+            out.append(f"w{k}")
+            k = rng.choice(follow[k])
+        return " ".join(out)
+
+    texts = [(i, chain(120)) for i in range(150)] + ODD
+    held = F.col("doc_id") % 7 == 2
+    scores = []
+    for n in (1, 7):
+        rows = lm.score(make_docs(texts, n), ~held).collect()
+        scores.append(sorted((str(r["doc_id"]), str(r["text"]), r["score"]) for r in rows))
+    assert [x[:2] for x in scores[0]] == [x[:2] for x in scores[1]]
+    assert all(math.isclose(x[2], y[2], rel_tol=1e-9) for x, y in zip(*scores, strict=True))
+    out = [(r["score"] - r["base_score"]) / r["n_tokens"] for r in rows if r["doc_id"] is not None and r["doc_id"] % 7 == 2 and r["doc_id"] < 150]
+    assert sum(out) / len(out) > 0.02  # of words outside the top too, in texts that were not learnt from
 
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(5)
     m = lm.Model()
-    keys = np.unique(rng.integers(0, 2**63, 1500).astype(W.U) & ~W.U(31) | rng.integers(0, 32, 1500).astype(W.U))
+    keys = np.unique(rng.integers(0, 2**63, 1500).astype(W.U))
     count = rng.integers(1, 50, len(keys))
-    top = np.sort(np.argsort(-count, kind="stable")[:1000])
-    m.top, m.rank = keys[top], rng.permutation(1000)
+    top = np.sort(np.argsort(-count, kind="stable")[: lm.TOP - 20])
+    m.top, m.rank = keys[top], rng.permutation(lm.TOP - 20)
     rest = np.setdiff1d(np.arange(len(keys)), top)
     for k in rest:
-        m.rest[int(keys[k] & W.U(31))] += count[k] + 1
+        m.rest[lm.place(keys[k : k + 1])[0]] += count[k] + 1
     m.outer = rng.normal(0, 1, m.outer.shape).astype(np.float32)
     m.inner = rng.normal(0, 1, m.inner.shape).astype(np.float32)
     symbol = m.symbols(keys)
@@ -325,7 +350,7 @@ def test_probabilities_sum_to_one():
     for k in range(len(keys)):  # after the same context
         s = np.array([symbol[3], symbol[9], symbol[k]])
         total += 10 ** lm.log10_probabilities(m, s, np.array([1, 1, count[k]]), np.array([0, 3]))[2]
-    for c in range(lm.REST_CLASSES):  # and an unseen word of each class
+    for c in range(lm.REST):  # and an unseen word of each place
         s = np.array([symbol[3], symbol[9], lm.TOP + c])
         total += 10 ** lm.log10_probabilities(m, s, np.array([1, 1, 0]), np.array([0, 3]))[2]
     assert abs(total - 1) < 1e-3
