@@ -11,10 +11,10 @@ Texts are sets of five-word shingles; two are linked at a Jaccard similarity of
    group's shingle in a unit's order bounds the overlap too, in the group of the first shingle that two units share.
 3. Surviving pairs are verified on the shingle sets.
 
-The tree is asked twice. First the `SEEDS` units lowest in hash ask in each group; what they link to becomes components. Then
+The tree is asked twice. First `SEEDS` units ask in each group, chosen by hash; what they link to becomes components. Then
 every unit that is not in its group's largest component asks for units of other components. A pair that never came up lies in
 one component already, or failed a bound; so components are exact, and groups of copies do not cost the square of their size.
-Groups of over `BLOCK` units are cut into blocks by hash, in two ways for the first round; units that ask in the second go to all.
+Groups of over `BLOCK` units are cut into blocks by hash; units that ask go to all.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are linked with nothing; with fewer words than
 five the whole text is one shingle; a null id takes part like others but is never the smallest, and a class of null ids alone has
@@ -36,7 +36,7 @@ from gleanery.llm import words as W
 from gleanery.llm.components import connected
 from gleanery.llm.frames import discard, give_back, schema_with, shuffle_partitions, stored
 
-SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 256, 16, 8, 256
+SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 256, 16, 8, 512
 KEY_BITS = 40
 
 
@@ -121,7 +121,7 @@ def pack_counts(counts: np.ndarray) -> bytes:
 
 def unpack_counts(packed: list[bytes]) -> np.ndarray:
     if all(len(x) == GROUPS for x in packed):
-        return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), GROUPS).astype(np.int32)
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), GROUPS)
     kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
     return np.array([np.frombuffer(x, kinds[len(x)]) for x in packed], np.int32).reshape(len(packed), GROUPS)
 
@@ -223,7 +223,7 @@ class Tree:
             nodes = nodes[linked(np.minimum(r[nodes], rest), size, lo[nodes])]
             self.visited += len(nodes)
             # the overlap is at most the summed minima; a smaller set needs less of it
-            most = np.minimum(v[nodes], vector).sum(1)
+            most = np.minimum(v[nodes], vector).sum(1, dtype=np.int64)
             nodes = nodes[linked(np.minimum(most, np.minimum(hi[nodes], size)), size, lo[nodes])]
             if depth:
                 n = len(self.levels[depth - 1][0])
@@ -233,7 +233,7 @@ class Tree:
 
 
 def _pairs(table: pa.Table, seeds: int) -> pa.Table:
-    """Surviving pairs of each group and block of a bucket. `asks`: whether a row asks or is in the tree; with `seeds`, so many of those in the tree ask."""
+    """Surviving pairs of each group and block of a bucket. `asks`: whether a row asks or is in the tree; with `seeds`, so many of those in the tree where none does."""
     token, block = table.column("token").to_numpy(), table.column("block").to_numpy()
     unit, comp = table.column("unit").to_pylist(), table.column("component").to_pylist()
     asks = table.column("asks").to_numpy(zero_copy_only=False)
@@ -248,11 +248,12 @@ def _pairs(table: pa.Table, seeds: int) -> pa.Table:
     for i, j in zip(at[:-1], at[1:], strict=True):
         rows = order[i:j]
         held, asking = rows[~asks[rows]], rows[asks[rows]]
-        if seeds:  # units are digests: the lowest are the same few in every group that has them
+        if seeds and not len(asking):  # units are digests: the lowest are the same few in every group that has them
             asking = sorted(rows, key=unit.__getitem__)[:seeds]
         if not len(held) or not len(asking):
             continue
-        held = held[packed(vector[held], comp[held])]
+        if len(held) > FANOUT:
+            held = held[packed(vector[held], comp[held])]
         tree = Tree(vector[held], size[held], rest[held], comp[held])
         for q in asking:
             for k in held[tree.search(vector[q], size[q], rest[q], comp[q])]:
@@ -300,18 +301,18 @@ def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataF
     rows = sigs.where(F.size("tokens") > 0).select("unit", "n", "vector", F.explode("tokens").alias("t")).select("unit", "n", "vector", "t.token", "t.df", "t.rest")
     blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
-    # first round: some ask for all; large groups are cut in two different ways, so that their blocks overlap
-    other = rows.where("blocks > 1").withColumn("block", (-1 - F.pmod(F.xxhash64("unit", F.lit(1)), F.col("blocks"))).cast("int"))
-    every = rows.unionByName(other)
-    pairs = stored(_search(every.withColumns({"asks": F.lit(False), "component": F.col("unit")}), seeds))
+    # first round: some ask for all; in large groups those of the lowest hashes, about as many, ask in all blocks
+    lead = rows.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("unit", "token"), F.col("df")) < seeds))
+    to_all = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    every = rows.withColumn("asks", F.lit(False)).unionByName(to_all(lead))
+    pairs = stored(_search(every.withColumn("component", F.col("unit")), seeds))
     first = connected(verify(pairs, sigs))
     # second round: of each group, all but the largest component ask
     now = stored(rows.join(first.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
     sizes = now.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("n_comp"))
     some = now.join(sizes.where("n_comp > 1").select("token", "main"), "token")
     held = some.withColumn("asks", F.lit(False))
-    asking = some.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    late = stored(_search(held.unionByName(asking)))
+    late = stored(_search(held.unionByName(to_all(some.where("component <> main")))))
     # what the second round links are components of the first and units that had no link
     known = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
     found = verify(late, sigs).join(known("a"), "a", "left").join(known("b"), "b", "left")
