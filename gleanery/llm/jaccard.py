@@ -306,7 +306,7 @@ def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataF
     to_all = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     every = rows.withColumn("asks", F.lit(False)).unionByName(to_all(lead))
     pairs = stored(_search(every.withColumn("component", F.col("unit")), seeds))
-    first = connected(verify(pairs, sigs))
+    first = connected(sure := stored(verify(pairs, sigs)))
     # second round: of each group, all but the largest component ask
     now = stored(rows.join(first.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
     sizes = now.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("n_comp"))
@@ -315,12 +315,12 @@ def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataF
     late = stored(_search(held.unionByName(to_all(some.where("component <> main")))))
     # what the second round links are components of the first and units that had no link
     known = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-    found = verify(late, sigs).join(known("a"), "a", "left").join(known("b"), "b", "left")
+    found = stored(verify(late, sigs)).join(known("a"), "a", "left").join(known("b"), "b", "left")
     second = connected(found.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
     moved = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     alone = second.join(first, "node", "left_anti")
     out = stored(moved.unionByName(alone.select("node", "component")))
-    discard(pairs, now, late)
+    discard(pairs, sure, now, late)
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import bpe, decontaminate, jaccard, langid, language_model, neighbours, secrets, sharding, substrings, toxicity
 
 #: Vocabulary files: parameters of the operators that need one.
-ENGLISH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+GENERAL = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
@@ -20,7 +20,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.find_secrets(docs, ENGLISH, PATTERN).select("doc_id", "secrets")
+    found = secrets.find_secrets(docs, GENERAL, PATTERN).select("doc_id", "secrets")
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     n = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("secrets", lambda x: x["kind"] != "random")

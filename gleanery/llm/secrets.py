@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -116,57 +116,60 @@ def scan(text: str | None, count_tokens, loose: float = LOOSE) -> list[tuple[int
     return sorted(found)
 
 
-def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", name: str = "secrets", loose: float = LOOSE) -> DataFrame:
-    """`docs` with an array of structs (kind, start, end) of every span in `text`, by start and then by kind.
+def _scanner(docs: DataFrame, vocabulary: str, pattern: str, loose: float) -> Callable[[], Callable[[str | None], list[tuple[int, int, int]]]]:
+    """What makes a task's scan of a text. The vocabulary (a file of under 2 MB) is read by the driver and broadcast."""
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
-    One narrow pass without a shuffle. The vocabulary (a file of under 2 MB) is read by the driver and broadcast.
-    """
-    spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
-    docs = docs.drop(name)
-    schema = schema_with(docs, **{name: "array<struct<kind:string,start:int,end:int>>"})
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    slim = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[str | None], list[tuple[int, int, int]]]:
         import tiktoken
 
         give_back()
         tokens = tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        return lambda text: scan(text, lambda run: len(tokens.encode_ordinary(run)), loose)
+
+    return make
 
-        def count(run: str) -> int:
-            return len(tokens.encode_ordinary(run))
 
-        for b in small(batches, slim):
-            out = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t.as_py(), count, loose)] for t in b.column(slim)]
+def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", name: str = "secrets", loose: float = LOOSE) -> DataFrame:
+    """`docs` with an array of structs (kind, start, end) of every span in `text`, by start and then by kind. One narrow pass without a shuffle."""
+    docs = docs.drop(name)
+    make = _scanner(docs, vocabulary, pattern, loose)
+    schema = schema_with(docs, **{name: "array<struct<kind:string,start:int,end:int>>"})
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = make()
+        for b in small(batches, at):
+            out = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(t.as_py())] for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
-def cut(text: str, spans: list[dict], mark: str) -> str:
-    """`text` with every span replaced by `mark`, overlapping ones by one."""
+def cut(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """`text` with every span (start, kind, end) replaced by `mark`, overlapping ones by one."""
     out, at = [], 0
-    for start, end in sorted((x["start"], x["end"]) for x in spans):
+    for start, end in sorted((s, e) for s, _, e in spans):
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every span of `spans` in `text` replaced by `mark` and the spans dropped; other texts pass as they are."""
-    names = docs.columns
-    at, found = names.index(text), names.index(spans)
-    keep = [k for k in range(len(names)) if k != found]
+def redact(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", mark: str = "[SECRET]", loose: float = LOOSE) -> DataFrame:
+    """`docs` with every secret in `text` replaced by `mark`; other texts pass as they are. One narrow pass, in one worker a task."""
+    make = _scanner(docs, vocabulary, pattern, loose)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        spans = make()
+        for b in small(batches, at):
             columns = list(b.columns)
-            lists = columns[found].to_pylist()
-            if any(lists):
-                new = [cut(t.as_py(), x, mark) if x else t.as_py() for t, x in zip(columns[at], lists, strict=True)]
-                columns[at] = pa.array(new, columns[at].type)
-            yield pa.RecordBatch.from_arrays([columns[k] for k in keep], [names[k] for k in keep])
+            texts = columns[at].to_pylist()
+            found = [spans(t) for t in texts]
+            if any(found):
+                columns[at] = pa.array([cut(t, x, mark) if x else t for t, x in zip(texts, found, strict=True)], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return docs.mapInArrow(run, docs.drop(spans).schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ import tiktoken
 
 from gleanery.llm import bpe, decontaminate, langid, secrets, toxicity
 from gleanery.llm import words as W
-from gleanery.llm.queries import ENGLISH, MULTI, PATTERN
+from gleanery.llm.queries import GENERAL, MULTI, PATTERN
 from tests.llm.conftest import ODD
 
 
@@ -65,7 +65,7 @@ def test_secrets(spark, make_docs):
         (6, "d41d8cd98f00b204e9800998ecf8427e 123e4567-e89b-12d3-a456-426614174000 docs/reference/2024/chapter12"),
         *ODD,
     ]
-    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["secrets"]] for r in by_key(secrets.find_secrets(make_docs(texts).selectExpr("*", "2 as secrets"), ENGLISH, PATTERN))}
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["secrets"]] for r in by_key(secrets.find_secrets(make_docs(texts).selectExpr("*", "2 as secrets"), GENERAL, PATTERN))}
     assert got[1] == [("assign", 14, 35)]
     assert got[2] == [("assign", 0, 25)]
     assert ("access", 0, 19) in got[3] and len([x for x in got[3] if x[0] == "access"]) == 1
@@ -73,12 +73,12 @@ def test_secrets(spark, make_docs):
     assert got[5] == [("random", 4, 4 + len(key))]
     assert [x for x in got[6] if x[0] == "random"] == []
     assert all(not got[i] for i in (90, 91, 92, 93, 96, 97))
-    clean = {r["doc_id"]: r["text"] for r in by_key(secrets.redact(secrets.find_secrets(make_docs(texts), ENGLISH, PATTERN)))}
+    clean = {r["doc_id"]: r["text"] for r in by_key(secrets.redact(make_docs(texts), GENERAL, PATTERN))}
     assert clean[5] == "key [SECRET] end" and clean[1] == "token = short [SECRET]" and clean[90] is None
 
 
 def test_words_and_letters_do_not_hide_secrets():
-    tokens = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=secrets.load_ranks(ENGLISH), special_tokens={})
+    tokens = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=secrets.load_ranks(GENERAL), special_tokens={})
     found = lambda t: [t[s:e] for s, k, e in secrets.scan(t, lambda r: len(tokens.encode_ordinary(r))) if k == 3]
     key, split, letters = "aB3xZ9qLm2Pw8RtY5vK1", "aB3xZ9qL/m2Pw8R+tY5vK1z", "qXvBzKwJpRtGhYmNcDfL"
     for before in ("/services/internal/production/notifications/channel/", "application-settings-production-database-connection-"):
