@@ -2,16 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read as the next one's docs. All but the
 last return the columns of documents.
+
+Defined cases: null and empty texts and texts without a letter go in the first stage (language `und`); rows with a null doc_id take part like others;
+rows that repeat a doc_id are copies where their texts are near, and stay apart where they are not; an empty table gives an empty table; further
+columns of documents are left out.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, decontaminate, jaccard, langid, secrets
 from gleanery.llm.frames import checkpoint_folder
-from gleanery.llm.queries import ENGLISH, MULTI, PATTERN
+from gleanery.llm.queries import GENERAL, MULTI, PATTERN
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,7 +47,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by a mark."""
-    clean = secrets.redact(secrets.find_secrets(docs, ENGLISH, PATTERN))
+    clean = secrets.redact(docs, GENERAL, PATTERN)
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -56,12 +62,12 @@ STAGES = [("language ID", language), ("n-gram Jaccard join", near_copies), ("ben
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to a folder of this run in the shared one and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = checkpoint_folder(spark)
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/stage{k}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
