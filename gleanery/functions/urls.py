@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,18 +48,30 @@ def document_id(url: Column) -> Column:
     return F.substring(F.sha1(F.trim(F.regexp_replace(url, "#.*$", ""))), 1, 20)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` segments; it begins with a slash."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    fold = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), fold)
+    joined = F.array_join(F.when(last, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    rooted = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), rooted).otherwise(path)
+
+
 def resolve(base: Column, href: Column) -> Column:
     """The absolute URL of a link on the page `base`: absolute, host-relative, rooted, query-only and plain relative links."""
     scheme, netloc = F.regexp_extract(base, _PARTS, 1), F.regexp_extract(base, _PARTS, 2)
     root = F.concat(scheme, F.lit("://"), netloc)
-    folder = F.concat(root, F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), r"[^/]*$", ""))
+    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), r"[^/]*$", "")
+    own, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, without_dots(own), rest))
         .when(href.startswith("?"), F.concat(root, path(base), href))
         .when(href.startswith("#") | (href == ""), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(root, without_dots(F.regexp_replace(F.concat(folder, own), "/{2,}", "/")), rest))
     )
 
 
@@ -73,8 +88,18 @@ def likely_file(url: Column, mime: Column | None = None) -> Column:
     return found
 
 
+#: Character references by name, as HTML 5 has them.
+NAMED = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+
+
 def unescape(text: Column) -> Column:
-    """The five entities of XML and the no-break space, in the order that undoes one level."""
-    for a, b in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+    """Character references with a semicolon as characters: by name, decimal and hexadecimal. Bare ampersands and unknown names stay."""
+    names = F.from_json(F.lit(NAMED), "map<string,string>")  # folded to a constant
+
+    def character(x: Column) -> Column:
+        code = F.when(x.rlike("^&#[xX]"), F.conv(F.substring(x, 4, 8), 16, 10)).otherwise(F.regexp_extract(x, r"^&#(\d{1,7});$", 1)).try_cast("int")
+        known = F.when((code > 0) & (code < 0x110000), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when(x.startswith("&#"), F.coalesce(known, x)).when(x.rlike("^&.+;$"), F.coalesce(F.try_element_at(names, F.regexp_replace(x, "[&;]", "")), x)).otherwise(x)
+
+    pieces = F.regexp_extract_all(text, F.lit(r"(&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&)"), F.lit(1))
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, character), "")).otherwise(text)

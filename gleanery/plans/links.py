@@ -65,19 +65,26 @@ QUERIES = {f.__name__: f for f in (link_inventory, resource_index, url_normalize
 _NORM = r"CASE WHEN lower(regexp_extract(trim({u}), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) IN ('http', 'https') AND regexp_extract(trim({u}), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) <> '' THEN lower(regexp_extract(trim({u}), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_extract(trim({u}), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) ELSE '' END"
 _HOST = r"regexp_replace(regexp_replace(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':\d*$', '')"
 _PATH = r"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-_HREF = r"""'(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'"""
+_ANCHOR = """'(?is)<a(\\s(?:[^>"'']|"[^"]*"|''[^'']*'')*)>(.*?)</a>'"""
+_TARGET = """'(?i)(?:^|[^-\\w:])href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>]+))'"""
 
 
 def _has(expr: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({expr}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
 
 
-_UN = "replace(replace(replace(replace(replace(replace({x}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_NAMES = "json('" + urls.NAMED.replace("'", "''") + "')"
+_UN = (
+    "array_to_string(list_transform(regexp_extract_all({x}, '&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&'), lambda c: CASE WHEN starts_with(c, '&#x') OR starts_with(c, '&#X') THEN chr(CAST('0x' || c[4:-2] AS INT))"
+    " WHEN starts_with(c, '&#') THEN chr(CAST(c[3:-2] AS INT)) WHEN starts_with(c, '&') AND len(c) > 1 THEN coalesce(names ->> c[2:-2], c) ELSE c END), '')"
+)
 _FILE = "(" + " OR ".join([*(f"ends_with(lower(p), '{x}')" for x in urls.FILE_ENDINGS), *(f"contains(lower(p), '{x}')" for x in urls.DOWNLOAD_PATHS)]) + ")"
 _KINDS = ", ".join(f"{_has('prim', ws)} AS has_{k}" for k, ws in links.HINT_WORDS.items())
 _INV = rf"""
-WITH z AS (SELECT url AS page_url, unnest(list_zip(regexp_extract_all(html, {_HREF}, 1), regexp_extract_all(html, {_HREF}, 2), range(len(regexp_extract_all(html, {_HREF}, 1))))) AS a FROM pages),
-h AS (SELECT page_url, a[3] AS pos, {_UN.format(x="a[1]")} AS href, substring(trim(regexp_replace({_UN.format(x="regexp_replace(a[2], '<[^>]*>', '', 'g')")}, '\s+', ' ', 'g')), 1, 250) AS anchor_text FROM z),
+WITH ents AS (SELECT {_NAMES} AS names),
+z AS (SELECT url AS page_url, unnest(list_zip(regexp_extract_all(html, {_ANCHOR}, 1), regexp_extract_all(html, {_ANCHOR}, 2), range(len(regexp_extract_all(html, {_ANCHOR}, 1))))) AS a FROM pages),
+t AS (SELECT page_url, a, regexp_extract(a[1], {_TARGET}, 1) || regexp_extract(a[1], {_TARGET}, 2) || regexp_extract(a[1], {_TARGET}, 3) AS raw FROM z),
+h AS (SELECT page_url, a[3] AS pos, {_UN.format(x="raw")} AS href, substring(trim(regexp_replace({_UN.format(x="regexp_replace(a[2], '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')), 1, 250) AS anchor_text FROM t, ents WHERE raw <> ''),
 r AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href ELSE href END AS abs FROM h),
 n AS (SELECT *, {_NORM.format(u="abs")} AS url, {_NORM.format(u="page_url")} AS parent_url FROM r),
 i AS (SELECT *, substring(sha256(parent_url || chr(10) || parent_url || chr(10) || url), 1, 24) AS id, substring(sha256(url), 1, 24) AS resource_id, {_PATH.format(u="url")} AS p, lower(anchor_text || '  ' || {_PATH.format(u="url")}) AS prim FROM n WHERE url <> ''),

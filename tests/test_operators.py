@@ -44,10 +44,28 @@ def test_document_ids_ignore_fragments(spark):
     [("2020 Angabe", "https://e.org/a.pdf", "task", 3), ("Lösungen", "https://e.org/x", "solution", 2), ("本選", "https://e.org/x", "task", 2), ("Sınav Soruları", "https://e.org/x", "task", 2), ("Cevapları", "https://e.org/x", "solution", 2), ("Registration", "https://e.org/x", "review", 0)],
 )
 def test_hints(spark, anchor, url, kind, priority):
-    h = one(spark, links.hint(F.col("u"), F.col("a"), F.lit(""), F.lit("Archives")), u=url, a=anchor)
+    row = spark.createDataFrame([(url, anchor)], "u string, a string")
+    h = links.hinted(row, F.col("u"), F.col("a"), F.lit(""), F.lit("Archives")).first()["hint"]
     assert (h["type_hint"], h["priority"]) == (kind, priority)
 
 
+@pytest.mark.parametrize(
+    ("tag", "want"),
+    [
+        ('href="x/a?item=problems&section=2026"', "https://e.org/p/x/a?item=problems&section=2026"),
+        ('data-href="?section=wrong" href="?section=right"', "https://e.org/p/q?section=right"),
+        ("href='/?a=1&#38;b=2'", "https://e.org/?a=1&b=2"),
+        ("class=big HREF = ../up/./b.pdf", "https://e.org/up/b.pdf"),
+        ('title="a > b" href="/c/../../d/&#x41;&eacute;&nope;"', "https://e.org/d/Aé&nope;"),
+        ('href="e//f/.."', "https://e.org/p/e/"),
+    ],
+)
+def test_link_targets(spark, tag, want):
+    page = spark.createDataFrame([("https://e.org/p/q", f"<h1>x</h1><p><A {tag}>some <b>bold</b>&amp;\n text</A> <a name=y>no link</a>")], "url string, html string")
+    got = links.inventory(page).collect()
+    assert [(r["url"], r["anchor_text"]) for r in got] == [(want, "some bold & text")]
+
+
 def test_interleave(spark):
     rows = spark.createDataFrame([(i, i != 3) for i in range(10)], "i int, important boolean")
     got = links.interleave(rows, F.col("important"), [F.col("i")]).orderBy("slot").collect()
