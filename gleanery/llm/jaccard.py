@@ -53,7 +53,7 @@ class Units:
 
     def __init__(self, table: pa.Table):
         ids = table.column("unit").to_pylist()
-        lead: dict[str, int] = {}
+        lead: dict[bytes, int] = {}
         for k, u in enumerate(ids):
             lead.setdefault(u, k)
         self.units = sorted(lead)
@@ -151,7 +151,7 @@ def _signatures(table: pa.Table, answers: list[tuple[int, bytes]], buckets: int)
         g = u.gram[first[k] : first[k] + u.size[k]]
         vectors[k] = pack_counts(np.bincount((g % W.U(GROUPS)).astype(np.int64), minlength=GROUPS))
         sets[k] = g.tobytes()
-    return pa.table({"unit": pa.array(u.units, pa.string()), "n": pa.array(u.size, pa.int64()), "tokens": tokens, "vector": pa.array(vectors, pa.binary()), "grams": pa.array(sets, pa.binary())})
+    return pa.table({"unit": pa.array(u.units, pa.binary()), "n": pa.array(u.size, pa.int64()), "tokens": tokens, "vector": pa.array(vectors, pa.binary()), "grams": pa.array(sets, pa.binary())})
 
 
 def signatures(docs: DataFrame, unit: str = "unit", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -160,7 +160,7 @@ def signatures(docs: DataFrame, unit: str = "unit", text: str = "text", buckets:
     def first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each unit one text for each task: copies stay where they are."""
         give_back()
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for b in batches:
             new = []
             for k, u in enumerate(b.column(0).to_pylist()):
@@ -171,9 +171,9 @@ def signatures(docs: DataFrame, unit: str = "unit", text: str = "text", buckets:
 
     buckets = buckets or X.parts(docs, text)
     slim = docs.select(F.col(unit).alias("unit"), F.col(text).alias("text"))
-    rows = X.chunked(slim.mapInArrow(first_of_task, "unit string, text string"), ["unit"], buckets)
+    rows = X.chunked(slim.mapInArrow(first_of_task, "unit binary, text string"), ["unit"], buckets)
     answers = X.answer(X.ask(rows, lambda t: Units(t).questions(buckets)), _count)
-    schema = "unit string, n long, tokens array<struct<token:long,df:int,rest:int>>, vector binary, grams binary"
+    schema = "unit binary, n long, tokens array<struct<token:long,df:int,rest:int>>, vector binary, grams binary"
     return X.apply(rows, answers, lambda t, a: _signatures(t, a, buckets), schema)
 
 
@@ -235,7 +235,8 @@ class Tree:
 def _pairs(table: pa.Table, seeds: int) -> pa.Table:
     """Surviving pairs of each group and block of a bucket. `asks`: whether a row asks or is in the tree; with `seeds`, so many of those in the tree where none does."""
     token, block = table.column("token").to_numpy(), table.column("block").to_numpy()
-    unit, comp = table.column("unit").to_pylist(), table.column("component").to_pylist()
+    unit = table.column("unit").to_pylist()
+    comp = unit if seeds else table.column("component").to_pylist()
     asks = table.column("asks").to_numpy(zero_copy_only=False)
     size, rest = table.column("n").to_numpy(), table.column("rest").to_numpy()
     vector = unpack_counts(table.column("vector").to_pylist())
@@ -244,7 +245,7 @@ def _pairs(table: pa.Table, seeds: int) -> pa.Table:
     order = np.lexsort((comp, block, token))
     lead = np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (block[order][1:] != block[order][:-1])])
     at = np.append(np.flatnonzero(lead), len(order))
-    found: set[tuple[str, str]] = set()
+    found: set[tuple[bytes, bytes]] = set()
     for i, j in zip(at[:-1], at[1:], strict=True):
         rows = order[i:j]
         held, asking = rows[~asks[rows]], rows[asks[rows]]
@@ -259,14 +260,14 @@ def _pairs(table: pa.Table, seeds: int) -> pa.Table:
             for k in held[tree.search(vector[q], size[q], rest[q], comp[q])]:
                 found.add((unit[q], unit[k]) if unit[q] < unit[k] else (unit[k], unit[q]))
     a, b = [x for x, _ in found], [x for _, x in found]
-    return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def _search(rows: DataFrame, seeds: int = 0) -> DataFrame:
     """Distinct pairs (a, b) that the trees of (token, block) let through."""
     n = 2 * shuffle_partitions(rows)
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("token", "block"), F.lit(n)).cast("int"))
-    return dealt.groupBy("_bucket").applyInArrow(lambda t: _pairs(t, seeds), "a string, b string").distinct()
+    return dealt.groupBy("_bucket").applyInArrow(lambda t: _pairs(t, seeds), "a binary, b binary").distinct()
 
 
 # 3. verification
@@ -284,16 +285,19 @@ def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         if common and linked(common, len(x), len(y)):
             ok_a.append(a)
             ok_b.append(b)
-    return pa.table({"a": pa.array(ok_a, pa.string()), "b": pa.array(ok_b, pa.string())})
+    return pa.table({"a": pa.array(ok_a, pa.binary()), "b": pa.array(ok_b, pa.binary())})
 
 
 def verify(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets are similar enough. A part of the pairs gets each set it needs once."""
+    """The pairs whose shingle sets are similar enough. A part of the pairs gets each set it needs once.
+
+    Of a pair the first is a seed more often than the second: dealt by the second, a seed of many pairs goes to all parts and fills none.
+    """
     parts = 2 * shuffle_partitions(pairs)
-    pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int"))
+    pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
     need = pairs.select(F.col("_part").alias("_need"), F.explode(F.array("a", "b")).alias("unit")).distinct()
     sets = need.join(sigs.select("unit", "grams"), "unit")
-    return pairs.groupBy("_part").cogroup(sets.groupBy("_need")).applyInArrow(_verify, "a string, b string")
+    return pairs.groupBy("_part").cogroup(sets.groupBy("_need")).applyInArrow(_verify, "a binary, b binary")
 
 
 def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataFrame:
@@ -305,7 +309,7 @@ def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataF
     lead = rows.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("unit", "token"), F.col("df")) < seeds))
     to_all = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     every = rows.withColumn("asks", F.lit(False)).unionByName(to_all(lead))
-    pairs = stored(_search(every.withColumn("component", F.col("unit")), seeds))
+    pairs = stored(_search(every, seeds))
     first = connected(sure := stored(verify(pairs, sigs)))
     # second round: of each group, all but the largest component ask
     now = stored(rows.join(first.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
@@ -329,10 +333,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str
 
     Classes that share a smallest key, as where a key repeats with other texts, differ in `name`.
     """
-    more = {name: "string"} if name else {}
+    more = {name: "binary"} if name else {}
     docs = docs.drop("n_shingles", "component_id", *more)
     out = schema_with(docs, n_shingles="long", component_id=docs.schema[key].dataType.simpleString(), **more).fieldNames()
-    members = docs.withColumn("_unit", F.md5(F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))))
+    members = docs.withColumn("_unit", F.unhex(F.md5(F.coalesce(F.encode(text, "UTF-8"), F.lit(b"")))))
     sigs = stored(signatures(members, "_unit", text))
     comps = components(sigs)
     least = members.groupBy("_unit").agg(F.min(key).alias("_least"))

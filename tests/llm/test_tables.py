@@ -97,7 +97,7 @@ def test_classes_of_few_short_texts(make_docs, n):
 
 
 def test_questions_of_one_key():
-    u = jaccard.Units(jaccard.pa.table({"unit": ["x", "y"], "text": ["a b c d e f g", "a b c d"]}))
+    u = jaccard.Units(jaccard.pa.table({"unit": [b"x", b"y"], "text": ["a b c d e f g", "a b c d"]}))
     asked = dict(u.questions(1000))
     assert len(asked) == len(u.keys) == 4
     assert all(got is None for p in asked.values() for got in jaccard._count([p]))
