@@ -22,11 +22,13 @@ def foreign_key(df: DataFrame, column: str, other: DataFrame, key: str) -> DataF
 
 
 def allowed(df: DataFrame, column: str, values: list) -> DataFrame:
-    return df.where(~F.col(column).isin(*values))
+    """Nulls are violations too."""
+    return df.where(F.col(column).isNull() | ~F.col(column).isin(*values))
 
 
 def within(df: DataFrame, column: str, low, high) -> DataFrame:
-    return df.where(~F.col(column).between(low, high))
+    """Nulls are violations too."""
+    return df.where(F.col(column).isNull() | ~F.col(column).between(low, high))
 
 
 def implies(df: DataFrame, when: Column, then: Column) -> DataFrame:
