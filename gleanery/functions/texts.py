@@ -1,4 +1,4 @@
-"""Text expressions: quality, confidence, roles and kinds by ordered rules."""
+"""Text expressions: quality, confidence, grades."""
 
 from __future__ import annotations
 
@@ -12,36 +12,6 @@ FORMULA = r"[=≤≥√∑∫±×÷^]"
 START, SHORT, BAD, IMAGE, DRAWING, MATH, UNNUMBERED = 0.97, 0.28, 0.32, 0.18, 0.14, 0.08, 0.18
 ACCEPTED, BY_MODEL = 0.90, 0.65
 
-# Kinds of tasks, the first rule that matches wins. Java regular expressions.
-KIND_RULES = [
-    ("TRUE_FALSE", r"(?is)\btrue\b.*\bfalse\b"),
-    ("FORM_FILL", r"(?i)complete\s+the\s+form|fill\s+in\s+the\s+form"),
-    ("TABLE_GAP_FILL", r"(?i)complete\s+the\s+table|fill\s+in\s+the\s+table"),
-    ("WORD_FORMATION", r"(?i)word\s+formation|form\s+(a|the)\s+word"),
-    ("IDIOM", r"(?i)\bidioms?\b"),
-    ("MATCHING", r"(?i)\bmatch\b|which\s+paragraph"),
-    ("ORDERING", r"(?is)put.*(correct|right)\s+order|arrange.*order"),
-    ("SELECT_ONE", r"(?i)choose\s+the\s+correct\s+answer"),
-    ("GAP_FILL", r"(?i)complete\s+(the\s+)?(sentences?|text)|missing\s+information"),
-    ("PROOF", r"(?i)\bprove\b"),
-    ("NUMERIC_RESPONSE", r"(?i)\bcalculate\b|\bcompute\b"),
-]
-# How a kind is answered.
-RESPONSE_MODES = {"TRUE_FALSE": "SELECT", "MATCHING": "MATCH", "ORDERING": "ORDER", "SELECT_ONE": "SELECT", "PROOF": "EXTENDED", "NUMERIC_RESPONSE": "NUMERIC"}
-
-
-def by_rules(text: Column, rules: list[tuple[str, str]], default: str = "UNKNOWN") -> Column:
-    """The name of the first rule whose pattern occurs in the text. Rules are data: pass your own profile."""
-    out = F.lit(default)
-    for name, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
-    return out
-
-
-def lookup(key: Column, values: dict[str, str], default: str) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key), F.lit(default))
-
-
 def quality(text: Column) -> Column:
     """struct(chars, suspicious, looks_empty) of the trimmed text."""
     t = F.trim(F.coalesce(text, F.lit("")))

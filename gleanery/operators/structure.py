@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.functions import texts
+from gleanery.functions import profile
 from gleanery.functions.urls import host
 from gleanery.operators.documents import segments
 from gleanery.sources.folders import checkpointed
@@ -26,7 +26,7 @@ def tasks(rows: DataFrame, section: Column, task: Column, by: str = "doc_id", or
     running = W.partitionBy(by, "section").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("task", F.sum((F.coalesce(task, F.lit(False)) & ~F.coalesce(section, F.lit(False))).cast("int")).over(running))
     got = rows.groupBy(by, "section", "task").agg(F.min(order).alias("first_pos"), F.max(order).alias("last_pos"), F.min_by(line, order).alias("label"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n").alias("body"))
-    got = got.withColumn("kind", texts.by_rules(F.col("body"), texts.KIND_RULES))
+    got = got.withColumn("kind", profile.kind(F.col("body")))
     short = F.length(F.trim("body")) < 40
     confidence = F.round(0.95 - F.when(F.col("task") == 0, 0.15).otherwise(0.0) - F.when(short, 0.2).otherwise(0.0), 3)
     return got.withColumns({"task_id": stable_id("task", F.col(by), F.col("section"), F.col("task")), "n_chars": F.length("body"), "confidence": confidence, "review": confidence < 0.78})

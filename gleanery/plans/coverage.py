@@ -71,7 +71,7 @@ def calibration_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def positional_pairing(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem")  # noqa: E741
-    side = lambda flag: l.where(f"l_returnflag = '{flag}' and l_orderkey < 2000").select("l_orderkey", (F.col("l_linenumber") + 10 * F.col("l_partkey")).alias("pos"))
+    side = lambda flag: l.where(f"l_returnflag = '{flag}'").select("l_orderkey", (F.col("l_linenumber") + 10 * F.col("l_partkey")).alias("pos"))
     return C.paired(side("A"), side("R"), ["l_orderkey"], "pos")
 
 
@@ -93,6 +93,6 @@ ORACLE_SQL = {
     "entitlement_wildcard": "WITH g(g, b, t, s) AS (VALUES (1, 'Brand#2', NULL, NULL), (2, NULL, 'ECONOMY', 11), (3, NULL, 'PROMO', NULL), (4, 'Brand#17', 'ECONOMY', NULL), (5, NULL, NULL, 50)) SELECT p_partkey, CAST(min(g) AS INT) AS \"grant\" FROM part LEFT JOIN g ON (b IS NULL OR b = p_brand) AND (t IS NULL OR t = p_type) AND (s IS NULL OR s = p_size) GROUP BY p_partkey",
     "problemset_groups": "SELECT 'set_' || substring(sha1(lower(p_brand || '|' || p_type)), 1, 20) AS bundle_id, p_brand, p_type, count(*) AS assets, array_to_string(list_sort(list(DISTINCT string_split(p_name, ' ')[1])), ',') AS roles, min(p_partkey) AS first_asset, count(DISTINCT string_split(p_name, ' ')[1]) > 1 AS complementary FROM part GROUP BY p_brand, p_type",
     "calibration_metrics": "WITH j AS (SELECT lang, quality = 1 AS g, length(text) >= 1000 AS m FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, count(*) FILTER (g AND m) AS tp, count(*) FILTER (NOT g AND m) AS fp, count(*) FILTER (g AND NOT m) AS fn, count(*) FILTER (NOT g AND NOT m) AS tn FROM j GROUP BY lang) SELECT *, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall FROM c",
-    "positional_pairing": "WITH s AS (SELECT l_orderkey, l_returnflag AS f, l_linenumber + 10 * l_partkey AS pos, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber + 10 * l_partkey) AS nth FROM lineitem WHERE l_orderkey < 2000), a AS (SELECT * FROM s WHERE f = 'A'), r AS (SELECT * FROM s WHERE f = 'R') SELECT coalesce(a.l_orderkey, r.l_orderkey) AS l_orderkey, CAST(coalesce(a.nth, r.nth) AS INT) AS nth, a.pos AS gold, r.pos AS machine FROM a FULL JOIN r ON a.l_orderkey = r.l_orderkey AND a.nth = r.nth",
+    "positional_pairing": "WITH s AS (SELECT l_orderkey, l_returnflag AS f, l_linenumber + 10 * l_partkey AS pos, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber + 10 * l_partkey) AS nth FROM lineitem), a AS (SELECT * FROM s WHERE f = 'A'), r AS (SELECT * FROM s WHERE f = 'R') SELECT coalesce(a.l_orderkey, r.l_orderkey) AS l_orderkey, CAST(coalesce(a.nth, r.nth) AS INT) AS nth, a.pos AS gold, r.pos AS machine FROM a FULL JOIN r ON a.l_orderkey = r.l_orderkey AND a.nth = r.nth",
     "cube_rollup": _OBS + " SELECT competition, status, count(*) AS n, CAST(grouping(competition, status) AS BIGINT) AS g FROM o GROUP BY CUBE (competition, status)",
 }

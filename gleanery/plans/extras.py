@@ -79,9 +79,9 @@ def recent_queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unresolved_hosts(spark: SparkSession, d: str) -> DataFrame:
-    """Links whose host has no page of its own, by host."""
+    """Links whose host has no secure page of its own, by host."""
     inv = links.inventory(table(spark, d, "pages")).select(urls.host(F.col("url")).alias("host"), "url")
-    pages = table(spark, d, "pages").where("page_id % 2 = 0").select(urls.host(F.col("url")).alias("host")).distinct()
+    pages = table(spark, d, "pages").where(F.col("url").startswith("https://")).select(urls.host(F.col("url")).alias("host")).distinct()
     return inv.join(pages, "host", "left_anti").groupBy("host").agg(F.count(F.lit(1)).alias("links"))
 
 
@@ -116,5 +116,5 @@ SELECT user_id, status, attempts FROM f QUALIFY row_number() OVER (PARTITION BY
 pg AS (SELECT *, round(remaining + weight * 10 + 8 * due + 10 * greatest(0.0, 0.75 - m), 9) AS gap FROM pr)
 SELECT learner, CAST(greatest(5, least(20, ceil(sum(remaining) / 14.0) + least(sum(due), 3))) AS INT) AS questions, CAST(sum(due) AS INT) AS due, array_to_string(list(unit ORDER BY gap DESC, unit)[1:3], ',') AS focus FROM pg GROUP BY learner""",
     "recent_queue": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20",
-    "unresolved_hosts": _INV + f", o AS (SELECT {_HOST.format(u='url')} AS host FROM inventory) SELECT host, count(*) AS links FROM o WHERE host NOT IN (SELECT {_HOST.format(u='url')} FROM pages WHERE page_id % 2 = 0) GROUP BY host",
+    "unresolved_hosts": _INV + f", o AS (SELECT {_HOST.format(u='url')} AS host FROM inventory) SELECT host, count(*) AS links FROM o WHERE host NOT IN (SELECT {_HOST.format(u='url')} FROM pages WHERE starts_with(url, 'https://')) GROUP BY host",
 }

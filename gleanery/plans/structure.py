@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from gleanery.operators import learner as L
 from gleanery.operators import links, structure
 from gleanery.operators.documents import lines
-from gleanery.plans.documents import _KIND, _LINES
+from gleanery.plans.documents import _CLEAN, _LINES
+from gleanery.plans.sheets import _kind
 from gleanery.plans.learner import _C, _answers
 from gleanery.plans.links import _HOST, _INV
 from gleanery.sources.tables import table
@@ -23,7 +24,7 @@ def task_structure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def composition_graph(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").where("l_orderkey < 1000")  # noqa: E741
+    l = table(spark, d, "lineitem")  # noqa: E741
     rows = l.groupBy("l_orderkey", "l_linenumber").count().select(F.concat(F.lit("o"), "l_orderkey").alias("owner"), F.concat_ws("-", F.lit("p"), "l_orderkey", "l_linenumber").alias("part"), "l_linenumber")
     return structure.composition(rows, "owner", "part", "l_linenumber")
 
@@ -85,8 +86,8 @@ ORACLE_SQL = {
 t AS (SELECT *, CAST(sum(CAST(starts_with(line, 'A') AND NOT sec AS INT)) OVER (PARTITION BY doc_id, section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS task FROM x),
 g AS (SELECT doc_id, section, task, CAST(min(pos) AS INT) AS first_pos, CAST(max(pos) AS INT) AS last_pos, arg_min(line, pos) AS label, string_agg(line, chr(10) ORDER BY pos) AS text FROM t GROUP BY ALL),
 c AS (SELECT *, round(0.95::DOUBLE - CASE WHEN task = 0 THEN 0.15::DOUBLE ELSE 0 END - CASE WHEN length(trim(text)) < 40 THEN 0.2::DOUBLE ELSE 0 END, 3) AS confidence FROM g)
-SELECT doc_id, section, task, 'task_' || substring(sha1(doc_id || '|' || section || '|' || task), 1, 20) AS task_id, first_pos, last_pos, label, {_KIND} AS kind, CAST(length(text) AS INT) AS n_chars, confidence, confidence < 0.78 AS review FROM c""",
-    "composition_graph": "WITH p AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_orderkey < 1000), r AS (SELECT 'o' || o AS own, 'p-' || o || '-' || n AS part, lag('p-' || o || '-' || n) OVER (PARTITION BY o ORDER BY n) AS before FROM p) SELECT own AS source, 'OWNS_PART' AS kind, part AS target FROM r UNION ALL SELECT part, 'DEPENDS_ON', before FROM r WHERE before IS NOT NULL",
+SELECT doc_id, section, task, 'task_' || substring(sha1(doc_id || '|' || section || '|' || task), 1, 20) AS task_id, first_pos, last_pos, label, {_kind(_CLEAN.format(x="text"))} AS kind, CAST(length(text) AS INT) AS n_chars, confidence, confidence < 0.78 AS review FROM c""",
+    "composition_graph": "WITH p AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem), r AS (SELECT 'o' || o AS own, 'p-' || o || '-' || n AS part, lag('p-' || o || '-' || n) OVER (PARTITION BY o ORDER BY n) AS before FROM p) SELECT own AS source, 'OWNS_PART' AS kind, part AS target FROM r UNION ALL SELECT part, 'DEPENDS_ON', before FROM r WHERE before IS NOT NULL",
     "discovery_network": _INV + f", v AS (SELECT 'site' AS kind, {_HOST.format(u='parent_url')} AS value FROM inventory UNION ALL SELECT 'page', parent_url FROM inventory UNION ALL SELECT 'resource', url FROM inventory) SELECT kind || '_' || substring(sha256(value), 1, 24) AS id, kind, value, count(*) AS n FROM v GROUP BY ALL",
     "bounded_crawl": "WITH RECURSIVE e AS (SELECT c_custkey AS a, unnest([c_custkey * 3, c_custkey * 3 + 1, c_custkey - 1]) AS b FROM customer), k AS (SELECT a, b FROM e WHERE b IN (SELECT c_custkey FROM customer)), r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT k.b, depth + 1 FROM r JOIN k ON k.a = r.node WHERE depth < 4) SELECT node, min(depth) AS depth FROM r GROUP BY node",
     "coverage_ratios": _FLAGS + " SELECT p_brand, count(*) AS total, count(*) FILTER (structured) AS structured, count(*) FILTER (mapped) AS mapped, count(*) FILTER (supported) AS supported, count(*) FILTER (structured AND mapped AND supported) AS runnable, round(count(*) FILTER (structured AND mapped AND supported) / count(*), 9) AS ratio FROM f GROUP BY p_brand",
