@@ -33,7 +33,7 @@ DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words or numbers joined by one kind of sign: file paths, slugs, constants, dates, phone and card numbers.
 JOINED = re.compile(r"[A-Za-z]*[0-9]*([/_+-]([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))+")
-#: Characters a token below which a run counts as random. English words have over 4, random base64 under 1.6.
+#: Characters a token below which a run counts as random. Plain words have over 4, random base64 under 1.6.
 LOOSE = 2.2
 #: The same for windows and parts of letters alone, and for windows of letters alone, and characters of a window.
 STRICT, STRICTER, LEAST = 1.6, 1.4, 16
