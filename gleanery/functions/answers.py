@@ -43,7 +43,7 @@ def version(v: Column) -> Column:
 
 
 def localized(labels: Column, language: Column) -> Column:
-    """The label of the language, else English, else Russian, else any."""
+    """The label of the language, else that of `en`, else that of `ru`, else any."""
     return F.coalesce(F.try_element_at(labels, language), F.try_element_at(labels, F.lit("en")), F.try_element_at(labels, F.lit("ru")), F.try_element_at(F.map_values(labels), F.lit(1)))
 
 

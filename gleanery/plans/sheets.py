@@ -146,7 +146,7 @@ lines AS (SELECT *, CAST(x0 + 40 + len(text) * 3.0 AS DOUBLE) AS x1, CAST(y0 + 1
 """
 _LABEL = "CASE WHEN is_task THEN 'Task ' || number ELSE text[1:80] END"
 _SECLABEL = f"CASE WHEN st = 'SPEAKING_SET' THEN 'Speaking Set ' || {_g('text', P.SET)} WHEN st IS NULL AND is_task THEN 'Tasks' ELSE text[1:100] END"
-_SKILL = "st IN ('LISTENING', 'READING', 'USE_OF_ENGLISH', 'WRITING')"
+_SKILL = f"st IN ({', '.join(map(_text, P.SKILLS))})"
 _STARTS = (
     _SHEETS
     + f""",
