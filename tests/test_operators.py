@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import answers, metadata, texts, urls
 from gleanery.operators import coverage, learner, links, quality, queues
-from gleanery.sources import folders
+from gleanery.sources import exports, folders
 from gleanery.streaming import answers as streams
 
 
@@ -166,6 +166,51 @@ def test_line_files(spark, tmp_path):
     assert folders.write_by_content(docs, str(tmp_path / "raw"), "text").count() == 0
 
 
+def test_ordered_readers_and_shards(spark, tmp_path):
+    for k, body in (("batch_2", '{"id": 3}\n'), ("batch_1", '{"id": 1}\nnoise\n{"id": 2}\n')):
+        (tmp_path / f"{k}.jsonl").write_text(body)
+    rows = exports.read_in_order(spark, str(tmp_path / "batch_*.jsonl"), "id int")
+    assert [r["id"] for r in rows.orderBy("file", "line").collect()] == [1, 2, 3]
+    for name, body in (("a", '[{"id": 1}]'), ("b", '{"tasks": [{"id": 2}, {"id": 3}]}'), ("c", '{"id": 4}\n{"id": 5}')):
+        (tmp_path / f"{name}.json").write_text(body)
+    assert sorted(r["id"] for r in exports.read_layouts(spark, str(tmp_path / "*.json"), "struct<id:int>").collect()) == [1, 2, 3, 4, 5]
+    catalog = spark.createDataFrame([("p1", "batch_1.jsonl", True), ("p2", "batch_2.jsonl", False)], "pack_id string, asset string, enabled boolean")
+    got = exports.read_catalog(spark, catalog, str(tmp_path), "id int").where("id is not null")
+    assert sorted((r["pack_id"], r["id"]) for r in got.collect()) == [("p1", 1), ("p1", 2)]
+    rows = spark.range(250).repartition(5)
+    exports.append_shards(rows.where("id < 130"), str(tmp_path / "s"), "id")
+    exports.append_shards(rows.where("id >= 130"), str(tmp_path / "s"), "id", held=130)
+    assert {(r["shard"], r["count"]) for r in spark.read.json(str(tmp_path / "s")).groupBy("shard").count().collect()} == {(0, 100), (1, 100), (2, 50)}
+    exports.write_sorted(rows, str(tmp_path / "t"), "id")
+    assert spark.read.json(str(tmp_path / "t")).count() == 250
+    old, new = exports.shard_digests(rows, "id"), exports.shard_digests(rows.where("id <> 249 and id < 200 or id > 240 and id < 249"), "id")
+    assert {tuple(r) for r in exports.shard_changes(old, new).collect()} == {(0, "same"), (1, "same"), (2, "changed")}
+
+
+def test_small_answer_rules(spark):
+    assert one(spark, answers.combo_rank(F.col("c").cast("int")), c="9") == 3
+    assert one(spark, answers.localized(F.create_map(F.lit("ru"), F.lit("x"), F.lit("en"), F.lit("y")), F.col("l")), l="de") == "y"
+    assert [one(spark, answers.truthy(F.col("x")), x=v) for v in ("", " No ", "0", "yes")] == [False, False, False, True]
+    assert [one(spark, answers.lenient_int(F.col("x"), 100, 1, 50), x=v) for v in ("7", "bad", "0")] == [7, 50, 1]
+    assert one(spark, answers.version(F.col("v")) < answers.version(F.lit("1.10")), v="1.9.3")
+    stop = lambda used, more: one(spark, answers.quota(F.lit(used), F.lit(100), F.lit(0), F.lit(0.95), F.col("m").cast("int")), m=str(more))["stop"]
+    assert [stop(90, 0), stop(95, 0), stop(93, 2)] == [False, True, True]
+
+
+def test_nulls_are_violations(spark):
+    df = spark.createDataFrame([("a", 1), (None, 5), ("b", None)], "k string, v int")
+    assert quality.allowed(df, "k", ["a", "b"]).count() == 1 and quality.within(df, "v", 0, 4).count() == 2
+
+
+def test_first_seen_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-01-02"), ("b", "2024-01-01")], "id string, at string").select("id", F.to_timestamp("at").alias("found_at"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = streams.first_seen(stream).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["id"] for r in spark.table("firsts").collect()) == ["a", "b"]
+
+
 def test_streams(spark, tmp_path):
     rows = answers_of(spark, [True, False, True, True])
     rows.write.parquet(str(tmp_path / "in"))
