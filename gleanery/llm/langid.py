@@ -131,20 +131,21 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     return Model(languages, (logits / t).astype(np.float32), bias / t, threshold)
 
 
-def sample(docs: DataFrame, text: str, label: str, per_class: int) -> list:
-    """About `per_class` labelled rows (text, label) of each class, chosen by a hash over the whole table."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
+def sample(docs: DataFrame, text: str, label: str, per_class: int, key: str) -> list:
+    """About `per_class` labelled rows (text, label) of each class: those lowest in a hash of key, text and label, so the same in each run."""
+    drawn = F.xxhash64(key, text, label)
+    rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"), drawn.alias("h"))
     counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}  # a row for each label
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("t", "l"), F.lit(1_000_000)) < F.element_at(share, F.col("l")) * 1_000_000)
-    return [(r[0], r[1]) for r in chosen.limit(2 * per_class * len(counts)).collect()]
+    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < F.element_at(share, F.col("l")) * 1_000_000)
+    return [(r[0], r[1]) for r in chosen.orderBy("h", "l").limit(2 * per_class * len(counts)).collect()]
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, key: str = "doc_id") -> Model:
     """A model trained on a bounded sample of the labelled rows of `docs`."""
-    rows = sorted(sample(docs, text, label, per_language))
+    rows = sorted(sample(docs, text, label, per_language, key))
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 

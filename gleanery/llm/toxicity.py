@@ -269,9 +269,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     if not counts:
         return train([], [])
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_class / n))])
-    chosen = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.element_at(share, F.col("_y")) * 1_000_000).limit(2 * per_class * len(counts))
+    chosen = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.element_at(share, F.col("_y")) * 1_000_000)
+    chosen = chosen.orderBy(F.xxhash64(key), key, "_y").limit(2 * per_class * len(counts))
     # at most 2 * per_class ids of each label: a proven bound for the broadcast
-    got = docs.select(key, F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(chosen), key).select("_t", "_y").limit(4 * per_class * len(counts)).collect()
+    got = docs.select(key, F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(chosen), key).orderBy(F.xxhash64(key, "_t"), "_y").select("_t", "_y").limit(4 * per_class * len(counts)).collect()
     got = sorted((r[0], r[1]) for r in got)
     return train([r[0] for r in got], [r[1] for r in got], counts)
 
