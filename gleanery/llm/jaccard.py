@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from gleanery.llm import exchange as X
@@ -38,6 +39,8 @@ from gleanery.llm.frames import discard, give_back, schema_with, shuffle_partiti
 
 SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 256, 16, 8, 512
 KEY_BITS = 40
+#: Pairs of one lead that stay together.
+PAIRS = 4096
 
 
 def linked(common, a, b):
@@ -289,15 +292,21 @@ def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
 
 
 def verify(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets are similar enough. A part of the pairs gets each set it needs once.
+    """The pairs whose shingle sets are similar enough, stored. A part of the pairs gets each set it needs once.
 
-    Of a pair the first is a seed more often than the second: dealt by the second, a seed of many pairs goes to all parts and fills none.
+    Pairs are dealt by the lowest partner of their second unit, mostly one seed for a group of copies, so most sets travel once; the pairs of a
+    partner that has more than `PAIRS` of them are dealt further by their second unit.
     """
     parts = 2 * shuffle_partitions(pairs)
-    pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
-    need = pairs.select(F.col("_part").alias("_need"), F.explode(F.array("a", "b")).alias("unit")).distinct()
-    sets = need.join(sigs.select("unit", "grams"), "unit")
-    return pairs.groupBy("_part").cogroup(sets.groupBy("_need")).applyInArrow(_verify, "a binary, b binary")
+    led = stored(pairs.withColumn("_lead", F.min("a").over(Win.partitionBy("b"))))
+    many = led.groupBy("_lead").count().where(F.col("count") > PAIRS).select("_lead", F.ceil(F.col("count") / F.lit(PAIRS)).alias("_split"))
+    turn = F.pmod(F.xxhash64("b"), F.coalesce("_split", F.lit(1)))
+    dealt = led.join(many, "_lead", "left").select("a", "b", F.pmod(F.xxhash64("_lead", turn), F.lit(parts)).cast("int").alias("_part"))
+    need = dealt.select(F.col("_part").alias("_need"), F.explode(F.array("a", "b")).alias("unit")).distinct()
+    sets = need.join(sigs.where(F.col("grams").isNotNull()).select("unit", "grams"), "unit")
+    sure = stored(dealt.groupBy("_part").cogroup(sets.groupBy("_need")).applyInArrow(_verify, "a binary, b binary"))
+    discard(led)
+    return sure
 
 
 def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataFrame:
@@ -310,7 +319,7 @@ def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataF
     to_all = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     every = rows.withColumn("asks", F.lit(False)).unionByName(to_all(lead))
     pairs = stored(_search(every, seeds))
-    first = connected(sure := stored(verify(pairs, sigs)))
+    first = connected(sure := verify(pairs, sigs))
     # second round: of each group, all but the largest component ask
     now = stored(rows.join(first.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
     sizes = now.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("n_comp"))
@@ -319,7 +328,7 @@ def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataF
     late = stored(_search(held.unionByName(to_all(some.where("component <> main")))))
     # what the second round links are components of the first and units that had no link
     known = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-    found = stored(verify(late, sigs)).join(known("a"), "a", "left").join(known("b"), "b", "left")
+    found = verify(late, sigs).join(known("a"), "a", "left").join(known("b"), "b", "left")
     second = connected(found.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
     moved = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     alone = second.join(first, "node", "left_anti")
