@@ -320,10 +320,11 @@ def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataF
     every = rows.withColumn("asks", F.lit(False)).unionByName(to_all(lead))
     pairs = stored(_search(every, seeds))
     first = connected(sure := verify(pairs, sigs))
-    # second round: of each group, all but the largest component ask
-    now = stored(rows.join(first.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
+    # second round: of each group, all but the largest component ask; vectors come back for groups of several components only
+    now = stored(rows.drop("vector").join(first.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
     sizes = now.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("n_comp"))
-    some = now.join(sizes.where("n_comp > 1").select("token", "main"), "token")
+    mixed = now.join(sizes.where("n_comp > 1").select("token", "main"), "token")
+    some = stored(mixed.join(sigs.where(F.size("tokens") > 0).select("unit", "vector"), "unit"))
     held = some.withColumn("asks", F.lit(False))
     late = stored(_search(held.unionByName(to_all(some.where("component <> main")))))
     # what the second round links are components of the first and units that had no link
@@ -333,7 +334,7 @@ def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataF
     moved = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     alone = second.join(first, "node", "left_anti")
     out = stored(moved.unionByName(alone.select("node", "component")))
-    discard(pairs, sure, now, late)
+    discard(pairs, sure, now, some, late)
     return out
 
 
