@@ -299,13 +299,14 @@ def verify(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """
     parts = 2 * shuffle_partitions(pairs)
     led = stored(pairs.withColumn("_lead", F.min("a").over(Win.partitionBy("b"))))
-    many = led.groupBy("_lead").count().where(F.col("count") > PAIRS).select("_lead", F.ceil(F.col("count") / F.lit(PAIRS)).alias("_split"))
+    # written, so that Spark knows how few they are before it plans the join
+    many = stored(led.groupBy("_lead").count().where(F.col("count") > PAIRS).select("_lead", F.ceil(F.col("count") / F.lit(PAIRS)).alias("_split")))
     turn = F.pmod(F.xxhash64("b"), F.coalesce("_split", F.lit(1)))
     dealt = led.join(many, "_lead", "left").select("a", "b", F.pmod(F.xxhash64("_lead", turn), F.lit(parts)).cast("int").alias("_part"))
     need = dealt.select(F.col("_part").alias("_need"), F.explode(F.array("a", "b")).alias("unit")).distinct()
     sets = need.join(sigs.where(F.col("grams").isNotNull()).select("unit", "grams"), "unit")
     sure = stored(dealt.groupBy("_part").cogroup(sets.groupBy("_need")).applyInArrow(_verify, "a binary, b binary"))
-    discard(led)
+    discard(led, many)
     return sure
 
 
