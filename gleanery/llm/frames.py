@@ -21,6 +21,21 @@ def schema_with(df: DataFrame, **more: str) -> StructType:
     return StructType([*df.schema.fields, *(StructField(k, DataType.fromDDL(v)) for k, v in more.items())])
 
 
+def masked(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[..., DataFrame]]:
+    """`df` under names of its own, so that no column of the caller's can clash with those an operator adds.
+
+    Returns the frame with columns c0, c1, ..., the new names of `names`, and a function that gives a frame's columns their old
+    names back, followed by results: new name=column.
+    """
+    old = df.columns
+    new = [f"c{k}" for k in range(len(old))]
+
+    def back(out: DataFrame, **results: Any) -> DataFrame:
+        return out.select(*[F.col(n).alias(o) for n, o in zip(new, old, strict=True) if o not in results], *[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in results.items()])
+
+    return df.toDF(*new), [new[old.index(n)] for n in names], back
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, decontaminate, jaccard, langid, language_model, neighbours, secrets, sharding, substrings, toxicity
+from gleanery.llm import bpe, decontaminate, jaccard, langid, language_model, neighbours, secrets, sharding, simhash, substrings, toxicity
+from gleanery.llm.frames import stored
 
 #: Vocabulary files: parameters of the operators that need one.
 GENERAL = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -102,6 +103,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", simhash.fingerprint("text").alias("fingerprint"))
+    return simhash.classes(stored(docs)).select("doc_id", simhash.hexed("fingerprint").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -113,6 +119,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_simhash": op11_simhash,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
