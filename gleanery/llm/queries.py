@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from gleanery.llm import bpe, decontaminate, jaccard, langid, language_model, neighbours, secrets, sharding, simhash, substrings, toxicity
+from gleanery.llm import bpe, decontaminate, jaccard, langid, language_model, neighbours, repeats, secrets, sharding, simhash, substrings, toxicity
 from gleanery.llm.frames import stored
 
 #: Vocabulary files: parameters of the operators that need one.
@@ -108,6 +112,41 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(stored(docs)).select("doc_id", simhash.hexed("fingerprint").alias("fingerprint"), "component_id")
 
 
+@F.arrow_udf(StringType())
+def _planted(text: pa.Array, h: pa.Array) -> pa.Array:
+    """Texts in which, for h divisible by 10, the words from a given one on are those of a period."""
+    out = text.to_pylist()
+    for k, x in enumerate(h.to_pylist()):
+        if x is None or x % 10 or not out[k]:
+            continue
+        w = re.findall(rb"[^\x20\x09-\x0D]+", out[k].encode())
+        if w:
+            n, g = len(w), x // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            out[k] = b" ".join(w[i if i < a else a + (i - a) % p] for i in range(n)).decode()
+    return pa.array(out, pa.string())
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", F.octet_length("text").alias("size"), _planted("text", F.crc32(F.col("doc_id").cast("string"))).alias("text"))
+    found = repeats.find_runs(docs, size="size")
+    # runs come by start, then period: an earlier one stays at equal exponents
+    higher = lambda a, b: b["length"] * a["period"] > a["length"] * b["period"]
+    best = F.aggregate(F.col("runs"), F.get("runs", F.lit(0)), lambda a, b: F.when(higher(a, b), b).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    ).withColumn("exponent_milli", F.expr("(1000 * length) div period"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -120,6 +159,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_simhash": op11_simhash,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
