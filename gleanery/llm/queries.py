@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gleanery.llm import bpe, decontaminate, jaccard, langid, language_model, neighbours, repeats, secrets, sharding, simhash, substrings, toxicity
+from gleanery.llm import bpe, conversations, decontaminate, jaccard, langid, language_model, neighbours, repeats, secrets, sharding, simhash, substrings, toxicity
 from gleanery.llm.frames import stored
 
 #: Vocabulary files: parameters of the operators that need one.
@@ -112,6 +112,24 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(stored(docs)).select("doc_id", simhash.hexed("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    blank = F.lit(" ")
+    harm = F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])) % 20
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    harmed = (
+        rows.withColumn("harm", harm)
+        .where("harm <> 0")
+        .withColumn("text", F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text))
+        .withColumn("role", F.when(F.col("harm") == 4, "user").otherwise(role))
+        .withColumn("copy", F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    )
+    found = conversations.repair(harmed).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @F.arrow_udf(StringType())
 def _planted(text: pa.Array, h: pa.Array) -> pa.Array:
     """Texts in which, for h divisible by 10, the words from a given one on are those of a period."""
@@ -159,6 +177,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_simhash": op11_simhash,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
