@@ -199,21 +199,29 @@ def parts(lines: DataFrame) -> DataFrame:
     return got.select(*_TASK, "part", F.concat(F.lit("Part "), "_mark").alias("label"), P.kind(F.col("_text")).alias("kind"), F.when(F.col("_m"), 0.94).otherwise(0.78).alias("confidence"))
 
 
-def composition(owned: DataFrame, body: DataFrame) -> DataFrame:
-    """Edges (source, kind, target) of tasks with two parts or more: parts owned, a stimulus shared, and dependence on the part before.
+def composition(owned: DataFrame, body: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
+    """Edges (source, kind, target) of tasks with two parts or more: parts owned, a stimulus shared, its artifacts, and dependence on the part before.
 
-    `owned`: what `parts` returns; `body`: rows (doc, section, task, shared, body), `shared` where text stands before the first part.
+    `owned`: what `parts` returns; `body`: rows (doc, section, task, shared, body), `shared` where text stands before the first part;
+    `artifacts`: rows (doc, section, task, artifact). A task has a stimulus where it shares text or owns an artifact.
     """
     many = owned.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*_TASK))).where("_n >= 2")
     task = stable_id("task_group", F.col("doc"), F.col("section"), F.col("task"))
     part = stable_id("part", F.col("doc"), F.col("section"), F.col("task"), F.col("part"))
     stimulus = stable_id("shared_stimulus", F.col("doc"), F.col("section"), F.col("task"))
     before = stable_id("part", F.col("doc"), F.col("section"), F.col("task"), F.col("part") - 1)
-    rows = many.join(body, _TASK)
+    rows, shares = many.join(body, _TASK), F.col("shared")
+    if artifacts is not None:
+        rows = rows.join(artifacts.select(*_TASK).distinct().withColumn("_own", F.lit(True)), _TASK, "left")
+        shares = shares | F.col("_own").isNotNull()
     edge = lambda source, kind, target: F.struct(source.alias("source"), F.lit(kind).alias("kind"), target.alias("target"))
     later = P.found(F.col("body"), P.DEPENDENCY) & (F.col("part") > 1)
-    edges = F.array_compact(F.array(edge(task, "OWNS_PART", part), F.when(F.col("shared"), edge(part, "USES_STIMULUS", stimulus)), F.when(later, edge(part, "DEPENDS_ON", before))))
-    return rows.select(F.explode(edges).alias("e")).select("e.*")
+    edges = F.array_compact(F.array(edge(task, "OWNS_PART", part), F.when(shares, edge(part, "USES_STIMULUS", stimulus)), F.when(later, edge(part, "DEPENDS_ON", before))))
+    out = rows.select(F.explode(edges).alias("e")).select("e.*")
+    if artifacts is None:
+        return out
+    uses = many.select(*_TASK).distinct().join(artifacts.select(*_TASK, "artifact").distinct(), _TASK)
+    return out.unionByName(uses.select(edge(stimulus, "USES_ARTIFACT", F.col("artifact")).alias("e")).select("e.*"))
 
 
 def answer_groups(lines: DataFrame) -> DataFrame:

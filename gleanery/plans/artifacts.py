@@ -1,0 +1,131 @@
+"""Queries on artifacts of task sheets. Lines are those of `plans.sheets`; each stands for what a page shows beside it: a table, an image, or drawings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.functions import profile as P
+from gleanery.operators import artifacts as A
+from gleanery.operators import sheets as S
+from gleanery.plans.sheets import _PARTS, _PID, _SPANS, _T, _m, _real, sheet_lines
+from gleanery.sources.folders import checkpointed
+
+
+def visuals(lines: DataFrame) -> DataFrame:
+    """Every fourth line is a table, the next an image, the next five drawings; some drawings lie over a table of their size."""
+    k, x, y = F.col("pos") % 8, F.col("x0"), F.col("y0")
+
+    def item(name: str, raw: str, left, top, right, bottom, cells):
+        box = [c.cast("double").alias(n) for c, n in zip((left, top, right, bottom), ("x0", "y0", "x1", "y1"), strict=True)]
+        return F.struct(F.concat(F.lit(name), F.col("pos")).alias("visual"), F.lit(raw).alias("raw"), *box, cells.cast("int").alias("cells"))
+
+    table = item("t", "table", x, y + 4, x + 200, y + 44, F.col("pos") * 3)
+    image = item("i", "image", x + 10, y + 2, x + 90, y + 60, F.lit(0))
+    drawn = [item(f"d{i}.", "drawing", x + 40 * i, y + 4, x + 40 * i + 40, y + 44, F.lit(0)) for i in range(5)]
+    over = item("o", "table", x, y + 4, x + 200, y + 46, F.lit(2))
+    found = F.when(k.isin(1, 5), F.array(table)).when(k.isin(2, 6), F.array(image)).when(k == 3, F.array(*drawn)).when(k == 7, F.array(*drawn, over))
+    return lines.select("doc", "page", F.explode(found).alias("v")).select("doc", "page", "v.*")
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    lines = sheet_lines(spark, d)
+    return A.artifacts(visuals(lines), lines)
+
+
+def sheet_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    got = _found(spark, d)
+    return got.withColumns({"sources": F.array_join("sources", ","), "binding_reasons": F.array_join("binding_reasons", ",")})
+
+
+def artifact_edges(spark: SparkSession, d: str) -> DataFrame:
+    lines = sheet_lines(spark, d)
+    tasks = checkpointed(S.tasks(lines))
+    # without text of its own a task shares only what it owns
+    body = tasks.select("doc", "section", "task", F.lit(False).alias("shared"), "body")
+    return S.composition(S.parts(lines), body, A.artifacts(visuals(lines), lines, tasks))
+
+
+def task_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    lines = sheet_lines(spark, d)
+    tasks = checkpointed(S.tasks(lines))
+    owned = A.artifacts(visuals(lines), lines, tasks)
+    parts = S.parts(lines).groupBy("doc", "section", "task").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return A.reconstructed(tasks, owned, parts).select("doc", "section", "task", "confidence", "review", "n_artifacts")
+
+
+QUERIES = {f.__name__: f for f in (sheet_artifacts, artifact_edges, task_reconstruction)}
+
+# the SQL joins all visuals of a page with all tasks on it, and reads the kinds' fixed values from the rules' names
+_X = "greatest(0, least(v.x1, s.x1) - greatest(v.x0, s.x0)) / greatest(1, least(v.x1 - v.x0, s.x1 - s.x0))"
+_GAP = "greatest(0, s.y0 - v.y1, v.y0 - s.y1)"
+_ACROSS = f"CASE WHEN {_X} >= 0.5 THEN {{0}} WHEN {_X} >= 0.15 THEN {{1}} WHEN v.x1 - v.x0 >= 0.72 * 600 THEN {{2}} ELSE {{3}} END"
+_DOWN = f"CASE WHEN {_GAP} = 0 THEN {{0}} WHEN {_GAP} <= 48 THEN {{1}} WHEN {_GAP} <= 120 THEN {{2}} ELSE {{3}} END"
+_SCORE = f"round(greatest(0, least(0.98::DOUBLE, 0.36::DOUBLE + {_ACROSS.format('0.34::DOUBLE', '0.18::DOUBLE', '0.14::DOUBLE', '0')} + {_DOWN.format('0.22::DOUBLE', '0.16::DOUBLE', '0.08::DOUBLE', '-0.18::DOUBLE')})), 3)"
+_WHY = f"concat_ws(',', {_ACROSS.format(*map(repr, ('x_overlap', 'partial_x_overlap', 'full_width_asset')), 'NULL')}, {_DOWN.format(*map(repr, ('body_overlap', 'near_body', 'within_task_neighborhood', 'far_from_body')))})"
+_RULES = [
+    ("raw = 'table' AND tk IN ('TRUE_FALSE', 'TRUE_FALSE_NOT_STATED', 'TABLE_GAP_FILL')", "RESPONSE_TABLE", 0.94, "task_kind_table"),
+    ("raw = 'table' AND tk = 'FORM_FILL'", "FORM", 0.92, "form_fill_table"),
+    (f"raw = 'table' AND {_m('nearby', P.BANK_WORDS)}", "WORD_BANK", 0.9, "nearby_word_bank_caption"),
+    ("raw = 'table' AND cells >= 16", "GRID", 0.82, "dense_cell_grid"),
+    ("raw = 'table'", "TABLE", 0.91, "pdf_table"),
+    (_m("nearby", P.MAP_WORDS), "MAP", 0.88, "nearby_map_caption"),
+    (_m("nearby", P.GRAPH_WORDS), "GRAPH", 0.88, "nearby_graph_caption"),
+    (_m("nearby", P.FIGURE_WORDS), "FIGURE", 0.87, "nearby_figure_caption"),
+    ("raw = 'image'", "FIGURE", 0.78, "generic_image"),
+    ("true", "DIAGRAM", 0.72, "vector_drawing_group"),
+]
+
+
+def _ruled(k: int) -> str:
+    return "CASE " + " ".join(f"WHEN {r[0]} THEN {r[k]!r}{'::DOUBLE' if k == 2 else ''}" for r in _RULES) + " END"
+
+
+_TYPED = f"""
+{{n}}b AS (SELECT v.*, {_SCORE} AS binding, {_WHY} AS binding_reasons FROM {{src}} v JOIN spn s USING (doc, section, task, page) WHERE {_SCORE} >= 0.42),
+{{n}}n AS (SELECT b.*, coalesce(string_agg(l.text, ' ' ORDER BY l.pos), '') AS nearby, coalesce(arg_min(CASE WHEN {_m("l.text", P.CAPTION)} THEN l.text END, CASE WHEN {_m("l.text", P.CAPTION)} THEN l.pos END), '') AS caption
+  FROM {{n}}b b LEFT JOIN lines l ON l.doc = b.doc AND l.page = b.page AND greatest(l.y0 - b.y1, b.y0 - l.y1, 0) <= 72 GROUP BY ALL),
+{{n}}t AS (SELECT n.*, 'artifact_' || sha1(doc || '|' || section || '|' || task || '|' || lower(source))[1:20] AS artifact, {_ruled(1)} AS kind, {_ruled(2)} AS type_confidence, {_ruled(3)} AS type_reason
+  FROM {{n}}n n JOIN (SELECT {_T}, kind AS tk FROM tasks) USING (doc, section, task))"""
+_INTER = "greatest(0, least(g.x1, t.x1) - greatest(g.x0, t.x0)) * greatest(0, least(g.y1, t.y1) - greatest(g.y0, t.y0))"
+_AREA = "({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0)"
+_ART = (
+    _PARTS
+    + f""",
+vis AS (SELECT doc, page, 't' || pos AS visual, 'table' AS raw, x0, y0 + 4 AS y0, x0 + 200 AS x1, y0 + 44 AS y1, pos * 3 AS cells FROM lines WHERE pos % 4 = 1
+  UNION ALL SELECT doc, page, 'i' || pos, 'image', x0 + 10, y0 + 2, x0 + 90, y0 + 60, 0 FROM lines WHERE pos % 4 = 2
+  UNION ALL SELECT doc, page, 'd' || i || '.' || pos, 'drawing', x0 + 40 * i, y0 + 4, x0 + 40 * i + 40, y0 + 44, 0 FROM lines, range(5) r(i) WHERE pos % 4 = 3
+  UNION ALL SELECT doc, page, 'o' || pos, 'table', x0, y0 + 4, x0 + 200, y0 + 46, 2 FROM lines WHERE pos % 8 = 7),
+wh AS (SELECT {_T}, arg_min({{'page': page, 'y': y0}}, pos) AS f, arg_max({{'p': next_page, 'y': next_y}}, pos) AS l FROM owned GROUP BY ALL),
+pg AS (SELECT {_T}, page, max(height) AS h FROM owned GROUP BY ALL),
+tp AS (SELECT *, CASE WHEN page = f.page THEN f.y ELSE 0.0 END AS top FROM pg JOIN wh USING (doc, section, task)),
+bnd AS (SELECT {_T}, page, top, CASE WHEN page = l.p THEN greatest(top + 1.0, l.y - 1.0) ELSE h END AS bottom FROM tp),
+spn AS ({_SPANS.format(b="blk")}),
+seen AS (SELECT v.*, section, task FROM vis v JOIN bnd b ON b.doc = v.doc AND b.page = v.page AND least(v.y1, bottom) - greatest(v.y0, top) > 1),
+one AS (SELECT {_T}, page, x0, y0, x1, y1, raw, cells, visual AS source, visual AS sources FROM seen WHERE raw <> 'drawing'),{_TYPED.format(n="sg", src="one")},
+grp AS (SELECT {_T}, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, 'drawing' AS raw, 0 AS cells, 'drawings' || page AS source, string_agg(visual, ',' ORDER BY visual) AS sources FROM seen WHERE raw = 'drawing' GROUP BY {_T}, page HAVING count(*) >= 4),
+free AS (SELECT * FROM grp g WHERE {_AREA.format("g")} > 100 AND NOT EXISTS (SELECT 1 FROM sgt t WHERE t.doc = g.doc AND t.section = g.section AND t.task = g.task AND t.page = g.page AND kind IN ('TABLE', 'GRID', 'RESPONSE_TABLE', 'FORM')
+  AND {_INTER} >= 0.70 * ({_AREA.format("g")} + {_AREA.format("t")} - {_INTER}))),{_TYPED.format(n="gp", src="free")},
+txt AS (SELECT {_T}, page, x0, y0, x1, y1, 'line' || pos || CASE WHEN k = 1 THEN '.1' ELSE '' END AS source, role_confidence FROM blk WHERE line_role = 'FORMULA_TEXT'),
+every AS (SELECT {_T}, page, x0, y0, x1, y1, source, sources, artifact, kind, type_confidence, type_reason, binding, binding_reasons, caption, round(least(type_confidence, binding), 3) AS confidence FROM (SELECT * FROM sgt UNION ALL BY NAME SELECT * FROM gpt)
+  UNION ALL SELECT {_T}, page, x0, y0, x1, y1, source, source, 'artifact_' || sha1(doc || '|' || section || '|' || task || '|' || source || '|formula')[1:20], 'FORMULA', role_confidence, CASE WHEN source LIKE '%.1' THEN 'inline_task_statement:' ELSE '' END || 'formula_symbols', 0.99, 'owned_text_block', '', round(role_confidence, 3) FROM txt)
+"""
+)
+_REAL = ("x0", "y0", "x1", "y1", "type_confidence", "binding", "confidence")
+_STIM = "'shared_stimulus_' || sha1(doc || '|' || section || '|' || task)[1:20]"
+
+ORACLE_SQL = {
+    "sheet_artifacts": _real(_ART + "SELECT * FROM every", *_REAL),
+    "artifact_edges": _ART + f""", many AS (SELECT p.*, body, EXISTS (SELECT 1 FROM every e WHERE e.doc = p.doc AND e.section = p.section AND e.task = p.task) AS own FROM (SELECT *, count(*) OVER (PARTITION BY {_T}) AS n FROM parts) p JOIN tasks USING (doc, section, task) WHERE n >= 2)
+SELECT 'task_group_' || sha1(doc || '|' || section || '|' || task)[1:20] AS source, 'OWNS_PART' AS kind, {_PID.format(p="part")} AS target FROM many
+UNION ALL SELECT {_PID.format(p="part")}, 'USES_STIMULUS', {_STIM} FROM many WHERE own
+UNION ALL SELECT {_PID.format(p="part")}, 'DEPENDS_ON', {_PID.format(p="(part - 1)")} FROM many WHERE part > 1 AND {_m("body", P.DEPENDENCY)}
+UNION ALL SELECT {_STIM}, 'USES_ARTIFACT', artifact FROM (SELECT DISTINCT {_T}, artifact FROM many JOIN every USING (doc, section, task))""",
+    "task_reconstruction": _real(
+        _ART
+        + f""", own AS (SELECT {_T}, count(*) AS n, min(binding) AS bind, min(confidence) AS weakest FROM every GROUP BY ALL), comp AS (SELECT {_T} FROM parts GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT t.doc, t.section, t.task, round(least(t.confidence, coalesce(bind, 1), CASE WHEN c.doc IS NOT NULL THEN 0.84 ELSE 1 END), 3) AS confidence, weakest, coalesce(n, 0) AS n_artifacts FROM tasks t LEFT JOIN own USING (doc, section, task) LEFT JOIN comp c USING (doc, section, task))
+SELECT {_T}, confidence, confidence < 0.78 OR coalesce(weakest < 0.65, false) AS review, n_artifacts FROM r""",
+        "confidence",
+    ),
+}
