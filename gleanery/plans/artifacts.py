@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import profile as P
 from gleanery.operators import artifacts as A
+from gleanery.operators import proposals as D
 from gleanery.operators import sheets as S
-from gleanery.plans.sheets import _PARTS, _PID, _SPANS, _T, _m, _real, sheet_lines
+from gleanery.plans.sheets import _PARTS, _PID, _SECLABEL, _SPANS, _T, _WRITING, ROLES, _kind, _m, _mode, _real, _text, sheet_lines
 from gleanery.sources.folders import checkpointed
+from gleanery.sources.tables import table
 
 
 def visuals(lines: DataFrame) -> DataFrame:
@@ -54,7 +56,25 @@ def task_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     return A.reconstructed(tasks, owned, parts).select("doc", "section", "task", "confidence", "review", "n_artifacts")
 
 
-QUERIES = {f.__name__: f for f in (sheet_artifacts, artifact_edges, task_reconstruction)}
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer: those without orders are documents without lines."""
+    k = F.col("c_custkey")
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (k % len(ROLES) + 1).cast("int"))
+    return table(spark, d, "customer").select(k.alias("doc"), F.concat(F.lit("sheet-"), k, F.lit(".pdf")).alias("filename"), role.alias("role"))
+
+
+def document_proposals(spark: SparkSession, d: str) -> DataFrame:
+    got = D.verified(D.proposals(_documents(spark, d), sheet_lines(spark, d)), "proposal")
+    return got.withColumn("warnings", F.array_join("warnings", ",")).drop("proposal")
+
+
+def document_manifests(spark: SparkSession, d: str) -> DataFrame:
+    lines = checkpointed(sheet_lines(spark, d))
+    seen = lines.select("doc", F.concat(F.lit("s"), F.col("pos") % 3).alias("source_id"), F.concat(F.lit("https://h.example/"), F.col("pos") % 2).alias("url"))
+    return D.manifests(D.proposals(_documents(spark, d), lines), D.layout_stats(lines, lines.select("doc", "page").distinct()), seen).drop("manifest")
+
+
+QUERIES = {f.__name__: f for f in (sheet_artifacts, artifact_edges, task_reconstruction, document_proposals, document_manifests)}
 
 # the SQL joins all visuals of a page with all tasks on it, and reads the kinds' fixed values from the rules' names
 _X = "greatest(0, least(v.x1, s.x1) - greatest(v.x0, s.x0)) / greatest(1, least(v.x1 - v.x0, s.x1 - s.x0))"
@@ -111,10 +131,55 @@ every AS (SELECT {_T}, page, x0, y0, x1, y1, source, sources, artifact, kind, ty
   UNION ALL SELECT {_T}, page, x0, y0, x1, y1, source, source, 'artifact_' || sha1(doc || '|' || section || '|' || task || '|' || source || '|formula')[1:20], 'FORMULA', role_confidence, CASE WHEN source LIKE '%.1' THEN 'inline_task_statement:' ELSE '' END || 'formula_symbols', 0.99, 'owned_text_block', '', round(role_confidence, 3) FROM txt)
 """
 )
+_KEY = "role IN ('ANSWER_KEY', 'CRITERIA')"
+_D = "::DOUBLE"
+_PROPOSALS = (
+    _PARTS
+    + f""",
+z1 AS (SELECT *, starts OR (NOT bool_or(starts) OVER (PARTITION BY doc) AND pos = min(pos) OVER (PARTITION BY doc)) AS begins FROM starts),
+z2 AS (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY doc ORDER BY pos) AS sec FROM z1),
+z3 AS (SELECT z.doc, z.sec AS section, arg_min({{'text': z.text, 'st': z.st, 'page': z.page, 'is_task': is_task}}, z.pos) AS f, arg_max(z.page, z.pos) AS last_page, any_value(z.role) AS role, max(CASE WHEN h.norm IS NULL AND lower(trim(z.text)) <> 'speaking' THEN z.page END) AS filled
+  FROM z2 z LEFT JOIN heads h ON h.doc = z.doc AND h.norm = lower(trim(z.text)) WHERE z.sec > 0 GROUP BY z.doc, z.sec),
+z4 AS (SELECT *, f.page AS page_start, f.text AS text, f.is_task AS is_task, lead(f.page) OVER (PARTITION BY doc ORDER BY section) AS np, CASE WHEN role = 'LISTENING_SCRIPT' THEN 'TRANSCRIPTION' WHEN {_KEY} AND f.st = 'WRITING' THEN 'CRITERIA' ELSE f.st END AS st FROM z3),
+sx AS (SELECT doc, role, section, CASE WHEN role = 'LISTENING_SCRIPT' THEN 'Transcription' ELSE {_SECLABEL} END AS label, coalesce(st, 'UNKNOWN') AS semantic_type,
+  CASE WHEN role = 'LISTENING_SCRIPT' THEN 'SCRIPT' WHEN {_KEY} AND st IN ('CRITERIA', 'METHODOLOGY') THEN 'CRITERIA' WHEN {_KEY} THEN 'ANSWERS' END AS content_role,
+  page_start, CASE WHEN np > page_start AND NOT coalesce(filled >= np, false) THEN np - 1 ELSE last_page END AS page_end, last_page, CASE WHEN role = 'LISTENING_SCRIPT' THEN 0.96{_D} WHEN st IS NULL THEN 0.58{_D} ELSE 0.98{_D} END AS confidence FROM z4),
+px AS (SELECT {_T}, list({{'label': label, 'kind': kind, 'confidence': confidence{_D}}} ORDER BY part) AS parts FROM (SELECT {_T}, part, label, {_kind("t")} AS kind, confidence FROM parts) GROUP BY ALL),
+n1 AS (SELECT t.doc, t.section, t.task, t.label, t.number, role = 'LISTENING_SCRIPT' AS script, semantic_type IN ('SPEAKING_SET', 'SPEAKING') AND role <> 'LISTENING_SCRIPT' AS oral, CASE WHEN role = 'LISTENING_SCRIPT' THEN 'TRANSCRIPT_SEGMENT' WHEN semantic_type IN ('SPEAKING_SET', 'SPEAKING') THEN 'ORAL_RESPONSE' WHEN p.parts IS NOT NULL THEN 'COMPOSITE' ELSE t.kind END AS kind,
+  t.page_start, t.page_end, t.confidence{_D} AS rec, first_item, last_item, p.parts FROM tasks t JOIN sx s USING (doc, section) LEFT JOIN px p USING (doc, section, task) WHERE t.task > 0 AND NOT {_KEY}),
+ag AS (SELECT doc, section, pos, page, list_concat(regexp_extract_all(text, {_text("(?i)" + P.TASK_INSIDE)}, 1), regexp_extract_all(text, {_text("(?i)" + P.ANSWER_TO)}, 1)) AS ns FROM secs WHERE section > 0),
+gx AS (SELECT doc, section, number, min(pos) AS pos, min(page) AS page FROM (SELECT doc, section, pos, page, unnest(ns) AS number FROM ag) GROUP BY ALL),
+g1 AS (SELECT g.*, last_page, row_number() OVER (PARTITION BY g.doc, g.section ORDER BY pos, number) AS nth FROM gx g JOIN sx s USING (doc, section) WHERE {_KEY} AND semantic_type IN ('LISTENING', 'READING', 'USE_OF_ENGLISH', 'PART_GROUP')),
+many AS (SELECT doc, section, CAST(task AS INT) AS nth, label, number, kind, CASE WHEN script THEN 'NONE' ELSE {_mode("kind")} END AS mode, page_start, page_end, CASE WHEN script THEN 0.96{_D} ELSE 0.97{_D} END AS confidence, rec, CASE WHEN NOT script AND NOT oral THEN first_item END AS first_item, CASE WHEN NOT script AND NOT oral THEN last_item END AS last_item, CASE WHEN script OR oral OR parts IS NULL THEN [] ELSE parts END AS parts FROM n1
+  UNION ALL SELECT doc, section, nth, 'Task ' || number, number, 'ANSWER_GROUP', 'UNKNOWN', page, last_page, 0.91{_D}, NULL, NULL, NULL, [] FROM g1),
+b0 AS (SELECT doc, section, body AS text FROM tasks WHERE task = 0),
+w1 AS (SELECT s.*, coalesce(b.text, '') AS text, EXISTS (SELECT 1 FROM many m WHERE m.doc = s.doc AND m.section = s.section) AS has FROM sx s LEFT JOIN b0 b USING (doc, section)),
+w2 AS (SELECT *, CASE WHEN role = 'LISTENING_SCRIPT' THEN CASE WHEN NOT has THEN {{'l': 'Transcript segment', 'k': 'TRANSCRIPT_SEGMENT', 'c': 0.82{_D}}} END
+  WHEN {_KEY} THEN CASE WHEN semantic_type = 'CRITERIA' THEN {{'l': 'Rubric / rationale', 'k': 'CRITERION_GROUP', 'c': 0.84{_D}}} WHEN semantic_type = 'METHODOLOGY' THEN {{'l': 'Methodology block', 'k': 'OTHER', 'c': 0.82{_D}}} WHEN semantic_type IN ('LISTENING', 'READING', 'USE_OF_ENGLISH', 'PART_GROUP') AND NOT has THEN {{'l': 'Answers', 'k': 'ANSWER_GROUP', 'c': 0.76{_D}}} END
+  WHEN has THEN NULL WHEN semantic_type = 'WRITING' AND role = 'TASK_SET' THEN {{'l': {_WRITING}, 'k': {_kind("text")}, 'c': 0.92{_D}}} WHEN semantic_type = 'TRANSCRIPTION' THEN {{'l': 'Transcript segment', 'k': 'TRANSCRIPT_SEGMENT', 'c': 0.68{_D}}}
+  WHEN semantic_type = 'ANSWERS' THEN {{'l': 'Answer group', 'k': 'ANSWER_GROUP', 'c': 0.68{_D}}} WHEN semantic_type = 'CRITERIA' THEN {{'l': 'Criterion group', 'k': 'CRITERION_GROUP', 'c': 0.68{_D}}} WHEN semantic_type = 'METHODOLOGY' THEN {{'l': 'Methodology block', 'k': 'OTHER', 'c': 0.68{_D}}} END AS w FROM w1),
+all_tasks AS (SELECT * FROM many UNION ALL SELECT doc, section, 0, w.l, '', w.k, {_mode("w.k")}, page_start, last_page, w.c, NULL, NULL, NULL, [] FROM w2 WHERE w IS NOT NULL),
+tl AS (SELECT doc, section, count(*) AS n, list({{'label': label, 'number': number, 'kind': kind, 'mode': mode, 'page_start': page_start, 'page_end': page_end, 'confidence': confidence, 'reconstruction': rec, 'review': rec < 0.78, 'first_item': first_item, 'last_item': last_item, 'parts': parts, 'artifacts': []}} ORDER BY nth) AS ts FROM all_tasks GROUP BY ALL),
+sl AS (SELECT doc, count(*) AS n_sections, coalesce(sum(n), 0) AS n_tasks, list({{'section': section, 'label': label, 'semantic_type': semantic_type, 'content_role': content_role, 'page_start': page_start, 'page_end': page_end, 'confidence': confidence, 'tasks': coalesce(ts, [])}} ORDER BY section) AS ss FROM sx LEFT JOIN tl USING (doc, section) GROUP BY doc),
+dl AS (SELECT c_custkey AS doc, [{", ".join(map(_text, ROLES))}][c_custkey % {len(ROLES)} + 1] AS role FROM customer),
+dj AS (SELECT doc, coalesce(n_sections, 0) AS n_sections, CAST(coalesce(n_tasks, 0) AS BIGINT) AS n_tasks, CASE WHEN ss IS NULL THEN ['no_text_lines'] WHEN n_tasks = 0 THEN ['no_explicit_tasks'] ELSE [] END AS warnings, role, ss FROM dl LEFT JOIN sl USING (doc)),
+pj AS (SELECT doc, n_sections, n_tasks, warnings, to_json({{'schema_version': 'structure-proposal.v3', 'document': CAST(doc AS VARCHAR), 'filename': 'sheet-' || doc || '.pdf', 'document_role': role, 'sections': coalesce(ss, []), 'warnings': warnings}})::VARCHAR AS proposal FROM dj)
+"""
+)
+_MANIFESTS = f"""
+pc AS (SELECT doc, page, sum(len(trim(text))) AS n FROM lines GROUP BY ALL),
+st AS (SELECT doc, count(*) AS pages, CAST(sum(n) AS BIGINT) AS chars, count_if(n >= 20) AS filled, list(CAST(n AS BIGINT) ORDER BY page) AS chars_by_page FROM pc GROUP BY doc),
+oc AS (SELECT doc, list_sort(list({{'source_id': s, 'url': u}})) AS occ FROM (SELECT DISTINCT doc, 's' || (pos % 3) AS s, 'https://h.example/' || (pos % 2) AS u FROM lines) GROUP BY doc),
+mj AS (SELECT p.doc, p.proposal, coalesce(chars < greatest(80, 20 * pages), true) AS ocr, coalesce(pages, 0) AS pages, coalesce(chars, 0) AS chars, coalesce(filled, 0) AS filled, coalesce(chars_by_page, []) AS cbp, coalesce(occ, []) AS occ FROM pj p LEFT JOIN st USING (doc) LEFT JOIN oc USING (doc)),
+mm AS (SELECT doc, CASE WHEN ocr THEN 'needs_ocr' ELSE 'layout_ready' END AS status, CASE WHEN ocr THEN 'ocr' ELSE 'document_triage' END AS next_stage, * EXCLUDE (doc) FROM mj)
+SELECT doc, status, next_stage, sha256(to_json({{'schema_version': 'parsed-document.v2', 'document': CAST(doc AS VARCHAR), 'status': status, 'pipeline_version': 'layout-pipeline.v1', 'proposal_sha256': CASE WHEN NOT ocr THEN sha256(proposal) END,
+  'stats': {{'pages': pages, 'chars': chars, 'filled': filled, 'chars_by_page': cbp, 'needs_ocr': ocr}}, 'occurrences': occ, 'next_stage': next_stage}})::VARCHAR) AS digest FROM mm"""
 _REAL = ("x0", "y0", "x1", "y1", "type_confidence", "binding", "confidence")
 _STIM = "'shared_stimulus_' || sha1(doc || '|' || section || '|' || task)[1:20]"
 
 ORACLE_SQL = {
+    "document_proposals": _PROPOSALS + "SELECT doc, sha256(proposal) AS digest, n_sections, n_tasks, array_to_string(warnings, ',') AS warnings, true AS intact FROM pj",
+    "document_manifests": _PROPOSALS + "," + _MANIFESTS,
     "sheet_artifacts": _real(_ART + "SELECT * FROM every", *_REAL),
     "artifact_edges": _ART + f""", many AS (SELECT p.*, body, EXISTS (SELECT 1 FROM every e WHERE e.doc = p.doc AND e.section = p.section AND e.task = p.task) AS own FROM (SELECT *, count(*) OVER (PARTITION BY {_T}) AS n FROM parts) p JOIN tasks USING (doc, section, task) WHERE n >= 2)
 SELECT 'task_group_' || sha1(doc || '|' || section || '|' || task)[1:20] AS source, 'OWNS_PART' AS kind, {_PID.format(p="part")} AS target FROM many

@@ -14,60 +14,61 @@ VISUALS = "doc int, page int, visual string, raw string, x0 double, y0 double, x
 
 @pytest.fixture(scope="module")
 def sheet(spark):
-    def make(*lines):
-        rows = [(1, "", 1, i, t, 72.0, 72.0 + 24 * i, 372.0, 84.0 + 24 * i, 11.0, False, 842.0, 595.0) for i, t in enumerate(lines)]
+    def make(*lines, doc=1):
+        rows = [(doc, "", 1, i, t, 72.0, 72.0 + 24 * i, 372.0, 84.0 + 24 * i, 11.0, False, 842.0, 595.0) for i, t in enumerate(lines)]
         return spark.createDataFrame(rows, SCHEMA)
 
     return make
 
 
-def found(spark, lines, *visuals):
-    shown = spark.createDataFrame([(1, 1, *v) for v in visuals], VISUALS)
-    return {r["source"]: r for r in A.artifacts(shown, lines).collect()}
-
-
-def test_a_formula_is_owned_by_its_task(spark, sheet):
-    got = found(spark, sheet("Problem 1. Calculate the value.", "x^2 + y^2 = 25", "Find x when y = 3."))
-    assert {r["kind"] for r in got.values()} == {"FORMULA"}
-    assert all(r["binding"] >= 0.9 and r["binding_reasons"] == ["owned_text_block"] for r in got.values())
-
-
 LINES = ["LISTENING", "Task 1. Complete the table.", "the words of it", "Task 2. Choose the correct answer", "one", "two"]
-
-
-def test_tables_belong_to_tasks_near_them(spark, sheet):
-    got = found(spark, sheet(*LINES), ("t", "table", 72.0, 100.0, 372.0, 140.0, 4), ("far", "table", 580.0, 700.0, 590.0, 800.0, 4), ("wide", "image", 0.0, 150.0, 560.0, 200.0, 0), (None, None, 0.0, 0.0, 1.0, 1.0, 0))
-    # a task's kind names its tables; what lies below the next marker belongs to the next task
-    assert (got["t"]["task"], got["t"]["kind"], got["t"]["type_reason"]) == (1, "RESPONSE_TABLE", "task_kind_table")
-    assert got["t"]["binding"] == 0.92 and got["t"]["binding_reasons"] == ["x_overlap", "body_overlap"] and got["t"]["confidence"] == 0.92
-    assert got["wide"]["task"] == 2 and "far" not in got
-
-
-def test_a_binding_of_less_than_42_is_none(spark, sheet):
-    """Aside and far below the body it scores .18, aside and next to it .52."""
-    lines = sheet("LISTENING", "Task 1. Complete the table.", "the words of it")
-    assert "low" not in found(spark, lines, ("low", "image", 500.0, 400.0, 520.0, 420.0, 0))
-    assert found(spark, lines, ("near", "image", 500.0, 150.0, 520.0, 160.0, 0))["near"]["binding"] == 0.52
+SHORT = LINES[:3]
 
 
 def strokes(n, x=72.0, y=100.0, w=50.0, h=40.0):
     return [(f"d{i}", "drawing", x + w * i, y, x + w * i + w, y + h, 0) for i in range(n)]
 
 
-def test_drawings_make_groups(spark, sheet):
-    lines = sheet(*LINES)
-    got = found(spark, lines, *strokes(4))
-    assert (got["drawings1"]["kind"], got["drawings1"]["sources"], got["drawings1"]["x1"]) == ("DIAGRAM", ["d0", "d1", "d2", "d3"], 272.0)
-    assert found(spark, lines, *strokes(3)) == {} and found(spark, lines, *strokes(4, w=2.0, h=10.0)) == {}
-    # a table over at least .70 of them hides them
-    assert set(found(spark, lines, *strokes(4), ("t", "table", 72.0, 100.0, 272.0, 140.0, 2))) == {"t"}
-    assert set(found(spark, lines, *strokes(4), ("t", "table", 72.0, 100.0, 372.0, 140.0, 2))) == {"t", "drawings1"}
-
-
-def test_the_surest_of_equals_stays(spark, sheet):
-    lines = sheet(*LINES)
-    twice = [("t", "image", 72.0, 100.0, 272.0, 140.0, 2)] * 2
-    assert len(found(spark, lines, *twice)) == 1
+#: Cases by name: lines of a document and what its page shows.
+CASES = {
+    "formula": (["Problem 1. Calculate the value.", "x^2 + y^2 = 25", "Find x when y = 3."], []),
+    "near": (LINES, [("t", "table", 72.0, 100.0, 372.0, 140.0, 4), ("far", "table", 580.0, 700.0, 590.0, 800.0, 4), ("wide", "image", 0.0, 150.0, 560.0, 200.0, 0), (None, None, 0.0, 0.0, 1.0, 1.0, 0)]),
+    "bound": (SHORT, [("low", "image", 500.0, 400.0, 520.0, 420.0, 0), ("near", "image", 500.0, 150.0, 520.0, 160.0, 0)]),
+    "four": (LINES, strokes(4)),
+    "three": (LINES, strokes(3)),
+    "tiny": (LINES, strokes(4, w=2.0, h=10.0)),
+    "hidden": (LINES, [*strokes(4), ("t", "table", 72.0, 100.0, 272.0, 140.0, 2)]),
+    "beside": (LINES, [*strokes(4), ("t", "table", 72.0, 100.0, 372.0, 140.0, 2)]),
+    "twice": (LINES, [("t", "image", 72.0, 100.0, 272.0, 140.0, 2)] * 2),
+}
+
+
+def test_artifacts_and_their_owners(spark, sheet):
+    lines = None
+    for d, (text, _) in enumerate(CASES.values()):
+        own = sheet(*text, doc=d)
+        lines = own if lines is None else lines.unionByName(own)
+    shown = spark.createDataFrame([(d, 1, *v) for d, (_, visuals) in enumerate(CASES.values()) for v in visuals], VISUALS)
+    got = {name: {} for name in CASES}
+    for r in A.artifacts(shown, lines).collect():
+        own = got[list(CASES)[r["doc"]]]
+        assert r["source"] not in own
+        own[r["source"]] = r
+    formula = got["formula"].values()
+    assert {r["kind"] for r in formula} == {"FORMULA"} and all(r["binding"] >= 0.9 and r["binding_reasons"] == ["owned_text_block"] for r in formula)
+    # a task's kind names its tables; what lies below the next marker belongs to the next task
+    near = got["near"]
+    assert (near["t"]["task"], near["t"]["kind"], near["t"]["type_reason"]) == (1, "RESPONSE_TABLE", "task_kind_table")
+    assert near["t"]["binding"] == 0.92 and near["t"]["binding_reasons"] == ["x_overlap", "body_overlap"] and near["t"]["confidence"] == 0.92
+    assert near["wide"]["task"] == 2 and "far" not in near
+    # aside and far below the body a box scores .18, aside and next to it .52
+    assert set(got["bound"]) == {"near"} and got["bound"]["near"]["binding"] == 0.52
+    four = got["four"]["drawings1"]
+    assert (four["kind"], four["sources"], four["x1"]) == ("DIAGRAM", ["d0", "d1", "d2", "d3"], 272.0)
+    # three are no group, nor are four on less than the area; a table over at least .70 of them hides them
+    assert got["three"] == {} and got["tiny"] == {}
+    assert set(got["hidden"]) == {"t"} and set(got["beside"]) == {"t", "drawings1"}
+    assert len(got["twice"]) == 1
 
 
 def test_edges_and_confidence(spark, sheet):
