@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.operators.folds import fold
+from gleanery.operators.pairs import paired
+
 # Review intervals in days, and hours until a missed unit is due.
 LADDER = (1, 3, 7, 14, 30)
 MISSED_HOURS = 6
@@ -26,26 +29,21 @@ def mastery(correct: Column, attempts: Column) -> Column:
     return F.when(attempts == 0, 0.5).otherwise((correct + 1.0) / (attempts + 2.0))
 
 
-def _step(state: Column, right: Column) -> Column:
-    """Mistakes and review interval after one more answer."""
-    m, i = state["mistakes"], state["interval"]
-    up = F.lit(LADDER[-1])
-    for days in reversed(LADDER):
-        up = F.when(i < days, days).otherwise(up)
-    return F.struct(
-        F.when(right, F.greatest(m - DOWN, F.lit(0))).otherwise(F.least(m + UP, F.lit(MOST_MISTAKES))).alias("mistakes"),
-        F.when(right, up).otherwise(0).alias("interval"),
-    )
+def _answered(s: tuple, correct: bool | None, ts) -> tuple[tuple, None]:
+    """Attempts, right ones, mistakes, review interval and last time after one more answer."""
+    attempts, right, mistakes, interval, _ = s
+    if correct:
+        up = next((d for d in LADDER if interval < d), LADDER[-1])
+        return (attempts + 1, right + 1, max(mistakes - DOWN, 0), up, ts), None
+    return (attempts + 1, right, min(mistakes + UP, MOST_MISTAKES), 0, ts), None
 
 
 def evidence(answers: DataFrame) -> DataFrame:
-    """Counters of each learner and unit, with the saturating mistakes and the review ladder folded in time order."""
-    events = F.array_sort(F.collect_list(F.struct("ts", "event_id", "correct")))
-    rows = answers.groupBy("learner", "unit").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("correct").alias("n_correct"), F.max("ts").alias("last_seen"), events.alias("_e"))
-    start = F.struct(F.lit(0).alias("mistakes"), F.lit(0).alias("interval"))
-    rows = rows.withColumn("_s", F.aggregate("_e", start, lambda s, e: _step(s, e["correct"])))
-    hours = F.when(F.col("_s.interval") > 0, F.col("_s.interval") * 24).otherwise(MISSED_HOURS)
-    return rows.select("learner", "unit", "attempts", "n_correct", F.col("_s.mistakes").alias("mistakes"), F.col("_s.interval").alias("interval_days"), "last_seen", (F.col("last_seen") + F.make_dt_interval(hours=hours)).alias("next_review"), mastery(F.col("n_correct"), F.col("attempts")).alias("mastery"))
+    """Counters of each learner and unit, with the saturating mistakes and the review ladder folded in time order; an answer that is not known counts as wrong."""
+    schema = "attempts long, n_correct long, mistakes int, interval int, last_seen timestamp"
+    rows = fold(answers, ["learner", "unit"], ["ts", "event_id"], ["correct", "ts"], schema, lambda: (0, 0, 0, 0, None), _answered, lambda s: s)
+    hours = F.when(F.col("interval") > 0, F.col("interval") * 24).otherwise(MISSED_HOURS)
+    return rows.select("learner", "unit", "attempts", "n_correct", "mistakes", F.col("interval").alias("interval_days"), "last_seen", (F.col("last_seen") + F.make_dt_interval(hours=hours)).alias("next_review"), mastery(F.col("n_correct"), F.col("attempts")).alias("mastery"))
 
 
 def state(attempts: Column, mastery_: Column) -> Column:
@@ -78,27 +76,23 @@ def filled_days(days: DataFrame, last: Column, n: int = 7) -> DataFrame:
 
 
 def ledger(entries: DataFrame, most_credit: int | None = None) -> DataFrame:
-    """Entries in order with whether they are accepted (a debit above the balance is not) and the balance after."""
-    events = F.array_sort(F.collect_list(F.struct("ts", "event_id", "delta")))
-    start = F.struct(F.lit(0).cast("long").alias("balance"), F.array().cast("array<struct<event_id:long,delta:long,accepted:boolean,balance:long>>").alias("rows"))
+    """Entries in order with whether they are accepted (a debit above the balance is not) and the balance after; a null delta changes nothing."""
 
-    def step(s: Column, e: Column) -> Column:
-        after = s["balance"] + e["delta"]
+    def step(balance: int, event_id: int, delta: int | None) -> tuple[int, tuple]:
+        after = balance + (delta or 0)
         if most_credit is not None:
-            after = F.least(after, F.lit(most_credit).cast("long"))
-        ok = after >= 0
-        new = F.when(ok, after).otherwise(s["balance"])
-        row = F.struct(e["event_id"].alias("event_id"), e["delta"].alias("delta"), ok.alias("accepted"), new.alias("balance"))
-        return F.struct(new.alias("balance"), F.concat(s["rows"], F.array(row)).alias("rows"))
+            after = min(after, most_credit)
+        balance = after if after >= 0 else balance
+        return balance, (event_id, delta, after >= 0, balance)
 
-    folded = entries.groupBy("learner").agg(events.alias("_e")).select("learner", F.explode(F.aggregate("_e", start, step)["rows"]).alias("r"))
-    return folded.select("learner", "r.*")
+    schema = "event_id long, delta long, accepted boolean, balance long"
+    return fold(entries, ["learner"], ["ts", "event_id"], ["event_id", "delta"], schema, lambda: 0, step)
 
 
 def readiness(ev: DataFrame, weights: DataFrame, now: Column) -> DataFrame:
     """Weighted readiness and confidence in percent, with the three weakest units. Fixed: full confidence at five attempts, prior 0.35, 0.05 off when due."""
     learners = ev.select("learner").distinct()
-    rows = learners.crossJoin(F.broadcast(weights.where("weight > 0"))).join(ev, ["learner", "unit"], "left")
+    rows = paired(learners, weights.where("weight > 0")).join(ev, ["learner", "unit"], "left")
     n = F.coalesce("attempts", F.lit(0))
     sure = F.least(F.lit(1.0), n / 5.0)
     estimate = mastery(F.coalesce("n_correct", F.lit(0)), n) * sure + 0.35 * (1 - sure)
@@ -113,8 +107,8 @@ def readiness(ev: DataFrame, weights: DataFrame, now: Column) -> DataFrame:
 def adaptive_rank(questions: DataFrame, ev: DataFrame, weights: DataFrame, now: Column) -> DataFrame:
     """Questions (question, unit, prerequisites) by priority for each learner, lowest first."""
     learners = ev.select("learner").distinct()
-    pairs = learners.crossJoin(F.broadcast(questions))
-    own = pairs.join(ev, ["learner", "unit"], "left").join(F.broadcast(weights), "unit", "left")
+    pairs = paired(learners, questions.join(weights, "unit", "left"))
+    own = pairs.join(ev, ["learner", "unit"], "left")
     pre = pairs.select("learner", "question", F.explode("prerequisites").alias("unit")).join(ev.select("learner", "unit", "mastery"), ["learner", "unit"], "left")
     blocked = pre.groupBy("learner", "question").agg(F.avg(F.greatest(F.lit(0.0), 0.65 - F.coalesce("mastery", F.lit(0.5)))).alias("blocked"))
     rows = own.join(blocked, ["learner", "question"], "left")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.operators.folds import fold
+from gleanery.operators.pairs import paired
+
 # A document is given up at these answers, or after so many attempts.
 LOST = (401, 403, 404, 410)
 MOST_ATTEMPTS = 5
@@ -19,21 +22,20 @@ def work_queue(rows: DataFrame, n: int, statuses: list[str], priority: str, atte
 
 def document_states(attempts: DataFrame, by: str, order: list[str]) -> DataFrame:
     """State of each document after its attempts (code, ok) in order: PENDING, DOWNLOADED, FAILED_RETRYABLE or FAILED_TERMINAL; a final state stays."""
-    events = F.array_sort(F.collect_list(F.struct(*order, "code", "ok")))
-    start = F.struct(F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"))
 
-    def step(s: Column, e: Column) -> Column:
-        final = s["status"].isin("DOWNLOADED", "FAILED_TERMINAL")
-        n = s["attempts"] + 1
-        status = F.when(e["ok"], "DOWNLOADED").when(e["code"].isin(*LOST) | (n >= MOST_ATTEMPTS), "FAILED_TERMINAL").otherwise("FAILED_RETRYABLE")
-        return F.struct(F.when(final, s["status"]).otherwise(status).alias("status"), F.when(final, s["attempts"]).otherwise(n).alias("attempts"))
+    def step(s: tuple[str, int], code: int | None, ok: bool | None) -> tuple[tuple[str, int], None]:
+        status, n = s
+        if status in ("DOWNLOADED", "FAILED_TERMINAL"):
+            return s, None
+        lost = code in LOST or n + 1 >= MOST_ATTEMPTS
+        return ("DOWNLOADED" if ok else "FAILED_TERMINAL" if lost else "FAILED_RETRYABLE", n + 1), None
 
-    return attempts.groupBy(by).agg(F.aggregate(events, start, step).alias("s")).select(by, "s.status", "s.attempts")
+    return fold(attempts, [by], order, ["code", "ok"], "status string, attempts int", lambda: ("PENDING", 0), step, lambda s: s)
 
 
 def preparation(ev: DataFrame, weights: DataFrame, now: Column, days: int) -> DataFrame:
     """Each learner's questions a day, units due and three units to focus on. The weights of the parts are fixed values."""
-    rows = ev.select("learner").distinct().crossJoin(F.broadcast(weights)).join(ev, ["learner", "unit"], "left")
+    rows = paired(ev.select("learner").distinct(), weights).join(ev, ["learner", "unit"], "left")
     remaining = F.greatest(F.lit(0), F.greatest(F.lit(3), F.ceil(F.col("weight") * 40)) - F.coalesce("attempts", F.lit(0)))
     due = F.coalesce(F.col("next_review") <= now, F.lit(False)).cast("int")
     gap = remaining + F.col("weight") * 10 + 8 * due + 10 * F.greatest(F.lit(0.0), 0.75 - F.coalesce("mastery", F.lit(0.5)))
@@ -44,19 +46,16 @@ def preparation(ev: DataFrame, weights: DataFrame, now: Column, days: int) -> Da
 
 
 def diverse(ranked: DataFrame, by: str, order: list[str], unit: str, item: str, n: int, same: int = 2, back: int = 7) -> DataFrame:
-    """The first n items in order, of which at most `same` of a unit come within the last `back` picks. A group's items are few (one learner's pool)."""
-    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.col(item).alias("item"), F.col(unit).alias("unit"))))
-    kind = ranked.schema[unit].dataType.simpleString()
-    what = ranked.schema[item].dataType.simpleString()
-    start = F.struct(F.expr(f"cast(array() as array<{what}>)").alias("picked"), F.expr(f"cast(array() as array<{kind}>)").alias("units"))
-
-    def step(s: Column, e: Column) -> Column:
-        recent = F.slice(s["units"], F.greatest(F.lit(1), F.size(s["units"]) - back + 1), F.lit(back))
-        take = (F.size(F.filter(recent, lambda u: u == e["unit"])) < same) & (F.size(s["picked"]) < n)
-        return F.struct(F.when(take, F.concat(s["picked"], F.array(e["item"]))).otherwise(s["picked"]).alias("picked"), F.when(take, F.concat(s["units"], F.array(e["unit"]))).otherwise(s["units"]).alias("units"))
-
-    got = ranked.groupBy(by).agg(F.aggregate(rows, start, step).alias("s"))
-    return got.select(by, F.posexplode("s.picked").alias("place", item))
+    """The first n items in order, of which at most `same` of a unit come within the last `back` picks."""
+
+    def step(s: tuple[int, tuple], what, kind) -> tuple[tuple[int, tuple], tuple | None]:
+        place, recent = s
+        if place >= n or recent.count(kind) >= same:
+            return s, None
+        return (place + 1, (*recent, kind)[-back:]), (place, what)
+
+    kinds = ranked.schema[item].dataType.simpleString()
+    return fold(ranked, [by], order, [item, unit], f"place int, {item} {kinds}", lambda: (0, ()), step)
 
 
 def next_items(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls
+from gleanery.operators.folds import fold
 
 # Endings of documents that are kept, and those of media types.
 ENDINGS = [".pdf", ".zip", ".doc", ".docx", ".mp3", ".wav", ".m4a", ".jpg", ".jpeg", ".png"]
@@ -167,6 +168,8 @@ def levels(debits: DataFrame, by: list[str], order: str, amount: str, base: int
 
     A level is reached by the first payment of its price after that of the level before, so the fold is over a key's ordered payments.
     """
-    paid = F.transform(F.array_sort(F.collect_list(F.struct(order, amount))), lambda x: x[amount])
-    rows = debits.groupBy(*by).agg(paid.alias("_paid"))
-    return rows.select(*by, F.aggregate("_paid", F.lit(0), lambda level, x: F.when(x == base + step * level, level + 1).otherwise(level)).alias("level"))
+
+    def pay(level: int, paid: float | None) -> tuple[int, None]:
+        return level + (paid == base + step * level), None
+
+    return fold(debits, by, [order], [amount], "level int", lambda: 0, pay, lambda level: (level,))

@@ -117,4 +117,8 @@ pg AS (SELECT *, round(remaining + weight * 10 + 8 * due + 10 * greatest(0.0, 0.
 SELECT learner, CAST(greatest(5, least(20, ceil(sum(remaining) / 14.0) + least(sum(due), 3))) AS INT) AS questions, CAST(sum(due) AS INT) AS due, array_to_string(list(unit ORDER BY gap DESC, unit)[1:3], ',') AS focus FROM pg GROUP BY learner""",
     "recent_queue": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20",
     "unresolved_hosts": _INV + f", o AS (SELECT {_HOST.format(u='url')} AS host FROM inventory) SELECT host, count(*) AS links FROM o WHERE host NOT IN (SELECT {_HOST.format(u='url')} FROM pages WHERE starts_with(url, 'https://')) GROUP BY host",
+    "diverse_session": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_id % 5 AS unit, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 2), event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, true AS take, [unit] AS recent, 1 AS k FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, t, CASE WHEN t THEN list_append(recent, unit)[-7:] ELSE recent END, k + CAST(t AS INT) FROM (SELECT e.user_id, e.event_id, e.n, e.unit, f.recent, f.k, f.k < 12 AND len(list_filter(f.recent, lambda x: x = e.unit)) < 2 AS t FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
+SELECT user_id, k - 1 AS place, event_id FROM f WHERE take""",
 }
