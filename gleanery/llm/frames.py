@@ -3,37 +3,41 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from gleanery.sources.folders import checkpoint_folder, discard
+from gleanery.sources.folders import checkpointed as stored
+
+__all__ = ["checkpoint_folder", "discard", "give_back", "kept", "masked", "schema_with", "shuffle_partitions", "small", "stored", "text_bytes"]
+
 
 def schema_with(df: DataFrame, **more: str) -> StructType:
     """The schema of `df` and further nullable columns, given as name=type."""
     return StructType([*df.schema.fields, *(StructField(k, DataType.fromDDL(v)) for k, v in more.items())])
 
 
-def masked(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[..., DataFrame]]:
+def masked(df: DataFrame, *names: str, **more: Column) -> tuple[DataFrame, list[str], Callable[..., DataFrame]]:
     """`df` under names of its own, so that no column of the caller's can clash with those an operator adds.
 
-    Returns the frame with columns c0, c1, ..., the new names of `names`, and a function that gives a frame's columns their old
-    names back, followed by results: new name=column.
+    Returns the frame with columns c0, c1, ... and those of `more`, computed from the caller's; the new names of `names`; and a function
+    that gives a frame's columns their old names back, followed by results: new name=column.
     """
     old = df.columns
     new = [f"c{k}" for k in range(len(old))]
 
-    def back(out: DataFrame, **results: Any) -> DataFrame:
-        return out.select(*[F.col(n).alias(o) for n, o in zip(new, old, strict=True) if o not in results], *[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in results.items()])
+    def back(out: DataFrame, **results: Column | str) -> DataFrame:
+        kept = [F.col(n).alias(o) for n, o in zip(new, old, strict=True) if o not in results]
+        return out.select(*kept, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in results.items()])
 
-    return df.toDF(*new), [new[old.index(n)] for n in names], back
+    return df.select("*", *more.values()).toDF(*new, *more), [new[old.index(n)] for n in names], back
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -46,34 +50,6 @@ def text_bytes(df: DataFrame, *columns: str) -> int:
     return df.agg(F.sum(size)).first()[0] or 0
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local session where spark.checkpoint.dir is unset, as in tests, gets a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
-    return context.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder as Parquet and read again: its lineage ends there, and Spark knows its size."""
-    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that `stored` has written and nothing reads any more."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 # in tasks: Python workers outlive them
 
 #: Bytes of text in a batch that goes back to Spark.

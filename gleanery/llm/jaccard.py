@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import exchange as X
 from gleanery.llm import words as W
 from gleanery.llm.components import connected
-from gleanery.llm.frames import discard, give_back, schema_with, shuffle_partitions, stored
+from gleanery.llm.frames import discard, give_back, masked, shuffle_partitions, stored
 
 SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 256, 16, 8, 512
 KEY_BITS = 40
@@ -344,18 +344,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str
 
     Classes that share a smallest key, as where a key repeats with other texts, differ in `name`.
     """
-    more = {name: "binary"} if name else {}
-    docs = docs.drop("n_shingles", "component_id", *more)
-    out = schema_with(docs, n_shingles="long", component_id=docs.schema[key].dataType.simpleString(), **more).fieldNames()
-    members = docs.withColumn("_unit", F.unhex(F.md5(F.coalesce(F.encode(text, "UTF-8"), F.lit(b"")))))
-    sigs = stored(signatures(members, "_unit", text))
+    more = [name] if name else []
+    docs, (key, text), back = masked(docs.drop("n_shingles", "component_id", *more), key, text)
+    members = docs.withColumn("unit", F.unhex(F.md5(F.coalesce(F.encode(text, "UTF-8"), F.lit(b"")))))
+    sigs = stored(signatures(members, "unit", text))
     comps = components(sigs)
-    least = members.groupBy("_unit").agg(F.min(key).alias("_least"))
-    units = sigs.select(F.col("unit").alias("_unit"), F.col("n").alias("n_shingles")).join(comps.select(F.col("node").alias("_unit"), "component"), "_unit", "left").join(least, "_unit")
-    units = stored(units.select("_unit", "n_shingles", F.coalesce("component", "_unit").alias("_class"), "_least"))
-    smallest = stored(units.groupBy("_class").agg(F.min("_least").alias("component_id")))
-    known = stored(units.join(smallest, "_class").select("_unit", "n_shingles", "component_id", *[F.col("_class").alias(c) for c in more]))
+    least = members.groupBy("unit").agg(F.min(key).alias("least"))
+    units = sigs.select("unit", F.col("n").alias("n_shingles")).join(comps.withColumnRenamed("node", "unit"), "unit", "left").join(least, "unit")
+    units = stored(units.select("unit", "n_shingles", F.coalesce("component", "unit").alias("class"), "least"))
+    smallest = stored(units.groupBy("class").agg(F.min("least").alias("component_id")))
+    known = stored(units.join(smallest, "class").select("unit", "n_shingles", "component_id", "class"))
     discard(sigs, comps, units, smallest)
-    found = members.join(known, "_unit")
     # a text without shingles is linked with nothing, copies included
-    return found.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id"))).select(*out)
+    component = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id"))
+    return back(members.join(known, "unit"), n_shingles="n_shingles", component_id=component, **dict.fromkeys(more, "class"))

@@ -3,9 +3,14 @@
 Every run of three and four bytes of the lower-cased text (white space as one sign) is hashed to a row of an embedding
 table; a text is the mean of its rows over the whole text, and a linear softmax gives the languages. Table and weights are
 trained by stochastic gradient descent in numpy, on a bounded sample: about `PER_LANGUAGE` labelled texts of each language.
-A tenth of the sample is kept back to set a temperature (so that scores are probabilities) and the rejection threshold.
+A tenth of the sample is kept back to set a temperature (so that scores are probabilities) and the thresholds of rejection.
 
-Since a mean and a linear layer commute, scoring adds up one table of (hashed run, language) logits.
+A text is rejected where its likeliest language is not likely, or where its runs are strange to all languages: a softmax is sure of
+texts in none of them too. How strange a run is, in bits, is its share in the language that has it most. A text's mean over runs without digits (numbers and keys
+are in no language; short texts count as some usual runs more) is held against a threshold between the strangest texts kept back and what has to be rejected: the same
+texts with their letters shuffled, and texts of each language as they look to the others. So a text that mixes languages stays.
+
+Since a mean and a linear layer commute, scoring adds up one table of (hashed run, language) logits, with the bits beside them.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0 and counts as rejected; with no labelled text at
 all every text is `und`; repeated rows are treated alike; other columns are kept, and results replace columns of their names.
@@ -31,9 +36,12 @@ PER_LANGUAGE = 1000
 EPOCHS, RATE = 4, 0.5
 #: At most this share of correctly labelled calibration texts may be rejected; a text at even odds or better never is.
 REJECTED, EVEN = 0.001, 0.5
+#: Usual runs that every text counts with, and the least and the usual way from the strangest texts kept back to those to be rejected.
+USUAL, APART, BETWEEN = 40, 0.5, 0.5
 
 _SIGN = W.LOWER.copy()
 _SIGN[~W.NOT_SPACE] = 32
+_IS_DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 _IS_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
 
@@ -42,8 +50,8 @@ def held_out(doc_id: str = "doc_id", parts: int = 5, kept: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == kept, F.lit(False))
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed runs of some texts, and the first run of each text. Every text counts as followed by white space."""
+def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed runs of some texts, the first run of each text, and which runs are without digits. Every text counts as followed by white space."""
     n = len(data)
     s = np.full(n + 3, 32, np.uint32)
     s[:n] = _SIGN[data]
@@ -58,29 +66,41 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     out = np.empty(2 * n, np.uint16)
     out[0::2] = (three * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
     out[1::2] = (four * np.uint32(0x85EBCA6B) ^ (four >> 15) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
-    return out, 2 * off
+    plain = np.empty(2 * n, bool)
+    plain[0::2] = ~(_IS_DIGIT[four & 255] | _IS_DIGIT[(four >> 8) & 255] | _IS_DIGIT[(four >> 16) & 255])
+    plain[1::2] = plain[0::2] & ~_IS_DIGIT[four >> 24]
+    return out, 2 * off, plain
 
 
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # logits of each hashed run, with the temperature in it
+    table: np.ndarray  # logits of each hashed run, with the temperature in it, and its bits
     bias: np.ndarray
     threshold: float
-
-    def logits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        f, at = features(data, off)
-        out = np.zeros((len(off) - 1, len(self.languages)))
-        some = np.flatnonzero(np.diff(at))
+    usual: float = 0.0  # bits of a run, on average
+    strange: float = np.inf  # bits of a run from which a text is in no language
+
+    def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The likeliest language of each text, its probability, and whether the text is rejected."""
+        f, at, plain = features(data, off)
+        n = np.diff(at)
+        mean, bits, runs = np.zeros((len(n), len(self.languages))), np.zeros(len(n)), np.zeros(len(n))
+        some = np.flatnonzero(n)
         if len(some):
-            out[some] = np.add.reduceat(self.table[f], at[some], axis=0, dtype=np.float64) / np.diff(at)[some, None]
-        return out + self.bias
-
-    def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The likeliest language of each text and its probability."""
-        p = softmax(self.logits(data, off))
+            own = self.table[f]
+            mean[some] = np.add.reduceat(own[:, :-1], at[some], axis=0, dtype=np.float64) / n[some, None]
+            bits[some] = np.add.reduceat(np.where(plain, own[:, -1], 0), at[some], dtype=np.float64)
+            runs[some] = np.add.reduceat(plain, at[some], dtype=np.int64)
+        p = softmax(mean + self.bias)
         best = p.argmax(1)
-        return best, p[np.arange(len(p)), best]
+        top = p[np.arange(len(p)), best]
+        return best, top, (top < self.threshold) | (shrunk(bits, runs, self.usual) > self.strange)
+
+
+def shrunk(bits: np.ndarray, runs: np.ndarray, usual: float) -> np.ndarray:
+    """Mean bits of texts whose runs have so many together, and that have `USUAL` usual runs more."""
+    return (bits + usual * USUAL) / (runs + USUAL)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -91,13 +111,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((1 << BITS, 1), np.float32), np.zeros(0), 1.0)
     y = np.array([languages.index(x) for x in labels])
-    bags = []
-    for t in texts:
-        data, off = W.buffers(pa.array([t]))
-        ids, n = np.unique(features(data, off)[0], return_counts=True)
-        bags.append((ids, (n / max(n.sum(), 1)).astype(np.float32)))
+    counted = [_bag(t) for t in texts]
+    bags = [(ids, (n / max(n.sum(), 1)).astype(np.float32)) for ids, n, _ in counted]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     kept = order[: len(order) // 10] if len(order) >= 50 else order
@@ -128,7 +145,52 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     p = softmax(z / t)
     right = p.max(1)[p.argmax(1) == y[kept]]
     threshold = min(float(np.quantile(right, REJECTED)) if len(right) else EVEN, EVEN)
-    return Model(languages, (logits / t).astype(np.float32), bias / t, threshold)
+    seen = np.zeros((1 << BITS, len(languages)))
+    for i in learn:
+        seen[counted[i][0], y[i]] += counted[i][2]
+    bits, usual, strange = _strangeness(seen, [(texts[i], y[i], counted[i]) for i in kept], rng)
+    return Model(languages, np.column_stack([logits / t, bits]).astype(np.float32), bias / t, threshold, usual, strange)
+
+
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed runs of a text, how often it has them, and how often without digits."""
+    ids, _, plain = features(*W.buffers(pa.array([text])))
+    known, at = np.unique(ids, return_inverse=True)
+    return known, np.bincount(at, minlength=len(known)), np.bincount(at, plain, len(known))
+
+
+def _bits(seen: np.ndarray) -> np.ndarray:
+    """Bits of each run: by its share in the language that has it most; runs that none has count half."""
+    return -np.log2(((seen + 0.5) / (seen.sum(0) + 0.5 * len(seen))).max(1))
+
+
+def _strangeness(seen: np.ndarray, kept: list[tuple[str, int, tuple]], rng: np.random.Generator) -> tuple[np.ndarray, float, float]:
+    """Bits of each run, their usual mean, and the mean from which a text is rejected; of runs seen by language, and texts kept back."""
+    bits = _bits(seen)
+    total = seen.sum(1)
+    usual = float((bits * total).sum() / max(total.sum(), 1))
+
+    def mean(bag: tuple[np.ndarray, np.ndarray, np.ndarray], bits: np.ndarray) -> float:
+        ids, _, n = bag
+        return float(shrunk((bits[ids] * n).sum(), n.sum(), usual))
+
+    clean = [mean(bag, bits) for _, _, bag in kept if bag[2].sum()]
+    if not clean:
+        return bits, usual, np.inf
+    bad = []
+    others = {k: _bits(np.delete(seen, k, 1)) for k in {y for _, y, _ in kept}} if seen.shape[1] > 1 else {}
+    for text, y, bag in kept:
+        if bag[2].sum() < 2 * USUAL:
+            continue  # too short to tell
+        letters = np.array(list(text))
+        place = np.flatnonzero([not c.isspace() for c in text])
+        letters[place] = letters[rng.permutation(place)]
+        bad.append(mean(_bag("".join(letters)), bits))
+        if y in others:
+            bad.append(mean(bag, others[y]))
+    high = float(np.quantile(clean, 1 - REJECTED))
+    low = float(np.quantile(bad, 0.05)) if bad else high
+    return bits, usual, high + max(APART, BETWEEN * (low - high))
 
 
 def sample(docs: DataFrame, text: str, label: str, per_class: int, key: str) -> list:
@@ -162,7 +224,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in small(batches, at):
             column = b.column(at)
             data, off = W.buffers(column)
-            lang, score = [], []
+            lang, score, lost = [], [], []
             for i, j in W.blocks(off):
                 part, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 letters = np.concatenate([[0], np.cumsum(_IS_LETTER[part], dtype=np.int64)])
@@ -170,12 +232,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 for k in np.flatnonzero(~some & (own[1:] > own[:-1])):
                     some[k] = any(c.isalpha() for c in part[own[k] : own[k + 1]].tobytes().decode(errors="replace"))
                 some &= bool(model.languages)
-                best, p = model.predict(part, own) if model.languages else (np.zeros(j - i, int), np.zeros(j - i))
+                best, p, odd = model.predict(part, own) if model.languages else (np.zeros(j - i, int), np.zeros(j - i), np.ones(j - i, bool))
                 lang += [model.languages[x] if s else UNKNOWN for x, s in zip(best, some, strict=True)]
                 score += np.where(some, p, 0.0).tolist()
-            score = np.array(score, np.float64)
-            lost = (score < model.threshold) | (np.array(lang, object) == UNKNOWN)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(lost, pa.bool_())], [f.name for f in schema])
+                lost += (odd | ~some).tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lost, pa.bool_())], [f.name for f in schema])
         give_back()
 
     return docs.mapInArrow(run, schema)

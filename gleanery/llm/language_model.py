@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import exchange as X
 from gleanery.llm import words as W
-from gleanery.llm.frames import give_back, schema_with, shuffle_partitions, stored, text_bytes
+from gleanery.llm.frames import give_back, masked, schema_with, shuffle_partitions, stored, text_bytes
 
 #: Places of a class; classes of the most frequent words and of all others.
 MEMBERS, TOP_CLASSES, REST_CLASSES = 32, 16, 16
@@ -341,9 +341,9 @@ def train(docs: DataFrame, m: Model, text: str, key: str = "doc_id", rounds: int
 def score(docs: DataFrame, learn_from, text: str = "text", key: str = "doc_id", rounds: int = ROUNDS, buckets: int | None = None) -> DataFrame:
     """`docs` with n_tokens, n_known, train_tokens, base_score and score; `learn_from` says which rows to learn from."""
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    out = schema_with(docs, n_tokens="long", n_known="long", train_tokens="long", base_score="double", score="double")
-    buckets = buckets or X.parts(docs, text)
-    marked = docs.withColumn("_learn", F.coalesce(learn_from, F.lit(False)))
+    marked, (key, text), back = masked(docs, key, text, _learn=F.coalesce(learn_from, F.lit(False)))
+    out = schema_with(marked.drop("_learn"), n_tokens="long", n_known="long", train_tokens="long", base_score="double", score="double")
+    buckets = buckets or X.parts(marked, text)
     rows = X.chunked(marked, [F.col(key), F.col(text)], buckets)
     counts = stored(count(rows, text, buckets))
     model = train(marked, vocabulary(counts), text, key, rounds)
@@ -372,4 +372,5 @@ def score(docs: DataFrame, learn_from, text: str = "text", key: str = "doc_id",
             table = table.append_column(name, pa.array(x))
         return table
 
-    return X.apply(rows, counts.where(F.col(X.CHUNK) != OF_ALL), use, out)
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return back(X.apply(rows, counts.where(F.col(X.CHUNK) != OF_ALL), use, out), **{c: c for c in results})

@@ -6,7 +6,7 @@ each shard without gaps.
 
 Defined cases: a null key is a key like any other (all null keys go to one shard); repeated keys share a shard; rows that
 are equal in key, size and checksum get different slots in no particular order; an empty table gives an empty table; other
-columns are kept by `assign`, and its new column replaces one of the same name.
+columns are kept, and new columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.llm.frames import masked
+
 #: Rows of a shard are numbered in so many parts, so that no task holds a whole shard.
 PARTS = 512
+#: Equal rows in an array.
+SLICE = 10_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -57,14 +61,15 @@ def slots(df: DataFrame, by: list[str], shard: str = "shard", name: str = "slot"
     Each shard is cut into `parts` by that hash; parts are numbered on their own and moved by the rows of the parts before
     (a table of shards x parts rows at most, so it is broadcast). Equal rows are counted first, so many of them cost one row.
     """
+    df, (shard, *by), back = masked(df.drop(name), shard, *by)
     part = F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", part)
-    sizes = groups.groupBy(shard, "_part").agg(F.sum("_n").alias("_size"))
-    before = sizes.select(shard, "_part", (F.sum("_size").over(W.partitionBy(shard).orderBy("_part")) - F.col("_size")).alias("_before"))
-    order = W.partitionBy(shard, "_part").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
-    placed = groups.withColumn("_at", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    return (
-        placed.join(F.broadcast(before), [shard, "_part"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-        .select(*df.columns, (F.col("_before") + F.col("_at") + F.col("_copy")).alias(name))
-    )
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("part", part)
+    sizes = groups.groupBy(shard, "part").agg(F.sum("n").alias("size"))
+    before = sizes.select(shard, "part", (F.sum("size").over(W.partitionBy(shard).orderBy("part")) - F.col("size")).alias("before"))
+    order = W.partitionBy(shard, "part").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    placed = groups.withColumn("at", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    # many equal rows become slices before they become rows, so that no array holds them all
+    zero, last = F.lit(0).cast("long"), F.col("n") - 1
+    sliced = placed.join(F.broadcast(before), [shard, "part"]).withColumn("slice", F.explode(F.sequence(zero, F.floor(last / SLICE))))
+    each = sliced.withColumn("copy", F.explode(F.sequence(F.col("slice") * SLICE, F.least(last, (F.col("slice") + 1) * SLICE - 1))))
+    return back(each, **{name: F.col("before") + F.col("at") + F.col("copy")})

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import exchange as X
 from gleanery.llm import words as W
-from gleanery.llm.frames import schema_with
+from gleanery.llm.frames import masked, schema_with
 
 WINDOW, SEED = 13, 3
 LAST = (1 << 63) - 1
@@ -177,7 +177,7 @@ def _bucket(payloads: list[bytes], window: int = WINDOW) -> list[bytes | None]:
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """`docs` with n_words, n_removed and kept (the kept words, joined by one space)."""
-    docs = docs.drop("n_words", "n_removed", "kept")
+    docs, (key, text), back = masked(docs.drop("n_words", "n_removed", "kept"), key, text)
     out = schema_with(docs, n_words="long", n_removed="long", kept="string")
     buckets = buckets or X.parts(docs, text)
     rows = X.chunked(docs, [F.col(key), F.col(text)], buckets)
@@ -204,4 +204,4 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
         table = table.drop_columns([X.CHUNK]).take(pa.array(c.order))
         return table.append_column("n_words", pa.array(n_words)).append_column("n_removed", pa.array(n_removed)).append_column("kept", kept)
 
-    return X.apply(rows, answers, use, out)
+    return back(X.apply(rows, answers, use, out), n_words="n_words", n_removed="n_removed", kept="kept")

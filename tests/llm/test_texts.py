@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, decontaminate, langid, secrets, toxicity
 from gleanery.llm import words as W
@@ -140,6 +141,45 @@ def test_language(spark, make_docs):
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+#: Texts in no language of the driver's documents.
+FOREIGN = {
+    "random letters": "qzx vjwk pfghq xkcd wvbnm zzqy jfkd plmq rtyx ghbv wqpz xmnk vbcq jhgf tyrw qpxz kjvn " * 2,
+    "Russian": "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+    "Japanese": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+    "Finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "program": "def run(self, x):\n    if x is None:\n        return {}\n    for k, v in x.items():\n        self.out[k] = v * 2 + len(k)\n",
+}
+
+
+def test_foreign_texts_are_rejected_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    foreign = spark.createDataFrame([(i, t) for i, t in enumerate(FOREIGN.values())], "doc_id int, text string")
+    got = {list(FOREIGN)[r["doc_id"]]: r["rejected"] for r in langid.identify(foreign, model).collect()}
+    assert got == dict.fromkeys(FOREIGN, True)
+    # texts that mix languages, and numbers and keys among words, stay
+    clean = langid.identify(docs.where(langid.held_out()), model).collect()
+    assert sum(r["rejected"] for r in clean) < 0.01 * len(clean)
+    assert sum(r["lang_pred"] == r["lang"] for r in clean) > 0.97 * len(clean)
+    first, second = (r["text"] for r in docs.where("lang in ('en', 'fr') and n_chars between 500 and 900").groupBy("lang").agg(F.min("text").alias("text")).collect())
+    mixed = spark.createDataFrame([(1, f"{first} {second}"), (2, f"{first} 4734663219866878 40d78a45c418324758e099eb7cb89bc1 +1 (168) 555-5254")], "doc_id int, text string")
+    assert not any(r["rejected"] for r in langid.identify(mixed, model).collect())
+
+
+def test_held_out_labels_teach_nothing(spark):
+    """Other labels on held-out rows leave the models of language and toxicity as they are."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    turned = docs.withColumn("lang", F.when(langid.held_out(), F.lit("xx")).otherwise(F.col("lang")))
+    a, b = (langid.fit(d.where(~langid.held_out())) for d in (docs, turned))
+    assert a.languages == b.languages and np.array_equal(a.table, b.table) and (a.threshold, a.strange) == (b.threshold, b.strange)
+    wrong = labels.withColumn("toxic", F.when(langid.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    few = {"per_class": 4}
+    c, d = (toxicity.fit(docs.drop("lang", "source"), x.where(~langid.held_out()), **few) for x in (labels, wrong))
+    assert all(np.array_equal(c.p[k], d.p[k]) for k in c.p)
+
+
 def test_network_gradients():
     net = toxicity.Net(3)
     x = toxicity.inputs(*W.buffers(pa.array(["one two three four", "five " * 40])))
