@@ -6,8 +6,9 @@ rotations divide them (see `plan`), so cells grow in number with the table and n
 each the cells whose summed projections are largest, `PROBES` times the square root of their number (`LEAST` vectors at least): the share of the table that a query
 is compared with falls with the root of the table's size, by one rule for all sizes. What lies in the probed cells is ranked by the exact
 inner product of the original vectors in double precision. A query that has found too few that way is then ranked against all vectors.
-Vectors of one number of components are searched among themselves; where their lengths differ, the longest share `LONG` of them, whose
-inner products can be large in any direction, is ranked for every query.
+Vectors of one number of components are searched among themselves. Where their lengths differ, they stand on shelves of like length (up to
+the ratio `LIKE`), each with cells of its own, since a cell says nothing of lengths. Queries probe the shelves of the longest vectors
+first; a further shelf is probed by the queries for which its longest vector could beat the last of what they have found.
 
 Neighbouring cells travel as one group; groups of many vectors or many queries are cut into blocks of both, and only the best few of a
 query leave a task, so pairs are never written out. Equal vectors travel as one, with the few smallest ids that can be wanted.
@@ -39,8 +40,8 @@ TABLES, PROBES, FILL, LEAST = 8, 1.5, 12, 256
 BLOCK, HELD = 4096, 32768
 #: Pairs that a task weighs at a time, and bytes of hashed rows that are handed on at once.
 PAIRS, BATCH = 1 << 20, 1 << 24
-#: Lengths count as equal up to this ratio; share of the vectors that counts as the longest.
-EVEN, LONG = 1.01, 1 / 16
+#: Ratio of the lengths on a shelf, and share of the vectors on the shelves that are probed first, at least.
+LIKE, FIRST = 1.1, 1 / 16
 SEED = 20
 
 
@@ -64,6 +65,47 @@ def plan(size: int, n: int, probes: float = PROBES) -> Plan:
     return Plan(tuple(axes), cells, min(cells, max(math.ceil(probes * math.sqrt(cells)), -(-LEAST // FILL))), max(1, BLOCK * cells // n))
 
 
+@dataclass(frozen=True)
+class Shelf:
+    """Vectors of like length: their number of components, the shelf's number from the longest on, its first band and last, vectors and longest one."""
+
+    size: int
+    number: int
+    first: int
+    last: int
+    n: int
+    high: float
+
+
+def shelves(bands: list[tuple[int, int, int, float]]) -> list[Shelf]:
+    """Shelves of bands (size, band, vectors, longest), where bands are numbered from the longest vectors: a band, or neighbouring ones of few vectors."""
+    out: list[list] = []
+    for size, band, n, high in sorted(bands):
+        if out and out[-1][0] == size and max(out[-1][3], n) < LEAST:
+            out[-1][2], out[-1][3] = band, out[-1][3] + n
+        else:
+            out.append([size, band, band, n, high])
+    number: dict[int, int] = {}
+    made = []
+    for size, first, last, n, high in out:
+        number[size] = number.get(size, -1) + 1
+        made.append(Shelf(size, number[size], first, last, n, high))
+    return made
+
+
+def probed_first(every: list[Shelf]) -> set[tuple[int, int]]:
+    """The shelves (size, number) of the longest vectors, until they hold their share of each size."""
+    total: dict[int, int] = {}
+    for s in every:
+        total[s.size] = total.get(s.size, 0) + s.n
+    out, held = set(), dict.fromkeys(total, 0)
+    for s in every:
+        if held[s.size] < FIRST * total[s.size]:
+            out.add((s.size, s.number))
+        held[s.size] += s.n
+    return out
+
+
 def rotate(x: np.ndarray, seed: int) -> np.ndarray:
     """Three rounds of random signs and a Hadamard transform, on the next power of two of components."""
     size = 1 << max(1, (x.shape[1] - 1).bit_length())
@@ -122,17 +164,17 @@ def _vectors(raw: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(-1, size)
 
 
-def _hashed(df: DataFrame, plans: dict[int, Plan], carry: str, kind: str, probing: bool) -> DataFrame:
-    """Rows (raw, size, carry, table, part, cells): for each table and group of cells, those of the vector, or those that it probes."""
+def _hashed(df: DataFrame, plans: dict[tuple[int, int], Plan], carry: str, kind: str, probing: bool) -> DataFrame:
+    """Rows (raw, size, carry, shelf, table, part, cells): for each table and group of cells, those of the vector on its shelf, or those that it probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = b.column(1).to_numpy()
-            for size in np.unique(sizes).tolist():
-                p = plans.get(size)
+            keys = np.stack([b.column(1).to_numpy(), b.column(3).to_numpy()], axis=1)
+            for size, shelf in np.unique(keys, axis=0).tolist():
+                p = plans.get((size, shelf))
                 if p is None:
                     continue
-                every, probes = np.flatnonzero(sizes == size), p.probes if probing else 1
+                every, probes = np.flatnonzero((keys == (size, shelf)).all(1)), p.probes if probing else 1
                 step = max(1, BATCH // (8 * max(size, 4 * probes)))
                 for i, t in ((i, t) for i in range(0, len(every), step) for t in range(TABLES)):
                     part = b.take(pa.array(every[i : i + step]))
@@ -143,9 +185,9 @@ def _hashed(df: DataFrame, plans: dict[int, Plan], carry: str, kind: str, probin
                     at = starts(own * p.cells + group)
                     again = part.take(pa.array(own[at]))
                     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(cell)), pa.int32()), pa.array(cell))
-                    yield pa.RecordBatch.from_arrays([*again.columns, pa.array(np.full(len(at), t, np.int32)), pa.array(group[at]), lists], ["raw", "size", carry, "table", "part", "cells"])
+                    yield pa.RecordBatch.from_arrays([*again.columns, pa.array(np.full(len(at), t, np.int32)), pa.array(group[at]), lists], ["raw", "size", carry, "shelf", "table", "part", "cells"])
 
-    return df.select("raw", "size", carry).mapInArrow(run, f"raw binary, size int, {carry} {kind}, table int, part long, cells array<long>")
+    return df.select("raw", "size", carry, "shelf").mapInArrow(run, f"raw binary, size int, {carry} {kind}, shelf int, table int, part long, cells array<long>")
 
 
 class Best:
@@ -187,7 +229,7 @@ def _weigh(x: np.ndarray, q: np.ndarray, cell: np.ndarray, asked: np.ndarray, ce
 
 def _rank(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """The k nearest ids of each query among the points of a bucket, in the groups and blocks that both are in."""
-    names = ["size", "table", "part", "block", "turn"]
+    names = ["size", "shelf", "table", "part", "block", "turn"]
     at: dict[tuple, list] = {}
     for side, table in enumerate((points, queries)):
         keys = list(zip(*(table.column(c).to_pylist() for c in names), strict=True))
@@ -241,30 +283,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, key: str =
     # of equal vectors the k + 1 smallest ids are all that can be wanted
     first = every.withColumn("_r", F.row_number().over(Win.partitionBy("raw").orderBy("id"))).where(F.col("_r") <= k + 1)
     unique = stored(first.groupBy("raw", "size").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("length").alias("length")))
-    # a row for each number of components
-    sizes = unique.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("low"), F.max("length").alias("high"), F.percentile_approx("length", 1 - LONG).alias("long")).collect()
-    uneven = {r["size"]: r["long"] for r in sizes if EVEN * r["low"] < r["high"]}
-    plans = {r["size"]: plan(r["size"], r["n"], probes) for r in sizes}
-    wanted = clean(queries).select("raw", "size", F.col("id").alias("query_id"))
-    top = stored(_best(_found(_hashed(unique, plans, "ids", "array<long>", False), _hashed(wanted, plans, "query_id", "long", True), k), k))
+    # a row for each number of components, and for each band of lengths: at most some thousands, as lengths are doubles
+    longest = unique.groupBy("size").agg(F.max("length").alias("high"))
+    band = F.floor(F.log(F.col("high") / F.col("length")) / math.log(LIKE)).cast("int")
+    banded = unique.join(longest, "size").withColumn("band", band).drop("high")
+    counts = banded.groupBy("size", "band").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("high")).collect()
+    every_shelf = shelves([(r["size"], r["band"], r["n"], r["high"]) for r in counts])
+    plans = {(s.size, s.number): plan(s.size, s.n, probes) for s in every_shelf}
+    spark, early = vectors.sparkSession, probed_first(every_shelf)
+    table = lambda chosen: spark.createDataFrame([(s.size, s.number, s.first, s.last, s.high) for s in chosen], "size int, shelf int, first int, last int, high double")
+    wanted = stored(clean(queries).select("raw", "size", F.col("id").alias("query_id"), F.col("length").alias("own")))
+
+    def search(chosen: list[Shelf], asks: DataFrame) -> DataFrame:
+        on = table(chosen)
+        points = banded.join(on, "size").where(F.col("band").between(F.col("first"), F.col("last"))).select("raw", "size", "ids", "shelf")
+        return _found(_hashed(points, plans, "ids", "array<long>", False), _hashed(asks, plans, "query_id", "long", True), k)
+
+    first = [s for s in every_shelf if (s.size, s.number) in early]
+    top = stored(_best(search(first, wanted.join(table(first).select("size", "shelf"), "size")), k))
+    rest = [s for s in every_shelf if (s.size, s.number) not in early]
+    if rest:
+        # an inner product is at most the product of the lengths
+        last = top.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        asks = wanted.join(table(rest).select("size", "shelf", "high"), "size").join(last, "query_id", "left")
+        asks = asks.where(F.col("least").isNull() | (F.col("own") * F.col("high") * (1 + 1e-9) >= F.col("least")))
+        top = stored(_best(top.select("query_id", "vec_id", "score").unionByName(search(rest, asks)), k))
     # queries that have found too few where not all was probed: ranked against all vectors of their size
-    partly = [size for size, p in plans.items() if p.probes < p.cells]
+    partly = sorted({size for (size, _), p in plans.items() if p.probes < p.cells})
     enough = top.where(F.col("rank") == k).select("query_id")
     short = wanted.where(F.col("size").isin(partly)).join(enough, "query_id", "left_anti")
-    one = lambda df: df.withColumns({"table": F.lit(0), "part": F.lit(0).cast("long"), "cells": F.array(F.lit(0).cast("long"))})
+    one = lambda df: df.withColumns({"shelf": F.lit(0), "table": F.lit(0), "part": F.lit(0).cast("long"), "cells": F.array(F.lit(0).cast("long"))})
     if partly and not short.isEmpty():
         ids = short.select("query_id").distinct()
-        top = top.join(ids, "query_id", "left_anti").unionByName(_best(_found(one(unique), one(wanted.join(ids, "query_id")), k), k))
-    if uneven:
-        least = F.create_map(*[F.lit(x) for pair in uneven.items() for x in pair])
-        long = _found(one(unique.where(F.col("length") >= least[F.col("size")])), one(wanted.where(F.col("size").isin(list(uneven)))), k)
-        top = _best(top.select("query_id", "vec_id", "score").unionByName(long), k)
+        top = top.join(ids, "query_id", "left_anti").unionByName(_best(_found(one(unique.drop("length")), one(wanted.drop("own").join(ids, "query_id")), k), k))
     return top
 
 
 def _found(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Rows (query_id, vec_id, score): of each task the k best of the points that share a group with a query and a cell that it probes."""
-    by = ["size", "table", "part"]
+    by = ["size", "shelf", "table", "part"]
     blocks = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_{name}")).withColumn(name, F.ceil(F.col(f"_{name}") / F.lit(BLOCK)).cast("int"))
     # groups that both sides have, in blocks of points and in turns of queries
     held = stored(blocks(points, "blocks").join(blocks(asked, "turns"), by))

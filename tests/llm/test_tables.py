@@ -242,6 +242,50 @@ def test_compared_share_falls_with_the_table_and_recall_does_not():
     assert compared(wide / np.linalg.norm(wide, axis=1, keepdims=True), wide[::200])[0] >= 0.9
 
 
+def compared_by_shelves(x, queries, found=20):
+    """The same for vectors of uneven lengths: shelves of the longest first, others where their longest could beat the last found."""
+    length = np.linalg.norm(x, axis=1)
+    band = np.floor(np.log(length.max() / length) / np.log(neighbours.LIKE)).astype(int)
+    every = neighbours.shelves([(x.shape[1], int(b), int((band == b).sum()), float(length[band == b].max())) for b in np.unique(band)])
+    early = neighbours.probed_first(every)
+    near = queries @ x.T
+    best = np.argsort(-near, axis=1)[:, 1 : found + 1]
+    seen = np.zeros(near.shape, bool)
+    for turn in (True, False):
+        known = np.where(seen, near, -np.inf)
+        last = np.sort(known, axis=1)[:, -found - 1]
+        for s in every:
+            if ((s.size, s.number) in early) != turn:
+                continue
+            own = np.flatnonzero((band >= s.first) & (band <= s.last))
+            asks = np.flatnonzero(turn | (np.linalg.norm(queries, axis=1) * s.high >= last))
+            p = neighbours.plan(x.shape[1], s.n)
+            for t in range(neighbours.TABLES):
+                cell = neighbours.cells(x[own], t, p.axes)[:, 0]
+                for q, probed in zip(asks, neighbours.cells(queries[asks], t, p.axes, p.probes) if len(asks) else [], strict=True):
+                    seen[q, own] |= np.isin(cell, probed)
+    return np.take_along_axis(seen, best, 1).mean(), seen.mean()
+
+
+def test_compared_share_falls_for_uneven_lengths_too():
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(50_000, 64)) * np.exp(0.5 * rng.normal(size=(50_000, 1)))
+    got = [compared_by_shelves(x[:n], x[:40]) for n in (2000, 10_000, 50_000)]
+    assert all(recall >= 0.9 for recall, _ in got), got
+    assert got[0][1] > 1.2 * got[1][1] > 1.5 * got[2][1], got
+
+
+def test_shelves_hold_all_bands():
+    rng = np.random.default_rng(5)
+    bands = [(size, int(b), int(rng.integers(1, 900)), 1.1 ** -float(b)) for size in (3, 64) for b in rng.choice(500, 60, replace=False)]
+    every = neighbours.shelves(bands)
+    for size, b, _, high in bands:
+        (own,) = [s for s in every if s.size == size and s.first <= b <= s.last]
+        assert own.high >= high
+    assert sum(s.n for s in every) == sum(n for _, _, n, _ in bands)
+    assert all(s.first == s.last or s.n < 2 * neighbours.LEAST for s in every)
+
+
 def test_probed_cells_have_the_largest_sums():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(5, 16))
