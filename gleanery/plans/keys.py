@@ -58,6 +58,7 @@ def site_crawl(spark: SparkSession, d: str) -> DataFrame:
 
 # page k's links become an archive: each may have a heading before it, and names documents or pages
 HEADINGS = ["<h3> Школьный  <i>этап</i></h3>", "<h2>Archive</h2>", "<h4 class=x>Муниципальный этап</h4>", ""]
+SECTIONS = ["<h2>Problems 2024</h2>", "", "<h4>Marking\n <i>criteria</i></h4>", "<h5>Answers</h5>"]
 ENDINGS = [".pdf", "-sch-1.pdf", "/page", ".zip"]
 
 
@@ -68,6 +69,17 @@ def stage_links(spark: SparkSession, d: str) -> DataFrame:
     return L.stage_links(pages.select("url", F.concat(F.lit("<p>"), F.array_join(F.transform("hrefs", link), "\n")).alias("html")))
 
 
+def link_context(spark: SparkSession, d: str) -> DataFrame:
+    """Links of archives that have titles and stand below headings, with the words that hint at what they are."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)">'), F.lit(1)).alias("hrefs"))
+    pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), (at % len(xs) + 1).cast("int"))
+    title = lambda i: pick(["", " title='Past papers'", ' title="solutions &amp; more"'], F.col("page_id") + i)
+    link = lambda h, i: F.concat(pick(SECTIONS, F.col("page_id") + i * 3), F.lit('<a href="'), h, pick(ENDINGS, i), F.lit('"'), title(i), F.lit(">x</a>"))
+    rows = L.inventory(pages.select("url", F.concat(F.lit("<p>"), F.array_join(F.transform("hrefs", link), "\n")).alias("html")))
+    evidence = F.array_join(F.transform(F.map_entries("hint.evidence"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ",")
+    return rows.select("id", "title", "heading", F.col("hint.type_hint").alias("type_hint"), F.col("hint.file_candidate").alias("file_candidate"), evidence.alias("evidence"), "heuristic_score")
+
+
 def _broken(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     url = F.concat(F.lit("https://h.example/?item="), k % 50, F.when(k % 3 == 0, "§ion=").otherwise("&section="), k % 7)
@@ -99,7 +111,7 @@ def queued_again(spark: SparkSession, d: str) -> DataFrame:
     return R.to_visit_again(found, queued)
 
 
-QUERIES = {f.__name__: f for f in (price_inversions, even_orders, even_choices, key_disagreements, move_distances, site_crawl, stage_links, repaired_rows, repair_log, queued_again)}
+QUERIES = {f.__name__: f for f in (price_inversions, even_orders, even_choices, key_disagreements, move_distances, site_crawl, stage_links, link_context, repaired_rows, repair_log, queued_again)}
 
 _DIGITS = "WITH p AS (SELECT p_partkey, [p_size % 4, p_partkey % 5, p_partkey % 3, p_size % 7] AS x FROM part)"
 _ORDERS = (
@@ -113,6 +125,10 @@ def _at(values: list[str], at: str) -> str:
     return f"[{', '.join(f"'{v}'" for v in values)}][({at}) % {len(values)} + 1]"
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 _BROKEN = "WITH b AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 = 0 AS bad, 'https://h.example/?item=' || (o_orderkey % 50) AS head, o_orderkey % 7 AS tail, 'unit.' || (o_orderkey % 9) AS unit, o_orderkey % 40 AS balance, o_orderkey % 30 AS earned, o_orderkey % 5 AS spent FROM orders)"
 ORACLE_SQL = {
     "price_inversions": """WITH l AS (SELECT l_suppkey AS s, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n FROM lineitem),
@@ -133,6 +149,14 @@ t AS (SELECT page_id, url, unnest(hs) AS h, unnest(range(len(hs))) AS i FROM p),
 s AS (SELECT *, {_at(ENDINGS, "page_id + i * 2 + i // 2")} AS e, last_value(CASE (page_id + i * 3) % 4 WHEN 0 THEN true WHEN 2 THEN false END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS inside FROM t),
 f AS (SELECT url AS page_url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h || e AS found, bool_or(coalesce(inside, false)) AS inside, bool_or(e = '-sch-1.pdf' OR regexp_matches(lower(h), '(^|[^a-z])sch($|[^a-z])|school')) AS named FROM s WHERE e <> '/page' GROUP BY ALL)
 SELECT page_url, found AS url, CASE WHEN inside THEN 'section' ELSE 'name' END AS "by" FROM f WHERE inside OR named""",
+    "link_context": f"""WITH p AS (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"]*)">', 1) AS hs FROM pages),
+t AS (SELECT page_id, url, unnest(hs) AS h, unnest(range(len(hs))) AS i FROM p),
+s AS (SELECT *, {_at(ENDINGS, "i")} AS e, {_at(["", "Past papers", "solutions & more"], "page_id + i")} AS title, coalesce(last_value(CASE (page_id + i * 3) % 4 WHEN 0 THEN 'Problems 2024' WHEN 2 THEN 'Marking criteria' END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i), '') AS heading FROM t),
+f AS (SELECT *, {_NORM.format(u='url')} AS page, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h || e AS found, row_number() OVER (PARTITION BY {_NORM.format(u='url')}, h || e ORDER BY url, i) AS nth, e <> '/page' AS file FROM s),
+w AS (SELECT *, lower('x ' || title || ' ' || h || e || CASE WHEN file THEN chr(10) || heading ELSE '' END) AS sought, lower('x ' || title || ' ' || heading || ' ' || found) AS scored FROM f WHERE nth = 1),
+k AS (SELECT *, {", ".join(f"list_filter([{', '.join(_quoted(x) for x in dict.fromkeys(ws))}], lambda z: contains(sought, z))[1:3] AS w_{kind}" for kind, ws in L.HINT_WORDS.items())} FROM w)
+SELECT substring(sha256(page || chr(10) || page || chr(10) || found), 1, 24) AS id, title, heading, CASE WHEN CAST(len(w_task) > 0 AS INT) + CAST(len(w_solution) > 0 AS INT) + CAST(len(w_criteria) > 0 AS INT) > 1 THEN 'review' WHEN len(w_criteria) > 0 THEN 'criteria' WHEN len(w_solution) > 0 THEN 'solution' WHEN len(w_task) > 0 THEN 'task' WHEN len(w_archive) > 0 THEN 'archive' ELSE 'review' END AS type_hint,
+  file AS file_candidate, concat_ws(',', {", ".join(f"CASE WHEN len(w_{kind}) > 0 THEN '{kind}=' || array_to_string(w_{kind}, '+') END" for kind in L.HINT_WORDS)}) AS evidence, {" + ".join(f"CAST(contains(scored, '{x}') AS INT)" for x in L.SCORE_WORDS)} AS heuristic_score FROM k""",
     "repaired_rows": _BROKEN + " SELECT o_orderkey, head || '&section=' || tail AS url, CASE unit WHEN 'unit.1' THEN 'arith.1' WHEN 'unit.4' THEN 'arith.4' ELSE unit END AS unit, balance, greatest(earned, balance + spent) AS earned, spent FROM b",
     "repair_log": _BROKEN
     + """ SELECT CAST(o_orderkey AS VARCHAR) AS key, 'entity_urls' AS repair, 2 AS version, 'url' AS field, head || '§ion=' || tail AS before, head || '&section=' || tail AS after FROM b WHERE bad

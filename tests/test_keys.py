@@ -85,6 +85,17 @@ def test_the_last_stage_heading_decides(spark):
     assert got == {"/x-sch-1.pdf": "name", "/a.pdf": "section", "/b.zip": "section", "/school/d.doc": "name", "/c2.pdf": "section"}
 
 
+def test_links_know_their_title_and_heading(spark):
+    html = """<a href=/0>none yet</a><h1>Past <b>papers</b> &amp; more</h1><a title='One &lt; two' href="/1">a <h3>Inner</h3></a><a href="/2" data-title=no>b</a>
+      <h2><a href="/3">in a heading</a></h2><a href='/4'>c</a><h2></h2><a href="/5">d</a><h5>no</h5><a>no target</a>"""
+    pages = spark.createDataFrame([("http://h/p", html), ("http://h/q", None), ("http://h/r", "")], "url string, html string")
+    got = [(r["href"], r["title"], r["heading"], r["anchor_text"]) for r in links.anchors(pages).orderBy("pos").collect()]
+    assert got == [
+        ("/0", "", "", "none yet"), ("/1", "One < two", "Past papers & more", "a Inner"), ("/2", "", "Inner", "b"),
+        ("/3", "", "Inner", "in a heading"), ("/4", "", "in a heading", "c"), ("/5", "", "", "d"),
+    ]
+
+
 def test_repairs_happen_once(spark):
     rows = spark.createDataFrame([(1, "http://h/?a=1§ion=2", "old", 10, 4, 1), (2, "http://h/", "new", 5, 9, 1), (3, None, None, None, None, None)], "id int, url string, unit string, balance int, earned int, spent int")
     passes = [R.entity_urls("url"), R.renamed_units("unit", {"old": "newer"}), R.balanced_ledger("balance", "earned", "spent"), R.Repair("bonus", 1, F.col("earned") > 0, {"earned": F.col("earned") + 1})]
