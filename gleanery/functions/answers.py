@@ -37,6 +37,13 @@ def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 
 
+def accepts(kind: Column, given: Column, expected: Column) -> Column:
+    """Whether an array answers a question of a kind: choices in any order, sequences in theirs, matchings place by place (a null place matches nothing)."""
+    placed = (F.size(given) == F.size(expected)) & F.forall(F.zip_with(given, expected, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
+    right = F.when(kind.isin("single_choice", "multi_choice"), same_set(given, expected)).when(kind == "sequence", given == expected).when(kind == "matching", placed)
+    return F.coalesce(right, F.lit(False))
+
+
 def version(v: Column) -> Column:
     """A dotted version as numbers, to be compared as an array."""
     return F.transform(F.split(v, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))

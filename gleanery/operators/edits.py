@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.folds import fold
 from gleanery.sources.exports import numbered
 
 
@@ -30,6 +33,60 @@ def replayed(starts: DataFrame, edits: DataFrame, by: str = "doc") -> DataFrame:
     return both.select(by, F.aggregate(F.coalesce("_e", F.array().cast(log.schema["_e"].dataType)), F.col("_s"), step).alias("starts"))
 
 
+PIECE = "array<struct<id:string,label:string,start:int,end:int,tasks:array<string>,confidence:double,confirmed:boolean,corrected:boolean>>"
+# Fixed value: the confidence that the second half of a split piece has at most.
+HALF = 0.72
+
+
+def _edited(pieces: list[dict], doc: str, seq: int, op: str, at: str) -> list[dict]:
+    """The pieces of a document after one edit of the piece `at`; one that isn't there, or an edit that doesn't fit, changes nothing."""
+    i = next((k for k, p in enumerate(pieces) if p["id"] == at), None)
+    if i is None:
+        return pieces
+    one, out = dict(pieces[i]), list(pieces)
+    out[i] = one
+    if op == "accept":
+        one |= {"confirmed": True, "confidence": 1.0}
+    elif op == "left" and one["start"] > 1:
+        one |= {"start": one["start"] - 1, "corrected": True}
+    elif op == "right":
+        one |= {"end": one["end"] + 1, "corrected": True}
+    elif op == "split" and one["end"] > one["start"]:
+        middle, cut = (one["start"] + one["end"]) // 2, -(-len(one["tasks"]) // 2)
+        name = hashlib.sha1(f"{doc}|human-split|{seq}|{middle + 1}".encode()).hexdigest()[:20]
+        later = one | {"id": f"section_{name}", "label": one["label"] + " B", "start": middle + 1, "tasks": one["tasks"][cut:], "confidence": min(one["confidence"], HALF), "corrected": True}
+        one |= {"label": one["label"] + " A", "end": middle, "tasks": one["tasks"][:cut], "corrected": True}
+        out.insert(i + 1, later)
+    elif op == "merge" and i + 1 < len(out):
+        after = out.pop(i + 1)
+        one |= {"label": f"{one['label']} + {after['label']}", "end": max(one["end"], after["end"]), "tasks": one["tasks"] + after["tasks"], "corrected": True}
+    elif op == "delete":
+        del out[i]
+    return out
+
+
+def pieces(sections: DataFrame, edits: DataFrame, by: str = "doc") -> DataFrame:
+    """Rows (by, nth, id, label, start, end, tasks, confidence, confirmed, corrected): the sections of each document after its edits, one after the other.
+
+    Sections are rows (by, nth, id, label, start, end, tasks, confidence), edits rows (by, seq, op, at) that name a piece by its id: accept, left (begins a
+    page earlier), right (ends a page later), split (at the middle page, tasks by halves), merge (with the next piece), delete. What the pieces
+    have is a document's state, so edits of any number stream past it. Edits of documents without sections change nothing.
+    """
+    empty = F.lit(None)
+    first = sections.select(by, F.lit(0).alias("turn"), F.col("nth").cast("long").alias("seq"), F.lit("").alias("op"), "id", "label", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce("tasks", F.array().cast("array<string>")).alias("tasks"), F.col("confidence").cast("double").alias("confidence"))
+    later = edits.select(by, F.lit(1).alias("turn"), F.col("seq").cast("long").alias("seq"), "op", F.col("at").alias("id"), empty.cast("string").alias("label"), empty.cast("int").alias("start"), empty.cast("int").alias("end"), empty.cast("array<string>").alias("tasks"), empty.cast("double").alias("confidence"))
+
+    def step(state: list[dict], doc, turn, seq, op, id_, label, start, end, tasks, confidence) -> tuple[list[dict], None]:
+        if turn == 0:
+            return [*state, {"id": id_, "label": label or "", "start": start, "end": end, "tasks": list(tasks), "confidence": confidence, "confirmed": False, "corrected": False}], None
+        return _edited(state, str(doc), seq, op, id_), None
+
+    fields = ["turn", "seq", "op", "id", "label", "start", "end", "tasks", "confidence"]
+    both = first.unionByName(later).withColumn("_doc", F.col(by))
+    done = fold(both, [by], ["turn", "seq", "op", "id"], ["_doc", *fields], f"pieces {PIECE}", list, step, lambda s: (s,))
+    return done.select(by, F.posexplode("pieces").alias("nth", "p")).select(by, "nth", "p.*")
+
+
 def preferred(keys: DataFrame, by: str, *sources: tuple[str, DataFrame]) -> DataFrame:
     """`keys` with `source` and `value`: of sources (by, value), the first that has the key."""
     out = keys
