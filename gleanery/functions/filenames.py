@@ -102,7 +102,7 @@ def profile(name: Column, competition: str = COMPETITION) -> Column:
         known = value != sign.default
         snippet = F.when(token != "", F.concat(name, F.lit(' · token "'), token, F.lit('"'))).otherwise(name)
         out[key] = _made(value, F.when(known, SURE[key][0]).otherwise(SURE[key][1]), snippet, sign.label, "filename")
-    foreign = _value(_token(low, SIGNS["subject"]), "subject", SIGNS["subject"]) == "ENGLISH"
+    foreign = _value(_token(low, SIGNS["subject"]), "subject", SIGNS["subject"]) == SUBJECTS["engl"]
     told = F.when(foreign, "Language requires document text").otherwise("Russian is the default language hypothesis for other subjects")
     out["language"] = _made(F.when(foreign, "UNKNOWN").otherwise("RU"), F.when(foreign, SURE["language"][1]).otherwise(SURE["language"][0]), told, "language heuristic", "heuristic")
     out["competition"] = _made(F.lit(competition), F.lit(SURE["competition"][0]), F.lit("A default of the corpus, not a claim of the text"), "corpus source default", "heuristic")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,22 +19,36 @@ BY_TYPE = {
 }
 
 
+#: Endings of other media types, as Python's own table has them.
+_TYPES = mimetypes.MimeTypes(filenames=())
+GENERAL = {t: e for t in sorted(_TYPES.types_map[True].values()) if (e := _TYPES.guess_extension(t))}
+
+
 def extension(url: Column, mime: Column) -> Column:
-    """The file ending by the URL's path, else by the media type, else `.bin`."""
+    """The file ending by the URL's path, else by the media type (the fixed table first, then the general one), else `.bin`."""
     own = F.lower(F.regexp_extract(urls.path(url), r"(\.[^./]+)$", 1))
-    table = F.create_map(*[F.lit(x) for kv in BY_TYPE.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in (GENERAL | BY_TYPE).items() for x in kv])
     return F.when(own.isin(ENDINGS), own).otherwise(F.coalesce(F.try_element_at(table, F.trim(F.lower(F.split(mime, ";")[0]))), F.lit(".bin")))
 
 
+# How documents of two kinds begin, endings that no web page has, and the reasons why bytes are no document.
+MAGIC = {".pdf": [b"%PDF-"], ".zip": [b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"]}
+NO_PAGES = (".pdf", ".doc", ".docx", ".zip")
+EMPTY, LARGE, NOT_PDF, NOT_ZIP, PAGE = "empty_body", "file_too_large", "invalid_pdf_magic", "invalid_zip_magic", "html_instead_of_document"
+
+
 def invalid(data: Column, ending: Column, mime: Column, most: int) -> Column:
     """Why fetched bytes are no such document; null if they may be one."""
-    starts = lambda *signs: F.hex(F.substring(data, 1, 5)).rlike("^(" + "|".join(signs) + ")")
-    html = F.lower(F.coalesce(mime, F.lit(""))).contains("text/html") & ending.isin(".pdf", ".doc", ".docx", ".zip")
-    return (
-        F.when(data.isNull() | (F.octet_length(data) == 0), "empty_body").when(F.octet_length(data) > most, "file_too_large")
-        .when((ending == ".pdf") & ~starts("255044462D"), "invalid_pdf_magic").when((ending == ".zip") & ~starts("504B0304", "504B0506", "504B0708"), "invalid_zip_magic")
-        .when(html, "html_instead_of_document")
-    )
+
+    def other(kind: str) -> Column:
+        begins = F.lit(False)
+        for sign in MAGIC[kind]:
+            begins = begins | (F.substring(data, 1, len(sign)) == F.lit(sign))
+        return (ending == kind) & ~begins
+
+    page = F.lower(F.coalesce(mime, F.lit(""))).contains("text/html") & ending.isin(*NO_PAGES)
+    size = F.octet_length(data)
+    return F.when(data.isNull() | (size == 0), EMPTY).when(size > most, LARGE).when(other(".pdf"), NOT_PDF).when(other(".zip"), NOT_ZIP).when(page, PAGE)
 
 
 def allowed(url: Column, include: Column, exclude: Column) -> Column:

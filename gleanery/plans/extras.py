@@ -14,7 +14,7 @@ from gleanery.sources.tables import table
 
 #: A part as a file: https://h/2024/tasks-math-7-8-sch-24-25.pdf and the like, out of its columns.
 _URL = """concat('https://h.example/', CASE WHEN p_size % 3 = 0 THEN concat(2000 + p_size % 26, '/') WHEN p_size % 3 = 1 THEN 'x/' ELSE '2021-2022/' END,
- element_at(array('tasks-', 'ans-', 'sol-', 'krit-', 'script-', ''), int(p_partkey % 6) + 1), element_at(array('math', 'engl', 'fiz', 'none'), int(p_partkey % 4) + 1), '-', p_partkey % 12, '-',
+ element_at(array('tasks-', 'ans-', 'sol-', 'krit-', 'script-', ''), int(p_partkey % 6) + 1), element_at(array('math', 'chem', 'fiz', 'none'), int(p_partkey % 4) + 1), '-', p_partkey % 12, '-',
  p_partkey % 12 + 1, '-', element_at(array('sch', 'mun', 'reg', 'fin', 'zz'), int(p_partkey % 5) + 1), '-', lpad(string(p_size % 30), 2, '0'), '-', lpad(string((p_size % 30) + 1), 2, '0'), '.pdf')"""
 
 
@@ -92,11 +92,11 @@ def diverse_session(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (url_metadata_cascade, answer_check, body_spans, vertical_gaps, artifact_binding, multi_column, work_queue, document_states, preparation_plan, recent_queue, unresolved_hosts, diverse_session)}
 
-_SQL_URL = """'https://h.example/' || CASE WHEN p_size % 3 = 0 THEN (2000 + p_size % 26) || '/' WHEN p_size % 3 = 1 THEN 'x/' ELSE '2021-2022/' END || ['tasks-', 'ans-', 'sol-', 'krit-', 'script-', ''][p_partkey % 6 + 1] || ['math', 'engl', 'fiz', 'none'][p_partkey % 4 + 1] || '-' || (p_partkey % 12) || '-' || (p_partkey % 12 + 1) || '-' || ['sch', 'mun', 'reg', 'fin', 'zz'][p_partkey % 5 + 1] || '-' || lpad(CAST(p_size % 30 AS VARCHAR), 2, '0') || '-' || lpad(CAST(p_size % 30 + 1 AS VARCHAR), 2, '0') || '.pdf'"""
+_SQL_URL = """'https://h.example/' || CASE WHEN p_size % 3 = 0 THEN (2000 + p_size % 26) || '/' WHEN p_size % 3 = 1 THEN 'x/' ELSE '2021-2022/' END || ['tasks-', 'ans-', 'sol-', 'krit-', 'script-', ''][p_partkey % 6 + 1] || ['math', 'chem', 'fiz', 'none'][p_partkey % 4 + 1] || '-' || (p_partkey % 12) || '-' || (p_partkey % 12 + 1) || '-' || ['sch', 'mun', 'reg', 'fin', 'zz'][p_partkey % 5 + 1] || '-' || lpad(CAST(p_size % 30 AS VARCHAR), 2, '0') || '-' || lpad(CAST(p_size % 30 + 1 AS VARCHAR), 2, '0') || '.pdf'"""
 _BOXES = "WITH b AS (SELECT l_orderkey // 10 AS page, l_orderkey, l_linenumber, CAST(l_partkey % 300 AS DOUBLE) AS x0, CAST((l_orderkey % 10) * 70 + l_linenumber * 9 AS DOUBLE) AS y0, l_partkey % 300 + l_quantity * 4 AS x1, CAST((l_orderkey % 10) * 70 + l_linenumber * 9 + 8 AS DOUBLE) AS y1, l_returnflag = 'R' AS art FROM lineitem)"
 ORACLE_SQL = {
     # the URLs are built from the columns, so what the cascade must find in them is known from the columns
-    "url_metadata_cascade": f"SELECT p_partkey, {_SQL_URL} AS url, CASE p_partkey % 4 WHEN 0 THEN 'mathematics' WHEN 1 THEN 'english' WHEN 2 THEN 'physics' END AS subject, CAST(CASE WHEN p_size % 3 = 0 THEN 2000 + p_size % 26 WHEN p_size % 3 = 1 THEN 2000 + p_size % 30 ELSE 2021 END AS INT) AS season, CASE p_partkey % 5 WHEN 0 THEN 'school' WHEN 1 THEN 'municipal' WHEN 2 THEN 'regional' WHEN 3 THEN 'final' END AS stage, CASE WHEN p_partkey % 4 < 3 THEN (p_partkey % 12) || '–' || (p_partkey % 12 + 1) END AS grade_band, ['tasks', 'answers', 'solutions', 'criteria', 'script', 'other'][p_partkey % 6 + 1] AS role FROM part",
+    "url_metadata_cascade": f"SELECT p_partkey, {_SQL_URL} AS url, CASE p_partkey % 4 WHEN 0 THEN 'mathematics' WHEN 1 THEN 'chemistry' WHEN 2 THEN 'physics' END AS subject, CAST(CASE WHEN p_size % 3 = 0 THEN 2000 + p_size % 26 WHEN p_size % 3 = 1 THEN 2000 + p_size % 30 ELSE 2021 END AS INT) AS season, CASE p_partkey % 5 WHEN 0 THEN 'school' WHEN 1 THEN 'municipal' WHEN 2 THEN 'regional' WHEN 3 THEN 'final' END AS stage, CASE WHEN p_partkey % 4 < 3 THEN (p_partkey % 12) || '–' || (p_partkey % 12 + 1) END AS grade_band, ['tasks', 'answers', 'solutions', 'criteria', 'script', 'other'][p_partkey % 6 + 1] AS role FROM part",
     "answer_check": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_discount AS VARCHAR) || 'm' WHEN l_discount = 0 THEN '0' ELSE CAST(l_discount AS VARCHAR) END AS canonical, CASE WHEN l_linenumber % 2 = 0 THEN l_discount END AS value, CASE WHEN l_linenumber % 2 = 0 THEN abs(l_discount - l_tax) <= 0.02::DOUBLE + 1e-9 ELSE false END AS accepted FROM lineitem",
     "body_spans": _BOXES + " SELECT page, l_orderkey, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM b GROUP BY ALL",
     "vertical_gaps": _BOXES + " SELECT page, y0, gap FROM (SELECT page, y0, y0 - lag(y1) OVER (PARTITION BY page ORDER BY y0, l_orderkey, l_linenumber, x0, x1) AS gap FROM b) WHERE gap > 96",

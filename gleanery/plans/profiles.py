@@ -95,11 +95,11 @@ def _at(values: list[str], at: str) -> str:
 _PART = f"""
 WITH p AS (SELECT p_partkey AS k, p_size AS s, p_partkey // 6 AS c FROM part),
 n AS (SELECT *, {_at(PREFIXES, "k")} || {_at(CODES, "c")} || '-' || {_at(GRADES, "k")} || '-' || {_at(TOURS, "k")} || '-' || {_at(STAGES, "s")} || '-' || {_at(REGIONS, "s")} || '-' || lpad(CAST(s % 30 AS VARCHAR), 2, '0') || '-' || lpad(CAST(s % 30 + 1 AS VARCHAR), 2, '0') AS base, s % 7 <> 0 AS pdf FROM p),
-v AS (SELECT *, base || CASE WHEN pdf THEN '.pdf' ELSE '.doc' END AS name, {_at(["TASK_SET", "ANSWER_KEY", "LISTENING_SCRIPT", "CRITERIA", "ANSWER_KEY", "OTHER"], "k")} AS role, {_at(["ENGLISH", "RUSSIAN", "MATHEMATICS", "GEOGRAPHY", "PHYSICS", "OTHER"], "c")} AS subject,
+v AS (SELECT *, base || CASE WHEN pdf THEN '.pdf' ELSE '.doc' END AS name, {_at(["TASK_SET", "ANSWER_KEY", "LISTENING_SCRIPT", "CRITERIA", "ANSWER_KEY", "OTHER"], "k")} AS role, {_at([N.SUBJECTS.get(c, "OTHER") for c in CODES], "c")} AS subject,
   CASE WHEN pdf THEN '20' || lpad(CAST(s % 30 AS VARCHAR), 2, '0') || '/' || lpad(CAST(s % 30 + 1 AS VARCHAR), 2, '0') ELSE 'UNKNOWN' END AS academic_year, CASE WHEN c % 6 < 5 AND k % 3 < 2 THEN {_at(["9-11", "7", ""], "k")} ELSE 'UNKNOWN' END AS grades,
   {_at(["MUNICIPAL", "REGIONAL", "UNKNOWN"], "s")} AS stage, {_at(["WRITTEN", "ORAL", "WRITTEN", "UNKNOWN"], "k")} AS tour, CASE WHEN pdf AND s % 3 < 2 THEN {_at([N.REGIONS["lenobl"], N.REGIONS["omsk"], N.REGIONS["spb"], "ZZ9"], "s")} ELSE 'UNKNOWN' END AS region FROM n),
-f AS (SELECT *, CASE WHEN subject = 'ENGLISH' THEN 'UNKNOWN' ELSE 'RU' END AS language, 'VSOSh' AS competition, regexp_replace(base, '^(tasks|ans|script|criteria)-', '') AS problemset,
-  CASE WHEN subject = 'OTHER' THEN '0.45' ELSE '0.99' END AS s1, CASE WHEN subject = 'ENGLISH' THEN '0.35' ELSE '0.78' END AS s2, CASE WHEN academic_year = 'UNKNOWN' THEN '0.45' ELSE '0.98' END AS s3, CASE WHEN grades = 'UNKNOWN' THEN '0.45' ELSE '0.98' END AS s4,
+f AS (SELECT *, CASE WHEN subject = '{N.SUBJECTS[CODES[0]]}' THEN 'UNKNOWN' ELSE 'RU' END AS language, 'VSOSh' AS competition, regexp_replace(base, '^(tasks|ans|script|criteria)-', '') AS problemset,
+  CASE WHEN subject = 'OTHER' THEN '0.45' ELSE '0.99' END AS s1, CASE WHEN subject = '{N.SUBJECTS[CODES[0]]}' THEN '0.35' ELSE '0.78' END AS s2, CASE WHEN academic_year = 'UNKNOWN' THEN '0.45' ELSE '0.98' END AS s3, CASE WHEN grades = 'UNKNOWN' THEN '0.45' ELSE '0.98' END AS s4,
   CASE WHEN stage = 'UNKNOWN' THEN '0.55' ELSE '0.97' END AS s6, CASE WHEN tour = 'UNKNOWN' THEN '0.55' ELSE '0.94' END AS s7, CASE WHEN region = 'UNKNOWN' THEN '0.52' ELSE '0.88' END AS s8 FROM v)
 """
 _STATED = """

@@ -85,8 +85,8 @@ def test_grades(spark, band, want):
 
 
 def test_metadata(spark):
-    a = one(spark, metadata.describe(F.col("u")), u="https://o.ru/2025-26/school/engl/tasks-engl-7-8-sch-msk-25-26.pdf")
-    assert (a["subject"], a["season"], a["stage"], a["grade_band"], a["role"]) == ("english", 2025, "school", "7–8", "tasks")
+    a = one(spark, metadata.describe(F.col("u")), u="https://o.ru/2025-26/school/chem/tasks-chem-7-8-sch-msk-25-26.pdf")
+    assert (a["subject"], a["season"], a["stage"], a["grade_band"], a["role"]) == ("chemistry", 2025, "school", "7–8", "tasks")
     b = one(spark, metadata.describe(F.col("u")), u="https://o.ru/73/2024/tasks-iikt-10-11-gr1-sch-sirius-24-25.pdf")
     assert (b["season"], b["grade_band"]) == (2024, "10–11")
     c = one(spark, metadata.describe(F.col("u")), u="https://unknown.org/readme")

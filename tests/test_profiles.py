@@ -16,10 +16,10 @@ def profile(spark, name):
 @pytest.mark.parametrize(
     ("name", "want"),
     [
-        ("tasks-engl-9-11-pism-mun-lenobl-24-25.pdf", ["TASK_SET", "ENGLISH", "UNKNOWN", "2024/25", "9-11", "VSOSh", "MUNICIPAL", "WRITTEN", "Ленинградская область", "engl-9-11-pism-mun-lenobl-24-25"]),
+        ("tasks-engl-9-11-pism-mun-lenobl-24-25.pdf", ["TASK_SET", N.SUBJECTS["engl"], "UNKNOWN", "2024/25", "9-11", "VSOSh", "MUNICIPAL", "WRITTEN", "Ленинградская область", "engl-9-11-pism-mun-lenobl-24-25"]),
         ("Ans-MATH-7-mun-zz9-23-24.PDF", ["ANSWER_KEY", "MATHEMATICS", "RU", "2023/24", "7", "VSOSh", "MUNICIPAL", "UNKNOWN", "ZZ9", "math-7-mun-zz9-23-24"]),
         ("sol-iikt-5-reg-x.doc", ["ANSWER_KEY", "INFORMATICS", "RU", "UNKNOWN", "5", "VSOSh", "REGIONAL", "UNKNOWN", "UNKNOWN", "sol-iikt-5-reg-x"]),
-        ("script-engl-9-11-ustn-reg-mun-a-24-25.pdf", ["LISTENING_SCRIPT", "ENGLISH", "UNKNOWN", "2024/25", "9-11", "VSOSh", "MUNICIPAL", "ORAL", "A", "engl-9-11-ustn-reg-mun-a-24-25"]),
+        ("script-engl-9-11-ustn-reg-mun-a-24-25.pdf", ["LISTENING_SCRIPT", N.SUBJECTS["engl"], "UNKNOWN", "2024/25", "9-11", "VSOSh", "MUNICIPAL", "ORAL", "A", "engl-9-11-ustn-reg-mun-a-24-25"]),
         ("", ["OTHER", "OTHER", "RU", "UNKNOWN", "UNKNOWN", "VSOSh", "UNKNOWN", "UNKNOWN", "UNKNOWN", ""]),
         (None, ["OTHER", "OTHER", "RU", "UNKNOWN", "UNKNOWN", "VSOSh", "UNKNOWN", "UNKNOWN", "UNKNOWN", ""]),
     ],
