@@ -39,6 +39,8 @@ from gleanery.llm.frames import discard, give_back, masked, shuffle_partitions,
 
 SHINGLE, GROUPS, FANOUT, SEEDS, BLOCK = 5, 256, 16, 8, 512
 KEY_BITS = 40
+#: Bytes of a unit in a bucket, about.
+ROW = 2 * GROUPS
 #: Pairs of one lead that stay together.
 PAIRS = 4096
 
@@ -266,9 +268,8 @@ def _pairs(table: pa.Table, seeds: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def _search(rows: DataFrame, seeds: int = 0) -> DataFrame:
-    """Distinct pairs (a, b) that the trees of (token, block) let through."""
-    n = 2 * shuffle_partitions(rows)
+def _search(rows: DataFrame, n: int, seeds: int = 0) -> DataFrame:
+    """Distinct pairs (a, b) that the trees of (token, block) let through, by `n` buckets of them."""
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("token", "block"), F.lit(n)).cast("int"))
     return dealt.groupBy("_bucket").applyInArrow(lambda t: _pairs(t, seeds), "a binary, b binary").distinct()
 
@@ -291,13 +292,12 @@ def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ok_a, pa.binary()), "b": pa.array(ok_b, pa.binary())})
 
 
-def verify(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sigs: DataFrame, parts: int) -> DataFrame:
     """The pairs whose shingle sets are similar enough, stored. A part of the pairs gets each set it needs once.
 
     Pairs are dealt by the lowest partner of their second unit, mostly one seed for a group of copies, so most sets travel once; the pairs of a
     partner that has more than `PAIRS` of them are dealt further by their second unit.
     """
-    parts = 2 * shuffle_partitions(pairs)
     led = stored(pairs.withColumn("_lead", F.min("a").over(Win.partitionBy("b"))))
     # written, so that Spark knows how few they are before it plans the join
     many = stored(led.groupBy("_lead").count().where(F.col("count") > PAIRS).select("_lead", F.ceil(F.col("count") / F.lit(PAIRS)).alias("_split")))
@@ -312,6 +312,10 @@ def verify(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataFrame:
     """Rows (node, component) of all units that have a link."""
+    # buckets and parts by the bytes of vectors and sets, so that a task holds as much at any size
+    held = sigs.where(F.size("tokens") > 0).agg(F.sum(F.size("tokens")), F.sum("n")).first()
+    least = 2 * shuffle_partitions(sigs)
+    buckets, parts = max(least, (held[0] or 0) * ROW // X.PART), max(least, (held[1] or 0) * 8 // X.PART)
     rows = sigs.where(F.size("tokens") > 0).select("unit", "n", "vector", F.explode("tokens").alias("t")).select("unit", "n", "vector", "t.token", "t.df", "t.rest")
     blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
@@ -319,18 +323,18 @@ def components(sigs: DataFrame, seeds: int = SEEDS, block: int = BLOCK) -> DataF
     lead = rows.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("unit", "token"), F.col("df")) < seeds))
     to_all = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     every = rows.withColumn("asks", F.lit(False)).unionByName(to_all(lead))
-    pairs = stored(_search(every, seeds))
-    first = connected(sure := verify(pairs, sigs))
+    pairs = stored(_search(every, buckets, seeds))
+    first = connected(sure := verify(pairs, sigs, parts))
     # second round: of each group, all but the largest component ask; vectors come back for groups of several components only
     now = stored(rows.drop("vector").join(first.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")))
     sizes = now.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("n_comp"))
     mixed = now.join(sizes.where("n_comp > 1").select("token", "main"), "token")
     some = stored(mixed.join(sigs.where(F.size("tokens") > 0).select("unit", "vector"), "unit"))
-    held = some.withColumn("asks", F.lit(False))
-    late = stored(_search(held.unionByName(to_all(some.where("component <> main")))))
+    there = some.withColumn("asks", F.lit(False))
+    late = stored(_search(there.unionByName(to_all(some.where("component <> main"))), buckets))
     # what the second round links are components of the first and units that had no link
     known = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-    found = verify(late, sigs).join(known("a"), "a", "left").join(known("b"), "b", "left")
+    found = verify(late, sigs, parts).join(known("a"), "a", "left").join(known("b"), "b", "left")
     second = connected(found.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
     moved = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     alone = second.join(first, "node", "left_anti")
