@@ -110,3 +110,58 @@ def explored(competitions: DataFrame, archives: DataFrame, observations: DataFra
 def saved_entries(entries: DataFrame, saved: DataFrame, key: str, lemma: str) -> DataFrame:
     """Entries that are saved, in the order of their lemmas without regard to case."""
     return entries.join(saved.select(key).distinct(), key, "left_semi").orderBy(F.lower(lemma), lemma, key)
+
+
+# Rights under which content may be given on.
+RIGHTS = ("owned_original", "licensed", "public_domain", "open_license")
+
+
+def registry_faults(subjects: DataFrame, competitions: DataFrame) -> DataFrame:
+    """Rows (id, fault) of a registry's subjects (id) and competitions (id, subject_ids, season_from, season_to, stages, links, source_ids) that break its rules."""
+    told = lambda df, fault: df.select(F.col("id").cast("string").alias("id"), F.lit(fault).alias("fault"))
+    out = told(subjects.groupBy("id").count().where("count > 1"), "subject_repeats").unionByName(told(competitions.groupBy("id").count().where("count > 1"), "competition_repeats"))
+    named = competitions.select("id", F.explode("subject_ids").alias("_s"))
+    out = out.unionByName(told(named.join(subjects.select(F.col("id").alias("_s")), "_s", "left_anti").select("id").distinct(), "unknown_subject"))
+    stages, links = F.coalesce("stages", F.array().cast("array<string>")), F.coalesce("links", F.array().cast("array<string>"))
+    rules = [
+        (~F.coalesce(F.col("season_from") <= F.col("season_to"), F.lit(False)), "seasons_turned"),
+        ((F.size(stages) == 0) | (F.size(F.array_distinct(stages)) < F.size(stages)), "stages_missing_or_repeated"),
+        (F.exists(links, lambda x: ~F.coalesce(F.lower(x).startswith("https://"), F.lit(False))), "link_without_https"),
+        (F.exists(F.coalesce("source_ids", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) == ""), "empty_source"),
+    ]
+    faults = F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in rules]))
+    return out.unionByName(competitions.select(F.col("id").cast("string").alias("id"), F.explode(faults).alias("fault")))
+
+
+def licence_faults(licences: DataFrame) -> DataFrame:
+    """Rows (licence_id, fault) of licences (licence_id, rights_type, active, distribution_allowed, territories) under which nothing may be given on."""
+    rules = [
+        (~F.coalesce(F.col("rights_type").isin(*RIGHTS), F.lit(False)), "unverified_rights"),
+        (~F.coalesce(F.col("active") & F.col("distribution_allowed"), F.lit(False)), "inactive_or_undistributable"),
+        (F.coalesce(F.size("territories"), F.lit(0)) <= 0, "no_territories"),
+    ]
+    return licences.select("licence_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in rules]))).alias("fault"))
+
+
+def pack_faults(packs: DataFrame, grants: DataFrame, licences: DataFrame, targets: DataFrame, blueprint: DataFrame, questions: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows (pack_id, fault, detail) of enabled packs that lack what they need: a grant, a good licence, a target, a blueprint whose units are known, named once and asked for.
+
+    Packs (pack_id, enabled, licence_id), grants (pack_ids, active), targets (pack_id), blueprint rows (pack_id, unit, weight), questions (pack_id, knowledge),
+    units (unit).
+    """
+    open_ = packs.where(F.coalesce("enabled", F.lit(False))).select("pack_id", "licence_id")
+    told = lambda df, fault, detail: df.select("pack_id", F.lit(fault).alias("fault"), detail.cast("string").alias("detail"))
+    none = F.lit("")
+    granted = grants.where(F.coalesce("active", F.lit(False))).select(F.explode("pack_ids").alias("pack_id"))
+    bad = licence_faults(licences).select("licence_id").distinct()
+    good = licences.select("licence_id").join(bad, "licence_id", "left_anti")
+    out = told(open_.join(granted, "pack_id", "left_anti"), "no_grant", none)
+    out = out.unionByName(told(open_.join(good, "licence_id", "left_anti"), "no_licence", F.coalesce(F.col("licence_id").cast("string"), none)))
+    out = out.unionByName(told(open_.join(targets.select("pack_id"), "pack_id", "left_anti"), "no_target", none))
+    out = out.unionByName(told(open_.join(blueprint.select("pack_id"), "pack_id", "left_anti"), "no_blueprint", none))
+    own = blueprint.join(open_.select("pack_id"), "pack_id", "left_semi")
+    out = out.unionByName(told(own.groupBy("pack_id", "unit").count().where("count > 1"), "unit_repeats", F.col("unit")))
+    out = out.unionByName(told(own.select("pack_id", "unit").distinct().join(units.select("unit"), "unit", "left_anti"), "unknown_unit", F.col("unit")))
+    asked = questions.select("pack_id", F.explode("knowledge").alias("unit")).distinct()
+    out = out.unionByName(told(own.select("pack_id", "unit").distinct().join(asked, ["pack_id", "unit"], "left_anti"), "unit_not_asked_for", F.col("unit")))
+    return out.unionByName(told(own.where(~F.coalesce(F.col("weight") > 0, F.lit(False))), "weight_not_positive", F.col("unit")))

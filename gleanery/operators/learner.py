@@ -69,6 +69,18 @@ def daily(answers: DataFrame) -> DataFrame:
     return rows.groupBy("learner", "day").agg(F.count(F.lit(1)).alias("answered"), F.count_if("correct").alias("n_correct"), F.sum("xp_gain").alias("xp"), F.max("combo").alias("best_combo"))
 
 
+def activity(answers: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row a learner and day of answers (learner, ts, event_id, correct, xp, crystals, combo, pack) and sessions completed (learner, ts).
+
+    Negative gains count nothing; the last pack is that of the day's last answer; a day with sessions only has no answers and no pack.
+    """
+    day = F.to_date("ts").alias("day")
+    gain = lambda c: F.sum(F.greatest(F.col(c), F.lit(0))).cast("long").alias(c)
+    own = answers.groupBy("learner", day).agg(F.count(F.lit(1)).alias("answered"), F.count_if("correct").alias("n_correct"), gain("xp"), gain("crystals"), F.max("combo").alias("best_combo"), F.max_by("pack", F.struct("ts", "event_id")).alias("last_pack"))
+    done = sessions.groupBy("learner", day).agg(F.count(F.lit(1)).alias("sessions"))
+    return own.join(done, ["learner", "day"], "full").na.fill(0, ["answered", "n_correct", "xp", "crystals", "best_combo", "sessions"])
+
+
 def filled_days(days: DataFrame, last: Column, n: int = 7) -> DataFrame:
     """The last n days of each learner, empty ones included."""
     grid = days.select("learner").distinct().withColumn("day", F.explode(F.sequence(F.date_sub(last, n - 1), last)))

@@ -43,6 +43,15 @@ def daily_activity(spark: SparkSession, d: str) -> DataFrame:
     return L.daily(_answers(spark, d)).withColumn("day", F.col("day").cast("string"))
 
 
+def learner_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases stand for completed sessions; every third k gives crystals, some take them away."""
+    answers = _answers(spark, d)
+    k = F.col("unit")
+    rows = L.combos(answers).where(F.col("event_id") % 11 > 0).select("learner", "ts", "event_id", "correct", F.col("xp_gain").alias("xp"), (k % 3 - 1).alias("crystals"), F.col("combo").cast("long").alias("combo"), F.concat(F.lit("p"), k % 4).alias("pack"))
+    sessions = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("learner"), F.col("ts").cast("timestamp").alias("ts"))
+    return L.activity(rows, sessions).withColumn("day", F.col("day").cast("string"))
+
+
 def recent_days_filled(spark: SparkSession, d: str) -> DataFrame:
     return L.filled_days(L.daily(_answers(spark, d)), F.expr(LAST_DAY)).select("learner", F.col("day").cast("string").alias("day"), "answered", "n_correct", "xp", "best_combo")
 
@@ -81,7 +90,7 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("learner", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
 
 
-QUERIES = {f.__name__: f for f in (evidence_counters, mastery_state, due_reviews, combo_runs, daily_activity, recent_days_filled, month_summary, duration_buckets, ledger_fold, readiness, adaptive_rank, session_windows)}
+QUERIES = {f.__name__: f for f in (evidence_counters, mastery_state, due_reviews, combo_runs, daily_activity, learner_activity, recent_days_filled, month_summary, duration_buckets, ledger_fold, readiness, adaptive_rank, session_windows)}
 
 _A = "WITH RECURSIVE a AS (SELECT user_id AS learner, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS unit, event_type <> 'error' AS correct, ts, event_id, value FROM events)"
 _EV = (
@@ -109,6 +118,10 @@ ORACLE_SQL = {
     "due_reviews": _EV + f" SELECT learner, unit, interval_days, next_review FROM ev WHERE next_review <= {NOW.replace('timestamp', 'TIMESTAMP ')}",
     "combo_runs": _C + " SELECT event_id, learner, CAST(combo AS BIGINT) AS combo, CAST(best_combo AS BIGINT) AS best_combo, CAST(xp_gain AS BIGINT) AS xp_gain, xp, CAST(1 + xp // 350 AS INT) AS level FROM combos",
     "daily_activity": _C + " SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM days",
+    "learner_activity": _C
+    + """, r AS (SELECT *, CAST(ts AS DATE) AS day, 'p' || (unit % 4) AS pack FROM combos WHERE event_id % 11 > 0), w AS (SELECT learner, day, count(*) AS answered, count(*) FILTER (correct) AS n_correct, CAST(sum(xp_gain) AS BIGINT) AS xp, CAST(sum(greatest(unit % 3 - 1, 0)) AS BIGINT) AS crystals, CAST(max(combo) AS BIGINT) AS best_combo, arg_max(pack, (ts, event_id)) AS last_pack FROM r GROUP BY ALL),
+z AS (SELECT user_id AS learner, CAST(ts AS DATE) AS day, count(*) AS sessions FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT learner, CAST(day AS VARCHAR) AS day, coalesce(answered, 0) AS answered, coalesce(n_correct, 0) AS n_correct, coalesce(xp, 0) AS xp, coalesce(crystals, 0) AS crystals, coalesce(best_combo, 0) AS best_combo, last_pack, coalesce(sessions, 0) AS sessions FROM w FULL JOIN z USING (learner, day)""",
     "recent_days_filled": _C + ", g AS (SELECT learner, CAST(day AS DATE) AS day FROM (SELECT DISTINCT learner FROM days), range(DATE '2024-01-24', DATE '2024-01-31', INTERVAL 1 DAY) t(day)) SELECT learner, CAST(day AS VARCHAR) AS day, coalesce(answered, 0) AS answered, coalesce(n_correct, 0) AS n_correct, coalesce(xp, 0) AS xp, coalesce(best_combo, 0) AS best_combo FROM g LEFT JOIN days USING (learner, day)",
     "month_summary": _C + " SELECT learner, strftime(day, '%Y-%m') AS month, CAST(sum(answered) AS BIGINT) AS answered, CAST(sum(n_correct) AS BIGINT) AS n_correct, count(*) AS active_days, max(best_combo) AS best_combo FROM days GROUP BY ALL",
     "duration_buckets": _A + " SELECT CASE WHEN value < 5 THEN 'under_5s' WHEN value < 15 THEN 'under_15s' WHEN value < 45 THEN 'under_45s' ELSE 'over_45s' END AS bucket, correct, count(*) AS count FROM a GROUP BY ALL",

@@ -124,7 +124,34 @@ def problemset_edges(spark: SparkSession, d: str) -> DataFrame:
     return E.edge_proposals(_assets(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (draft_faults, questions_of_unit, repeated_prompts, script_segments, observed_presence, explored_corpus, saved_lemmas, accepted_answers, edit_pieces, body_metrics, problemset_groups, problemset_edges)}
+def registry_faults(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    subjects = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"))
+    competitions = table(spark, d, "nation").select(
+        F.floor(n / F.when(n < 4, 2).otherwise(1)).alias("id"), F.array(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("r"), n % 7)).alias("subject_ids"), (n % 5 + 2000).alias("season_from"), (n % 3 + 2001).alias("season_to"),
+        F.when(n % 6 > 0, _strings("a", "b")).when(n == 0, _strings()).otherwise(_strings("a", "a")).alias("stages"), F.array(F.concat(F.when(n % 8 == 0, "http").otherwise("https"), F.lit("://h/"))).alias("links"), F.array(F.when(n % 9 > 0, "s")).alias("source_ids"),
+    )
+    return C.registry_faults(subjects, competitions)
+
+
+def pack_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Parts are packs, brands their licences; suppliers grant them, and orders aim at them. A blueprint names two units or three."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, d, "part")
+    packs = part.select(k.alias("pack_id"), (k % 5 > 0).alias("enabled"), F.when(k % 31 > 0, s % 12).alias("licence_id"))
+    grants = table(spark, d, "lineitem").select(F.array(F.col("l_partkey")).alias("pack_ids"), (F.col("l_discount") > 0.05).alias("active"))
+    licences = part.select((s % 12).alias("licence_id")).distinct().where("licence_id <> 7")
+    x = F.col("licence_id")
+    licences = licences.select(x, F.when(x == 1, "unclear").otherwise("licensed").alias("rights_type"), F.lit(True).alias("active"), (x != 2).alias("distribution_allowed"), F.when(x == 3, _strings()).otherwise(_strings("ru")).alias("territories"))
+    targets = table(spark, d, "lineitem").where("l_tax > 0.03").select(F.col("l_partkey").alias("pack_id"))
+    unit = lambda c: F.concat(F.lit("u"), c)
+    rows = part.where(k % 7 > 0).select(k.alias("pack_id"), F.explode(F.array(unit(k % 6), unit(s % 9), unit(F.lit(3)))).alias("unit")).withColumn("weight", F.when((F.col("pack_id") % 13 == 0) & (F.col("unit") == "u3"), 0.0).otherwise(0.3))
+    questions = part.select(k.alias("pack_id"), F.array(unit(k % 6), unit(F.when(k % 4 > 0, 3))).alias("knowledge"))
+    units = part.select(unit(k % 7).alias("unit")).distinct()
+    return C.pack_faults(packs, grants, licences, targets, rows, questions, units)
+
+
+QUERIES = {f.__name__: f for f in (draft_faults, questions_of_unit, repeated_prompts, script_segments, observed_presence, explored_corpus, saved_lemmas, accepted_answers, edit_pieces, body_metrics, problemset_groups, problemset_edges, registry_faults, pack_faults)}
 
 
 def _at(values: list[str], at: str) -> str:
@@ -204,6 +231,16 @@ bq AS (SELECT doc, mtask IS NOT NULL AS hit, mtask IS NOT NULL AND (mp % 10) % 4
   mtask IS NOT NULL AND (p % 10) % 4 > 0 AND (mp % 10) % 4 > 0 AND page = mpage AND task = mtask AND mp % 10 <> 6 AND p % 50 = mp % 50 AS agree, (mp % 8) / 8.0::DOUBLE AS bind FROM tq),
 bz AS (SELECT doc, count_if(hit) AS found, count_if(built) AS rebuilt, count_if(told) AS with_spans, count_if(agree) AS spans_ok, CAST(sum(CASE WHEN hit THEN CAST(bind AS DECIMAL(20, 6)) END) AS DOUBLE) AS b, count(CASE WHEN hit THEN bind END) AS bn FROM bq GROUP BY doc)
 SELECT doc, found, rebuilt, with_spans, spans_ok, round(rebuilt / nullif(found, 0), 4) AS body_reconstruction, round(spans_ok / nullif(with_spans, 0), 4) AS body_span_accuracy, round(b / nullif(bn, 0), 4) AS binding_confidence FROM bz""",
+    "registry_faults": """WITH c AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey < 4 THEN n_nationkey // 2 ELSE n_nationkey END AS id FROM nation)
+SELECT CAST(id AS VARCHAR) AS id, 'competition_repeats' AS fault FROM c GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT CAST(id AS VARCHAR), 'unknown_subject' FROM c WHERE 'r' || (n % 7) NOT IN (SELECT 'r' || r_regionkey FROM region)
+UNION ALL SELECT CAST(id AS VARCHAR), 'seasons_turned' FROM c WHERE n % 5 + 2000 > n % 3 + 2001 UNION ALL SELECT CAST(id AS VARCHAR), 'stages_missing_or_repeated' FROM c WHERE n % 6 = 0
+UNION ALL SELECT CAST(id AS VARCHAR), 'link_without_https' FROM c WHERE n % 8 = 0 UNION ALL SELECT CAST(id AS VARCHAR), 'empty_source' FROM c WHERE n % 9 = 0""",
+    "pack_faults": """WITH p AS (SELECT p_partkey AS k, p_size AS s, CASE WHEN p_partkey % 31 > 0 THEN p_size % 12 END AS lic FROM part WHERE p_partkey % 5 > 0),
+good AS (SELECT DISTINCT p_size % 12 AS lic FROM part WHERE p_size % 12 NOT IN (1, 2, 3, 7)), b AS (SELECT k, 'u' || unnest([k % 6, s % 9, 3]) AS unit FROM p WHERE k % 7 > 0), q AS (SELECT k, 'u' || (k % 6) AS unit FROM p UNION SELECT k, 'u3' FROM p WHERE k % 4 > 0)
+SELECT k AS pack_id, 'no_grant' AS fault, '' AS detail FROM p WHERE k NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.05) UNION ALL SELECT k, 'no_licence', coalesce(CAST(lic AS VARCHAR), '') FROM p WHERE lic IS NULL OR lic NOT IN (SELECT lic FROM good)
+UNION ALL SELECT k, 'no_target', '' FROM p WHERE k NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax > 0.03) UNION ALL SELECT k, 'no_blueprint', '' FROM p WHERE k % 7 = 0
+UNION ALL SELECT k, 'unit_repeats', unit FROM b GROUP BY k, unit HAVING count(*) > 1 UNION ALL SELECT DISTINCT k, 'unknown_unit', unit FROM b WHERE unit NOT IN (SELECT 'u' || (p_partkey % 7) FROM part)
+UNION ALL SELECT DISTINCT k, 'unit_not_asked_for', unit FROM b WHERE (k, unit) NOT IN (SELECT k, unit FROM q) UNION ALL SELECT k, 'weight_not_positive', unit FROM b WHERE k % 13 = 0 AND unit = 'u3'""",
     "problemset_groups": _SETS + " SELECT problemset, min(bundle) AS stable_key, count(*) AS n_assets, min(asset) AS first FROM u GROUP BY problemset",
     "problemset_edges": _SETS
     + f""", x AS (SELECT a.asset, a.problemset, o.asset AS other, round(CAST(least(1.0, 0.35 + {_SUM(f"CASE WHEN a.{c} <> '' AND a.{c} = o.{c} THEN {w} ELSE 0 END" for c, w in _SIGNALS.values())} + CASE WHEN a.role <> o.role AND a.role <> '' AND o.role <> '' THEN 0.05 ELSE 0 END) AS DOUBLE), 3) AS confidence,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.sources.exports import ROWS, numbered, shard_changes
-from gleanery.sources.folders import checkpointed, discard
+from gleanery.sources.folders import checkpointed, discard, write_by_content
 
 #: Beside the shards, hidden from readers: versions of the table (shard, digest), the highest complete one counts.
 DIGESTS = "_digests"
@@ -80,6 +80,43 @@ def write_changed(df: DataFrame, path: str, *order: str, rows: int = ROWS) -> di
     return counts
 
 
+# one state, replaced whole
+
+
+def write_state(df: DataFrame, path: str, *order: str) -> None:
+    """Replaces a state by `df` as JSON lines in the given order. Readers see the state before until the new one is complete; a run that breaks off leaves it."""
+    spark = df.sparkSession
+    done = _complete(spark, path)
+    version = max([0, *(int(v) for v in folders(spark, path) if v.isdigit())]) + 1
+    df.orderBy(*order).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{version:08d}")
+    # what was read before stays for its readers until the next state
+    for v in folders(spark, path):
+        if v.isdigit() and int(v) < version and (not done or v != done[-1]):
+            delete(spark, f"{path}/{v}")
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The last complete state; an empty one where none was written."""
+    done = _complete(spark, path)
+    return spark.read.schema(schema).json(f"{path}/{done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def _complete(spark: SparkSession, path: str) -> list[str]:
+    return [v for v in folders(spark, path) if v.isdigit() and exists(spark, f"{path}/{v}/_SUCCESS")]
+
+
+def write_with_sidecars(df: DataFrame, path: str, content: str, *described: str) -> DataFrame:
+    """Appends the contents that `path` lacks (`write_by_content`, in its folder `raw`), and for each a record of the columns `described` beside them, by its digest.
+
+    Returns what was new. Records of contents that are there already are written too where they lack, as after a run that broke off between the two.
+    """
+    new = write_by_content(df, f"{path}/raw", content)
+    told = df.where(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("sha"), F.octet_length(content).alias("bytes"), *described)
+    known = read_records(df.sparkSession, f"{path}/meta", "sha string").select("sha")
+    put_records(told.join(known, "sha", "left_anti"), f"{path}/meta", "sha")
+    return new
+
+
 # one file a record
 
 

@@ -122,3 +122,27 @@ def test_edges_of_sets(spark):
     assert sorted(r["n_assets"] for r in E.problemsets(df).collect()) == [1, 5]
     with pytest.raises(ValueError):
         E.edge_proposals(df, 0.5)
+
+
+def test_registry(spark):
+    subjects = spark.createDataFrame([("m",), ("m",), ("e",)], "id string")
+    rows = [("good", ["m", "e"], 2000, 2001, ["a", "b"], ["https://x"], ["s"]), ("bad", ["z"], 2002, 2001, ["a", "a"], ["http://x", None], [""]), ("bare", None, None, 2001, None, None, None), ("good", ["m"], 1, 1, ["a"], [], [])]
+    comps = spark.createDataFrame(rows, "id string, subject_ids array<string>, season_from int, season_to int, stages array<string>, links array<string>, source_ids array<string>")
+    got = {(r["id"], r["fault"]) for r in C.registry_faults(subjects, comps).collect()}
+    assert got == {
+        ("m", "subject_repeats"), ("good", "competition_repeats"), ("bad", "unknown_subject"), ("bad", "seasons_turned"), ("bad", "stages_missing_or_repeated"),
+        ("bad", "link_without_https"), ("bad", "empty_source"), ("bare", "seasons_turned"), ("bare", "stages_missing_or_repeated"),
+    }
+
+
+def test_packs(spark):
+    make = spark.createDataFrame
+    packs = make([(1, True, "l"), (2, True, "x"), (3, False, None), (4, True, None)], "pack_id int, enabled boolean, licence_id string")
+    grants = make([([1, 4], True), ([2], False), (None, True)], "pack_ids array<int>, active boolean")
+    licences = make([("l", "licensed", True, True, ["ru"]), ("x", "licensed", True, False, ["ru"])], "licence_id string, rights_type string, active boolean, distribution_allowed boolean, territories array<string>")
+    blueprint = make([(1, "u", 0.5), (1, "v", 0.5), (2, "u", 0.0), (2, "u", 1.0), (3, "zz", None)], "pack_id int, unit string, weight double")
+    questions = make([(1, ["u", "v"]), (2, ["w"])], "pack_id int, knowledge array<string>")
+    got = {tuple(r) for r in C.pack_faults(packs, grants, licences, make([(1,), (2,)], "pack_id int"), blueprint, questions, make([("u",)], "unit string")).collect()}
+    assert got == {
+        (2, "no_grant", ""), (2, "no_licence", "x"), (4, "no_licence", ""), (4, "no_target", ""), (4, "no_blueprint", ""), (2, "unit_repeats", "u"), (1, "unknown_unit", "v"), (2, "unit_not_asked_for", "u"), (2, "weight_not_positive", "u"),
+    }

@@ -100,3 +100,26 @@ def test_records_have_files_of_their_own(spark, tmp_path):
     keys = spark.createDataFrame([("a",), ("a",), ("zz",), (None,)], "id string")
     assert sinks.delete_records(keys, path, "id") == 1
     assert sorted(r["id"] for r in sinks.read_records(spark, path, schema).collect()) == ["b-2", "c.3"]
+
+
+def test_a_state_is_replaced_whole(spark, tmp_path):
+    path, schema = str(tmp_path / "state"), "id int, text string"
+    assert sinks.read_state(spark, path, schema).count() == 0
+    sinks.write_state(frame(spark, [(2, "b"), (1, None)]), path, "id")
+    first = sinks.read_state(spark, path, schema)
+    assert sorted(map(tuple, first.collect())) == [(1, None), (2, "b")]
+    with pytest.raises(Exception, match="a task fails"):
+        sinks.write_state(frame(spark, [(1, "x"), (2, "y")]).withColumn("text", broken("y")), path, "id")
+    assert sinks.read_state(spark, path, schema).count() == 2
+    sinks.write_state(sinks.read_state(spark, path, schema).where("id = 2"), path, "id")
+    assert [tuple(r) for r in sinks.read_state(spark, path, schema).collect()] == [(2, "b")]
+    assert first.count() == 2  # a reader of the state before
+
+
+def test_contents_have_sidecars(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    df = spark.createDataFrame([(b"one", "u1"), (b"one", "u2"), (b"two", "u3"), (None, "u4")], "body binary, url string")
+    assert sinks.write_with_sidecars(df.where("body is not null"), path, "body", "url").count() == 2
+    assert sinks.write_with_sidecars(df.where("url = 'u3'").unionByName(spark.createDataFrame([(b"three", "u5")], "body binary, url string")), path, "body", "url").count() == 1
+    meta = sinks.read_records(spark, f"{path}/meta", "sha string, bytes int, url string").collect()
+    assert sorted((r["bytes"], r["url"]) for r in meta) == [(3, "u2"), (3, "u3"), (5, "u5")]
