@@ -36,6 +36,8 @@ PER_LANGUAGE = 1000
 EPOCHS, RATE = 4, 0.5
 #: At most this share of correctly labelled calibration texts may be rejected; a text at even odds or better never is.
 REJECTED, EVEN = 0.001, 0.5
+#: Bytes of text whose runs are looked up at once: each takes some 100 bytes meanwhile.
+PIECE = 1 << 18
 #: Usual runs that every text counts with, and the least and the usual way from the strangest texts kept back to those to be rejected.
 USUAL, APART, BETWEEN = 40, 0.5, 0.5
 
@@ -225,7 +227,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             column = b.column(at)
             data, off = W.buffers(column)
             lang, score, lost = [], [], []
-            for i, j in W.blocks(off):
+            for i, j in W.blocks(off, PIECE):
                 part, own = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 letters = np.concatenate([[0], np.cumsum(_IS_LETTER[part], dtype=np.int64)])
                 some = letters[own[1:]] > letters[own[:-1]]
