@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import struct
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import tiktoken
+import xxhash
 
 from gleanery.llm import queries, secrets, sharding
 
@@ -91,6 +93,21 @@ def test_neighbours(spark, duck):
     assert hit >= 0.9 * 20 * len(asked)
 
 
+def plain_jump(key, shards):
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) & (1 << 64) - 1
+        j = int((b + 1) * (2.0**31 / ((key >> 33) + 1)))
+    return b
+
+
+def test_shards_are_those_of_the_plain_hash(spark):
+    for r in rows(spark, "op6_sharding"):
+        key = xxhash.xxh64_intdigest(struct.pack("<q", r["doc_id"]), 42)
+        assert (r["shard"], r["grown_shard"]) == (plain_jump(key, 24), plain_jump(key, 25))
+
+
 def test_shards(spark, texts):
     got = rows(spark, "op6_sharding")
     assert len(got) == len(texts)
