@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Signs of broken text, and of formulas.
 BROKEN = r"[�□]|\?{3,}"
-FORMULA = r"[=≤≥√∑∫±×÷^]"
+FORMULA = r"(?i)[=<>±×÷√∑∫∞≤≥∠⊥∥]|\b(?:sin|cos|tg|ctg|log)\b"
 # Penalties of a candidate's confidence.
 START, SHORT, BAD, IMAGE, DRAWING, MATH, UNNUMBERED = 0.97, 0.28, 0.32, 0.18, 0.14, 0.08, 0.18
 ACCEPTED, BY_MODEL = 0.90, 0.65

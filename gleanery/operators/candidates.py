@@ -7,6 +7,7 @@ A document that needs character recognition has no candidates; one without lines
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.functions import profile as P
@@ -81,3 +82,38 @@ def manifests(found: DataFrame, stats: DataFrame) -> DataFrame:
     ocr = F.col("needs_ocr")
     counted = lambda c: F.when(ocr, 0).otherwise(F.coalesce(c, F.lit(0))).cast("long")
     return rows.select("doc", F.when(ocr, "needs_ocr").otherwise("parsed_candidates").alias("status"), counted("_n").alias("candidates"), counted("_v").alias("visual_assets"))
+
+
+# A numbered task's start on a page; visuals count up to so far above and below its text; margin of its box.
+START = r"^\s*(?:(?:Задача|Problem)\s*)?(\d{1,3})\s*[.)]\s+"
+OVER, UNDER, EDGE = 8.0, 80.0, 12.0
+
+
+def page_fragments(lines: DataFrame, visuals: DataFrame) -> DataFrame:
+    """Rows (doc, page, nth, number, text, x0, y0, x1, y1, image, drawing, score, status, reasons): the numbered pieces of each page, or the page as a whole.
+
+    Lines before a page's first number belong to none, where it has one. The box holds the text and the visuals that reach into its band, with a margin, within the page.
+    """
+    page = ["doc", "page"]
+    number = P.group(F.col("text"), START)
+    begins = (number != "").cast("int")
+    order = W.partitionBy(*page).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = lines.where(F.trim("text") != "").withColumns({"nth": F.sum(begins).over(order), "_any": F.max(begins).over(W.partitionBy(*page)), "_number": number})
+    rows = rows.where((F.col("nth") > 0) | (F.col("_any") == 0))
+    box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n"))
+    got = rows.groupBy(*page, "nth").agg(*box, text.alias("text"), F.min_by("_number", "pos").alias("number"), F.max("width").alias("_w"), F.max("height").alias("_h"))
+    got = got.withColumns({"_top": F.greatest(F.lit(0.0), F.col("y0") - OVER), "_bottom": F.least("_h", F.col("y1") + UNDER)})
+    side = visuals.where("raw in ('image', 'drawing')").select("doc", "page", F.col("raw").alias("_raw"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    # what of a visual lies in the band, across the page
+    across = F.least("_w", "_x1") - F.greatest(F.lit(0.0), "_x0")
+    down = F.least("_bottom", "_y1") - F.greatest("_top", "_y0")
+    near = got.join(side, page).where((across > 0) & (down > 0) & (across * down > 1))
+    seen = near.groupBy(*page, "nth").agg(F.bool_or(F.col("_raw") == "image").alias("image"), F.bool_or(F.col("_raw") == "drawing").alias("drawing"), F.min("_x0").alias("_x0"), F.min("_y0").alias("_y0"), F.max("_x1").alias("_x1"), F.max("_y1").alias("_y1"))
+    got = got.join(seen, [*page, "nth"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("image", "drawing")})
+    low = lambda c: F.greatest(F.lit(0.0), F.least(c, F.col(f"_{c}")) - EDGE).alias(c)
+    high = lambda c, most: F.least(F.col(most), F.greatest(c, F.col(f"_{c}")) + EDGE).alias(c)
+    numbered = F.col("number") != ""
+    sure = texts.confidence(F.col("text"), F.col("image"), F.col("drawing"), numbered)
+    got = got.select(*page, F.col("nth").cast("int").alias("nth"), F.when(numbered, F.col("number")).alias("number"), "text", low("x0"), low("y0"), high("x1", "_w"), high("y1", "_h"), "image", "drawing", sure.alias("_s"))
+    return got.select(*[c for c in got.columns if c != "_s"], F.round("_s.score", 6).alias("score"), "_s.status", "_s.reasons")

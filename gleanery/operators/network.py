@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions import urls
+from gleanery.functions import metadata, urls
 
 # Statuses of files that are held, and what a competition, subject, season and stage make of an observation.
 FETCHED = ("DOWNLOADED", "DUPLICATE")
@@ -38,6 +38,23 @@ def with_competition(rows: DataFrame, competitions: DataFrame, source: str = "so
     return rows.drop("competition").join(known, F.col(source) == F.col("_s"), "left").drop("_s")
 
 
+# Beginnings of sources that name a subject where a file's name does not, sources whose documents are all of the school's stage, and no grades.
+SUBJECT_SOURCES = [("vosh_engl", "engl"), ("olimpiada_ru_math_school", "math"), ("vosh_2024_math_school", "math"), ("olimpiada_ru_inf_school", "inf"), ("vosh_2024_inf_school", "inf")]
+SCHOOL_SOURCES = ("olimpiada_ru_math_school_archive", "olimpiada_ru_inf_school_archive", "vosh_2024_math_school_sirius_11", "vosh_2024_inf_school_sirius_10_11")
+NO_GRADES = "не указан"
+
+
+def identified(rows: DataFrame, competitions: DataFrame, url: str = "url", source: str = "source_id") -> DataFrame:
+    """`rows` with competition, subject, season, stage, grade_band and role: of a file's URL, and of its source where the URL does not say."""
+    found = with_competition(rows, competitions, source).withColumn("_m", metadata.describe(F.col(url)))
+    by_source = F.lit(None).cast("string")
+    for prefix, short in reversed(SUBJECT_SOURCES):
+        by_source = F.when(F.col(source).startswith(prefix), metadata.SUBJECTS[short]).otherwise(by_source)
+    stage = F.coalesce("_m.stage", F.when(F.col(source).isin(*SCHOOL_SOURCES), "school"))
+    named = {"subject": F.coalesce("_m.subject", by_source), "season": F.col("_m.season"), "stage": stage, "grade_band": F.coalesce("_m.grade_band", F.lit(NO_GRADES)), "role": F.col("_m.role")}
+    return found.withColumns(named).drop("_m")
+
+
 def observed(observations: DataFrame, competitions: DataFrame, segment: str) -> DataFrame:
     """Observations with their ids: (id, url, site, page, asset, competition, subject, season, stage, status, content_type, bytes)."""
     rows = with_competition(observations, competitions)

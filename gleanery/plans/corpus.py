@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import profile as P
+from gleanery.functions import texts
 from gleanery.operators import candidates as C
 from gleanery.operators import network as N
 from gleanery.operators.proposals import layout_stats
@@ -85,7 +86,26 @@ def candidate_manifests(spark: SparkSession, d: str) -> DataFrame:
     return C.manifests(C.payloads(lines, visuals(lines), _occurrences(lines)), layout_stats(lines, lines.select("doc", "page").distinct()))
 
 
-QUERIES = {f.__name__: f for f in (network_sites, network_archives, network_assets, network_edges, unresolved_observations, pending_documents, candidate_payloads, candidate_manifests)}
+def page_fragments(spark: SparkSession, d: str) -> DataFrame:
+    lines = checkpointed(sheet_lines(spark, d))
+    got = C.page_fragments(lines, visuals(lines))
+    return got.withColumn("text", F.sha2("text", 256))
+
+
+SOURCES = ["src5", "vosh_engl_x", "vosh_2024_math_school_sirius_11", "olimpiada_ru_inf_school_archive", "none"]
+
+
+def identified_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files, most of whose names say something; their sources say some more."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), (at % len(xs) + 1).cast("int"))
+    name = F.concat(pick(["tasks-", "ans-", ""], k), pick(["math", "chem", "none"], F.floor(k / 3)), F.when(s % 2 == 0, F.concat(F.lit("-"), s % 9 + 1)).otherwise(""), pick(["-sch", "-mun", ""], s), F.lit("-x.pdf"))
+    url = F.concat(F.lit("https://h.example/"), F.when(k % 2 == 0, "2021/").otherwise(""), name)
+    rows = table(spark, d, "part").select("p_partkey", url.alias("url"), pick(SOURCES, k).alias("source_id"))
+    return N.identified(rows, _competitions(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (network_sites, network_archives, network_assets, network_edges, unresolved_observations, pending_documents, candidate_payloads, candidate_manifests, page_fragments, identified_urls)}
 
 
 def _id(kind: str, value: str) -> str:
@@ -130,6 +150,24 @@ SELECT {_id("archive", "url")} AS id, url, regexp_extract(url, '//([^/]*)', 1) A
 UNION SELECT id, 'AT_SITE', {_id("site", "host")} FROM o WHERE host IS NOT NULL UNION SELECT id, 'FOUND_ON', {_id("page", "'https://' || phost || '/'")} FROM o WHERE phost IS NOT NULL
 UNION SELECT id, 'HAS_ASSET', asset FROM o WHERE asset IS NOT NULL UNION SELECT id, 'BELONGS_TO', 'competition_' || competition FROM o WHERE competition IS NOT NULL""",
     "unresolved_observations": _NETWORK + ", m AS (SELECT id, url, concat_ws(',', CASE WHEN competition IS NULL THEN 'competition' END, CASE WHEN subject IS NULL THEN 'subject' END, CASE WHEN season IS NULL THEN 'season' END, CASE WHEN stage IS NULL THEN 'stage' END) AS missing FROM o) SELECT * FROM m WHERE missing <> ''",
+    "page_fragments": _real(
+        _SHEETS
+        + f""", n AS (SELECT *, {_g("text", C.START)} AS num FROM lines), o AS (SELECT *, sum(CAST(num <> '' AS INT)) OVER (PARTITION BY doc, page ORDER BY pos) AS nth, bool_or(num <> '') OVER (PARTITION BY doc, page) AS some_ FROM n),
+q AS (SELECT doc, page, nth, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, trim(string_agg(text, chr(10) ORDER BY pos)) AS text, arg_min(num, pos) AS num FROM o WHERE nth > 0 OR NOT some_ GROUP BY ALL),
+vis AS (SELECT doc, page, 'image' AS raw, x0 + 10 AS x0, y0 + 2 AS y0, x0 + 90 AS x1, y0 + 60 AS y1 FROM lines WHERE pos % 4 = 2 UNION ALL SELECT doc, page, 'drawing', x0 + 40 * i, y0 + 4, x0 + 40 * i + 40, y0 + 44 FROM lines, range(5) r(i) WHERE pos % 4 = 3),
+nr AS (SELECT q.doc, q.page, q.nth, bool_or(raw = 'image') AS image, bool_or(raw = 'drawing') AS drawing, min(v.x0) AS vx0, min(v.y0) AS vy0, max(v.x1) AS vx1, max(v.y1) AS vy1 FROM q JOIN vis v ON v.doc = q.doc AND v.page = q.page
+  AND least(600, v.x1) - v.x0 > 0 AND least(least(800, q.y1 + 80), v.y1) - greatest(greatest(0, q.y0 - 8), v.y0) > 0 AND (least(600, v.x1) - v.x0) * (least(least(800, q.y1 + 80), v.y1) - greatest(greatest(0, q.y0 - 8), v.y0)) > 1 GROUP BY ALL),
+z AS (SELECT q.*, coalesce(image, false) AS image, coalesce(drawing, false) AS drawing, greatest(0, least(x0, coalesce(vx0, x0)) - 12) AS bx0, greatest(0, least(y0, coalesce(vy0, y0)) - 12) AS by0, least(600, greatest(x1, coalesce(vx1, x1)) + 12) AS bx1, least(800, greatest(y1, coalesce(vy1, y1)) + 12) AS by1 FROM q LEFT JOIN nr USING (doc, page, nth)),
+r AS (SELECT *, len(text) < 40 AS a, regexp_matches(text, '[�□]|\\?{{3,}}') AS b, regexp_matches(text, '{texts.FORMULA}') AND len(text) < 90 AS e, num = '' AS f FROM z),
+y AS (SELECT *, round(greatest(0::DOUBLE, 0.97::DOUBLE - CASE WHEN a THEN 0.28::DOUBLE ELSE 0 END - CASE WHEN b THEN 0.32::DOUBLE ELSE 0 END - CASE WHEN image THEN 0.18::DOUBLE ELSE 0 END - CASE WHEN drawing THEN 0.14::DOUBLE ELSE 0 END - CASE WHEN e THEN 0.08::DOUBLE ELSE 0 END - CASE WHEN f THEN 0.18::DOUBLE ELSE 0 END), 6) AS score FROM r)
+SELECT doc, page, CAST(nth AS INT) AS nth, nullif(num, '') AS number, sha256(text) AS text, bx0 AS x0, by0 AS y0, bx1 AS x1, by1 AS y1, image, drawing, score, CASE WHEN score >= 0.9 THEN 'accepted' WHEN score >= 0.65 THEN 'needs_llm' ELSE 'needs_human' END AS status,
+  coalesce(nullif(concat_ws(',', CASE WHEN a THEN 'very_short_text' END, CASE WHEN b THEN 'broken_glyphs' END, CASE WHEN image THEN 'embedded_image' END, CASE WHEN drawing THEN 'vector_drawing' END, CASE WHEN e THEN 'formula_heavy' END, CASE WHEN f THEN 'task_boundary_uncertain' END), ''), 'clean_text') AS reasons FROM y""",
+        "x0", "y0", "x1", "y1", "score",
+    ),
+    "identified_urls": f"""WITH p AS (SELECT p_partkey, p_partkey AS k, p_size AS s, [{", ".join(map(repr, SOURCES))}][p_partkey % {len(SOURCES)} + 1] AS source_id FROM part)
+SELECT p_partkey, 'https://h.example/' || CASE WHEN k % 2 = 0 THEN '2021/' ELSE '' END || ['tasks-', 'ans-', ''][k % 3 + 1] || ['math', 'chem', 'none'][(k // 3) % 3 + 1] || CASE WHEN s % 2 = 0 THEN '-' || (s % 9 + 1) ELSE '' END || ['-sch', '-mun', ''][s % 3 + 1] || '-x.pdf' AS url, source_id,
+  CASE WHEN source_id = 'src5' THEN 4 WHEN starts_with(source_id, 'vosh_') THEN 3 END AS competition, CASE (k // 3) % 3 WHEN 0 THEN 'mathematics' WHEN 1 THEN 'chemistry' ELSE CASE k % 5 WHEN 1 THEN '{N.metadata.SUBJECTS["engl"]}' WHEN 2 THEN 'mathematics' WHEN 3 THEN 'informatics' END END AS subject, CASE WHEN k % 2 = 0 THEN 2021 END AS season,
+  CASE s % 3 WHEN 0 THEN 'school' WHEN 1 THEN 'municipal' ELSE CASE WHEN k % 5 IN (2, 3) THEN 'school' END END AS stage, CASE WHEN (k // 3) % 3 < 2 AND s % 2 = 0 THEN CAST(s % 9 + 1 AS VARCHAR) ELSE 'не указан' END AS grade_band, ['tasks', 'answers', 'other'][k % 3 + 1] AS role FROM p""",
     "pending_documents": "SELECT 'doc' || o_orderkey AS document_id, 'https://h.example/' || CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE o_orderkey * 2 END AS url, CASE WHEN o_orderstatus = 'F' THEN 'DOWNLOADED' ELSE 'PENDING' END AS status, CAST(CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 4 ELSE 0 END AS INT) AS attempts, CASE WHEN o_orderstatus = 'F' THEN '2024' ELSE '2025' END AS first_seen FROM orders",
     "candidate_payloads": _real(
         _CANDIDATES + f" SELECT doc, candidate, number, {_METHOD} AS method, CASE mark WHEN 'keyword' THEN 0.97 WHEN 'number' THEN 0.86 ELSE 0.45 END AS confidence, sha256(statement) AS statement, pages, coalesce(n_crops, 0) AS n_crops, n AS first_visuals, cy0 AS first_y0, cy1 AS first_y1, true AS intact FROM hd LEFT JOIN cl USING (doc, candidate)",

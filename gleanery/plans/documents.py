@@ -91,7 +91,7 @@ _LINES = "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docum
 _SEG = _LINES + ", g AS (SELECT *, sum(CAST(length(line) < 40 AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS segment FROM l)"
 _BROKEN = r"regexp_matches({x}, '[�□]|\?{{3,}}')"
 _CLEAN = r"trim(regexp_replace(regexp_replace({x}, '([A-Za-zА-Яа-яЁё])-\s*\n\s*([A-Za-zА-Яа-яЁё])', '\1\2', 'g'), '\s+', ' ', 'g'))"
-_RULES = [("length(trim(line)) < 40", texts.SHORT, "very_short_text"), (_BROKEN.format(x="line"), texts.BAD, "broken_glyphs"), ("contains(line, '|')", texts.DRAWING, "vector_drawing"), ("(regexp_matches(line, '[=≤≥√∑∫±×÷^]') AND length(line) < 90)", texts.MATH, "formula_heavy"), (r"NOT regexp_matches(line, '^\s*\d+[.)]')", texts.UNNUMBERED, "task_boundary_uncertain")]
+_RULES = [("length(trim(line)) < 40", texts.SHORT, "very_short_text"), (_BROKEN.format(x="line"), texts.BAD, "broken_glyphs"), ("contains(line, '|')", texts.DRAWING, "vector_drawing"), (f"(regexp_matches(line, '{texts.FORMULA}') AND length(line) < 90)", texts.MATH, "formula_heavy"), (r"NOT regexp_matches(line, '^\s*\d+[.)]')", texts.UNNUMBERED, "task_boundary_uncertain")]
 _SCORE = f"greatest(0.0, least(1.0, CAST({texts.START} AS DOUBLE)" + "".join(f" - CASE WHEN {c} THEN CAST({v} AS DOUBLE) ELSE 0 END" for c, v, _ in _RULES) + "))"
 _REASONS = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, _, n in _RULES) + ")"
 
