@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import answers
 from gleanery.operators import contracts as C
+from gleanery.operators import dimensions
 from gleanery.operators import edits as D
 from gleanery.operators import evaluation as E
 from gleanery.plans.evaluation import _ASSETS, _EVAL, _assets, _side
@@ -134,6 +135,15 @@ def registry_faults(spark: SparkSession, d: str) -> DataFrame:
     return C.registry_faults(subjects, competitions)
 
 
+def dimension_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Parts are units that need others, by suppliers that may be unknown: all that is wrong with each."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, d, "part")
+    units = part.select(F.when(k % 50 > 0, k - (k % 20 == 1).cast("int")).alias("unit"), F.when(s % 11 > 0, F.col("p_name")).alias("label"), F.when(s % 5 > 0, k % 15).alias("supplier"), F.array(k + 1, (k + s) % 400).alias("needs"))
+    got = dimensions.checked(units, "unit", ["label"], {"supplier": (table(spark, d, "supplier").where("s_suppkey % 4 > 0"), "s_suppkey")}, ["needs"])
+    return got.where(F.size("faults") > 0).select("unit", "supplier", F.array_join(F.col("needs").cast("array<string>"), ",").alias("needs"), F.array_join("faults", ",").alias("faults"))
+
+
 def pack_faults(spark: SparkSession, d: str) -> DataFrame:
     """Parts are packs, brands their licences; suppliers grant them, and orders aim at them. A blueprint names two units or three."""
     k, s = F.col("p_partkey"), F.col("p_size")
@@ -151,7 +161,7 @@ def pack_faults(spark: SparkSession, d: str) -> DataFrame:
     return C.pack_faults(packs, grants, licences, targets, rows, questions, units)
 
 
-QUERIES = {f.__name__: f for f in (draft_faults, questions_of_unit, repeated_prompts, script_segments, observed_presence, explored_corpus, saved_lemmas, accepted_answers, edit_pieces, body_metrics, problemset_groups, problemset_edges, registry_faults, pack_faults)}
+QUERIES = {f.__name__: f for f in (draft_faults, questions_of_unit, repeated_prompts, script_segments, observed_presence, explored_corpus, saved_lemmas, accepted_answers, edit_pieces, body_metrics, problemset_groups, problemset_edges, registry_faults, dimension_faults, pack_faults)}
 
 
 def _at(values: list[str], at: str) -> str:
@@ -235,6 +245,10 @@ SELECT doc, found, rebuilt, with_spans, spans_ok, round(rebuilt / nullif(found,
 SELECT CAST(id AS VARCHAR) AS id, 'competition_repeats' AS fault FROM c GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT CAST(id AS VARCHAR), 'unknown_subject' FROM c WHERE 'r' || (n % 7) NOT IN (SELECT 'r' || r_regionkey FROM region)
 UNION ALL SELECT CAST(id AS VARCHAR), 'seasons_turned' FROM c WHERE n % 5 + 2000 > n % 3 + 2001 UNION ALL SELECT CAST(id AS VARCHAR), 'stages_missing_or_repeated' FROM c WHERE n % 6 = 0
 UNION ALL SELECT CAST(id AS VARCHAR), 'link_without_https' FROM c WHERE n % 8 = 0 UNION ALL SELECT CAST(id AS VARCHAR), 'empty_source' FROM c WHERE n % 9 = 0""",
+    "dimension_faults": """WITH u AS (SELECT CASE WHEN p_partkey % 50 > 0 THEN p_partkey - CAST(p_partkey % 20 = 1 AS INT) END AS unit, CASE WHEN p_size % 11 > 0 THEN p_name END AS label, CASE WHEN p_size % 5 > 0 THEN p_partkey % 15 END AS supplier, p_partkey + 1 AS a, (p_partkey + p_size) % 400 AS b FROM part),
+t AS (SELECT unit, count(*) AS n FROM u WHERE unit IS NOT NULL GROUP BY unit), f AS (SELECT u.*, concat_ws(',', CASE WHEN u.unit IS NULL THEN 'missing:unit' END, CASE WHEN label IS NULL THEN 'missing:label' END, CASE WHEN n > 1 THEN 'repeated' END,
+  CASE WHEN supplier NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 > 0) THEN 'unknown:supplier' END, CASE WHEN a NOT IN (SELECT unit FROM t) OR b NOT IN (SELECT unit FROM t) THEN 'unknown:needs' END, CASE WHEN a = u.unit OR b = u.unit THEN 'itself:needs' END) AS faults FROM u LEFT JOIN t ON t.unit = u.unit)
+SELECT unit, supplier, a || ',' || b AS needs, faults FROM f WHERE faults <> ''""",
     "pack_faults": """WITH p AS (SELECT p_partkey AS k, p_size AS s, CASE WHEN p_partkey % 31 > 0 THEN p_size % 12 END AS lic FROM part WHERE p_partkey % 5 > 0),
 good AS (SELECT DISTINCT p_size % 12 AS lic FROM part WHERE p_size % 12 NOT IN (1, 2, 3, 7)), b AS (SELECT k, 'u' || unnest([k % 6, s % 9, 3]) AS unit FROM p WHERE k % 7 > 0), q AS (SELECT k, 'u' || (k % 6) AS unit FROM p UNION SELECT k, 'u3' FROM p WHERE k % 4 > 0)
 SELECT k AS pack_id, 'no_grant' AS fault, '' AS detail FROM p WHERE k NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.05) UNION ALL SELECT k, 'no_licence', coalesce(CAST(lic AS VARCHAR), '') FROM p WHERE lic IS NULL OR lic NOT IN (SELECT lic FROM good)

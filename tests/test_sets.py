@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import answers
 from gleanery.operators import contracts as C
+from gleanery.operators import dimensions
 from gleanery.operators import edits as D
 from gleanery.operators import evaluation as E
 
@@ -146,3 +147,14 @@ def test_packs(spark):
     assert got == {
         (2, "no_grant", ""), (2, "no_licence", "x"), (4, "no_licence", ""), (4, "no_target", ""), (4, "no_blueprint", ""), (2, "unit_repeats", "u"), (1, "unknown_unit", "v"), (2, "unit_not_asked_for", "u"), (2, "weight_not_positive", "u"),
     }
+
+
+def test_dimensions(spark):
+    rows = [("a", "A", 1, ["b"]), ("b", "", 2, ["b"]), ("c", "C", 9, ["zz"]), ("c", "C2", None, None), (None, "N", 1, []), ("d", "D", 1, ["a", "b", None])]
+    df = spark.createDataFrame(rows, "unit string, label string, ref int, needs array<string>")
+    known = spark.createDataFrame([(1,), (2,), (None,)], "id int")
+    good, bad = dimensions.loaded(df, "unit", ["label"], {"ref": (known, "id")}, ["needs"])
+    assert sorted(r["unit"] for r in good.collect()) == ["a", "d"] and good.columns == df.columns
+    assert {(r["unit"], r["label"], *r["faults"]) for r in bad.collect()} == {("b", "", "missing:label", "itself:needs"), ("c", "C", "repeated", "unknown:ref", "unknown:needs"), ("c", "C2", "repeated"), (None, "N", "missing:unit")}
+    empty = dimensions.loaded(df.limit(0), "unit", [], {}, [])
+    assert [x.count() for x in empty] == [0, 0]
