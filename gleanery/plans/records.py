@@ -286,7 +286,7 @@ _FORM = "regexp_replace(regexp_replace(lower({x}), '^[^a-z]+|[^a-z]+$', '', 'g')
 _PSTATES = "SELECT o_orderkey, done AS skipped, CASE WHEN done THEN status WHEN good THEN 'PARSED' WHEN attempts + 1 >= 4 THEN 'FAILED_TERMINAL' ELSE 'FAILED_RETRYABLE' END AS status, CASE WHEN done THEN attempts ELSE attempts + 1 END AS attempts, 'v2' AS version FROM (SELECT *, status IN ('PARSED', 'FAILED_TERMINAL') AND version = 'v2' AS done FROM (SELECT o_orderkey, ['PENDING', 'PARSED', 'FAILED_RETRYABLE', 'FAILED_TERMINAL'][o_orderkey % 4 + 1] AS status, CAST(o_orderkey % 5 AS INT) AS attempts, CASE WHEN o_orderkey % 3 > 0 THEN 'v2' ELSE 'v1' END AS version, o_totalprice > 150000 AS good FROM orders))"
 
 ORACLE_SQL = {
-    "file_extensions": r"SELECT page_id, CASE WHEN m = 0 AND NOT h THEN '.pdf' WHEN m = 1 AND NOT h THEN '.zip' WHEN m = 3 THEN '.pdf' WHEN m = 1 THEN '.png' ELSE '.bin' END AS extension FROM (SELECT page_id, page_id % 4 AS m, contains(regexp_replace(url, '\?.*$', ''), '#') AS h FROM pages)",
+    "file_extensions": r"SELECT page_id, CASE WHEN m = 0 AND NOT h THEN '.pdf' WHEN m = 1 AND NOT h THEN '.zip' WHEN m = 3 THEN '.pdf' WHEN m = 1 THEN '.png' WHEN m = 0 THEN '.html' ELSE '.bin' END AS extension FROM (SELECT page_id, page_id % 4 AS m, contains(regexp_replace(url, '\?.*$', ''), '#') AS h FROM pages)",
     "content_validity": "SELECT doc_id, CASE WHEN octet_length(encode(t)) > 20000 THEN 'file_too_large' WHEN e = '.pdf' AND NOT starts_with(t, '%PDF-') THEN 'invalid_pdf_magic' WHEN e = '.zip' AND NOT (starts_with(t, 'PK' || chr(3) || chr(4)) OR starts_with(t, 'PK' || chr(5) || chr(6)) OR starts_with(t, 'PK' || chr(7) || chr(8))) THEN 'invalid_zip_magic' WHEN doc_id % 5 = 0 AND e IN ('.pdf', '.doc', '.zip') THEN 'html_instead_of_document' ELSE 'ok' END AS reason FROM (SELECT doc_id, ['%PDF-1.7 ', 'PK', 'x'][doc_id % 3 + 1] || coalesce(text, '') AS t, ['.pdf', '.zip', '.txt', '.doc'][doc_id % 4 + 1] AS e FROM documents)",
     "url_filters": f"SELECT page_id, (len(h) % 2 > 0 OR regexp_matches(url, '(?i)page=[0-9]')) AND NOT (len(h) % 3 = 0 AND contains(lower(url), '/fr/')) AS allowed FROM (SELECT page_id, url, {_HOST.format(u='url')} AS h FROM pages)",
     "crawl_scope": _INV + f", w AS (SELECT id, url, parent_url, {_PATH.format(u='url')} AS p FROM inventory) SELECT id, NOT {_FILE} AND {_HOST.format(u='url')} = {_HOST.format(u='parent_url')} AND starts_with({_PATH.format(u='url')}, '/t') AS in_scope FROM w",
