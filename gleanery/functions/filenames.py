@@ -48,7 +48,9 @@ class Sign:
     listed: bool = False
 
 
+# The patterns of signs, and what is left off a name to get what its set shares.
 _CODES = "|".join(SUBJECTS)
+ENDING, PREFIX = r"\.[^.]+$", r"(?i)^(?:tasks?|ans(?:wers?)?|script|criteria|solutions?|audio)-"
 SIGNS = {
     "role": Sign("filename prefix", f"^({'|'.join(ROLES)})-", ROLES, "OTHER"),
     "subject": Sign("filename subject token", f"-({_CODES})-", SUBJECTS, "OTHER"),
@@ -62,8 +64,7 @@ SIGNS = {
 
 def stem(name: Column) -> Column:
     """What the files of one set share: the name in lower case without its ending and the prefix of its role."""
-    bare = F.regexp_replace(name, r"\.[^.]+$", "")
-    return F.lower(F.regexp_replace(bare, r"(?i)^(?:tasks?|ans(?:wers?)?|script|criteria|solutions?|audio)-", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(name, ENDING, ""), PREFIX, ""))
 
 
 def _token(name: Column, sign: Sign) -> Column:

@@ -22,6 +22,7 @@ BARE = r"(?:ответ |answer |the answer is )?"
 # The outcomes.
 UNSUBSTANTIATED, INCOMPLETE, UNCERTAIN, WRONG, SUPPORTED = "correct_unsubstantiated", "incomplete", "uncertain_semantics", "incorrect_reasoning", "correct_supported"
 
+# The form of a statement, and how near its two sides have to be.
 EXPRESSION = r"(?<!\d)(\d+)\s*([*/])\s*(\d+)(?:\s*([*/])\s*(\d+))?\s*=\s*(\d+)(?!\d)"
 NEAR = 1e-7
 
