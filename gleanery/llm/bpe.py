@@ -22,8 +22,8 @@ from gleanery.llm.exchange import expand
 from gleanery.llm.frames import kept, schema_with, small
 from gleanery.llm.secrets import load_ranks
 
-#: A Python worker remembers the ids of the last so many distinct pre-tokens, and of as many before them (180 bytes each: 90 MB at most).
-REMEMBERED = 250_000
+#: A Python worker remembers the ids of the last so many distinct pre-tokens, and of as many before them (180 bytes each: 144 MB at most).
+REMEMBERED = 400_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -107,10 +107,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes and decodes whole texts by a rank table and a pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         import regex
 
-        self.ranks = ranks
+        self.ranks, self.remembered = ranks, remembered
         self.find = regex.compile(pattern).findall
         by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, i in ranks.items():
@@ -130,7 +130,7 @@ class Codec:
             whole = self.ranks.get(raw)
             ids = array("i", [whole] if whole is not None else merge(raw, self.ranks)).tobytes()
         if len(piece) <= 64:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= self.remembered:
                 self.known, self.older = {}, self.known
             self.known[piece] = ids
         return ids
@@ -149,12 +149,12 @@ class Codec:
         return self.vocabulary[expand(self.start[ids], self.length[ids])].tobytes()
 
 
-def _codec(ranks, pattern: str) -> Codec:
+def _codec(ranks, pattern: str, remembered: int = REMEMBERED) -> Codec:
     """One codec for each worker and vocabulary, so that what it remembers serves all tasks of the worker."""
-    return kept((ranks.id if hasattr(ranks, "id") else id(ranks), pattern), lambda: Codec(ranks.value, pattern))
+    return kept((ranks.id if hasattr(ranks, "id") else id(ranks), pattern, remembered), lambda: Codec(ranks.value, pattern, remembered))
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """`docs` with the token ids of `text`, and with the bytes that the ids decode to in the column `decoded`, if named.
 
     One narrow pass without a shuffle; the vocabulary file (under 2 MB) is read by the driver and broadcast.
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks, pattern)
+        codec = _codec(ranks, pattern, remembered)
         for b in small(batches, at):
             coded = [codec.encode(t) for t in b.column(at).to_pylist()]
             cols = [*b.columns, _lists(coded)]
