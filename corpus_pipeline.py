@@ -53,7 +53,7 @@ def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and whether they decode to it."""
-    # half the memory of the operator alone: a worker has what the stages before have left too
+    # less than the operator alone: a worker also has what the stages before have left
     coded = bpe.encode(docs, MULTI, PATTERN, decoded="decoded", remembered=250_000)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
