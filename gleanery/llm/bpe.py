@@ -22,8 +22,8 @@ from gleanery.llm.exchange import expand
 from gleanery.llm.frames import kept, schema_with, small
 from gleanery.llm.secrets import load_ranks
 
-#: A Python worker remembers the ids of the last so many distinct pre-tokens, and of as many before them (180 bytes each: 144 MB at most).
-REMEMBERED = 400_000
+#: A Python worker remembers the ids of the last so many distinct pre-tokens, and of as many before them (180 bytes each: 216 MB at most).
+REMEMBERED = 600_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
