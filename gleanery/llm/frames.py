@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from gleanery.sources.folders import checkpoint_folder, discard
-from gleanery.sources.folders import checkpointed as stored
+from gleanery.sources.folders import checkpoint_folder, discard, stored
 
 __all__ = ["checkpoint_folder", "discard", "give_back", "kept", "masked", "schema_with", "shuffle_partitions", "small", "stored", "text_bytes"]
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Bytes of the files of a table that may be broadcast.
+SENT = 1 << 20
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local session where spark.checkpoint.dir is unset, as in tests, gets a temporary one, others raise."""
@@ -21,8 +24,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder as Parquet and read again: its lineage ends there, and Spark knows its size."""
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder as Parquet and read again: its lineage ends there, and Spark knows the size of the files."""
     path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -30,6 +33,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """As `stored`, for tables that are joined as they are: one whose files are over `SENT` is never broadcast.
+
+    Rows can take forty times the room of their files, and the few columns that a join needs even more, so Spark would send tables
+    to the driver and to all tasks that fit neither.
+    """
+    out = stored(df)
+    if _bytes(out) <= SENT:
+        return out
+    held = out.hint("merge")
+    held._stored_at = out._stored_at
+    return held
+
+
+def _bytes(df: DataFrame) -> int:
+    """Bytes of the files of a stored table."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `checkpointed` has written and nothing reads any more."""
     for df in tables:
