@@ -73,5 +73,20 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
 
 
 def on_cycle(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """Nodes that are their own ancestors; none means the relation has no cycle."""
-    return closure(edges, child, parent).where("node = ancestor").select("node")
+    """Nodes that are their own ancestors; none means the relation has no cycle.
+
+    Where no node has two parents, each round doubles the steps that all nodes take upwards, and those that fall off the top are dropped: what some
+    node reaches when the number of places reached no longer falls lies on a cycle. That is a row a node and a logarithm of the longest chain in
+    rounds. Other relations need their closure, whose rows can be the square of the nodes.
+    """
+    steps = checkpointed(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node is not null and ancestor is not null").distinct())
+    if not steps.groupBy("node").count().where("count > 1").isEmpty():
+        return closure(steps, "node", "ancestor").where("node = ancestor").select("node")
+    n = None
+    while True:
+        reached = steps.select("ancestor").distinct()
+        if (now := reached.count()) == n:
+            return reached.select(F.col("ancestor").alias("node"))
+        n = now
+        further = steps.select(F.col("node").alias("_mid"), F.col("ancestor").alias("_up"))
+        steps = checkpointed(steps.join(further, F.col("ancestor") == F.col("_mid")).select("node", F.col("_up").alias("ancestor")))

@@ -21,3 +21,16 @@ def test_large_stored_tables_are_not_broadcast(spark, monkeypatch):
         got = rows.join(other, "id", "left")
         assert "BroadcastHashJoin" not in plan(got) and got.count() == 1000
     folders.discard(small, large)
+
+
+def test_cycles_of_long_chains_need_no_closure(spark, monkeypatch):
+    from gleanery.operators import quality
+
+    chain = spark.range(400).select(F.col("id").alias("x"), F.when(F.col("id") == 0, 2).otherwise(F.col("id") - 1).alias("y"))
+    ends = spark.createDataFrame([(1000, 1001), (1001, 1002), (2000, 2000), (None, 3), (3000, None)], "x long, y long")
+    forked = ends.unionByName(spark.createDataFrame([(1, 2), (2, 1), (1, 5), (5, 6)], "x long, y long"))
+    assert {r["node"] for r in quality.on_cycle(forked, "x", "y").collect()} == {1, 2, 2000}
+    monkeypatch.setattr(quality, "closure", None)
+    got = [r["node"] for r in quality.on_cycle(chain.unionByName(ends), "x", "y").collect()]
+    assert sorted(got) == [0, 1, 2, 2000]
+    assert quality.on_cycle(ends.limit(2), "x", "y").isEmpty()
