@@ -49,18 +49,24 @@ def count_orders(rows: DataFrame, key: str, items: Column, holds: Callable[[Colu
     Arrays of over `ORDERS` items raise; an empty or null one has one order.
     """
     few = F.when(F.size(F.coalesce(items, F.array())) > ORDERS, F.raise_error(F.lit(f"orders of over {ORDERS} items are not written out"))).otherwise(items)
-    at = rows.select(F.col(key).alias("k"), F.coalesce(few, F.array()).alias("items")).withColumns({"order": F.array().cast("array<int>")})
-    at = at.withColumn("left", F.when(F.size("items") > 0, F.sequence(F.lit(1), F.size("items"))).otherwise(F.array().cast("array<int>")))
-    for _ in range(ORDERS):
+    at = rows.select(F.col(key).alias("k"), F.coalesce(few, F.array()).alias("items"))
+    kind = at.schema["items"].dataType.simpleString()
+    # equal items side by side: an order is made once if it takes the first of them; arrays of the same items make the same orders
+    held = F.collect_set(F.array_sort("items")) if distinct else F.collect_list("items")
+
+    def grown(o: Column) -> Column:
+        left, n = o["left"], F.size(o["left"])
+        fresh = lambda i: F.when(i == 1, True).otherwise(~F.element_at(left, i).eqNullSafe(F.element_at(left, i - 1)))
+        places = F.sequence(F.lit(1), n)
+        each = F.transform(F.filter(places, fresh) if distinct else places, lambda i: F.struct(F.concat(o["order"], F.slice(left, i, F.lit(1))).alias("order"), F.concat(F.slice(left, F.lit(1), i - 1), F.slice(left, i + 1, n)).alias("left")))
         # orders that are complete go through unchanged
-        grown = at.withColumn("next", F.explode(F.when(F.size("left") > 0, F.col("left")).otherwise(F.array(F.lit(0)))))
-        more = F.col("next") > 0
-        at = grown.select("k", "items", F.when(more, F.concat("order", F.array("next"))).otherwise(F.col("order")).alias("order"), F.array_remove("left", F.col("next")).alias("left"))
-    made = at.withColumn("o", F.transform("order", lambda i: F.element_at(F.col("items"), i))).select("k", "o")
-    if distinct:
-        made = made.distinct()
-    got = made.groupBy("k").agg(F.count_if(F.coalesce(holds(F.col("o")), F.lit(False))).alias("orders"))
-    return got.withColumnRenamed("k", key)
+        return F.when(n > 0, each).otherwise(F.array(o))
+
+    made = F.transform("held", lambda xs: F.struct(F.array().cast(kind).alias("order"), xs.alias("left")))
+    for _ in range(ORDERS):
+        made = F.flatten(F.transform(made, grown))
+    good = F.filter(made, lambda o: F.coalesce(holds(o["order"]), F.lit(False)))
+    return at.groupBy("k").agg(held.alias("held")).select(F.col("k").alias(key), F.size(good).cast("long").alias("orders"))
 
 
 def count_choices(rows: DataFrame, key: str, items: Column, n: Column, holds: Callable[[Column], Column] | None = None) -> DataFrame:

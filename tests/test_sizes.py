@@ -34,3 +34,20 @@ def test_cycles_of_long_chains_need_no_closure(spark, monkeypatch):
     got = [r["node"] for r in quality.on_cycle(chain.unionByName(ends), "x", "y").collect()]
     assert sorted(got) == [0, 1, 2, 2000]
     assert quality.on_cycle(ends.limit(2), "x", "y").isEmpty()
+
+
+def test_orders_are_counted_in_their_row(spark):
+    from gleanery.operators import answer_keys as K
+
+    items = {1: [3, 0, 3, 2], 2: [1], 3: [], 4: [5, 5, 5], 5: [0, None, 2], 6: [4, 1, 2, 8, 6], 7: None}
+    rows = spark.createDataFrame([*items.items(), (1, [0, 2, 3, 3]), (2, [2, 4]), (None, [2, 3])], "k long, items array<int>")
+    items[None] = [2, 3]
+    holds = lambda o: F.element_at(o, -1) % 2 == 0
+    want = {k: len({p for p in itertools.permutations(v) if p[-1] is not None and p[-1] % 2 == 0}) for k, v in items.items() if v}
+    want[2] += 2  # those of [2, 4]
+    got = K.count_orders(rows.where("size(items) > 0"), "k", F.col("items"), holds)
+    assert {r["k"]: r["orders"] for r in got.collect()} == want
+    assert [x["orders"] for x in K.count_orders(rows.where("k in (3, 7)"), "k", F.col("items"), lambda o: F.size(o) == 0).collect()] == [1, 1]
+    every = K.count_orders(rows.where("k = 4"), "k", F.col("items"), lambda o: F.lit(True), distinct=False)
+    assert every.first()["orders"] == 6
+    assert "Generate" not in plan(got)
