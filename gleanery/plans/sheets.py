@@ -16,11 +16,15 @@ LINES = [
     "A. the first option", "Figure #. The map of the town", "Speaking Set #", "#.2 Prove that the sum is even", "Is the sentence true or false", "ok", "Part #",
 ]
 ROLES = ["", "TASK_SET", "ANSWER_KEY", "LISTENING_SCRIPT", "CRITERIA"]
+#: Lines in a partition: orders are dealt out as two numbers, and the lines that they become are sorted several times where they are.
+DEALT = 150_000
 
 
 def sheet_lines(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     k = F.col("o_orderkey")
+    # by what the lines take, not by what Spark sees of the orders; their number stands in the footers of the files
+    orders = orders.repartition(max(spark.sparkContext.defaultParallelism, orders.count() // DEALT), "o_custkey")
     rows = orders.withColumn("pos", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
     i = (k % len(LINES)).cast("int")
     text = F.replace(F.element_at(F.array(*map(F.lit, LINES)), i + 1), F.lit("#"), (k % 7 + 1).cast("string"))

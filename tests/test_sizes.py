@@ -51,3 +51,10 @@ def test_orders_are_counted_in_their_row(spark):
     every = K.count_orders(rows.where("k = 4"), "k", F.col("items"), lambda o: F.lit(True), distinct=False)
     assert every.first()["orders"] == 6
     assert "Generate" not in plan(got)
+
+
+def test_sheet_lines_are_dealt_out_by_their_number(spark, monkeypatch):
+    from gleanery.plans import sheets
+
+    monkeypatch.setattr(sheets, "DEALT", 50)
+    assert sheets.sheet_lines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 1500 // 50
