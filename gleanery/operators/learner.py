@@ -102,7 +102,10 @@ def ledger(entries: DataFrame, most_credit: int | None = None) -> DataFrame:
 
 
 def readiness(ev: DataFrame, weights: DataFrame, now: Column) -> DataFrame:
-    """Weighted readiness and confidence in percent, with the three weakest units. Fixed: full confidence at five attempts, prior 0.35, 0.05 off when due."""
+    """Weighted readiness and confidence in percent, with the three weakest units. Fixed: full confidence at five attempts, prior 0.35, 0.05 off when due.
+
+    Units are summed in their order, so that a sum at the middle of two percents is rounded alike at any partitioning; a learner's units are one row.
+    """
     learners = ev.select("learner").distinct()
     rows = paired(learners, weights.where("weight > 0")).join(ev, ["learner", "unit"], "left")
     n = F.coalesce("attempts", F.lit(0))
@@ -112,8 +115,9 @@ def readiness(ev: DataFrame, weights: DataFrame, now: Column) -> DataFrame:
     rows = rows.withColumns({"sure": sure, "estimate": F.when(due, F.greatest(F.lit(0.0), estimate - 0.05)).otherwise(estimate)})
     percent = lambda x: F.floor(100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) + 0.5).cast("int")
     weakest = F.transform(F.slice(F.array_sort(F.collect_list(F.struct(F.round("estimate", 9), "unit"))), 1, 3), lambda s: s["unit"])
-    total = F.sum("weight")
-    return rows.groupBy("learner").agg(percent(F.sum(F.col("weight") * F.col("estimate")) / total).alias("readiness"), percent(F.sum(F.col("weight") * F.col("sure")) / total).alias("confidence"), weakest.alias("weakest"))
+    units = F.array_sort(F.collect_list(F.struct("unit", "weight", (F.col("weight") * F.col("estimate")).alias("estimate"), (F.col("weight") * F.col("sure")).alias("sure")))).alias("_u")
+    total = lambda c: F.aggregate("_u", F.lit(0.0), lambda a, x: a + x[c])
+    return rows.groupBy("learner").agg(units, weakest.alias("weakest")).select("learner", percent(total("estimate") / total("weight")).alias("readiness"), percent(total("sure") / total("weight")).alias("confidence"), "weakest")
 
 
 def adaptive_rank(questions: DataFrame, ev: DataFrame, weights: DataFrame, now: Column) -> DataFrame:
