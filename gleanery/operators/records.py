@@ -89,6 +89,10 @@ def page_of(rows: DataFrame, sections: DataFrame, by: list[str], page: str, firs
     return rows.join(held, [*by, page], "left").withColumn(name, F.col(f"_s.{name}")).drop("_s")
 
 
+# Fixed value: a Latin word.
+WORD = r"[A-Za-z][A-Za-z'’-]*"
+
+
 def normal_word(word: Column) -> Column:
     """A dictionary's form of a word: lower case, without signs at its ends and without 's."""
     trimmed = F.regexp_replace(F.lower(word), "^[^a-z]+|[^a-z]+$", "")
@@ -97,14 +101,31 @@ def normal_word(word: Column) -> Column:
 
 def tokens(rows: DataFrame, key: str, text: str) -> DataFrame:
     """A row (key, nth, start, token) for each Latin word; `start` counts characters from 0."""
-    pattern = r"[A-Za-z][A-Za-z'’-]*"
-    gap = F.split(text, pattern, -1)
-    each = F.arrays_zip(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("token"), gap.alias("gap"))
+    gap = F.split(text, WORD, -1)
+    each = F.arrays_zip(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("token"), gap.alias("gap"))
     flat = rows.select(key, F.posexplode(each).alias("nth", "x")).where("x.token is not null").select(key, "nth", "x.token", F.length("x.gap").alias("_g"))
     before = W.partitionBy(key).orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
     return flat.withColumn("start", F.sum(F.col("_g") + F.length("token")).over(before) - F.length("token")).drop("_g")
 
 
+def word_sums(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, tokens, starts, last, forms) of `tokens` in sum: how many words, the sum of their starts, the greatest word, how many forms. Keys without words have no row.
+
+    A text's words stay in its row; of them only its distinct forms are grouped. Rows of one key count each from its own start.
+    """
+    split = rows.select(F.col(key).alias("k"), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("w"), F.split(text, WORD, -1).alias("gap"))
+    n = F.size("w").cast("long")
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    # a gap stands before its word and all after it, a word before those after it
+    starts = total(F.transform("gap", lambda g, i: F.length(g) * (n - i))) + total(F.transform("w", lambda w, i: F.length(w) * (n - i - 1)))
+    # a word of letters only is its form in lower case
+    form = lambda w: F.when(F.contains(w, F.lit("'")) | F.contains(w, F.lit("’")) | F.contains(w, F.lit("-")), normal_word(w)).otherwise(F.lower(w))
+    forms = F.array_distinct(F.transform(F.array_distinct("w"), form))
+    each = split.select("k", n.alias("tokens"), starts.alias("starts"), F.array_max("w").alias("last"), forms.alias("forms"))
+    got = each.groupBy("k").agg(F.sum("tokens").alias("tokens"), F.sum("starts").alias("starts"), F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("forms")))).cast("long").alias("forms"))
+    return got.where("tokens > 0").withColumnRenamed("k", key)
+
+
 def cyrillic_only(text: Column) -> Column:
     """Cyrillic stands in the text, and no Latin word of three letters or more."""
     return text.rlike("[А-Яа-яЁё]") & ~text.rlike("[A-Za-z]{3,}")

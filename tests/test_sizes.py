@@ -58,3 +58,16 @@ def test_sheet_lines_are_dealt_out_by_their_number(spark, monkeypatch):
 
     monkeypatch.setattr(sheets, "DEALT", 50)
     assert sheets.sheet_lines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 1500 // 50
+
+
+def test_words_are_summed_in_their_row(spark):
+    from gleanery.operators import records as R
+
+    texts = {1: "Don’t stop--now, 'tis Ann's  ann ANN'S", 2: "12 ... жук", 3: "", 4: None, 5: "a", None: "x-y éa b" * 50, 6: " ’ z' Z’s z"}
+    rows = spark.createDataFrame([*texts.items()], "k long, text string")
+    got = R.word_sums(rows, "k", "text")
+    plain = R.tokens(rows, "k", "text").groupBy("k").agg(F.count(F.lit(1)).alias("tokens"), F.sum("start").alias("starts"), F.max("token").alias("last"), F.countDistinct(R.normal_word(F.col("token"))).alias("forms"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect())) and got.count() == 4
+    assert got.schema.simpleString() == plain.schema.simpleString()
+    assert "Generate" not in plan(got)
+    assert {r["k"]: r["forms"] for r in R.word_sums(rows.unionByName(spark.createDataFrame([(5, "b A")], rows.schema)), "k", "text").collect()}[5] == 2
