@@ -71,3 +71,13 @@ def test_words_are_summed_in_their_row(spark):
     assert got.schema.simpleString() == plain.schema.simpleString()
     assert "Generate" not in plan(got)
     assert {r["k"]: r["forms"] for r in R.word_sums(rows.unionByName(spark.createDataFrame([(5, "b A")], rows.schema)), "k", "text").collect()}[5] == 2
+
+
+def test_patterns_are_sought_once_a_text(spark):
+    from gleanery.functions import texts
+
+    rows = spark.range(3).select(F.concat(F.lit("a = b � | "), F.col("id")).alias("t"))
+    c = texts.confidence(F.col("t"), F.lit(False), F.col("t").contains("|"), F.lit(None).cast("boolean"))
+    got = rows.select(c.alias("c")).select("c.score", "c.status", "c.reasons")
+    assert plan(got).count("sin|cos|tg|ctg") == 1
+    assert [tuple(r) for r in got.collect()] == [(0.97 - 0.28 - 0.32 - 0.14 - 0.08, "needs_human", "very_short_text,broken_glyphs,vector_drawing,formula_heavy")] * 3
