@@ -41,18 +41,18 @@ def normalized(text: Column) -> Column:
     for a, b in SIGNS.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     word = lambda x: rf"(?<![\p{{L}}])(?:{x})(?![\p{{L}}])"
-    for w, n in NUMBERS.items():
-        out = F.regexp_replace(out, word(w), str(n))
-    for sign, names in OPERATIONS.items():
-        out = F.regexp_replace(out, word("|".join(names)), sign)
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    entry = lambda names, put: F.struct(F.array(*map(F.lit, names)).alias("names"), F.lit(word("|".join(names))).alias("pattern"), F.lit(put).alias("put"))
+    entries = F.array(*[entry([w], str(n)) for w, n in NUMBERS.items()], *[entry(names, sign) for sign, names in OPERATIONS.items()])
+    # only words that the text holds are sought as words
+    step = lambda s, e: F.when(F.exists(e["names"], lambda n: F.contains(s, n)), F.regexp_replace(s, e["pattern"], e["put"])).otherwise(s)
+    return F.trim(F.regexp_replace(F.aggregate(entries, out, step), r"\s+", " "))
 
 
 def statements(text: Column) -> Column:
     """What a normalised text claims: array of struct(said, step, holds). `step` is compact; a division by zero does not hold."""
 
-    def read(said: Column) -> Column:
-        part = lambda k: F.regexp_extract(said, EXPRESSION, k)
+    def read(said: Column, parts: Column) -> Column:
+        part = lambda k: parts[k - 1]
         number = lambda k: part(k).try_cast("double")
         put = lambda a, op, b: F.when(op == "/", F.try_divide(a, b)).otherwise(a * b)
         first = put(number(1), part(2), number(3))
@@ -62,14 +62,16 @@ def statements(text: Column) -> Column:
         holds = F.coalesce(F.abs(value - number(6)) <= NEAR, F.lit(False))
         return F.struct(F.trim(said).alias("said"), step.alias("step"), holds.alias("holds"))
 
-    return F.transform(F.regexp_extract_all(text, F.lit(EXPRESSION), F.lit(0)), read)
+    groups = lambda said: F.split(F.regexp_replace(said, EXPRESSION, "$1|$2|$3|$4|$5|$6"), r"\|", -1)
+    return F.transform(F.regexp_extract_all(text, F.lit(EXPRESSION), F.lit(0)), lambda said: F.transform(F.array(groups(said)), lambda parts: read(said, parts))[0])
 
 
 def assess(question: Column, correct: Column, transcript: Column, rubrics: dict[str, Rubric]) -> Column:
     """struct(status, evidence, contradictions) of a transcript, by the rubric of its question."""
     text = F.coalesce(transcript, F.lit(""))
     # an element of an array is computed once, however often it is used
-    return F.transform(F.array(normalized(text)), lambda s: _assessed(question, F.coalesce(correct, F.lit(False)), text, s, statements(s), rubrics))[0]
+    judged = lambda s, found: _assessed(question, F.coalesce(correct, F.lit(False)), text, s, found, rubrics)
+    return F.transform(F.array(normalized(text)), lambda s: F.transform(F.array(statements(s)), lambda found: judged(s, found))[0])[0]
 
 
 def _assessed(question: Column, correct: Column, text: Column, s: Column, found: Column, rubrics: dict[str, Rubric]) -> Column:

@@ -74,10 +74,16 @@ def test_words_are_summed_in_their_row(spark):
 
 
 def test_patterns_are_sought_once_a_text(spark):
-    from gleanery.functions import texts
+    from gleanery.functions import reasoning, texts
 
     rows = spark.range(3).select(F.concat(F.lit("a = b � | "), F.col("id")).alias("t"))
     c = texts.confidence(F.col("t"), F.lit(False), F.col("t").contains("|"), F.lit(None).cast("boolean"))
     got = rows.select(c.alias("c")).select("c.score", "c.status", "c.reasons")
     assert plan(got).count("sin|cos|tg|ctg") == 1
     assert [tuple(r) for r in got.collect()] == [(0.97 - 0.28 - 0.32 - 0.14 - 0.08, "needs_human", "very_short_text,broken_glyphs,vector_drawing,formula_heavy")] * 3
+    rubric = {"q": reasoning.Rubric("10", [[{"15/3=5"}, {"5*2=10"}]])}
+    said = rows.select(F.concat(F.lit("Fifteen divided by 3 equals 5 and five times two = 010, onetime 7 / 0 = 7; "), F.length("t") - 10, F.lit(" * 6 / 2 = 3")).alias("t"))
+    a = reasoning.assess(F.lit("q"), F.lit(True), F.col("t"), rubric)
+    got = said.select(a.alias("a")).select("a.status", "a.evidence", "a.contradictions")
+    assert plan(got).count("regexp_extract_all") == 1
+    assert [tuple(r) for r in got.collect()] == [("incorrect_reasoning", ["15 / 3 = 5", "5 * 2 = 010", "1 * 6 / 2 = 3"], ["7 / 0 = 7"])] * 3
