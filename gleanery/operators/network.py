@@ -109,9 +109,10 @@ def edges(held: DataFrame, seen: DataFrame) -> DataFrame:
     competition = F.concat(F.lit("competition_"), F.col("c").cast("string"))
     out = made(held, node_id("site", F.col("host")), "HOSTS", F.col("id"))
     out = out.unionByName(made(held.withColumn("c", F.explode("competitions")), F.col("id"), "ARCHIVE_OF", competition))
-    for kind, target in (("AT_SITE", F.col("site")), ("FOUND_ON", F.col("page")), ("HAS_ASSET", F.col("asset"))):
-        out = out.unionByName(made(seen, F.col("id"), kind, target))
-    return out.unionByName(made(seen.withColumn("c", F.col("competition")), F.col("id"), "BELONGS_TO", competition)).distinct()
+    # an observation's edges come of its row, so that it is read, and its ids are made, once
+    own = (("AT_SITE", F.col("site")), ("FOUND_ON", F.col("page")), ("HAS_ASSET", F.col("asset")), ("BELONGS_TO", F.concat(F.lit("competition_"), F.col("competition").cast("string"))))
+    each = seen.select(F.col("id").alias("source"), F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), target.alias("target")) for kind, target in own])).alias("e"))
+    return out.unionByName(each.select("source", "e.kind", "e.target").where("source is not null and target is not null")).distinct()
 
 
 def unresolved(seen: DataFrame) -> DataFrame:

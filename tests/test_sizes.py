@@ -87,3 +87,15 @@ def test_patterns_are_sought_once_a_text(spark):
     got = said.select(a.alias("a")).select("a.status", "a.evidence", "a.contradictions")
     assert plan(got).count("regexp_extract_all") == 1
     assert [tuple(r) for r in got.collect()] == [("incorrect_reasoning", ["15 / 3 = 5", "5 * 2 = 010", "1 * 6 / 2 = 3"], ["7 / 0 = 7"])] * 3
+
+
+def test_observations_are_read_once_for_their_edges(spark):
+    from gleanery.operators import network as N
+
+    names = ("id", "site", "page", "asset", "competition")
+    seen = spark.range(4).select(*[F.when(F.col("id") % (k + 2) > 0, F.concat(F.lit(n), "id")).alias(n) for k, n in enumerate(names)])
+    held = spark.createDataFrame([("a", "h", ["c1", "c2"])], "id string, host string, competitions array<string>")
+    got = N.edges(held, seen)
+    assert plan(got).count("Range (0, 4") == 1
+    want = {(r["id"], kind, t) for r in seen.collect() for kind, t in (("AT_SITE", r["site"]), ("FOUND_ON", r["page"]), ("HAS_ASSET", r["asset"]), ("BELONGS_TO", r["competition"] and f"competition_{r['competition']}")) if r["id"] and t}
+    assert {tuple(r) for r in got.collect() if r["kind"] not in ("HOSTS", "ARCHIVE_OF")} == want and got.count() == len(want) + 3
