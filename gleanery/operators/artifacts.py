@@ -104,13 +104,14 @@ def _text_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def artifacts(visuals: DataFrame, lines: DataFrame, tasks: DataFrame | None = None, least: float = BOUND) -> DataFrame:
-    """One row for each artifact of a task: kind, box, source, confidences with reasons, caption. `tasks`: as `sheets.tasks` gives them, if at hand."""
+def artifacts(visuals: DataFrame, lines: DataFrame, tasks: DataFrame | None = None, least: float = BOUND, steps: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row for each artifact of a task: kind, box, source, confidences with reasons, caption. `tasks`, `steps`: as `sheets.tasks` and `sheets.written` give them, if at hand."""
     # what several joins read is written once
     lines = checkpointed(lines)
-    kinds = checkpointed((S.tasks(lines) if tasks is None else tasks).select(*_TASK, "kind"))
-    blocks = checkpointed(S.blocks(S.in_tasks(lines), S.page_headers(lines)))
-    spans, bands = S.spans(blocks), S.bands(lines)
+    steps = steps or S.written(lines)
+    kinds = checkpointed((S.tasks(lines, steps) if tasks is None else tasks).select(*_TASK, "kind"))
+    blocks = steps[1]
+    spans, bands = S.spans(blocks), S.bands(lines, steps)
     widths = lines.groupBy("doc", "page").agg(F.max("width").alias("_width"))
     seen = overlapping(visuals.where(F.col("raw").isNotNull()), bands, ["doc", "page"], ("y0", "y1"), ("top", "bottom")).drop("top", "bottom")
     seen = checkpointed(seen)

@@ -14,6 +14,7 @@ from pyspark.sql.window import WindowSpec
 
 from gleanery.functions import profile as P
 from gleanery.operators.structure import stable_id
+from gleanery.sources.folders import checkpointed
 
 
 #: Below this, or with an artifact below that, a task is reviewed.
@@ -104,6 +105,17 @@ def blocks(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     return rows.withColumns({"block_role": F.col("_r.role"), "role_confidence": F.col("_r.confidence"), "role_reason": F.when(F.col("k") == 1, F.concat(F.lit("inline_task_statement:"), "_r.reason")).otherwise(F.col("_r.reason"))}).drop("_r")
 
 
+def written(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of tasks and their blocks, each written once: tasks, bands, parts and artifacts read them many times, and to find them takes many patterns a line.
+
+    Lines also have what follows them in the document (`_next`, `_next_page`, `_next_y`), `norm`, and `_head` where that is a page header; blocks are without headers.
+    """
+    following = {f"_next{name}": F.lead(c).over(_doc().orderBy("pos")) for name, c in (("", "text"), ("_page", "page"), ("_y", "y0"))}
+    rows = in_tasks(lines.withColumns(following)).withColumn("norm", normal(F.col("text")))
+    rows = checkpointed(rows.join(page_headers(lines).select("doc", "norm", F.lit(True).alias("_head")), ["doc", "norm"], "left"))
+    return rows, checkpointed(blocks(rows.where("opens or _head is null").drop("norm", "_head", *following)))
+
+
 def spans(parts: DataFrame) -> DataFrame:
     """Rows (doc, section, task, page, x0, y0, x1, y1): the box of a task's own blocks on each page."""
     own = parts.where("(k = 1 or not opens) and (k = 1 or block_role not in ('TASK_MARKER', 'FOOTNOTE'))")
@@ -123,12 +135,9 @@ def item_range(rows: DataFrame) -> DataFrame:
     return both.select(*_TASK, pick(F.col("_a"), F.col("_lo"), "first_item"), pick(F.col("_b"), F.col("_hi"), "last_item"), pick(F.col("_b") - F.col("_a") + 1, F.col("_count"), "n_items").cast("long").alias("n_items"), pick(F.lit("instruction"), F.lit("items"), "range_source"))
 
 
-def tasks(lines: DataFrame) -> DataFrame:
-    """One row a task: label, number, kind, mode, pages, body, confidences with reasons, and whether it is to be reviewed."""
-    headers = page_headers(lines)
-    following = {"_next": F.lead("text").over(_doc().orderBy("pos")), "_next_page": F.lead("page").over(_doc().orderBy("pos"))}
-    rows = in_tasks(lines.withColumns(following))
-    parts = blocks(rows, headers)
+def tasks(lines: DataFrame, steps: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row a task: label, number, kind, mode, pages, body, confidences with reasons, and whether it is to be reviewed. `steps`: as `written` gives them, if at hand."""
+    rows, parts = written(lines) if steps is None else steps
     content = F.col("block_role").isin("TASK_MARKER", "FOOTNOTE")
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~content, F.struct("pos", "k", c)))), lambda x: x[c]), "\n")
     narrow = (F.col("width") > 0) & (F.col("x1") - F.col("x0") < 0.72 * F.col("width"))
@@ -141,11 +150,10 @@ def tasks(lines: DataFrame) -> DataFrame:
     pages = spans(parts).groupBy(*_TASK).agg(F.count(F.lit(1)).alias("_pages"))
     body = parts.groupBy(*_TASK).agg(F.trim(ordered("text")).alias("body"), F.coalesce(F.min(F.when(F.col("block_role") != "TASK_MARKER", F.col("role_confidence"))), F.lit(0.5)).alias("role_confidence"))
     # the end page: that of the last line, or the one before the next marker's page if nothing stands there before it
-    held = rows.withColumn("norm", normal(F.col("text"))).join(headers.select("doc", "norm", F.lit(True).alias("_head")), ["doc", "norm"], "left")
-    last = held.groupBy(*_TASK).agg(F.max_by(F.struct("_next", "_next_page", "page"), "pos").alias("_l"), F.min("page").alias("page_start"))
+    last = rows.groupBy(*_TASK).agg(F.max_by(F.struct("_next", "_next_page", "page"), "pos").alias("_l"), F.min("page").alias("page_start"))
     stands = F.col("_head").isNull() & (F.col("norm") != "speaking")
     with_parts = F.max(~F.col("opens") & P.found(F.col("text"), P.PART)).alias("_parts")
-    there = held.join(last, _TASK).groupBy(*_TASK).agg(F.max((F.col("page") == F.col("_l._next_page")) & stands).alias("_there"), with_parts)
+    there = rows.join(last, _TASK).groupBy(*_TASK).agg(F.max((F.col("page") == F.col("_l._next_page")) & stands).alias("_there"), with_parts)
     head = rows.where("opens").select(*_TASK, "role", "text", "section_type")
     got = head.join(body, _TASK).join(last, _TASK).join(there, _TASK).join(columns, _TASK, "left").join(gaps, _TASK, "left").join(pages, _TASK, "left").join(item_range(rows), _TASK, "left")
     boundary = F.when(F.col("_l._next").isNull(), "document_end").when(P.is_task(F.col("_l._next")), "next_task_marker").when(P.section_type(F.col("_l._next")).isNotNull(), "next_section_boundary").otherwise("layout_boundary")
@@ -179,12 +187,12 @@ def tasks(lines: DataFrame) -> DataFrame:
     )
 
 
-def parts(lines: DataFrame) -> DataFrame:
+def parts(lines: DataFrame, steps: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Parts of tasks (doc, section, task, part, label, kind, confidence): lines from a part's marker up to the next; else sub-parts, two or more,
 
-    where the task's kind has no options that look like them.
+    where the task's kind has no options that look like them. `steps`: as `written` gives them, if at hand.
     """
-    rows = in_tasks(lines)
+    rows = in_tasks(lines) if steps is None else steps[0]
     major = F.when(~F.col("opens"), P.group(F.col("text"), P.PART))
     minor = F.when(~F.col("opens"), F.lower(F.concat(*[P.group(F.col("text"), P.SUBPART, k) for k in (1, 2, 3)])))
     own = W.partitionBy(*_TASK)
@@ -236,9 +244,10 @@ def answer_groups(lines: DataFrame) -> DataFrame:
     return each.groupBy("doc", "section", "number").agg(F.min("pos").alias("pos"), F.min_by("_stop", F.struct("pos", "_k")).alias("until"))
 
 
-def bands(lines: DataFrame) -> DataFrame:
-    """Rows (doc, section, task, page, top, bottom): the vertical band of a task on each of its pages, up to the next line after the task."""
-    rows = in_tasks(lines.withColumns({"_next_page": F.lead("page").over(_doc().orderBy("pos")), "_next_y": F.lead("y0").over(_doc().orderBy("pos"))}))
+def bands(lines: DataFrame, steps: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Rows (doc, section, task, page, top, bottom): the vertical band of a task on each of its pages, up to the next line after the task. `steps`: as `written` gives them, if at hand."""
+    following = {"_next_page": F.lead("page").over(_doc().orderBy("pos")), "_next_y": F.lead("y0").over(_doc().orderBy("pos"))}
+    rows = in_tasks(lines.withColumns(following)) if steps is None else steps[0]
     whole = rows.groupBy(*_TASK).agg(F.min_by(F.struct("page", "y0"), "pos").alias("_f"), F.max_by(F.struct("_next_page", "_next_y"), "pos").alias("_l"))
     each = rows.groupBy(*_TASK, "page").agg(F.max("height").alias("_h"), F.max("y1").alias("_y1")).join(whole, _TASK)
     top = F.when(F.col("page") == F.col("_f.page"), F.col("_f.y0")).otherwise(0.0)

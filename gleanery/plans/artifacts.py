@@ -42,17 +42,19 @@ def sheet_artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 def artifact_edges(spark: SparkSession, d: str) -> DataFrame:
     lines = sheet_lines(spark, d)
-    tasks = checkpointed(S.tasks(lines))
+    steps = S.written(lines)
+    tasks = checkpointed(S.tasks(lines, steps))
     # without text of its own a task shares only what it owns
     body = tasks.select("doc", "section", "task", F.lit(False).alias("shared"), "body")
-    return S.composition(S.parts(lines), body, A.artifacts(visuals(lines), lines, tasks))
+    return S.composition(S.parts(lines, steps), body, A.artifacts(visuals(lines), lines, tasks, steps=steps))
 
 
 def task_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     lines = sheet_lines(spark, d)
-    tasks = checkpointed(S.tasks(lines))
-    owned = A.artifacts(visuals(lines), lines, tasks)
-    parts = S.parts(lines).groupBy("doc", "section", "task").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    steps = S.written(lines)
+    tasks = checkpointed(S.tasks(lines, steps))
+    owned = A.artifacts(visuals(lines), lines, tasks, steps=steps)
+    parts = S.parts(lines, steps).groupBy("doc", "section", "task").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     return A.reconstructed(tasks, owned, parts).select("doc", "section", "task", "confidence", "review", "n_artifacts")
 
 

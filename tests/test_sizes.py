@@ -73,6 +73,20 @@ def test_words_are_summed_in_their_row(spark):
     assert {r["k"]: r["forms"] for r in R.word_sums(rows.unionByName(spark.createDataFrame([(5, "b A")], rows.schema)), "k", "text").collect()}[5] == 2
 
 
+def test_lines_of_tasks_are_found_once(spark, monkeypatch):
+    from gleanery.operators import sheets as S
+    from gleanery.plans import artifacts, sheets
+
+    made = {"in_tasks": [], "blocks": []}
+    for name, calls in made.items():
+        monkeypatch.setattr(S, name, lambda *rows, f=getattr(S, name), calls=calls: calls.append(1) or f(*rows))
+    for query in (sheets.sheet_tasks, artifacts.artifact_edges):
+        query(spark, "/root/testdata/sf0.001")
+        assert [len(x) for x in made.values()] == [1, 1], query.__name__
+        for calls in made.values():
+            calls.clear()
+
+
 def test_patterns_are_sought_once_a_text(spark):
     from gleanery.functions import reasoning, texts
 
