@@ -6,6 +6,9 @@ dot that matches line ends.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +64,46 @@ KINDS = [
     ("ORAL_RESPONSE", False, r"\bmonologue\b|\bdialogue\b|\bspeak\b|talk\s+about|устн|монолог|диалог"),
     ("NUMERIC_RESPONSE", False, r"\bcalculate\b|\bcompute\b|\bfind\s+(?:the\s+)?(?:value|number)|вычисл|найдите\s+(?:значение|число)"),
 ]
+# Of each kind, words one of which every match of its pattern holds in a cleaned text in lower case. Finding them costs far less than a pattern.
+WORDS = {
+    "SELECT_MULTIPLE": ("choose ", "select ", "выберите ", "укажите "),
+    "TRUE_FALSE_NOT_STATED": ("not stated",),
+    "TRUE_FALSE": ("false",),
+    "FORM_FILL": ("the form",),
+    "TABLE_GAP_FILL": ("the table", "заполните таблиц"),
+    "KEY_WORD_TRANSFORMATION": ("key word", "second sentence"),
+    "WORD_FORMATION": ("word formation", "form a word", "form the word", "the word given", "word given in"),
+    "IDIOM": ("idiom",),
+    "MATCHING": ("match", "correct paragraph", "which paragraph", "the paragraphs", "установите соответств", "соотнесите"),
+    "ORDERING": ("correct order", "right order", "arrange", "расположите", "установите последовательност"),
+    "MULTIPLE_CHOICE_CLOZE": ("which answer",),
+    "OPEN_CLOZE": ("think of the word", "for each", "word per gap"),
+    "SELECT_ONE": ("choose ", "выберите ", "укажите один"),
+    "OPEN_SHORT": ("the following questions", "short answer", "ответьте на", "дайте кратк"),
+    "GAP_FILL": ("complete ", "fill ", "missing information"),
+    "EXTENDED_RESPONSE": ("write ", " words)"),
+    "PROOF": ("prove", "докаж"),
+    "PROGRAMMING": ("program", "algorithm", "программ", "алгоритм"),
+    "ORAL_RESPONSE": ("monologue", "dialogue", "speak", "talk about", "устн", "монолог", "диалог"),
+    "NUMERIC_RESPONSE": ("calculate", "compute", "find ", "вычисл", "найдите "),
+}
+# Signs that match other letters where case is not told apart, but that lower case does not make those letters.
+ODD = "\u0130\u0131\u017f\u1c80\u1c81\u1c82\u1c83\u1c84\u1c85\u1c86"
+# The patterns of KINDS whose dots match line ends, as pieces that come one after the other. Written as one pattern, each
+# piece is sought again from every place of those before it, which takes the square or the cube of the text.
+ORDERED = {
+    "SELECT_MULTIPLE": [(r"(?:choose|select)\s+(?:all|two|three|several|multiple)", "correct|true"), (r"выберите\s+(?:все|несколько)", "правильн|верн"), (r"укажите\s+все\s+верн",)],
+    "TRUE_FALSE_NOT_STATED": [("true", "false", r"not\s+stated")],
+    "TRUE_FALSE": [(r"\btrue\b", r"\bfalse\b")],
+    "KEY_WORD_TRANSFORMATION": [(r"key\s+word",), ("complete", r"second\s+sentence", "meaning"), (r"second\s+sentence", r"similar\s+meaning")],
+    "ORDERING": [("put", r"(?:correct|right)\s+order"), ("arrange", "order"), ("расположите", "порядк"), (r"установите\s+последовательност",)],
+    "MULTIPLE_CHOICE_CLOZE": [(r"which\s+answer", r"fits?\s+each\s+gap"), (r"decide\s+which\s+answer", r"best\s+fits", "gap")],
+    "SELECT_ONE": [
+        (r"choose\s+the\s+correct\s+answer|choose\s+(?:a|one)\s+(?:correct\s+)?(?:option|answer)|choose\s+the\s+answer\s*\([A-DА-Д]|выберите\s+(?:один\s+)?правильн(?:ый|ого)\s+(?:вариант|ответ)|укажите\s+один\s+верн",),
+        (r"choose\s+[A-DА-Д]\s*,\s*[A-DА-Д]", "answer|question"),
+    ],
+}
+
 # How kinds are answered, and the kinds whose options are no parts.
 MODES = {
     "SELECT": ("SELECT_ONE", "SELECT_MULTIPLE", "TRUE_FALSE", "TRUE_FALSE_NOT_STATED", "MATCHING", "ORDERING", "MULTIPLE_CHOICE_CLOZE"),
@@ -112,13 +155,27 @@ def cascade(rules: list[tuple[Column, object]], default: object = None) -> Colum
 
 def instruction(text: Column) -> Column:
     """Hyphenated line ends joined, white space as one space."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"([A-Za-zА-Яа-яЁё])-\s*\n\s*([A-Za-zА-Яа-яЁё])", "$1$2")
-    return F.trim(F.regexp_replace(joined, r"(?U)\s+", " "))
+    text = F.coalesce(text, F.lit(""))
+    joined = F.regexp_replace(text, r"([A-Za-zА-Яа-яЁё])-\s*\n\s*([A-Za-zА-Яа-яЁё])", "$1$2")
+    # single spaces stay as they are
+    return F.trim(F.regexp_replace(F.when(F.contains(text, F.lit("-")), joined).otherwise(text), r"(?U) \s+|[\s&&[^ ]]\s*", " "))
+
+
+def _in_order(text: Column, pieces: tuple[str, ...]) -> Column:
+    """Whether the pieces come one after the other. Each is taken where it first ends and never looked for again, so that the time is that of one pass."""
+    return found(text, r"\A" + "".join(f"(?>.*?(?:{p}))" for p in pieces), True)
 
 
 def kind(text: Column, has_parts: Column | None = None) -> Column:
-    # the cleaned text is an element of an array, so that it is computed once and not for each rule
-    known = F.transform(F.array(instruction(text)), lambda t: cascade([(found(t, p, across), k) for k, across, p in KINDS], "UNKNOWN"))[0]
+    # the cleaned text, and what is sought in it, are fields of an array's element, so that they are computed once and not for each rule
+    odd = lambda t: reduce(or_, (F.contains(t, F.lit(c)) for c in ODD))
+    cleaned = F.transform(F.array(instruction(text)), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"), odd(t).alias("odd")))
+
+    def holds(x: Column, kind: str, across: bool, pattern: str) -> Column:
+        may = reduce(or_, (F.contains(x["low"], F.lit(w)) for w in WORDS[kind]), x["odd"])
+        return may & (reduce(or_, (_in_order(x["t"], p) for p in ORDERED[kind])) if across else found(x["t"], pattern))
+
+    known = F.transform(cleaned, lambda x: cascade([(holds(x, k, across, p), k) for k, across, p in KINDS], "UNKNOWN"))[0]
     return known if has_parts is None else F.when(has_parts, "COMPOSITE").otherwise(known)
 
 

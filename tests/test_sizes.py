@@ -126,3 +126,31 @@ def test_pairs_are_grouped_where_they_lie(spark):
     assert got.columns == ["doc", "key", "n", "x", "m_n", "m_y"]
     want = {(1, "a", 1, "g1", 7, "m1"), (1, "a", 2, "g2", None, None), (1, "b", 1, None, 3, None), (2, "a", 1, "g4", None, None), (None, "a", 1, "g5", None, None)}
     assert {tuple(r) for r in got.collect()} == want and got.count() == 5
+
+
+def test_kinds_of_long_texts_take_one_pass(spark):
+    """Pieces that may come in any number are not sought again from each of the places before them: that took the cube of the text."""
+    from gleanery.functions import profile as P
+
+    pieces = {"TRUE_FALSE": "not stated " + "true false " * 20000, "ORDERING": "right order " + "put " * 20000 + "arrange order", "UNKNOWN": "meaning second sentence " + "complete put " * 20000}
+    got = spark.createDataFrame([*pieces.items()], "want string, t string").select("want", P.kind(F.col("t")).alias("kind")).collect()
+    assert len(got) == 3 and all(r["want"] == r["kind"] for r in got)
+
+
+def test_kinds_are_those_of_the_patterns(spark):
+    import random
+
+    from gleanery.functions import profile as P
+
+    rng = random.Random(5)
+    bits = "choose all|select two|correct|TRUE (a)|true|false|not stated|complete the form|fill in the table|key word|complete|second sentence|meaning|similar meaning|form a word|use the word given|idiom|idioms|match|matchbox|which paragraph|put|right order|arrange|order|decide which answer|fits each gap|best fits|gap|one word for each gap|choose a option|choose A, B|, answer|question|choose the answer (A|give short answer|fill gaps|write your essay|(10 – 20 words)|words)|prove|proven|algorithm|speak|speaker|find value|выберите все|верно|укажите все верные|заполните таблицу|соотнесите|расположите|порядке|выберите один правильный ответ|ответьте на вопрос|докажите|алгоритм|диалог|найдите число|the|-".split("|")
+    other = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a", "в": "\u1c80", "д": "\u1c81", "о": "\u1c82", "с": "\u1c83", "т": "\u1c84\u1c85"}
+    case = [str, str.upper, str.title, lambda x: "".join(rng.choice(other.get(c, c) + c) for c in x)]
+    texts = [rng.choice(case)("".join(rng.choice(bits) + rng.choice([" ", "  ", "\n", "-\n", "", "\u00a0", "\u2003\t"]) for _ in range(rng.choice([1, 2, 3, 5, 8])))) for _ in range(4000)]
+    t = F.col("t")
+    joined = F.regexp_replace(t, r"([A-Za-zА-Яа-яЁё])-\s*\n\s*([A-Za-zА-Яа-яЁё])", "$1$2")
+    clean = F.trim(F.regexp_replace(joined, r"(?U)\s+", " "))
+    plain = P.cascade([(P.found(F.col("c"), p, across), k) for k, across, p in P.KINDS], "UNKNOWN")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", clean.alias("c")).select("t", "c", plain.alias("want"), P.kind(t).alias("got"), P.instruction(t).alias("i"))
+    assert rows.where("want <> got or c <> i").head(3) == [] and rows.select("want").distinct().count() == 21
+    assert set(P.WORDS) == {k for k, _, _ in P.KINDS} and set(P.ORDERED) == {k for k, across, _ in P.KINDS if across}
