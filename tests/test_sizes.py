@@ -154,3 +154,27 @@ def test_kinds_are_those_of_the_patterns(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", clean.alias("c")).select("t", "c", plain.alias("want"), P.kind(t).alias("got"), P.instruction(t).alias("i"))
     assert rows.where("want <> got or c <> i").head(3) == [] and rows.select("want").distinct().count() == 21
     assert set(P.WORDS) == {k for k, _, _ in P.KINDS} and set(P.ORDERED) == {k for k, across, _ in P.KINDS if across}
+
+
+def test_inversions_of_small_keys_take_no_row_for_each_bit(spark):
+    import random
+
+    from gleanery.operators import answer_keys as K
+
+    rng = random.Random(9)
+    rows = [(rng.choice([*range(30), None]), i, float(rng.randrange(200))) for i in range(6000)] + [(99, i, -float(i)) for i in range(25000)]
+    got = K.inversions(spark.createDataFrame(rows, "k int, i int, v double").repartition(5), "k", ["i"], "v")
+    assert "Generate" not in plan(got) and "explode" not in plan(got)
+    want = {k: [v for x, _, v in rows if x == k] for k in {r[0] for r in rows} - {99}}
+    want = {k: (len(v), sum(a > b for a, b in itertools.combinations(v, 2))) for k, v in want.items()} | {99: (25000, 25000 * 24999 // 2)}
+    assert {r["k"]: (r["n"], r["inversions"]) for r in got.collect()} == want
+
+
+def test_large_and_small_keys_count_alike(spark):
+    from gleanery.operators import answer_keys as K
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 90)).alias("k"), "id", F.pmod(F.xxhash64("id"), F.lit(500)).alias("v"))
+    want = sorted(map(tuple, K.inversions(rows, "k", ["id"], "v").collect()))
+    assert len(want) == 31
+    for block in (1, 2, 33, 64, 1999, 2000):
+        assert sorted(map(tuple, K.inversions(rows, "k", ["id"], "v", block).collect())) == want, block
