@@ -104,7 +104,8 @@ def ledger(entries: DataFrame, most_credit: int | None = None) -> DataFrame:
 def readiness(ev: DataFrame, weights: DataFrame, now: Column) -> DataFrame:
     """Weighted readiness and confidence in percent, with the three weakest units. Fixed: full confidence at five attempts, prior 0.35, 0.05 off when due.
 
-    Units are summed in their order, so that a sum at the middle of two percents is rounded alike at any partitioning; a learner's units are one row.
+    Units are summed in their order, alike at any partitioning; a learner's units are one row. The middle of two percents goes up: a sum of doubles may
+    miss it by some 1e-14, so places after the tenth do not count.
     """
     learners = ev.select("learner").distinct()
     rows = paired(learners, weights.where("weight > 0")).join(ev, ["learner", "unit"], "left")
@@ -113,7 +114,7 @@ def readiness(ev: DataFrame, weights: DataFrame, now: Column) -> DataFrame:
     estimate = mastery(F.coalesce("n_correct", F.lit(0)), n) * sure + 0.35 * (1 - sure)
     due = (n > 0) & (F.col("next_review") <= now)
     rows = rows.withColumns({"sure": sure, "estimate": F.when(due, F.greatest(F.lit(0.0), estimate - 0.05)).otherwise(estimate)})
-    percent = lambda x: F.floor(100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) + 0.5).cast("int")
+    percent = lambda x: F.floor(F.round(100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 10) + 0.5).cast("int")
     weakest = F.transform(F.slice(F.array_sort(F.collect_list(F.struct(F.round("estimate", 9), "unit"))), 1, 3), lambda s: s["unit"])
     units = F.array_sort(F.collect_list(F.struct("unit", "weight", (F.col("weight") * F.col("estimate")).alias("estimate"), (F.col("weight") * F.col("sure")).alias("sure")))).alias("_u")
     total = lambda c: F.aggregate("_u", F.lit(0.0), lambda a, x: a + x[c])

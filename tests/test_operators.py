@@ -123,6 +123,15 @@ def test_evidence(spark, rights, mistakes, interval):
     assert abs(r["mastery"] - (sum(rights) + 1) / (len(rights) + 2)) < 1e-12
 
 
+def test_readiness_at_the_middle_of_two_percents_goes_up(spark):
+    """The exact sum is 68.5 %; summed as doubles in the order of units it falls short of that by 1e-14, in others it does not."""
+    answered = [(7, 7, False), (8, 6, True), (7, 6, False), (10, 9, False), (6, 4, True), (7, 7, False), (7, 4, True), (7, 6, True), (8, 5, False)]
+    ev = spark.createDataFrame([(1, u, n, k, int(not due)) for u, (n, k, due) in enumerate(answered)], "learner long, unit int, attempts long, n_correct long, next_review int")
+    weights = spark.createDataFrame([(u, (u + 1) / 55.0) for u in range(9)], "unit int, weight double")
+    for rows in (ev.repartition(1, "unit"), ev.orderBy(F.desc("unit"))):
+        assert tuple(learner.readiness(rows, weights, F.lit(0)).first()) == (1, 69, 100, [6, 4, 8])
+
+
 def test_first_right_answer(spark):
     r = learner.combos(answers_of(spark, [True])).first()
     assert (r["combo"], r["xp_gain"]) == (1, 12)
